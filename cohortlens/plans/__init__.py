@@ -8,6 +8,7 @@ from cohortlens.plans.base import REGISTRY
 
 _MODULES = [
     "q_features",
+    "q_profile",
 ]
 
 for _m in _MODULES:
