@@ -79,3 +79,16 @@ def running_sums_window(df: DataFrame, keys: list[str], order: list, values: dic
     w = (Window.partitionBy(*keys) if keys else Window).orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, end)
     return df.select("*", *[F.sum(expr).over(w).alias(name) for name, expr in values.items()])
+
+
+def running_sums_auto(df: DataFrame, keys: list[str], order: list, values: dict[str, Column],
+                      inclusive: bool = False, small_rows: int = 200_000) -> DataFrame:
+    """Pick the plain window when the whole input is small (its row count is
+    checked first and the input is persisted for the second use), else the
+    range-partitioned form. Meant for already-reduced tables such as score
+    histograms, whose size depends on the number of distinct scores."""
+    df = df.persist()
+    n = df.count()
+    if n <= small_rows:
+        return running_sums_window(df, keys, order, values, inclusive)
+    return running_sums(df, keys, order, values, inclusive)

@@ -9,6 +9,7 @@ from cohortlens.plans.base import REGISTRY
 _MODULES = [
     "q_features",
     "q_profile",
+    "q_scores",
 ]
 
 for _m in _MODULES:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROUND_NUDGE = 1e-10
 _SPARK_TYPES = {"bigint": "bigint", "double": "double", "string": "string", "boolean": "boolean", "date": "date"}
 _SQL_TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
 
@@ -43,7 +44,10 @@ def finalize(df: DataFrame, out: list[tuple[str, str]]) -> DataFrame:
     for name, typ in out:
         c = F.col(f"`{name}`").cast(_SPARK_TYPES[typ])
         if typ == "double":
-            c = F.round(c, 6)
+            # Nudge before rounding so exact ties (common for averages of
+            # decimal data) land on the same side in both engines despite
+            # last-bit differences in summation order.
+            c = F.round(c + F.lit(ROUND_NUDGE), 6)
         exprs.append(c.alias(name))
     return df.select(*exprs)
 
@@ -53,7 +57,7 @@ def wrap_sql(sql: str, out: list[tuple[str, str]]) -> str:
     for name, typ in out:
         c = f'CAST("{name}" AS {_SQL_TYPES[typ]})'
         if typ == "double":
-            c = f"round({c}, 6)"
+            c = f"round({c} + {ROUND_NUDGE!r}, 6)"
         cols.append(f'{c} AS "{name}"')
     return f"SELECT {', '.join(cols)} FROM (\n{sql}\n) AS q"
 
