@@ -10,6 +10,7 @@ _MODULES = [
     "q_features",
     "q_profile",
     "q_scores",
+    "q_thresholds",
 ]
 
 for _m in _MODULES:
