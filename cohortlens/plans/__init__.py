@@ -11,6 +11,7 @@ _MODULES = [
     "q_profile",
     "q_scores",
     "q_thresholds",
+    "q_fairness",
 ]
 
 for _m in _MODULES:
