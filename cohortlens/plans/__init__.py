@@ -12,6 +12,7 @@ _MODULES = [
     "q_scores",
     "q_thresholds",
     "q_fairness",
+    "q_models",
 ]
 
 for _m in _MODULES:
