@@ -13,6 +13,7 @@ _MODULES = [
     "q_thresholds",
     "q_fairness",
     "q_models",
+    "q_explain",
 ]
 
 for _m in _MODULES:
