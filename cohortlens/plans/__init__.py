@@ -14,6 +14,7 @@ _MODULES = [
     "q_fairness",
     "q_models",
     "q_explain",
+    "q_infer",
 ]
 
 for _m in _MODULES:
