@@ -32,20 +32,45 @@ def poisson1_cdf(kmax: int = POISSON_KMAX) -> list[float]:
     return out
 
 
+MIX_STEPS = [
+    lambda x: x.bitwiseXOR(F.shiftright(x, 15)),
+    lambda x: (x * F.lit(0x2C1B3C6D)).bitwiseAND(F.lit(MASK31)),
+    lambda x: x.bitwiseXOR(F.shiftright(x, 12)),
+    lambda x: (x * F.lit(0x297A2D39)).bitwiseAND(F.lit(MASK31)),
+    lambda x: x.bitwiseXOR(F.shiftright(x, 15)),
+]
+
+
 def mix31(x: Column) -> Column:
     """Integer hash on 31 bits (xor-shift / multiply rounds, no overflow: every
-    product stays below 2^62). DuckDB repeats it with xor(), >> and &."""
-    m = F.lit(MASK31)
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * F.lit(0x2C1B3C6D)).bitwiseAND(m)
-    x = x.bitwiseXOR(F.shiftright(x, 12))
-    x = (x * F.lit(0x297A2D39)).bitwiseAND(m)
-    x = x.bitwiseXOR(F.shiftright(x, 15))
+    product stays below 2^62). DuckDB repeats it with xor(), >> and &.
+    Nested use duplicates sub-expressions; ``replicate_uniform_columns`` applies
+    the steps as separate projections instead."""
+    for step in MIX_STEPS:
+        x = step(x)
     return x
 
 
+def replicate_uniform_columns(df: DataFrame, row_hash: str, rep: str, out: str = "__u") -> DataFrame:
+    """U[0,1) for (row, replicate) from a per-row md5 hash and the replicate number,
+    one projection per mixing step: each step reads the previous column, so the
+    generated code stays linear in the number of steps (Catalyst does not
+    collapse projections that would duplicate non-trivial expressions)."""
+    cols = [c for c in df.columns]
+    cur = "__mx0"
+    d = df.select(*cols, F.col(row_hash).bitwiseXOR(
+        (F.col(rep).cast("bigint") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(MASK31))).alias(cur))
+    i = 0
+    for _round in range(2):
+        for step in MIX_STEPS:
+            i += 1
+            d = d.select(*cols, step(F.col(cur)).alias(f"__mx{i}"))
+            cur = f"__mx{i}"
+    return d.select(*cols, (F.col(cur).cast("double") / F.lit(2147483648.0)).alias(out))
+
+
 def replicate_uniform(row_hash: Column, rep: Column) -> Column:
-    """U[0,1) for (row, replicate) from a per-row md5 hash and the replicate number."""
+    """Single-expression form of ``replicate_uniform_columns`` (small inputs only)."""
     x = row_hash.bitwiseXOR((rep.cast("bigint") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(MASK31)))
     return mix31(mix31(x)).cast("double") / F.lit(2147483648.0)
 
@@ -62,8 +87,12 @@ def replicate_histogram(df: DataFrame, row_key: list[str], keys: list[str] | Non
     h = hash_int(F.lit(seed), *[F.col(c) for c in row_key])
     d = df.select(*keys, y, p, h.alias("__h"))
     x = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    x = x.withColumn("__w", poisson_weight(replicate_uniform(F.col("__h"), F.col("rep")))).where(F.col("__w") > 0)
-    return score_histogram(x, keys + ["rep"], y, p, weight="__w")
+    x = replicate_uniform_columns(x, "__h", "rep")
+    # Zero weights are dropped after the aggregate, not before: a filter here
+    # would be pushed below the hashing projections and inline them.
+    x = x.withColumn("__w", poisson_weight(F.col("__u")))
+    h = score_histogram(x, keys + ["rep"], y, p, weight="__w")
+    return h.where((F.col("pos") + F.col("neg")) > 0)
 
 
 def bootstrap_metrics(df: DataFrame, row_key: list[str], keys: list[str] | None = None, y: str = "y_true",

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.scalar import hash_int
 from cohortlens.operators.metrics import auc_ap, curve_table, score_histogram
-from cohortlens.operators.prefix import running_sums
+from cohortlens.operators.prefix import running_sums_auto
 from cohortlens.operators.quantile import quantiles
 
 
@@ -229,6 +229,8 @@ def shapley_sampled(df: DataFrame, scorer: Scorer, keep: list[str], n_background
     for s in range(p):
         weights[s] = math.factorial(s) * math.factorial(p - s - 1) / math.factorial(p)
     sc = scorer
+    coef = np.array([scorer.beta(f) for f in feats])
+    b0 = float(scorer.beta("intercept"))
     out_schema = T.StructType([*[df.schema[k] for k in keep],
                                T.StructField("feature", T.StringType()), T.StructField("phi", T.DoubleType()),
                                T.StructField("base", T.DoubleType())])
@@ -236,12 +238,14 @@ def shapley_sampled(df: DataFrame, scorer: Scorer, keep: list[str], n_background
     def block(pdf, bgm, base):
         X = pdf[feats].to_numpy(dtype=float)
         n = X.shape[0]
+        xb, zb = X * coef[None, :], bgm * coef[None, :]
         val = {}
         for c in coalitions:
             mask = np.array(c, dtype=bool)
-            # rows x background: coalition features from x, the rest from the background row
-            Z = np.where(mask[None, None, :], X[:, None, :], bgm[None, :, :])
-            val[c] = sc.numpy_score(Z.reshape(-1, p)).reshape(n, -1).mean(axis=1)
+            # linear predictor splits into a row part (coalition) and a background part (the rest)
+            a = b0 + xb[:, mask].sum(axis=1)
+            z = zb[:, ~mask].sum(axis=1)
+            val[c] = (1.0 / (1.0 + np.exp(-(a[:, None] + z[None, :])))).mean(axis=1)
         phi = np.zeros((n, p))
         for c in coalitions:
             for j in range(p):
@@ -277,16 +281,16 @@ def permutation_importance(df: DataFrame, scorer: Scorer, y: str, id_col: str, r
     fl = spark.createDataFrame([(f,) for f in feats], "feature string")
     ids = df.select(id_col).distinct()
     # plain order of entities and a hash order per feature, both ranked without a global window
-    ranked_plain = running_sums(ids, [], [F.col(id_col)], {"__k": F.lit(1).cast("bigint")}, inclusive=True)
+    ranked_plain = running_sums_auto(ids, [], [F.col(id_col)], {"__k": F.lit(1).cast("bigint")}, inclusive=True)
     hashed = ids.crossJoin(F.broadcast(fl)).withColumn(
         "__hx", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col(id_col).cast("string"))))
-    ranked_hash = running_sums(hashed, ["feature"], [F.col("__hx"), F.col(id_col)], {"__k": F.lit(1).cast("bigint")},
+    ranked_hash = running_sums_auto(hashed, ["feature"], [F.col("__hx"), F.col(id_col)], {"__k": F.lit(1).cast("bigint")},
                                inclusive=True)
     mapping = ranked_plain.crossJoin(F.broadcast(fl)).join(
         ranked_hash.select("feature", F.col(id_col).alias("src_id"), "__k"), ["feature", "__k"]).select(
         "feature", id_col, "src_id")
     # donor index within each entity (row order) and entity sizes
-    idx = running_sums(df.select(id_col, row_key, *feats), [id_col], [F.col(row_key)],
+    idx = running_sums_auto(df.select(id_col, row_key, *feats), [id_col], [F.col(row_key)],
                        {"__idx": F.lit(1).cast("bigint")}, inclusive=False)
     idx = idx.withColumn("__idx", F.coalesce("__idx", F.lit(0)))
     sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n_src"))

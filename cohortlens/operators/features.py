@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar
-from cohortlens.operators.prefix import running_sums
+from cohortlens.operators.prefix import running_sums, running_sums_auto
 from cohortlens.spec import DEFAULT_SPEC, PanelSpec
 
 DEFAULT_MAX_ROWS_PER_TASK = 20_000_000
@@ -128,7 +128,7 @@ def prev_events_reference(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, events:
         F.max_by(e.isNull(), last_struct).alias("__last_null"),
         F.sum(e).alias("__total"),
     )
-    ranked = running_sums(totals, [], [F.col(spec.id)], {"__rank": F.lit(1).cast("bigint")}, inclusive=True)
+    ranked = running_sums_auto(totals, [], [F.col(spec.id)], {"__rank": F.lit(1).cast("bigint")}, inclusive=True)
     carry = ranked.select(
         (F.col("__rank") + 1).alias("__next_rank"),
         F.when(F.col("__last_null"), F.lit(0.0)).otherwise(F.coalesce(F.col("__total").cast("double"), F.lit(0.0)))

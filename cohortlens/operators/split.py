@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import hash_int
-from cohortlens.operators.prefix import running_sums
+from cohortlens.operators.prefix import running_sums_auto
 
 
 def _hash_key(seed: int, id_col: str):
@@ -31,7 +31,7 @@ def entity_split(df: DataFrame, id_col: str = "id", holdout: float = 0.4, seed:
     n_train = n - n_hold
     n_test = math.ceil(0.5 * n_hold)
     n_valid = n_hold - n_test
-    ranked = running_sums(ids, [], [F.col("__h"), F.col(id_col)], {"__rank": F.lit(1).cast("bigint")}, inclusive=True)
+    ranked = running_sums_auto(ids, [], [F.col("__h"), F.col(id_col)], {"__rank": F.lit(1).cast("bigint")}, inclusive=True)
     r = F.col("__rank")
     split = F.when(r <= n_train, "train").when(r <= n_train + n_valid, "valid").otherwise("test")
     return ranked.select(id_col, split.alias("split"))
