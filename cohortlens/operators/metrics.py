@@ -43,7 +43,9 @@ def curve_table(hist: DataFrame, keys: list[str] | None = None) -> DataFrame:
     tot = hist.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = c.withColumn("pos_below", F.coalesce("pos_below", F.lit(0.0))) \
          .withColumn("neg_below", F.coalesce("neg_below", F.lit(0.0)))
-    c = c.join(F.broadcast(tot), keys, "inner") if keys else c.crossJoin(F.broadcast(tot))
+    # keyed totals have one row per key group (unbounded): plain join, AQE may
+    # still broadcast it at runtime after measuring; the global total is one row
+    c = c.join(tot, keys, "inner") if keys else c.crossJoin(F.broadcast(tot))
     return c.withColumn("tp_ge", F.col("P") - F.col("pos_below")) \
             .withColumn("fp_ge", F.col("N") - F.col("neg_below"))
 
@@ -178,7 +180,7 @@ def class_score_histogram(df: DataFrame, keys: list[str] | None = None, y: str =
     width = F.col("vmax") - F.col("vmin")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("__x") - F.col("vmin")) / width * F.lit(float(bins))), F.lit(bins - 1))).cast("bigint")
-    return d.join(F.broadcast(rng), keys).withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
+    return d.join(rng, keys).withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
 def metrics_long(table: DataFrame, keys: list[str], names: list[str] = METRIC_NAMES) -> DataFrame:

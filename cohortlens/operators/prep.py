@@ -100,4 +100,6 @@ def with_names(df: DataFrame, p: PrepParams, features: str = "features") -> Data
     """A feature vector back to named columns using the fitted name list."""
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(F.col(features))
-    return df.select("*", *[arr[i].alias(n) for i, n in enumerate(p.feature_names())])
+    names = p.feature_names()
+    base = df.drop(*[n for n in names if n in df.columns])
+    return base.select("*", *[arr[i].alias(n) for i, n in enumerate(names)])

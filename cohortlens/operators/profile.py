@@ -80,6 +80,17 @@ def outlier_report(df: DataFrame, cols: list[str], quantile_method: str = "rank"
                  .withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
 
 
+def outliers_long(df: DataFrame, cols: list[str], key: str, quantile_method: str = "rank") -> DataFrame:
+    """A4 for every column at once: (variable, key, value) of the rows outside the
+    fences - the long table a per-variable sink (S4) partitions by variable."""
+    bounds = iqr_bounds(df, cols, quantile_method)
+    long = df.select(F.col(key).alias("__key"), *[F.col(c).cast("double").alias(c) for c in cols]) \
+             .unpivot(["__key"], cols, "variable", "value")
+    j = long.join(F.broadcast(bounds), "variable")   # one row per variable
+    return j.where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))) \
+            .select("variable", F.col("__key").alias(key), "value")
+
+
 def flag_outliers(df: DataFrame, cols: list[str], quantile_method: str = "rank") -> DataFrame:
     """``<col>_is_outlier`` booleans; a null value is not an outlier."""
     b = F.broadcast(_bounds_row(iqr_bounds(df, cols, quantile_method), cols))
@@ -183,7 +194,10 @@ def kde_by_group(df: DataFrame, value: str, group: str, gridsize: int = 200, cut
         (lo + (hi - lo) * F.col("point") / F.lit(float(gridsize - 1))).alias("x"))
     z = (F.col("x") - F.col("__x")) / F.col("bw")
     contrib = F.col("__c") * F.exp(F.lit(-0.5) * z * z)
-    dens = hist.join(F.broadcast(grid), group).groupBy(group, "point", "x", "n", "bw", "share") \
+    # the grid has groups x gridsize rows: broadcast only under a checked bound
+    n_groups = stats.count()
+    grid_side = F.broadcast(grid) if n_groups * gridsize <= MAX_BROADCAST_GRID_ROWS else grid
+    dens = hist.join(grid_side, group).groupBy(group, "point", "x", "n", "bw", "share") \
                .agg(F.sum(contrib).alias("__k"))
     norm = F.lit(1.0 / math.sqrt(2 * math.pi)) / (F.col("n") * F.col("bw"))
     return dens.select(group, "point", "x", (F.col("__k") * norm * F.col("share")).alias("density"))
@@ -195,6 +209,8 @@ def top_decile(df: DataFrame, value: str, method: str = "rank") -> DataFrame:
     return df.crossJoin(q).where(F.col(value) > F.col("__p90")).drop("__p90")
 
 
+MAX_BROADCAST_GRID_ROWS = 1_000_000
+
 QUARTILE_LABELS = ["Q1_low", "Q2", "Q3", "Q4_high"]
 
 

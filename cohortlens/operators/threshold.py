@@ -58,7 +58,7 @@ def threshold_curve(df: DataFrame, keys: list[str] | None = None, y: str = "y_tr
     w = (Window.partitionBy(*keys) if keys else Window).orderBy(F.col("k").desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)   # <= n_thresh rows per key
     c = full.select(*keys, "k", F.sum("pos").over(w).alias("TP"), F.sum("neg").over(w).alias("FP"))
-    c = c.join(F.broadcast(totals), keys, "inner") if keys else c.crossJoin(F.broadcast(totals))
+    c = c.join(totals, keys, "inner") if keys else c.crossJoin(F.broadcast(totals))
     c = c.withColumn("FN", F.col("P") - F.col("TP")).withColumn("TN", F.col("N") - F.col("FP"))
     c = c.select(*keys, "k", grid_threshold(F.col("k"), n_thresh).alias("threshold"),
                  F.col("TP").alias("tp"), F.col("FP").alias("fp"), F.col("FN").alias("fn"), F.col("TN").alias("tn"),

@@ -264,3 +264,26 @@ def perm_importance(spark, sf_dir):
     """Entity-block permutation importance (PR-AUC drop), all features in one job."""
     d = design(spark, sf_dir).withColumn("y", F.coalesce(F.col("headache") == "yes", F.lit(False)).cast("int"))
     return X.permutation_importance(d, SCORER, "y", "id", "rownames", FEATS, SEED)
+
+
+def _ale_all_sql():
+    parts = []
+    for f in ["z_airq", "z_dos"]:
+        for strata in (False, True):
+            parts.append((f, strata, _ale_sql(f, strata)))
+    # each part is a full WITH query; stack them as subqueries
+    return "\nUNION ALL\n".join(
+        f"SELECT '{f}' AS feature, '{'medication' if st else 'none'}' AS strat, * FROM ({b}) t{i}"
+        for i, (f, st, b) in enumerate(parts))
+
+
+@query("ale_all", "feature:string strat:string " + ALE_COLS, _ale_all_sql())
+def ale_all(spark, sf_dir):
+    """ALE for two features, unstratified and stratified by segment, stacked."""
+    d = design(spark, sf_dir)
+    out = None
+    for f in ["z_airq", "z_dos"]:
+        for strat, strata in (("none", None), ("medication", LEVELS)):
+            part = X.ale(d, SCORER, f, strata=strata).select(F.lit(f).alias("feature"), F.lit(strat).alias("strat"), "*")
+            out = part if out is None else out.unionByName(part)
+    return out

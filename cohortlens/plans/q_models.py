@@ -277,3 +277,24 @@ def pipeline_roundtrip(spark, sf_dir):
     a = ML.positive_probability(fitted.transform(test)).select("rownames", "y_prob")
     b = ML.positive_probability(loaded.transform(test)).select("rownames", F.col("y_prob").alias("y_prob_loaded"))
     return a.join(b, "rownames")
+
+
+PREP_MATRIX_SQL = SCORED_SQL + """, tr AS (SELECT * FROM design WHERE split = 'train'),
+  med AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.5) AS med_{c}" for c in NUM) + """ FROM tr),
+  mom AS (SELECT """ + ", ".join(
+    f"avg(coalesce(CAST({c} AS DOUBLE), med_{c})) AS mu_{c}, stddev_pop(coalesce(CAST({c} AS DOUBLE), med_{c})) AS sd_{c}"
+    for c in NUM) + """ FROM tr, med),
+""" + ",\n".join(
+    f"  mode_{c} AS (SELECT CAST({c} AS VARCHAR) AS v FROM tr WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    for c in CAT) + "\nSELECT rownames, " + ", ".join(
+    f"(coalesce(CAST({c} AS DOUBLE), med_{c}) - mu_{c}) / sd_{c} AS num__{c}" for c in NUM) + ", " + ", ".join(
+    f"CAST(coalesce(CAST({c} AS VARCHAR), (SELECT v FROM mode_{c})) = '{lv}' AS DOUBLE) AS cat__{c}_{P.safe_name(lv)}"
+    for c in CAT for lv in ORACLE_LEVELS[c]) + " FROM design, med, mom"
+
+
+@query("prep_matrix", "rownames:bigint " + " ".join(f"num__{c}:double" for c in NUM) + " "
+       + " ".join(f"{c}:double" for c in ONEHOT_COLS), PREP_MATRIX_SQL)
+def prep_matrix(spark, sf_dir):
+    """M4: the full fitted design matrix (numeric then one-hot block) as named columns."""
+    d, params = prepared(spark, sf_dir)
+    return P.with_names(d, params)

@@ -192,3 +192,14 @@ def top_decile(spark, sf_dir):
 def airq_quartile(spark, sf_dir):
     """Exposure quartile bands (type-7 breaks, right-closed, lowest included)."""
     return profile.quartile_band(views.panel(spark, sf_dir), "airq", "airq_quartile")
+
+
+@query("outliers_long", "variable:string rownames:bigint value:double",
+       S.with_(S.PANEL) + BOUNDS_SQL.replace(f"long AS ({_long_sql(NUMERIC, 'panel')})",
+       "long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, rownames, CAST({c} AS DOUBLE) AS value FROM panel" for c in NUMERIC) + ")")
+       + """
+       SELECT l.variable, l.rownames, l.value FROM long l JOIN b ON l.variable = b.variable
+       WHERE l.value < b.lower OR l.value > b.upper""")
+def outliers_long(spark, sf_dir):
+    """Outlier rows of every numeric column in one long table (partition key of the per-variable sink)."""
+    return profile.outliers_long(views.panel(spark, sf_dir), NUMERIC, "rownames")

@@ -188,3 +188,18 @@ def metric_deltas(spark, sf_dir):
     base = long.where(F.col("grp") == "F").drop("grp")
     var = long.where(F.col("grp") == "O").drop("grp")
     return M.metric_deltas(base, var, ["model"])
+
+
+
+@query("union_sections", "section:string model:string roc_auc:double pr_auc:double brier:double ece:double "
+       "tp:bigint tn:bigint fp:bigint fn:bigint precision:double sensitivity:double",
+       BY_GRP_SQL.replace("SELECT cf.model, cf.grp,", "SELECT cf.grp AS section, cf.model,").replace(
+           "ap.pr_auc_trapz, ", ""))
+def union_sections(spark, sf_dir):
+    """Metric tables computed per section and stacked by column name (bag union)."""
+    sl = views.scores_long(spark, sf_dir)
+    out = None
+    for sec in ["F", "O"]:
+        part = M.metrics(sl.where(F.col("grp") == sec), ["model"]).withColumn("section", F.lit(sec))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
