@@ -13,10 +13,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.functions.scalar import hash_int
+from cohortlens.functions.scalar import finite, hash_int
 from cohortlens.operators.metrics import METRIC_NAMES, metric_table, metrics_long, score_histogram
 
 MASK31 = 2147483647
@@ -115,3 +119,66 @@ def bootstrap_summary(reps: DataFrame, point: DataFrame, keys: list[str] | None
         F.percentile("value", F.lit(0.975)).alias("ci95_high"))
     pt = metrics_long(point, keys, names).withColumnRenamed("value", "point")
     return s.join(pt, keys + ["metric"], "left")
+
+
+MAX_CELLS = 1_000_000
+
+
+def multinomial_histogram(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p: str = "y_prob",
+                          n_boot: int = 1000, seed: int = 42, reps_per_task: int = 25,
+                          max_cells: int = MAX_CELLS) -> DataFrame:
+    """B1(a): exact iid resampling of n rows with replacement, per key group, as
+    multinomial counts over the (label, score) cells. Rows are first reduced to
+    cells (map-side combine); the cell table is broadcast only after its size
+    is checked against ``max_cells`` (ValueError above it: use the Poisson
+    method). Replicates are spread over tasks, each seeded by (seed, rep), so
+    the draws do not depend on partitioning."""
+    keys = list(keys or [])
+    spark = df.sparkSession
+    cells = df.where(finite(p) & F.col(y).isNotNull()).groupBy(*keys, F.col(y).cast("int").alias("__y"),
+                                                              F.col(p).cast("double").alias("score")) \
+              .agg(F.count(F.lit(1)).alias("__c"))
+    n_cells = cells.count()
+    if n_cells > max_cells:
+        raise ValueError(f"{n_cells} cells exceed {max_cells}; use the Poisson bootstrap")
+    pdf = cells.toPandas().sort_values(keys + ["__y", "score"]).reset_index(drop=True)   # <= max_cells rows
+    groups = [(k, g) for k, g in (pdf.groupby(keys, sort=True) if keys else [((), pdf)])]
+    bc = spark.sparkContext.broadcast(groups)
+    key_fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*key_fields, T.StructField("rep", T.LongType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("pos", T.DoubleType()), T.StructField("neg", T.DoubleType())])
+
+    def run(batches):
+        grp = bc.value
+        for b in batches:
+            out = []
+            for rep in b["id"].tolist():
+                rng = np.random.default_rng([seed, int(rep)])
+                for k, g in grp:
+                    c = g["__c"].to_numpy()
+                    draw = rng.multinomial(int(c.sum()), c / c.sum())
+                    t = pd.DataFrame({"score": g["score"].to_numpy(), "__y": g["__y"].to_numpy(), "w": draw})
+                    t = t[t["w"] > 0]
+                    t["pos"] = np.where(t["__y"] == 1, t["w"], 0).astype(float)
+                    t["neg"] = np.where(t["__y"] == 0, t["w"], 0).astype(float)
+                    h = t.groupby("score", as_index=False)[["pos", "neg"]].sum()
+                    kt = k if isinstance(k, tuple) else (k,)
+                    for name, val in zip(keys, kt):
+                        h[name] = val
+                    h["rep"] = int(rep)
+                    out.append(h)
+            if out:
+                yield pd.concat(out)[[*keys, "rep", "score", "pos", "neg"]]
+
+    n_tasks = max(1, math.ceil(n_boot / reps_per_task))
+    reps = spark.range(0, n_boot, 1, n_tasks)
+    return reps.mapInPandas(run, schema)
+
+
+def bootstrap_metrics_multinomial(df: DataFrame, keys: list[str] | None = None, y: str = "y_true",
+                                  p: str = "y_prob", n_boot: int = 1000, seed: int = 42, threshold: float = 0.5,
+                                  n_bins: int = 10) -> DataFrame:
+    """B1(a) metrics: one row per (keys, rep)."""
+    keys = list(keys or [])
+    hist = multinomial_histogram(df, keys, y, p, n_boot, seed).persist()
+    return metric_table(hist, keys + ["rep"], threshold, n_bins)

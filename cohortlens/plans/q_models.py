@@ -159,6 +159,27 @@ def fit_gbt(spark, sf_dir):
     return _eval(ML.train_all(train, 0, ["gbt"], seed=SEED), d)
 
 
+@query("fit_gbt_sub", "model:string split:string " + METRIC_COLS)
+def fit_gbt_sub(spark, sf_dir):
+    """M7 (re-aimed): subsampled boosted-tree profile (1000 x depth 4, step 0.05,
+    row and feature subsampling 0.8) standing in for the external boosted-tree library."""
+    d, params = prepared(spark, sf_dir)
+    d = d.cache()
+    train = d.where(F.col("split") == "train")
+    return _eval(ML.train_all(train, 0, ["gbt_sub"], seed=SEED), d)
+
+
+@query("pipeline_score", "rownames:bigint id:bigint y_prob:double")
+def pipeline_score(spark, sf_dir):
+    """Preprocessing stages + logistic model fitted as one Pipeline; scores of the test rows."""
+    d, params = fitted_prep(spark, sf_dir)
+    train = d.where(F.col("split") == "train").cache()
+    n = train.count()
+    pipe = ML.pipeline(P.preprocessor_model(params).stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
+    fitted = pipe.fit(train)
+    return ML.positive_probability(fitted.transform(d.where(F.col("split") == "test"))).select("rownames", "id", "y_prob")
+
+
 @query("tune_logreg", "C:double l1_ratio:double mean_auc:double best:boolean")
 def tune_logreg(spark, sf_dir):
     """4 x 3 grid, 5 entity-grouped folds, exact AUC, best refit."""

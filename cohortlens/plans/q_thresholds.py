@@ -120,3 +120,9 @@ def bootstrap_summary(spark, sf_dir):
     reps = B.bootstrap_metrics(d, ROW_KEY, ["model"], n_boot=N_BOOT, seed=SEED)
     point = M.metrics(d, ["model"])
     return B.bootstrap_summary(reps, point, ["model"])
+
+
+@query("bootstrap_multinomial", BOOT_COLS)
+def bootstrap_multinomial(spark, sf_dir):
+    """B1(a): 1000 exact iid row resamples (multinomial over label/score cells), all ten metrics."""
+    return B.bootstrap_metrics_multinomial(_boot_input(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=SEED)

@@ -48,3 +48,19 @@ def test_stream_metrics_equal_batch(spark, golden_rows):
     q.awaitTermination(120)
     final = got[-1][0]
     assert final["roc_auc"] == pytest.approx(0.7156139124825287, abs=1e-9)
+
+
+def test_multinomial_bootstrap(spark, golden_rows):
+    h = B.multinomial_histogram(golden_rows, [], n_boot=40, seed=3)
+    sizes = {r["rep"]: r["n"] for r in h.groupBy("rep").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()}
+    assert len(sizes) == 40 and set(sizes.values()) == {879.0}
+    again = B.multinomial_histogram(golden_rows.repartition(3), [], n_boot=40, seed=3)
+    a = sorted(tuple(r) for r in h.collect())
+    b = sorted(tuple(r) for r in again.collect())
+    assert a == b
+    reps = B.bootstrap_metrics_multinomial(golden_rows, [], n_boot=60, seed=3).collect()
+    aucs = np.array([r["roc_auc"] for r in reps])
+    assert aucs.mean() == pytest.approx(0.7156, abs=0.02)
+    assert 0.005 < aucs.std() < 0.04
+    with pytest.raises(ValueError):
+        B.multinomial_histogram(golden_rows, [], n_boot=2, max_cells=5)
