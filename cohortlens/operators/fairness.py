@@ -40,9 +40,11 @@ def anova_oneway(rates: DataFrame, group: str, value: str = "mean_target") -> Da
     ssb = sum(r["n"] * (r["m"] - grand) ** 2 for r in rows)
     ssw = sum(r["ss"] for r in rows)
     df1, df2 = k - 1, n - k
-    msb, msw = ssb / df1, ssw / df2
-    f = msb / msw
-    out = [(group, df1, ssb, msb, f, f_sf(f, df1, df2)), ("Residuals", df2, ssw, msw, None, None)]
+    msb = ssb / df1 if df1 > 0 else None
+    msw = ssw / df2 if df2 > 0 else None
+    f = msb / msw if msb is not None and msw else None
+    p = f_sf(f, df1, df2) if f is not None else None
+    out = [(group, df1, ssb, msb, f, p), ("Residuals", df2, ssw, msw, None, None)]
     return rates.sparkSession.createDataFrame(
         out, "term string, df bigint, sum_sq double, mean_sq double, f_value double, p_value double")
 

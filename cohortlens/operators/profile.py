@@ -111,6 +111,14 @@ def median_by_group(df: DataFrame, by: list[str], value: str, method: str = "ran
     return quantiles(df, value, [0.5], by, ["median"], method)
 
 
+def pearson(a, b):
+    """Pairwise-complete Pearson correlation that is null (not an error under ANSI
+    mode, where Spark's ``corr`` divides by zero) when either side is constant."""
+    a_pair = F.when(b.isNotNull(), a)
+    b_pair = F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a_pair) * F.stddev_samp(b_pair))
+
+
 def correlation_matrix(df: DataFrame, cols: list[str], complete_cases: bool = False) -> DataFrame:
     """Pearson correlation per pair (pairwise-complete by default; with
     ``complete_cases`` rows with any null among ``cols`` are dropped first).
@@ -121,7 +129,7 @@ def correlation_matrix(df: DataFrame, cols: list[str], complete_cases: bool = Fa
     aggs = []
     for a in cols:
         for b in cols:
-            aggs.append(F.corr(a, b).alias(f"{a}__{b}"))
+            aggs.append(pearson(F.col(a), F.col(b)).alias(f"{a}__{b}"))
     wide = d.agg(*aggs)
     pairs = [f"{a}__{b}" for a in cols for b in cols]
     long = wide.unpivot([], pairs, "pair", "corr")
@@ -192,14 +200,14 @@ def kde_by_group(df: DataFrame, value: str, group: str, gridsize: int = 200, cut
     grid = stats.crossJoin(idx).select(
         group, "point", "n", "bw", "share",
         (lo + (hi - lo) * F.col("point") / F.lit(float(gridsize - 1))).alias("x"))
-    z = (F.col("x") - F.col("__x")) / F.col("bw")
+    z = F.try_divide(F.col("x") - F.col("__x"), F.col("bw"))   # constant group: bw = 0 -> null density
     contrib = F.col("__c") * F.exp(F.lit(-0.5) * z * z)
     # the grid has groups x gridsize rows: broadcast only under a checked bound
     n_groups = stats.count()
     grid_side = F.broadcast(grid) if n_groups * gridsize <= MAX_BROADCAST_GRID_ROWS else grid
     dens = hist.join(grid_side, group).groupBy(group, "point", "x", "n", "bw", "share") \
                .agg(F.sum(contrib).alias("__k"))
-    norm = F.lit(1.0 / math.sqrt(2 * math.pi)) / (F.col("n") * F.col("bw"))
+    norm = F.try_divide(F.lit(1.0 / math.sqrt(2 * math.pi)), F.col("n") * F.col("bw"))
     return dens.select(group, "point", "x", (F.col("__k") * norm * F.col("share")).alias("density"))
 
 
