@@ -24,14 +24,19 @@ def categorical_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]) \
              .unpivot([], cols, "variable", "category")
     g = long.groupBy("variable", "category").agg(F.count(F.lit(1)).alias("frequency"))
-    total = F.sum("frequency").over(Window.partitionBy("variable"))  # window over the small grouped table
-    return g.withColumn("percentage", F.bround(F.col("frequency") / total * F.lit(100.0), 2))
+    # totals per variable (one row each) joined back: no window holding all
+    # categories of a variable in one task
+    tot = g.groupBy("variable").agg(F.sum("frequency").alias("__total"))
+    return g.join(F.broadcast(tot), "variable").withColumn(
+        "percentage", F.bround(F.col("frequency") / F.col("__total") * F.lit(100.0), 2)).drop("__total")
 
 
 def prevalence(df: DataFrame, target: str) -> DataFrame:
     """A2: (target value, n, percentage)."""
     g = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("percentage", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100.0, 2))
+    tot = g.agg(F.sum("n").alias("__total"))   # one row
+    return g.crossJoin(F.broadcast(tot)).withColumn(
+        "percentage", F.bround(F.col("n") / F.col("__total") * 100.0, 2)).drop("__total")
 
 
 def numeric_summary(df: DataFrame, cols: list[str], quantile_method: str = "rank") -> DataFrame:
@@ -191,9 +196,10 @@ def kde_by_group(df: DataFrame, value: str, group: str, gridsize: int = 200, cut
     hist = d.groupBy(group, "__x").agg(F.count(F.lit(1)).alias("__c"))
     stats = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("__x").alias("sd"),
                                  F.min("__x").alias("vmin"), F.max("__x").alias("vmax"))
-    total = F.sum("n").over(Window.partitionBy())
-    stats = stats.withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))) \
-                 .withColumn("share", F.col("n") / total)
+    total = stats.agg(F.sum("n").alias("__total"))   # one row
+    stats = stats.crossJoin(F.broadcast(total)) \
+                 .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))) \
+                 .withColumn("share", F.col("n") / F.col("__total")).drop("__total")
     idx = spark.range(gridsize).select(F.col("id").alias("point"))
     lo = F.col("vmin") - F.lit(cut) * F.col("bw")
     hi = F.col("vmax") + F.lit(cut) * F.col("bw")
