@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.scalar import finite, hash_int
-from cohortlens.operators.metrics import METRIC_NAMES, metric_table, metrics_long, score_histogram
+from cohortlens.operators.metrics import METRIC_NAMES, metric_table, metrics_long
+from cohortlens.operators.prefix import running_sums_auto
 
 MASK31 = 2147483647
 POISSON_KMAX = 15
@@ -80,23 +81,45 @@ def replicate_uniform(row_hash: Column, rep: Column) -> Column:
 
 
 def poisson_weight(u: Column, kmax: int = POISSON_KMAX) -> Column:
-    """Inverse CDF of Poisson(1): number of CDF steps at or below u."""
-    return sum((u >= F.lit(c)).cast("int") for c in poisson1_cdf(kmax)[:-1])
+    """Inverse CDF of Poisson(1): the number of CDF steps at or below u, written as
+    a CASE chain so most rows stop after one or two comparisons."""
+    cdf = poisson1_cdf(kmax)[:-1]
+    expr = F.when(u < F.lit(cdf[0]), F.lit(0))
+    for k, c in enumerate(cdf[1:], start=1):
+        expr = expr.when(u < F.lit(c), F.lit(k))
+    return expr.otherwise(F.lit(len(cdf)))
 
 
 def replicate_histogram(df: DataFrame, row_key: list[str], keys: list[str] | None = None,
                         y: str = "y_true", p: str = "y_prob", n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys..., rep, score, pos, neg) with Poisson(1) replicate weights."""
+    """(keys..., rep, score, pos, neg) with Poisson(1) replicate weights.
+
+    Key columns are replaced by a dense integer id before the expansion (the
+    id table has one row per key group), so the per-(row, replicate) aggregate
+    hashes only integers and a double; labels are summed as integer weights
+    per (id, rep, label, score) and turned into pos/neg on the reduced table."""
     keys = list(keys or [])
     h = hash_int(F.lit(seed), *[F.col(c) for c in row_key])
-    d = df.select(*keys, y, p, h.alias("__h"))
+    d = df.where(finite(p) & F.col(y).isNotNull()) \
+          .select(*keys, F.col(y).cast("int").alias("__y"), F.col(p).cast("double").alias("score"), h.alias("__h"))
+    if keys:
+        kid = running_sums_auto(d.select(*keys).distinct(), [], [F.col(k) for k in keys],
+                                {"__kid": F.lit(1).cast("bigint")}, inclusive=True)
+        d = d.join(kid, keys, "inner").drop(*keys)
+    else:
+        d = d.withColumn("__kid", F.lit(1).cast("bigint"))
     x = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     x = replicate_uniform_columns(x, "__h", "rep")
+    x = x.withColumn("__w", poisson_weight(F.col("__u")))
     # Zero weights are dropped after the aggregate, not before: a filter here
     # would be pushed below the hashing projections and inline them.
-    x = x.withColumn("__w", poisson_weight(F.col("__u")))
-    h = score_histogram(x, keys + ["rep"], y, p, weight="__w")
-    return h.where((F.col("pos") + F.col("neg")) > 0)
+    cells = x.groupBy("__kid", "rep", "__y", "score").agg(F.sum("__w").alias("__w"))
+    hist = cells.where(F.col("__w") > 0).groupBy("__kid", "rep", "score").agg(
+        F.sum(F.when(F.col("__y") == 1, F.col("__w")).otherwise(0)).cast("double").alias("pos"),
+        F.sum(F.when(F.col("__y") == 0, F.col("__w")).otherwise(0)).cast("double").alias("neg"))
+    if keys:
+        return hist.join(kid.select(*keys, "__kid"), "__kid", "inner").drop("__kid")
+    return hist.drop("__kid")
 
 
 def bootstrap_metrics(df: DataFrame, row_key: list[str], keys: list[str] | None = None, y: str = "y_true",
