@@ -134,21 +134,33 @@ def fit_logistic(df: DataFrame, xnames: list[str], terms: list[str], y: str, fir
     x = [x_all[j] for j in kept]
     beta = np.zeros(len(kept))
     converged, it = False, 0
+    prev = None   # (beta, objective, step) of the last accepted iterate
+    halvings = 0
     for it in range(1, max_iter + 1):
         G, s, dev, _ = _gram_pass(d, x, F.col(y), beta)
-        M = np.linalg.inv(G)
+        sign, logdet = np.linalg.slogdet(G)
+        # objective: deviance, minus log|X'WX| for the Jeffreys-penalised (Firth) fit
+        obj = dev - (logdet if (firth and sign > 0) else 0.0)
+        if prev is not None and obj > prev[1] + 1e-9 * (1.0 + abs(prev[1])) and halvings < 20:
+            halvings += 1                      # step-halving: retreat towards the last iterate
+            half = prev[2] / (2.0 ** halvings)
+            beta = prev[0] + half
+            continue
+        halvings = 0
+        M = np.linalg.pinv(G)
         if firth:
             mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-_eta(x, beta)))
             h = mu * (F.lit(1.0) - mu) * _quad(x, M)
             _, s, _, _ = _gram_pass(d, x, F.col(y), beta, extra=h)
         step = M @ s
+        prev = (beta.copy(), obj, step)
         beta = beta + step
         if np.max(np.abs(step)) < tol:
             converged = True
             break
     G, _, _, _ = _gram_pass(d, x, F.col(y), beta)
     d.unpersist()
-    return GlmFit(list(terms), kept, beta, np.linalg.inv(G), it, converged, n)
+    return GlmFit(list(terms), kept, beta, np.linalg.pinv(G), it, converged, n)
 
 
 def _score_table(df: DataFrame, fit: GlmFit, xnames: list[str], y: str, cluster: str, with_gram: bool):

@@ -97,3 +97,13 @@ def test_factor_with_one_level_raises(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0)], "g string, y int")
     with pytest.raises(ValueError):
         glm.treatment_design(df, [("g", None)], [])
+
+
+def test_separation_firth_finite(spark):
+    rows = [(float(x), int(x > 0)) for x in [-3, -2, -1.5, -1, -0.5, 0.5, 1, 1.5, 2, 3]]
+    df = spark.createDataFrame(rows, "x double, y int")
+    dm, xn, terms = glm.treatment_design(df, [], ["x"])
+    firth = glm.fit_logistic(dm, xn, terms, "y", firth=True)
+    assert firth.converged and np.all(np.isfinite(firth.beta)) and abs(firth.beta[1]) < 20
+    plain = glm.fit_logistic(dm, xn, terms, "y", max_iter=30)
+    assert np.all(np.isfinite(plain.beta))

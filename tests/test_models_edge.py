@@ -94,3 +94,19 @@ def test_sinks_per_variable(spark):
     small = os.path.join(tempfile.mkdtemp(prefix="cl-sink-"), "csv")
     sinks.write_table(df, small, fmt="csv", small=True)
     assert len([f for f in os.listdir(small) if f.endswith(".csv")]) == 1
+
+
+def test_csv_scan_with_schema_and_column_reread(spark):
+    from cohortlens.sources import readers
+    d = tempfile.mkdtemp(prefix="cl-csv-")
+    path = os.path.join(d, "raw.csv")
+    with open(path, "w") as f:
+        f.write("rownames,id,time,dos,hatype,age,airq,medication,headache,sex\n")
+        f.write("1,1,-5,98,Aura,30,12.5,continuing,yes,female\n")
+        f.write("2,1,3,120,Aura,30,,reduced,no,female\n")
+    df = readers.load_csv(spark, path)
+    assert df.schema == readers.RAW_PANEL_SCHEMA
+    rows = df.collect()
+    assert rows[1]["airq"] is None and rows[0]["time"] == -5
+    cols = readers.load_columns(spark, path, ["id", "headache"], fmt="csv").collect()
+    assert [tuple(r) for r in cols] == [(1, "yes"), (1, "no")]
