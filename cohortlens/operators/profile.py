@@ -173,14 +173,15 @@ def box_stats(df: DataFrame, value: str, by: list[str], quantile_method: str = "
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("__lo", F.col("q1") - 1.5 * iqr).withColumn("__hi", F.col("q3") + 1.5 * iqr)
     x = F.col(value).cast("double")
-    j = df.select(*by, x.alias("__x")).where(F.col("__x").isNotNull()).join(q, by)
+    rows = df.select(*by, x.alias("__x")).where(F.col("__x").isNotNull())
+    j = rows.join(q, by) if by else rows.crossJoin(F.broadcast(q))   # overall: one row of statistics
     inside = (F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))
     s = j.groupBy(*by).agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("__x"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"),
         F.count(F.lit(1)).alias("n"))
-    return q.drop("__lo", "__hi").join(s, by)
+    return q.drop("__lo", "__hi").join(s, by) if by else q.drop("__lo", "__hi").crossJoin(s)
 
 
 def kde_by_group(df: DataFrame, value: str, group: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:

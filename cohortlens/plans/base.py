@@ -47,7 +47,7 @@ def finalize(df: DataFrame, out: list[tuple[str, str]]) -> DataFrame:
             # Nudge before rounding so exact ties (common for averages of
             # decimal data) land on the same side in both engines despite
             # last-bit differences in summation order.
-            c = F.round(c + F.lit(ROUND_NUDGE), 6)
+            c = F.round(c + F.lit(ROUND_NUDGE), 6) + F.lit(0.0)   # + 0.0 turns -0.0 into 0.0
         exprs.append(c.alias(name))
     return df.select(*exprs)
 
@@ -57,7 +57,7 @@ def wrap_sql(sql: str, out: list[tuple[str, str]]) -> str:
     for name, typ in out:
         c = f'CAST("{name}" AS {_SQL_TYPES[typ]})'
         if typ == "double":
-            c = f"round({c} + {ROUND_NUDGE!r}, 6)"
+            c = f"(round({c} + {ROUND_NUDGE!r}, 6) + 0.0)"
         cols.append(f'{c} AS "{name}"')
     return f"SELECT {', '.join(cols)} FROM (\n{sql}\n) AS q"
 

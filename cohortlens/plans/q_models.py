@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import uuid
 
@@ -95,8 +94,7 @@ def _n_train(d):
     return d.where(F.col("split") == "train").count()
 
 
-@functools.lru_cache(maxsize=4)
-def _fit_logreg_cached(spark, sf_dir):
+def _fit_logreg(spark, sf_dir):
     d, params = prepared(spark, sf_dir)
     d = d.cache()
     train = d.where(F.col("split") == "train")
@@ -112,7 +110,7 @@ LOGREG_L1 = ML.LOGREG["l1_ratio"]
 @query("fit_logreg", "term:string estimate:double")
 def fit_logreg(spark, sf_dir):
     """M5: elastic-net logistic regression (l1_ratio 0.25, C 1) on the training split."""
-    d, params, model = _fit_logreg_cached(spark, sf_dir)
+    d, params, model = _fit_logreg(spark, sf_dir)
     return ML.coefficient_table(spark, model, params.feature_names())
 
 
@@ -133,7 +131,7 @@ def _eval(models: dict, d, splits=("valid", "test")):
 @query("score_rows", "rownames:bigint id:bigint y_prob:double")
 def score_rows(spark, sf_dir):
     """P(event) for the test rows from the fitted logistic model."""
-    d, params, model = _fit_logreg_cached(spark, sf_dir)
+    d, params, model = _fit_logreg(spark, sf_dir)
     return ML.positive_probability(model.transform(d.where(F.col("split") == "test")))
 
 
@@ -224,7 +222,7 @@ def oof_scores(spark, sf_dir):
 def calib_metrics(spark, sf_dir):
     """K2-K6: uncalibrated vs isotonic vs sigmoid calibration on the test split
     (calibrators fit on out-of-fold training scores)."""
-    d, params, model = _fit_logreg_cached(spark, sf_dir)
+    d, params, model = _fit_logreg(spark, sf_dir)
     train = d.where(F.col("split") == "train")
     n = train.count()
     oof = K.oof_scores(train, lambda: ML.logistic(int(n * 0.8), LOGREG_C, LOGREG_L1), 5).cache()

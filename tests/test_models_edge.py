@@ -110,3 +110,15 @@ def test_csv_scan_with_schema_and_column_reread(spark):
     assert rows[1]["airq"] is None and rows[0]["time"] == -5
     cols = readers.load_columns(spark, path, ["id", "headache"], fmt="csv").collect()
     assert [tuple(r) for r in cols] == [(1, "yes"), (1, "no")]
+
+
+def test_box_stats_overall_and_semi_join(spark):
+    from cohortlens.operators import clean
+    vals = [1.0, 2.0, 3.0, 4.0, 100.0]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(vals)], "x double, g int")
+    r = profile.box_stats(df, "x", []).first()
+    q1, q3 = np.percentile(vals, [25, 75])
+    assert (r["q1"], r["q3"]) == (q1, q3)
+    assert r["whisker_hi"] == 4.0 and r["n_outliers"] == 1 and r["n"] == 5
+    keys = spark.createDataFrame([(1,)], "g int")
+    assert clean.semi_join(df, keys, ["g"]).count() == 2
