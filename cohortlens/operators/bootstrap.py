@@ -124,11 +124,14 @@ def replicate_histogram(df: DataFrame, row_key: list[str], keys: list[str] | Non
 
 def bootstrap_metrics(df: DataFrame, row_key: list[str], keys: list[str] | None = None, y: str = "y_true",
                       p: str = "y_prob", n_boot: int = 1000, seed: int = 42, threshold: float = 0.5,
-                      n_bins: int = 10) -> DataFrame:
-    """B1: one metric row per (keys, rep)."""
+                      n_bins: int = 10, strict: bool = False) -> DataFrame:
+    """B1: one metric row per (keys, rep). ``row_key`` is the resampling unit:
+    the row key resamples rows (as the reference does); passing the entity id
+    gives every row of an entity the same weight (a cluster bootstrap).
+    ``strict`` predicts positive with score > threshold."""
     keys = list(keys or [])
     hist = replicate_histogram(df, row_key, keys, y, p, n_boot, seed).persist()
-    return metric_table(hist, keys + ["rep"], threshold, n_bins)
+    return metric_table(hist, keys + ["rep"], threshold, n_bins, strict=strict)
 
 
 def bootstrap_summary(reps: DataFrame, point: DataFrame, keys: list[str] | None = None,

@@ -87,20 +87,23 @@ def reliability_bin(p: Column, n_bins: int = 10) -> Column:
 
 
 def metric_table(hist: DataFrame, keys: list[str] | None = None, threshold: float = 0.5,
-                 n_bins: int = 10, closed_last: bool = False, curve: DataFrame | None = None) -> DataFrame:
+                 n_bins: int = 10, closed_last: bool = False, curve: DataFrame | None = None,
+                 strict: bool = False) -> DataFrame:
     """One row per key group with roc_auc, pr_auc, brier, ece, tp, tn, fp, fn,
-    precision, sensitivity - all from the histogram."""
+    precision, sensitivity - all from the histogram. Predicted positive is
+    score >= threshold (``strict``: score > threshold, the bootstrap's rule in the reference)."""
     keys = list(keys or [])
     curve = curve if curve is not None else curve_table(hist, keys)
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     n = pos + neg
     thr = F.lit(float(threshold))
+    pred = (s > thr) if strict else (s >= thr)
     base = hist.groupBy(*keys).agg(
         _div(F.sum(pos * (F.lit(1.0) - s) * (F.lit(1.0) - s) + neg * s * s), F.sum(n)).alias("brier"),
-        F.sum(F.when(s >= thr, pos).otherwise(0.0)).alias("tp"),
-        F.sum(F.when(s >= thr, neg).otherwise(0.0)).alias("fp"),
-        F.sum(F.when(s < thr, pos).otherwise(0.0)).alias("fn"),
-        F.sum(F.when(s < thr, neg).otherwise(0.0)).alias("tn"),
+        F.sum(F.when(pred, pos).otherwise(0.0)).alias("tp"),
+        F.sum(F.when(pred, neg).otherwise(0.0)).alias("fp"),
+        F.sum(F.when(~pred, pos).otherwise(0.0)).alias("fn"),
+        F.sum(F.when(~pred, neg).otherwise(0.0)).alias("tn"),
         F.sum(n).alias("__n"))
     b = hist.withColumn("__bin", ece_bin(s, n_bins, closed_last)).where(F.col("__bin").isNotNull()) \
         .groupBy(*keys, "__bin").agg(F.sum(n).alias("__nb"), F.sum(s * n).alias("__sp"), F.sum(pos).alias("__sy"))
@@ -118,10 +121,11 @@ def metric_table(hist: DataFrame, keys: list[str] | None = None, threshold: floa
 
 
 def metrics(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p: str = "y_prob",
-            threshold: float = 0.5, n_bins: int = 10, closed_last: bool = False, weight: str | None = None) -> DataFrame:
-    """E8 from scored rows: ``compute_metrics``/``metrics_from_probs`` for every key group."""
+            threshold: float = 0.5, n_bins: int = 10, closed_last: bool = False, weight: str | None = None,
+            strict: bool = False) -> DataFrame:
+    """E8 from scored rows: the full metric row for every key group."""
     hist = score_histogram(df, keys, y, p, weight).persist()
-    return metric_table(hist, keys, threshold, n_bins, closed_last)
+    return metric_table(hist, keys, threshold, n_bins, closed_last, strict=strict)
 
 
 def confusion(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p: str = "y_prob",

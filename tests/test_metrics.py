@@ -115,3 +115,11 @@ def test_threshold_curve_brute_force(spark):
         assert cur[k]["threshold"] == thr[k]
     sens = [cur[k]["Sens"] for k in range(1001)]
     assert all(a >= b for a, b in zip(sens, sens[1:]))
+
+
+def test_strict_threshold_rule(spark):
+    df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.7)], "y_true int, y_prob double")
+    a = M.metrics(df).first()
+    b = M.metrics(df, strict=True).first()
+    assert (a["tp"], a["fp"]) == (2, 1)
+    assert (b["tp"], b["fp"]) == (1, 0)
