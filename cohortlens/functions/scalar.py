@@ -101,3 +101,20 @@ def hash_int(*parts) -> Column:
 
 def round6(c) -> Column:
     return F.round(_c(c), 6)
+
+
+def equal_width_bin(x, vmin, vmax, bins: int) -> Column:
+    """Index of x among ``bins`` equal-width bins from vmin to vmax, last bin closed,
+    with the same edge corrections as NumPy's uniform-bin histogram: a first
+    guess from (x - min) * (bins / width), then moved down/up by comparing with
+    the explicit edges min + k * (width / bins) (the last edge is max)."""
+    x, lo, hi = _c(x), _c(vmin), _c(vmax)
+    width = hi - lo
+    guess = F.floor((x - lo) * (F.lit(float(bins)) / width)).cast("bigint")
+    guess = F.when(guess >= bins, F.lit(bins - 1)).otherwise(guess)
+
+    def edge(k):
+        return F.when(k >= bins, hi).otherwise(lo + k.cast("double") * (width / F.lit(float(bins))))
+    down = F.when(x < edge(guess), guess - 1).otherwise(guess)
+    up = F.when((down != bins - 1) & (x >= edge(down + 1)), down + 1).otherwise(down)
+    return F.when(width == 0, F.lit(0).cast("bigint")).otherwise(up)

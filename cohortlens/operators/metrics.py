@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalar import finite
+from cohortlens.functions.scalar import equal_width_bin, finite
 from cohortlens.operators.prefix import running_sums_auto
 
 METRIC_NAMES = ["roc_auc", "pr_auc", "brier", "ece", "tp", "tn", "fp", "fn", "precision", "sensitivity"]
@@ -181,9 +181,7 @@ def class_score_histogram(df: DataFrame, keys: list[str] | None = None, y: str =
     keys = list(keys or []) + [y]
     d = df.where(finite(p) & F.col(y).isNotNull()).select(*keys, F.col(p).cast("double").alias("__x"))
     rng = d.groupBy(*keys).agg(F.min("__x").alias("vmin"), F.max("__x").alias("vmax"))
-    width = F.col("vmax") - F.col("vmin")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("__x") - F.col("vmin")) / width * F.lit(float(bins))), F.lit(bins - 1))).cast("bigint")
+    b = equal_width_bin("__x", "vmin", "vmax", bins)
     return d.join(rng, keys).withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.scalar import equal_width_bin
 from cohortlens.operators.quantile import long_quantiles, quantiles
 
 
@@ -149,10 +150,8 @@ def equal_width_histogram(df: DataFrame, cols: list[str], bins: int = 20) -> Dat
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "variable", "value") \
              .where(F.col("value").isNotNull() & ~F.isnan("value"))
     rng = long.groupBy("variable").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-    width = (F.col("vmax") - F.col("vmin"))
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("value") - F.col("vmin")) / width * F.lit(float(bins))), F.lit(bins - 1)))
-    h = long.join(F.broadcast(rng), "variable").withColumn("bin", b.cast("bigint")) \
+    b = equal_width_bin("value", "vmin", "vmax", bins)
+    h = long.join(F.broadcast(rng), "variable").withColumn("bin", b) \
             .groupBy("variable", "bin", "vmin", "vmax").agg(F.count(F.lit(1)).alias("count"))
     step = (F.col("vmax") - F.col("vmin")) / F.lit(float(bins))
     return h.select("variable", "bin", (F.col("vmin") + F.col("bin") * step).alias("lo"),

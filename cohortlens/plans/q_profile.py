@@ -128,7 +128,7 @@ def corr_complete(spark, sf_dir):
        S.with_(S.PANEL) + f""", long AS (SELECT * FROM ({_long_sql(['airq', 'dos'], 'panel')}) t WHERE value IS NOT NULL),
        r AS (SELECT variable, min(value) AS vmin, max(value) AS vmax FROM long GROUP BY variable),
        h AS (SELECT l.variable, r.vmin, r.vmax,
-                    CAST(CASE WHEN r.vmax = r.vmin THEN 0 ELSE least(floor((l.value - r.vmin) / (r.vmax - r.vmin) * 20.0), 19) END AS BIGINT) AS bin
+                    {S.equal_width_bin_sql('l.value', 'r.vmin', 'r.vmax', 20)} AS bin
              FROM long l JOIN r ON l.variable = r.variable)
        SELECT variable, bin, vmin + bin * ((vmax - vmin) / 20.0) AS lo, vmin + (bin + 1) * ((vmax - vmin) / 20.0) AS hi,
               count(*) AS count FROM h GROUP BY variable, bin, vmin, vmax""")

@@ -97,7 +97,7 @@ def metrics_all(spark, sf_dir):
 
 @query("score_hist", "model:string y_true:bigint bin:bigint count:bigint", SL + """,
   r AS (SELECT model, y_true, min(y_prob) AS vmin, max(y_prob) AS vmax FROM scores_long GROUP BY model, y_true)
-  SELECT s.model, s.y_true, CAST(CASE WHEN r.vmax = r.vmin THEN 0 ELSE least(floor((s.y_prob - r.vmin) / (r.vmax - r.vmin) * 20.0), 19) END AS BIGINT) AS bin,
+  SELECT s.model, s.y_true, """ + S.equal_width_bin_sql("s.y_prob", "r.vmin", "r.vmax", 20) + """ AS bin,
          count(*) AS count FROM scores_long s JOIN r ON s.model = r.model AND s.y_true = r.y_true GROUP BY ALL""")
 def score_hist(spark, sf_dir):
     """Class-conditional score histograms (20 bins per class)."""

@@ -109,3 +109,16 @@ def mix31_sql(x: str) -> str:
     c = f"xor({b}, ({b}) >> 12)"
     d = f"(({c}) * 695872825) & 2147483647"
     return f"xor({d}, ({d}) >> 15)"
+
+
+
+def equal_width_bin_sql(x: str, lo: str, hi: str, bins: int = 20) -> str:
+    """DuckDB form of ``scalar.equal_width_bin`` (NumPy's uniform-bin rule)."""
+    g0 = f"CAST(floor(({x} - {lo}) * ({float(bins)!r} / ({hi} - {lo}))) AS BIGINT)"
+    g = f"(CASE WHEN {g0} >= {bins} THEN {bins - 1} ELSE {g0} END)"
+
+    def edge(k):
+        return f"(CASE WHEN ({k}) >= {bins} THEN {hi} ELSE {lo} + CAST({k} AS DOUBLE) * (({hi} - {lo}) / {float(bins)!r}) END)"
+    down = f"(CASE WHEN {x} < {edge(g)} THEN {g} - 1 ELSE {g} END)"
+    up = f"(CASE WHEN {down} <> {bins - 1} AND {x} >= {edge(down + ' + 1')} THEN {down} + 1 ELSE {down} END)"
+    return f"CAST(CASE WHEN {hi} = {lo} THEN 0 ELSE {up} END AS BIGINT)"

@@ -123,3 +123,14 @@ def test_strict_threshold_rule(spark):
     b = M.metrics(df, strict=True).first()
     assert (a["tp"], a["fp"]) == (2, 1)
     assert (b["tp"], b["fp"]) == (1, 0)
+
+
+def test_equal_width_bins_match_numpy(spark):
+    from cohortlens.operators import profile
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.random(500) * 7.3 - 1.1, [-1.1, 6.2]])
+    x = np.concatenate([x, np.linspace(x.min(), x.max(), 21)])     # values exactly on the edges
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = {r["bin"]: r["count"] for r in profile.equal_width_histogram(df, ["x"], 20).collect()}
+    counts, _ = np.histogram(x, bins=20)
+    assert [got.get(i, 0) for i in range(20)] == list(counts)
