@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import ship_package
+
 ROUND_NUDGE = 1e-10
 _SPARK_TYPES = {"bigint": "bigint", "double": "double", "string": "string", "boolean": "boolean", "date": "date"}
 _SQL_TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
@@ -71,6 +73,7 @@ def query(name: str, out: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
+            ship_package(spark)
             return finalize(_fn(spark, sf_dir), cols)
 
         run.__name__ = f"q_{name}"
