@@ -223,7 +223,35 @@ def shap_row(spark, sf_dir):
     return X.linear_shap(d, SCORER, ["rownames"]).join(F.broadcast(first), "rownames")
 
 
-@query("shap_sampled", "rownames:bigint feature:string phi:double base:double")
+def _shap_exact_sql(n_background: int = 200) -> str:
+    import itertools
+    import math
+    p = len(FEATS)
+    b0 = float(SCORER.beta("intercept"))
+    coal = list(itertools.product([0, 1], repeat=p))
+    h = "CAST('0x' || substr(md5(concat_ws('|', '42', CAST(rownames AS VARCHAR))), 1, 7) AS BIGINT)"
+
+    def eta(c):
+        terms = [repr(b0)] + [f"{float(SCORER.beta(f))!r} * {'d' if c[j] else 'bg'}.{f}" for j, f in enumerate(FEATS)]
+        return " + ".join(terms)
+    vcols = ", ".join(f"avg(1.0 / (1.0 + exp(-({eta(c)})))) AS v_{''.join(map(str, c))}" for c in coal)
+    w = {k: math.factorial(k) * math.factorial(p - k - 1) / math.factorial(p) for k in range(p)}
+    parts = []
+    for j, f in enumerate(FEATS):
+        terms = []
+        for c in coal:
+            if c[j] == 0:
+                cj = tuple(1 if i == j else c[i] for i in range(p))
+                terms.append(f"{w[sum(c)]!r} * (v_{''.join(map(str, cj))} - v_{''.join(map(str, c))})")
+        parts.append(f"SELECT rownames, '{f}' AS feature, {' + '.join(terms)} AS phi FROM v")
+    base_eta = " + ".join([repr(b0)] + [f"{float(SCORER.beta(f))!r} * {f}" for f in FEATS])
+    return D + f""", bg AS (SELECT {', '.join(FEATS)} FROM design ORDER BY {h}, {', '.join(FEATS)} LIMIT {n_background}),
+  base AS (SELECT avg(1.0 / (1.0 + exp(-({base_eta})))) AS base FROM bg),
+  v AS (SELECT d.rownames, {vcols} FROM design d, bg GROUP BY d.rownames)
+SELECT s.rownames, s.feature, s.phi, base.base FROM ({' UNION ALL '.join(parts)}) s, base"""
+
+
+@query("shap_sampled", "rownames:bigint feature:string phi:double base:double", _shap_exact_sql(200))
 def shap_sampled(spark, sf_dir):
     """Probability-scale Shapley values against a 200-row hashed background
     sample, all coalitions evaluated per partition in numpy (mapInPandas)."""

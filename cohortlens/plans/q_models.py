@@ -80,7 +80,11 @@ def prep_onehot(spark, sf_dir):
     return P.transform(d, params)
 
 
-@query("feature_names", "position:bigint name:string")
+FEATURE_NAMES_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{n}')" for i, n in enumerate([f"num__{c}" for c in NUM] + ONEHOT_COLS)) + ") t(position, name)"
+
+
+@query("feature_names", "position:bigint name:string", FEATURE_NAMES_SQL)
 def feature_names(spark, sf_dir):
     """Fitted feature names in matrix order, recovered from the assembled vector."""
     d, params = prepared(spark, sf_dir)
