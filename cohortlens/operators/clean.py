@@ -14,7 +14,7 @@ def normalise_names(df: DataFrame) -> DataFrame:
 
 
 def basic_cleaning(df: DataFrame, target: str = "target_num") -> DataFrame:
-    """Normalise names, drop exact duplicate rows, drop rows with a null
+    """P3-P5 (P3 names, P4 full-row de-duplication, P5 null target): normalise names, drop exact duplicate rows, drop rows with a null
     target when that column exists."""
     df = normalise_names(df).dropDuplicates()
     if target in df.columns:

@@ -104,7 +104,7 @@ def grid_points(df: DataFrame, feature: str, n: int = 25) -> DataFrame:
 
 
 def ice_numeric(df: DataFrame, scorer: Scorer, feature: str, keep: list[str], n: int = 25) -> DataFrame:
-    """Each row's prediction at every grid value of ``feature``."""
+    """Each row's prediction at every grid value of ``feature`` (rows x broadcast grid)."""
     g = F.broadcast(grid_points(df, feature, n))   # n rows
     return df.select(*keep, *scorer.features).crossJoin(g) \
              .select(*keep, "point", "x", scorer.score({feature: F.col("x")}).alias("ice"))
@@ -147,7 +147,7 @@ def sensitivity_table(measures: dict[str, DataFrame], extra: DataFrame, id_col:
 
 def ale(df: DataFrame, scorer: Scorer, feature: str, bins: int = 20, strata: list[str] | None = None,
         min_rows: int = 10, mode: str = "reference") -> DataFrame:
-    """Accumulated local effects with type-7 quantile edges (21 edges ->
+    """Accumulated local effects with type-7 quantile edges (21 edges ->
     20 bins [q_b, q_b+1); the maximum falls in no bin). Per bin the in-bin
     rows' prediction differences between the upper and lower edge are summed
     and divided by all rows N (``mode="reference"``) or the bin count

@@ -30,7 +30,7 @@ def add_phase(df: DataFrame, time: str = "time") -> DataFrame:
 
 
 def add_study_date_features(df: DataFrame, dos: str = "dos") -> DataFrame:
-    """study_date, study_month, study_season."""
+    """study_date (T2), study_month (T3), study_season (T4)."""
     return (df.withColumn("study_date", scalar.study_date(dos))
               .withColumn("study_month", F.month("study_date"))
               .withColumn("study_season", scalar.season_of(F.col("study_month"))))
@@ -61,12 +61,12 @@ def max_entity_rows(df: DataFrame, id_col: str = "id") -> int:
 def history_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, strategy: str = "auto",
                      value: str = "airq", events: str | None = None,
                      max_rows_per_task: int = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
-    """W1-W4.
+    """W1-W4 (O1: W4 orders by the multi-key (time, row key)).
 
     days_since_first_visit = dos - min(dos) per entity (W1)
     visit_number           = running count in row order (W2)
     <value>_prev_mean      = mean of earlier non-null values, null on the first row (W3)
-    prev_attacks           = earlier events ordered by (time, row key), 0 when none (W4)
+    prev_attacks           = earlier events ordered by (time, row key), 0 when none (W4; O1 multi-key order)
     """
     events = events or spec.target_num
     if strategy == "auto":

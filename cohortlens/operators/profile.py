@@ -21,7 +21,7 @@ from cohortlens.operators.quantile import long_quantiles, quantiles
 
 def categorical_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """A1: (variable, category, frequency, percentage) with nulls kept as a category;
-    percentage = count / total * 100 rounded half-even to 2 places."""
+    percentage = count / total * 100 rounded half-even to 2 places (T10)."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]) \
              .unpivot([], cols, "variable", "category")
     g = long.groupBy("variable", "category").agg(F.count(F.lit(1)).alias("frequency"))

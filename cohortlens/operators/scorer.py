@@ -25,5 +25,5 @@ def logit_score(coefs: dict[str, float], intercept_key: str = "intercept") -> Co
 
 
 def attach_scores(panel: DataFrame, scores: DataFrame, key: str = "rownames", score_col: str = "y_prob") -> DataFrame:
-    """Keyed left join; rows without a score get null (never positional)."""
+    """Keyed left join; rows without a score get null (never positional)."""
     return panel.join(scores.select(key, score_col), key, "left")

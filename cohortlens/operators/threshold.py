@@ -84,7 +84,7 @@ def cost_pairs(spark, c_fp_range=C_FP_RANGE, c_fn_range=C_FN_RANGE) -> DataFrame
 
 def optimize_grid(curve: DataFrame, keys: list[str] | None = None, sens_min: float = SENS_MIN,
                   c_fp_range=C_FP_RANGE, c_fn_range=C_FN_RANGE, cost_norm: bool = False) -> DataFrame:
-    """H3/H4: best threshold per cost pair. Among thresholds with Sens >= sens_min:
+    """Best threshold per cost pair (curve x 100 broadcast cost pairs, row_number per pair). Among thresholds with Sens >= sens_min:
     lowest Cost, then highest Youden, then the first threshold; if none qualifies:
     highest Sens, then Youden, then the first. ``rank`` orders the result by
     (Cost asc, Youden desc, generation order); rank 1 is the global best (O3).
