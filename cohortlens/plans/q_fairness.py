@@ -125,7 +125,7 @@ def fairness_all(spark, sf_dir):
 
 @query("fairness_metrics", FAIR_COLS, _fair_sql("AND y_prob IS NOT NULL") + "SELECT * FROM fair")
 def fairness_metrics(spark, sf_dir):
-    """subgroup metrics over scored rows."""
+    """Subgroup metrics over scored rows (entity collapse, then thresholded means)."""
     return FA.fairness_metrics(_fair_input(spark, sf_dir, True), FAIR_GROUPS, FAIR_THRESHOLD)
 
 

@@ -74,7 +74,7 @@ def glm_fit(spark, sf_dir):
 
 @query("treatment_or", COEF_COLS)
 def treatment_or(spark, sf_dir):
-    """bias-reduced (Firth) logistic model of the event on phase, sex, age band,
+    """Bias-reduced (Firth) logistic model of the event on phase, sex, age band,
     segment and prior events over scored rows; CR2 cluster-robust errors by entity."""
     return _fit(_test_rows(spark, sf_dir), TREAT_FACTORS, ["prev_attacks"], firth=True, vcov="cr2")
 
@@ -84,7 +84,7 @@ SUBTYPE_FACTORS = [("hatype", None), ("sex", SEX_LEVELS), ("age_band", AGE_LEVEL
 
 @query("subtype_or", COEF_COLS)
 def subtype_or(spark, sf_dir):
-    """subtype effect adjusted for sex, age band and prior events; HC0 by entity."""
+    """Subtype effect adjusted for sex, age band and prior events; HC0 by entity."""
     return _fit(_test_rows(spark, sf_dir), SUBTYPE_FACTORS, ["prev_attacks"])
 
 

@@ -91,7 +91,7 @@ def confusion(spark, sf_dir):
 @query("metrics_all", "model:string roc_auc:double pr_auc:double brier:double ece:double tp:bigint tn:bigint "
        "fp:bigint fn:bigint precision:double sensitivity:double", ALL_SQL)
 def metrics_all(spark, sf_dir):
-    """The full metric row per scorer from one histogram pass."""
+    """The full metric row per scorer from one histogram pass."""
     return _metrics(spark, sf_dir)
 
 
