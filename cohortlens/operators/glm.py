@@ -77,8 +77,67 @@ def _quad(x: list[Column], M: np.ndarray) -> Column:
     return out
 
 
+WIDE_P = 40   # above this many columns the Gram matrix is summed from per-partition numpy blocks
+
+
+def _gram_pass_blocks(d: DataFrame, x: list[Column], y: Column, beta: np.ndarray, extra: Column | None = None):
+    """Wide designs: each partition forms X'WX, X'r and its deviance in numpy and
+    emits them as (i, j, value) triples; one grouped sum adds the partitions
+    (p^2 + p + 2 rows reach the driver, independent of the row count)."""
+    p = len(x)
+    cols = [xc.alias(f"__g{j}") for j, xc in enumerate(x)] + [y.cast("double").alias("__y")]
+    if extra is not None:
+        cols.append(extra.alias("__h"))
+    src = d.select(*cols)
+    has_h = extra is not None
+    b = np.asarray(beta, dtype=float)
+    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
+                           T.StructField("v", T.DoubleType())])
+
+    def run(batches):
+        G = np.zeros((p, p))
+        s = np.zeros(p)
+        dev, n = 0.0, 0
+        for pdf in batches:
+            X = pdf[[f"__g{j}" for j in range(p)]].to_numpy(dtype=float)
+            yy = pdf["__y"].to_numpy(dtype=float)
+            mu = 1.0 / (1.0 + np.exp(-(X @ b)))
+            w = mu * (1.0 - mu)
+            r = yy - mu
+            if has_h:
+                r = r + pdf["__h"].to_numpy(dtype=float) * (0.5 - mu)
+            G += X.T @ (w[:, None] * X)
+            s += X.T @ r
+            eps = 1e-300
+            dev += float(-2.0 * np.sum(yy * np.log(np.maximum(mu, eps)) + (1 - yy) * np.log(np.maximum(1 - mu, eps))))
+            n += len(yy)
+        ii, jj = np.triu_indices(p)
+        rows = {"i": np.concatenate([ii, np.arange(p), [-1, -2]]).astype("int32"),
+                "j": np.concatenate([jj, np.full(p, -1), [-1, -2]]).astype("int32"),
+                "v": np.concatenate([G[ii, jj], s, [dev, float(n)]])}
+        yield pd.DataFrame(rows)
+
+    tot = src.mapInPandas(run, schema).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()   # p^2 rows
+    G = np.zeros((p, p))
+    s = np.zeros(p)
+    dev, n = 0.0, 0
+    for r in tot:
+        i, j, v = r["i"], r["j"], r["v"]
+        if i >= 0 and j >= 0:
+            G[i, j] = G[j, i] = v
+        elif i >= 0:
+            s[i] = v
+        elif i == -1:
+            dev = v
+        else:
+            n = int(v)
+    return G, s, dev, n
+
+
 def _gram_pass(d: DataFrame, x: list[Column], y: Column, beta: np.ndarray, extra: Column | None = None):
     p = len(x)
+    if p > WIDE_P:
+        return _gram_pass_blocks(d, x, y, beta, extra)
     mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-_eta(x, beta)))
     d2 = d.select(*[xc.alias(f"__g{j}") for j, xc in enumerate(x)], y.cast("double").alias("__y"),
                   mu.alias("__mu"), *( [extra.alias("__h")] if extra is not None else []))

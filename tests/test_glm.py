@@ -107,3 +107,12 @@ def test_separation_firth_finite(spark):
     assert firth.converged and np.all(np.isfinite(firth.beta)) and abs(firth.beta[1]) < 20
     plain = glm.fit_logistic(dm, xn, terms, "y", max_iter=30)
     assert np.all(np.isfinite(plain.beta))
+
+
+def test_wide_block_gram_path_matches(data, monkeypatch):
+    df, X, y, cl = data
+    _, _, narrow = _fit(df, firth=True)
+    monkeypatch.setattr(glm, "WIDE_P", 1)
+    _, _, wide = _fit(df, firth=True)
+    assert wide.beta == pytest.approx(narrow.beta, abs=1e-8)
+    assert wide.bread == pytest.approx(narrow.bread, rel=1e-8)
