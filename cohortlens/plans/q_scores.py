@@ -51,8 +51,7 @@ def _curve(spark, sf_dir):
     return M.curve_table(h, ["model"])
 
 
-@query("roc_auc", "model:string roc_auc:double", ALL_SQL.replace(
-    "SELECT cf.model, auc.roc_auc", "SELECT cf.model AS model, auc.roc_auc AS roc_auc, ap.pr_auc AS _x"))
+@query("roc_auc", "model:string roc_auc:double", ALL_SQL)
 def roc_auc(spark, sf_dir):
     """Exact ROC-AUC (ties one half) per scorer from the distinct-score histogram."""
     return M.auc_ap(_curve(spark, sf_dir), ["model"])
@@ -129,38 +128,17 @@ def pr_curve(spark, sf_dir):
     return M.pr_points(_curve(spark, sf_dir), ["model"])
 
 
-BY_GRP_SQL = ALL_SQL.replace("scores_long", "sg")
-BY_GRP_SQL = BY_GRP_SQL.replace("PARTITION BY model", "PARTITION BY model, grp") \
-    .replace("GROUP BY model", "GROUP BY model, grp").replace("GROUP BY s.model, b.i", "GROUP BY s.model, s.grp, b.i") \
-    .replace("SELECT s.model, b.i", "SELECT s.model, s.grp, b.i") \
-    .replace("SELECT model, sum(pos / P", "SELECT model, grp, sum(pos / P") \
-    .replace("SELECT model, y_prob AS s,", "SELECT model, grp, y_prob AS s,") \
-    .replace("GROUP BY model, y_prob", "GROUP BY model, grp, y_prob") \
-    .replace("SELECT model, y_true, rank()", "SELECT model, grp, y_true, rank()") \
-    .replace("PARTITION BY model, grp, y_prob", "PARTITION BY model, grp, y_prob") \
-    .replace("AS ar FROM sg),\n  auc AS (SELECT model,", "AS ar FROM sg),\n  auc AS (SELECT model, grp,") \
-    .replace("nt AS (SELECT model, count(*)", "nt AS (SELECT model, grp, count(*)") \
-    .replace("SELECT eb.model, sum(", "SELECT eb.model, eb.grp, sum(") \
-    .replace("eb.model = nt.model GROUP BY eb.model", "eb.model = nt.model AND eb.grp = nt.grp GROUP BY eb.model, eb.grp") \
-    .replace("cf AS (SELECT model, count_if", "cf AS (SELECT model, grp, count_if") \
-    .replace("SELECT cf.model,", "SELECT cf.model, cf.grp,") \
-    .replace("JOIN auc ON cf.model = auc.model JOIN ap ON cf.model = ap.model LEFT JOIN ece ON cf.model = ece.model",
-             "JOIN auc ON cf.model = auc.model AND cf.grp = auc.grp JOIN ap ON cf.model = ap.model AND cf.grp = ap.grp "
-             "LEFT JOIN ece ON cf.model = ece.model AND cf.grp = ece.grp")
-BY_GRP_SQL = BY_GRP_SQL.replace(S.SCORES_LONG + "\n", S.SCORES_LONG + ",\nsg AS (SELECT * FROM scores_long)\n", 1)
+# Metrics per (model, group) for the wide/delta/union queries: the generic
+# weighted-metric SQL over unit weights.
+GRP_SQL = SL + """, sg AS (SELECT model, grp, y_true, y_prob, 1.0::DOUBLE AS w FROM scores_long)""" + \
+    S.metrics_sql("sg", ["model", "grp"])
 MET_COLS = ["roc_auc", "pr_auc", "brier", "ece", "precision", "sensitivity"]
-LONG_BY_GRP = BY_GRP_SQL + "\n"
 
 
 def _long_metric_sql():
-    inner = BY_GRP_SQL.split("\nSELECT cf.model, cf.grp,")[0]
-    sel = """
-, m AS (SELECT cf.model, cf.grp, auc.roc_auc, ap.pr_auc, cf.brier, coalesce(ece.ece, 0.0) AS ece,
-       coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS sensitivity
-FROM cf JOIN auc ON cf.model = auc.model AND cf.grp = auc.grp JOIN ap ON cf.model = ap.model AND cf.grp = ap.grp
-LEFT JOIN ece ON cf.model = ece.model AND cf.grp = ece.grp),
-ml AS (UNPIVOT m ON """ + ", ".join(MET_COLS) + """ INTO NAME metric VALUE value)"""
-    return inner + sel
+    return GRP_SQL + """,
+ml AS (UNPIVOT (SELECT model, grp, """ + ", ".join(MET_COLS) + """ FROM mt) ON """ + ", ".join(MET_COLS) + """
+       INTO NAME metric VALUE value)"""
 
 
 @query("metrics_wide", "model:string metric:string F:double O:double",
@@ -193,8 +171,7 @@ def metric_deltas(spark, sf_dir):
 
 @query("union_sections", "section:string model:string roc_auc:double pr_auc:double brier:double ece:double "
        "tp:bigint tn:bigint fp:bigint fn:bigint precision:double sensitivity:double",
-       BY_GRP_SQL.replace("SELECT cf.model, cf.grp,", "SELECT cf.grp AS section, cf.model,").replace(
-           "ap.pr_auc_trapz, ", ""))
+       GRP_SQL + "\nSELECT grp AS section, * EXCLUDE (grp) FROM mt")
 def union_sections(spark, sf_dir):
     """Metric tables computed per section and stacked by column name (bag union)."""
     sl = views.scores_long(spark, sf_dir)

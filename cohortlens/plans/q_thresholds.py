@@ -100,11 +100,7 @@ def bootstrap_metrics(spark, sf_dir):
        BOOT_SQL + S.metrics_sql("bw", ["model", "rep"]) + """,
   reps AS (SELECT * FROM mt),
   pw AS (SELECT model, y_true, y_prob, 1.0::DOUBLE AS w FROM (SELECT 'bucketed' AS model, y_true, y_prob FROM score) t)"""
-       + S.metrics_sql("pw", ["model"]).replace("mh AS", "ph AS").replace("FROM mh", "FROM ph")
-       .replace(" mc AS", " pc AS").replace("FROM mc", "FROM pc").replace(" ma AS", " pa AS").replace(" mb AS", " pb AS")
-       .replace("FROM mb", "FROM pb").replace("JOIN mb", "JOIN pb").replace("JOIN ma", "JOIN pa")
-       .replace("mbins", "pbins").replace(" me1 AS", " pe1 AS").replace("FROM me1", "FROM pe1")
-       .replace(" me AS", " pe AS").replace("JOIN me ", "JOIN pe ").replace(" mt AS", " pt AS") + """,
+       + S.metrics_sql("pw", ["model"], prefix="p") + """,
   rl AS (UNPIVOT (SELECT model, rep, roc_auc, pr_auc, brier, ece, CAST(tp AS DOUBLE) AS tp, CAST(tn AS DOUBLE) AS tn,
                   CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, precision, sensitivity FROM reps)
          ON roc_auc, pr_auc, brier, ece, tp, tn, fp, fn, precision, sensitivity INTO NAME metric VALUE value),

@@ -65,8 +65,8 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def metrics_sql(src: str, keys: list[str], thr: float = 0.5) -> str:
-    """CTE chain (starts with a comma) ending in ``mt``: keys + the ten metric
+def metrics_sql(src: str, keys: list[str], thr: float = 0.5, prefix: str = "m") -> str:
+    """CTE chain (starts with a comma) ending in ``<prefix>t``: keys + the ten metric
     columns from a weighted row table ``src(keys..., y_true, y_prob, w)``.
     Written independently of the Spark code: descending windows for curve
     sums, a join to explicit bin edges for ECE."""
@@ -79,27 +79,27 @@ def metrics_sql(src: str, keys: list[str], thr: float = 0.5) -> str:
         return " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
 
     return f""",
-  mh AS (SELECT {k}, y_prob AS s, sum(w * y_true) AS pos, sum(w * (1 - y_true)) AS neg FROM {src}
+  {prefix}h AS (SELECT {k}, y_prob AS s, sum(w * y_true) AS pos, sum(w * (1 - y_true)) AS neg FROM {src}
          WHERE y_prob IS NOT NULL AND NOT isnan(y_prob) GROUP BY {k}, y_prob),
-  mc AS (SELECT *, sum(pos) OVER (PARTITION BY {k} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_ge,
+  {prefix}c AS (SELECT *, sum(pos) OVER (PARTITION BY {k} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_ge,
                    sum(neg) OVER (PARTITION BY {k} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp_ge,
-                   sum(pos) OVER (PARTITION BY {k}) AS P, sum(neg) OVER (PARTITION BY {k}) AS N FROM mh),
-  ma AS (SELECT {k}, CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - fp_ge + 0.5 * neg)) / (max(P) * max(N)) END AS roc_auc,
-                CASE WHEN max(P) > 0 THEN sum(pos / P * tp_ge / (tp_ge + fp_ge)) END AS pr_auc FROM mc GROUP BY {k}),
-  mb AS (SELECT {k}, sum(w * (y_true - y_prob) * (y_true - y_prob)) / sum(w) AS brier,
+                   sum(pos) OVER (PARTITION BY {k}) AS P, sum(neg) OVER (PARTITION BY {k}) AS N FROM {prefix}h),
+  {prefix}a AS (SELECT {k}, CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - fp_ge + 0.5 * neg)) / (max(P) * max(N)) END AS roc_auc,
+                CASE WHEN max(P) > 0 THEN sum(pos / P * tp_ge / (tp_ge + fp_ge)) END AS pr_auc FROM {prefix}c GROUP BY {k}),
+  {prefix}b AS (SELECT {k}, sum(w * (y_true - y_prob) * (y_true - y_prob)) / sum(w) AS brier,
                 sum(CASE WHEN y_true = 1 AND y_prob >= {thr!r} THEN w ELSE 0 END) AS tp,
                 sum(CASE WHEN y_true = 0 AND y_prob >= {thr!r} THEN w ELSE 0 END) AS fp,
                 sum(CASE WHEN y_true = 1 AND y_prob < {thr!r} THEN w ELSE 0 END) AS fn,
                 sum(CASE WHEN y_true = 0 AND y_prob < {thr!r} THEN w ELSE 0 END) AS tn,
                 sum(w) AS n FROM {src} GROUP BY {k}),
-  mbins AS (SELECT i, i * 0.1::DOUBLE AS lo, CASE WHEN i = 9 THEN 1.0::DOUBLE ELSE (i + 1) * 0.1::DOUBLE END AS hi FROM range(10) t(i)),
-  me1 AS (SELECT {q('s')}, b.i, sum(w * y_true) / sum(w) AS acc, sum(w * y_prob) / sum(w) AS conf, sum(w) AS nb
-          FROM {src} s JOIN mbins b ON s.y_prob >= b.lo AND s.y_prob < b.hi GROUP BY {q('s')}, b.i),
-  me AS (SELECT {q('e')}, sum(abs(e.acc - e.conf) * e.nb / b.n) AS ece FROM me1 e JOIN mb b ON {on('e', 'b')} GROUP BY {q('e')}),
-  mt AS (SELECT {q('b')}, a.roc_auc, a.pr_auc, b.brier, coalesce(e.ece, 0.0) AS ece, b.tp, b.tn, b.fp, b.fn,
+  {prefix}bins AS (SELECT i, i * 0.1::DOUBLE AS lo, CASE WHEN i = 9 THEN 1.0::DOUBLE ELSE (i + 1) * 0.1::DOUBLE END AS hi FROM range(10) t(i)),
+  {prefix}e1 AS (SELECT {q('s')}, b.i, sum(w * y_true) / sum(w) AS acc, sum(w * y_prob) / sum(w) AS conf, sum(w) AS nb
+          FROM {src} s JOIN {prefix}bins b ON s.y_prob >= b.lo AND s.y_prob < b.hi GROUP BY {q('s')}, b.i),
+  {prefix}e AS (SELECT {q('e')}, sum(abs(e.acc - e.conf) * e.nb / b.n) AS ece FROM {prefix}e1 e JOIN {prefix}b b ON {on('e', 'b')} GROUP BY {q('e')}),
+  {prefix}t AS (SELECT {q('b')}, a.roc_auc, a.pr_auc, b.brier, coalesce(e.ece, 0.0) AS ece, b.tp, b.tn, b.fp, b.fn,
                 coalesce(b.tp / nullif(b.tp + b.fp, 0), 0.0) AS precision,
                 coalesce(b.tp / nullif(b.tp + b.fn, 0), 0.0) AS sensitivity
-         FROM mb b JOIN ma a ON {on('b', 'a')} LEFT JOIN me e ON {on('b', 'e')})"""
+         FROM {prefix}b b JOIN {prefix}a a ON {on('b', 'a')} LEFT JOIN {prefix}e e ON {on('b', 'e')})"""
 
 
 def mix31_sql(x: str) -> str:
