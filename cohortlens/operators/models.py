@@ -50,7 +50,7 @@ def train_all(train: DataFrame, n_train: int, which: list[str] | None = None, se
     """M8: fit the named models on one cached training frame."""
     which = which or ["logreg", "gbt", "gbt_sub"]
     makers = {
-        "logreg": lambda: logistic(n_train, **{"C": LOGREG["C"], "l1_ratio": LOGREG["l1_ratio"], "max_iter": LOGREG["max_iter"]}),
+        "logreg": lambda: logistic(n_train, LOGREG["C"], LOGREG["l1_ratio"], LOGREG["max_iter"]),
         "gbt": lambda: gbt(GBT["max_iter"], GBT["step_size"], GBT["max_depth"], seed=seed),
         "gbt_sub": lambda: gbt(GBT_SUB["max_iter"], GBT_SUB["step_size"], GBT_SUB["max_depth"],
                                GBT_SUB["subsample"], GBT_SUB["colsample"], seed=seed),
