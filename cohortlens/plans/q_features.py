@@ -159,3 +159,24 @@ def season_segment_rates(spark, sf_dir):
         F.avg("airq_prev_mean").alias("mean_airq_prev_mean"),
         F.avg("visit_number").alias("mean_visit_number"),
     )
+
+
+EVENTS_SQL = """events_p AS (
+  SELECT event_id AS rownames, user_id AS id, ts, value, event_type,
+         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day,
+         CAST(event_type = 'error' AS INTEGER) AS target_num FROM events)"""
+
+
+@query("events_history", "rownames:bigint id:bigint days_since_first_visit:bigint visit_number:bigint "
+       "value_prev_mean:double prev_attacks:double",
+       S.with_(EVENTS_SQL) + """SELECT rownames, id, day - min(day) OVER (PARTITION BY id) AS days_since_first_visit,
+         row_number() OVER (PARTITION BY id ORDER BY ts, rownames) AS visit_number,
+         avg(value) OVER (PARTITION BY id ORDER BY ts, rownames ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS value_prev_mean,
+         CAST(coalesce(sum(target_num) OVER (PARTITION BY id ORDER BY ts, ts, rownames
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS prev_attacks
+       FROM events_p""")
+def events_history(spark, sf_dir):
+    """W1-W4 on the event stream panel: order (timestamp, event id), day numbers, error events as outcome."""
+    from cohortlens.spec import PanelSpec
+    spec = PanelSpec(order=("ts", "rownames"), time="ts", dos="day")
+    return features.history_features(views.events_panel(spark, sf_dir), spec, value="value")

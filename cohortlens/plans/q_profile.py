@@ -203,3 +203,18 @@ def airq_quartile(spark, sf_dir):
 def outliers_long(spark, sf_dir):
     """Outlier rows of every numeric column in one long table (partition key of the per-variable sink)."""
     return profile.outliers_long(views.panel(spark, sf_dir), NUMERIC, "rownames")
+
+
+
+@query("events_box_stats", "event_type:string q1:double median:double q3:double whisker_lo:double whisker_hi:double n_outliers:bigint n:bigint",
+       """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+              quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type),
+       j AS (SELECT e.event_type, e.value AS x, q.q1, q.median, q.q3,
+              q.q1 - 1.5 * (q.q3 - q.q1) AS lo, q.q3 + 1.5 * (q.q3 - q.q1) AS hi FROM events e JOIN q ON e.event_type = q.event_type
+              WHERE e.value IS NOT NULL)
+       SELECT event_type, q1, median, q3, min(CASE WHEN x >= lo AND x <= hi THEN x END) AS whisker_lo,
+              max(CASE WHEN x >= lo AND x <= hi THEN x END) AS whisker_hi,
+              count_if(NOT (x >= lo AND x <= hi)) AS n_outliers, count(*) AS n FROM j GROUP BY event_type, q1, median, q3""")
+def events_box_stats(spark, sf_dir):
+    """A13 on the event stream: box statistics of the event value per event type."""
+    return profile.box_stats(views.events_panel(spark, sf_dir), "value", ["event_type"])

@@ -103,12 +103,17 @@ def design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design_columns(panel(spark, sf_dir))
 
 
+EVENTS_ORIGIN = "2024-01-01"
+
+
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second panel: id = user_id, order (ts, event_id), value, target = error event."""
+    """Second panel: id = user_id, order (ts, event_id), day number, value, event type,
+    target = error event."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return ev.select(
         F.col("event_id").alias("rownames"),
         F.col("user_id").alias("id"),
-        "ts", "value",
+        "ts", "value", "event_type",
+        _days_since("ts", EVENTS_ORIGIN).alias("day"),
         (F.col("event_type") == "error").cast("int").alias("target_num"),
     )
