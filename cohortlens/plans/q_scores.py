@@ -180,3 +180,31 @@ def union_sections(spark, sf_dir):
         part = M.metrics(sl.where(F.col("grp") == sec), ["model"]).withColumn("section", F.lit(sec))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+
+@query("label_score_auc", "label:string roc_auc:double pr_auc:double P:double N:double",
+       """WITH j AS (SELECT l.doc_id, l.quality, l.toxic, CAST(d.n_chars AS DOUBLE) AS s
+                     FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+  lg AS (SELECT 'quality' AS label, quality AS y, s FROM j WHERE quality IS NOT NULL AND s IS NOT NULL
+         UNION ALL SELECT 'toxic', toxic, s FROM j WHERE toxic IS NOT NULL AND s IS NOT NULL),
+  r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY s) + (count(*) OVER (PARTITION BY label, s) - 1) / 2.0 AS ar,
+               s FROM lg),
+  h AS (SELECT label, s, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM lg GROUP BY label, s),
+  cd AS (SELECT *, sum(pos) OVER (PARTITION BY label ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_ge,
+                   sum(neg) OVER (PARTITION BY label ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp_ge,
+                   sum(pos) OVER (PARTITION BY label) AS P FROM h)
+SELECT a.label, a.roc_auc, b.pr_auc, a.P, a.N FROM
+  (SELECT label, (sum(CASE WHEN y = 1 THEN ar END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS roc_auc,
+          CAST(sum(y) AS DOUBLE) AS P, CAST(sum(1 - y) AS DOUBLE) AS N FROM r GROUP BY label) a
+  JOIN (SELECT label, sum(pos / P * tp_ge / (tp_ge + fp_ge)) AS pr_auc FROM cd GROUP BY label) b ON a.label = b.label""")
+def label_score_auc(spark, sf_dir):
+    """S7/E1/E2 on real labels: labels joined to documents by key, document length as the
+    score, AUC and average precision for each label column."""
+    from cohortlens.sources.readers import table
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("y_prob"))
+    j = lab.join(docs, "doc_id", "inner")
+    long = j.unpivot(["doc_id", "y_prob"], ["quality", "toxic"], "label", "y_true")
+    h = M.score_histogram(long, ["label"])
+    return M.auc_ap(M.curve_table(h, ["label"]), ["label"])
