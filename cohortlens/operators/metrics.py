@@ -177,12 +177,15 @@ def reliability(hist: DataFrame, keys: list[str] | None = None, n_bins: int = 10
 
 def class_score_histogram(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p: str = "y_prob",
                           bins: int = 20) -> DataFrame:
-    """Score histogram per class, each class over its own min..max (last bin closed)."""
+    """Score histogram per class, each class over its own min..max (last bin closed).
+    Rows are first reduced to (keys, class, distinct score) counts, so the range join
+    and the binning run on the reduced table."""
     keys = list(keys or []) + [y]
-    d = df.where(finite(p) & F.col(y).isNotNull()).select(*keys, F.col(p).cast("double").alias("__x"))
+    d = df.where(finite(p) & F.col(y).isNotNull()).groupBy(*keys, F.col(p).cast("double").alias("__x")) \
+          .agg(F.count(F.lit(1)).alias("__c"))
     rng = d.groupBy(*keys).agg(F.min("__x").alias("vmin"), F.max("__x").alias("vmax"))
     b = equal_width_bin("__x", "vmin", "vmax", bins)
-    return d.join(rng, keys).withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
+    return d.join(rng, keys).withColumn("bin", b).groupBy(*keys, "bin").agg(F.sum("__c").alias("count"))
 
 
 def metrics_long(table: DataFrame, keys: list[str], names: list[str] = METRIC_NAMES) -> DataFrame:

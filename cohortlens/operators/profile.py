@@ -149,10 +149,12 @@ def equal_width_histogram(df: DataFrame, cols: list[str], bins: int = 20) -> Dat
     Min/max are one row per variable (broadcast)."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "variable", "value") \
              .where(F.col("value").isNotNull() & ~F.isnan("value"))
-    rng = long.groupBy("variable").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    # reduce to distinct values first; min/max and binning run on the reduced table
+    vals = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("__c"))
+    rng = vals.groupBy("variable").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
     b = equal_width_bin("value", "vmin", "vmax", bins)
-    h = long.join(F.broadcast(rng), "variable").withColumn("bin", b) \
-            .groupBy("variable", "bin", "vmin", "vmax").agg(F.count(F.lit(1)).alias("count"))
+    h = vals.join(F.broadcast(rng), "variable").withColumn("bin", b) \
+            .groupBy("variable", "bin", "vmin", "vmax").agg(F.sum("__c").alias("count"))
     step = (F.col("vmax") - F.col("vmin")) / F.lit(float(bins))
     return h.select("variable", "bin", (F.col("vmin") + F.col("bin") * step).alias("lo"),
                     (F.col("vmin") + (F.col("bin") + 1) * step).alias("hi"), "count")
