@@ -122,3 +122,17 @@ def bootstrap_summary(spark, sf_dir):
 def bootstrap_multinomial(spark, sf_dir):
     """B1(a): 1000 exact iid row resamples (multinomial over label/score cells), all ten metrics."""
     return B.bootstrap_metrics_multinomial(_boot_input(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=SEED)
+
+
+
+BOOT_ENTITY_SQL = BOOT_SQL.replace(
+    """concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                CAST(l_partkey AS VARCHAR), CAST(id AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))""",
+    "concat_ws('|', '42', CAST(id AS VARCHAR))")
+
+
+@query("bootstrap_entity", BOOT_COLS, BOOT_ENTITY_SQL + S.metrics_sql("bw", ["model", "rep"]) + "\nSELECT * FROM mt")
+def bootstrap_entity(spark, sf_dir):
+    """B1 (entity unit): Poisson cluster bootstrap - every row of an entity shares the
+    replicate weight drawn from (seed, entity id, replicate)."""
+    return B.bootstrap_metrics(_boot_input(spark, sf_dir), ["id"], ["model"], n_boot=N_BOOT, seed=SEED)
