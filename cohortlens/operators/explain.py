@@ -61,6 +61,35 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-(self.beta("intercept") + X @ b)))
 
 
+class ModelScorer:
+    """Any fitted Spark ML model (or pipeline) as a scorer: ``predict`` applies the
+    overrides as columns, runs ``model.transform`` and keeps P(class 1) as ``__p``
+    (the reference's ``pred_fun(model, newdata)``)."""
+
+    def __init__(self, model, prob_col: str = "probability"):
+        self.model = model
+        self.prob_col = prob_col
+
+    def frame(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        cols = df.columns
+        out = self.model.transform(df)
+        return out.select(*cols, vector_to_array(F.col(self.prob_col))[1].alias("__p"))
+
+
+def predict(df: DataFrame, scorer, overrides: dict[str, Column] | None = None, out: str = "__p") -> DataFrame:
+    """Prediction with some inputs replaced: one Column expression for a ``Scorer``,
+    ``withColumns`` + ``transform`` for a ``ModelScorer``."""
+    overrides = overrides or {}
+    if isinstance(scorer, Scorer):
+        return df.withColumn(out, scorer.score(overrides))
+    keep = df.columns
+    tmp = {k: f"__orig_{k}" for k in overrides if k in keep}
+    x = df.select(*[F.col(c).alias(tmp.get(c, c)) for c in keep], *[v.alias(k) for k, v in overrides.items()])
+    y = scorer.frame(x).withColumnRenamed("__p", out)
+    return y.drop(*overrides.keys()).select(*[F.col(tmp.get(c, c)).alias(c) for c in keep], out)
+
+
 def _levels_df(spark, levels: list[str]) -> DataFrame:
     return spark.createDataFrame([(lv, i) for i, lv in enumerate(levels)], "level string, level_pos int")
 
@@ -75,7 +104,16 @@ def pdp_onehot(df: DataFrame, scorer: Scorer, levels: list[str]) -> DataFrame:
     if not levels:
         raise ValueError("one-hot group has no columns")
     g = F.broadcast(_levels_df(df.sparkSession, levels))   # one row per level
-    x = df.crossJoin(g).withColumn("__p", scorer.score(_onehot_overrides(levels)))
+    x = predict(df.crossJoin(g), scorer, _onehot_overrides(levels))
+    return x.groupBy("level").agg(F.avg("__p").alias("pdp"))
+
+
+def pdp_categorical(df: DataFrame, scorer, column: str, levels: list[str]) -> DataFrame:
+    """I2 for a model on raw categories: the column set to each level in turn."""
+    if not levels:
+        raise ValueError("no levels")
+    g = F.broadcast(_levels_df(df.sparkSession, levels))
+    x = predict(df.crossJoin(g), scorer, {column: F.col("level")})
     return x.groupBy("level").agg(F.avg("__p").alias("pdp"))
 
 
@@ -87,11 +125,11 @@ def pdp_all(df: DataFrame, scorer: Scorer, groups: dict[str, list[str]]) -> Data
             raise ValueError(f"no columns for group {name}")
     pairs = spark.createDataFrame([(g, lv) for g, lvs in groups.items() for lv in lvs], "variable string, level string")
     x = df.crossJoin(F.broadcast(pairs))
-    p = None
+    over = {}
     for g, lvs in groups.items():
-        sc = scorer.score(_onehot_overrides(lvs))
-        p = F.when(F.col("variable") == g, sc) if p is None else p.when(F.col("variable") == g, sc)
-    return x.withColumn("__p", p).groupBy("variable", "level").agg(F.avg("__p").alias("pdp"))
+        for lv, expr in _onehot_overrides(lvs).items():
+            over[lv] = F.when(F.col("variable") == g, expr).otherwise(F.col(lv))
+    return predict(x, scorer, over).groupBy("variable", "level").agg(F.avg("__p").alias("pdp"))
 
 
 def grid_points(df: DataFrame, feature: str, n: int = 25) -> DataFrame:
@@ -106,15 +144,17 @@ def grid_points(df: DataFrame, feature: str, n: int = 25) -> DataFrame:
 def ice_numeric(df: DataFrame, scorer: Scorer, feature: str, keep: list[str], n: int = 25) -> DataFrame:
     """Each row's prediction at every grid value of ``feature`` (rows x broadcast grid)."""
     g = F.broadcast(grid_points(df, feature, n))   # n rows
-    return df.select(*keep, *scorer.features).crossJoin(g) \
-             .select(*keep, "point", "x", scorer.score({feature: F.col("x")}).alias("ice"))
+    base = df.select(*keep, *scorer.features) if isinstance(scorer, Scorer) else df
+    x = predict(base.crossJoin(g), scorer, {feature: F.col("x")}, "ice")
+    return x.select(*keep, "point", "x", "ice")
 
 
 def ice_onehot(df: DataFrame, scorer: Scorer, levels: list[str], keep: list[str]) -> DataFrame:
     """Each row's prediction with the group set to each level."""
     g = F.broadcast(_levels_df(df.sparkSession, levels))
-    return df.select(*keep, *scorer.features).crossJoin(g) \
-             .select(*keep, "level", scorer.score(_onehot_overrides(levels)).alias("ice"))
+    base = df.select(*keep, *scorer.features) if isinstance(scorer, Scorer) else df
+    x = predict(base.crossJoin(g), scorer, _onehot_overrides(levels), "ice")
+    return x.select(*keep, "level", "ice")
 
 
 def ice_mean(ice: DataFrame, by: list[str]) -> DataFrame:
@@ -126,10 +166,10 @@ def sensitivity(df: DataFrame, scorer: Scorer, id_col: str, feature: str | None
                 levels: list[str] | None = None, n: int = 25) -> DataFrame:
     """Per entity, max - min over the grid of the entity's mean prediction."""
     if levels:
-        x = df.crossJoin(F.broadcast(_levels_df(df.sparkSession, levels))).withColumnRenamed("level_pos", "point") \
-              .withColumn("__p", scorer.score(_onehot_overrides(levels)))
+        x = df.crossJoin(F.broadcast(_levels_df(df.sparkSession, levels))).withColumnRenamed("level_pos", "point")
+        x = predict(x, scorer, _onehot_overrides(levels))
     else:
-        x = df.crossJoin(F.broadcast(grid_points(df, feature, n))).withColumn("__p", scorer.score({feature: F.col("x")}))
+        x = predict(df.crossJoin(F.broadcast(grid_points(df, feature, n))), scorer, {feature: F.col("x")})
     curve = x.groupBy(id_col, "point").agg(F.avg("__p").alias("__m"))
     return curve.groupBy(id_col).agg((F.max("__m") - F.min("__m")).alias("sensitivity"))
 
@@ -173,7 +213,8 @@ def ale(df: DataFrame, scorer: Scorer, feature: str, bins: int = 20, strata: lis
         for b in range(bins)])).alias("__b")).select("stratum", "__b.*")
     # strata x bins rows: broadcast, equi-join on stratum, range filter leaves <= 1 bin per row
     j = keyed.join(F.broadcast(bins_df), "stratum").where((x >= F.col("lo")) & (x < F.col("hi")))
-    diff = scorer.score({feature: F.col("hi")}) - scorer.score({feature: F.col("lo")})
+    j = predict(predict(j, scorer, {feature: F.col("hi")}, "__p_hi"), scorer, {feature: F.col("lo")}, "__p_lo")
+    diff = F.col("__p_hi") - F.col("__p_lo")
     sums = j.groupBy("stratum", "bin").agg(F.sum(diff).alias("__sum"), F.count(F.lit(1)).alias("__nb"))
     n_all = df.count() if mode == "reference" else None
     full = bins_df.join(sums, ["stratum", "bin"], "left")
@@ -276,6 +317,8 @@ def permutation_importance(df: DataFrame, scorer: Scorer, y: str, id_col: str, r
     destination row draws a donor row of its source entity with replacement
     (hash of feature and row key modulo the source size). Donors are found by an
     equi-join on (feature, source entity, index); all features run in one job."""
+    if features is None and not isinstance(scorer, Scorer):
+        raise ValueError("features must be given for a model scorer")
     feats = features or scorer.features
     spark = df.sparkSession
     fl = spark.createDataFrame([(f,) for f in feats], "feature string")
@@ -296,16 +339,14 @@ def permutation_importance(df: DataFrame, scorer: Scorer, y: str, id_col: str, r
     sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n_src"))
     donors = idx.unpivot([id_col, row_key, "__idx"], feats, "feature", "donor_value") \
                 .select(F.col(id_col).alias("src_id"), "__idx", "feature", "donor_value")
-    dst = df.select(row_key, id_col, y, *feats).crossJoin(F.broadcast(fl)).join(mapping, ["feature", id_col])
+    cols = [row_key, id_col, y, *feats] if isinstance(scorer, Scorer) else df.columns   # a model needs all its inputs
+    dst = df.select(*cols).crossJoin(F.broadcast(fl)).join(mapping, ["feature", id_col])
     dst = dst.join(sizes.withColumnRenamed(id_col, "src_id"), "src_id")
     dst = dst.withColumn("__idx", F.pmod(hash_int(F.lit(seed), F.col("feature"), F.col(row_key)), F.col("__n_src")))
     j = dst.join(donors, ["src_id", "__idx", "feature"], "left")
-    p_expr = None
-    for f in feats:
-        sc = scorer.score({f: F.col("donor_value")})
-        p_expr = F.when(F.col("feature") == f, sc) if p_expr is None else p_expr.when(F.col("feature") == f, sc)
-    perm = j.withColumn("__p", p_expr)
+    over = {f: F.when(F.col("feature") == f, F.col("donor_value")).otherwise(F.col(f)) for f in feats}
+    perm = predict(j, scorer, over)
     pa = auc_ap(curve_table(score_histogram(perm, ["feature"], y, "__p"), ["feature"]), ["feature"])
-    base = auc_ap(curve_table(score_histogram(df.withColumn("__p", scorer.score()), [], y, "__p")))
+    base = auc_ap(curve_table(score_histogram(predict(df, scorer), [], y, "__p")))
     return pa.crossJoin(F.broadcast(base.select(F.col("pr_auc_trapz").alias("baseline")))).select(
         F.col("feature").alias("Variable"), (F.col("baseline") - F.col("pr_auc_trapz")).alias("Importance"))

@@ -321,3 +321,35 @@ def prep_matrix(spark, sf_dir):
     """M4: the full fitted design matrix (numeric then one-hot block) as named columns."""
     d, params = prepared(spark, sf_dir)
     return P.with_names(d, params)
+
+
+def _fitted_pipeline(spark, sf_dir):
+    d, params = fitted_prep(spark, sf_dir)
+    train = d.where(F.col("split") == "train").cache()
+    n = train.count()
+    pipe = ML.pipeline(P.preprocessor_model(params).stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
+    return d, pipe.fit(train)
+
+
+@query("pdp_fitted", "variable:string level:string pdp:double")
+def pdp_fitted(spark, sf_dir):
+    """I2 with the fitted preprocessing + logistic pipeline as the predictor: partial
+    dependence of the test rows over every segment and subtype level (raw categories
+    overridden, then the whole pipeline re-applied)."""
+    from cohortlens.operators import explain as X
+    d, model = _fitted_pipeline(spark, sf_dir)
+    test = d.where(F.col("split") == "test")
+    sc = X.ModelScorer(model)
+    parts = []
+    for col in ["medication", "hatype"]:
+        levels = ORACLE_LEVELS[col]
+        parts.append(X.pdp_categorical(test, sc, col, levels).select(F.lit(col).alias("variable"), "level", "pdp"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("ale_fitted", "stratum:string bin:bigint mid:double ale:double")
+def ale_fitted(spark, sf_dir):
+    """I3 with the fitted pipeline as the predictor: ALE of the exposure over the test rows."""
+    from cohortlens.operators import explain as X
+    d, model = _fitted_pipeline(spark, sf_dir)
+    return X.ale(d.where(F.col("split") == "test"), X.ModelScorer(model), "airq")

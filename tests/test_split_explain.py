@@ -89,3 +89,26 @@ def test_pdp_and_sensitivity(design):
     assert sens.where(F.col("sensitivity") < 0).count() == 0
     with pytest.raises(ValueError):
         X.pdp_onehot(design, sc, [])
+
+
+def test_model_scorer_matches_column_scorer(spark, design):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    feats = ["z_airq", "z_dos", "d_BUILDING", "d_MACHINERY", "d_FURNITURE", "d_HOUSEHOLD"]
+    d = design.withColumn("label", F.coalesce(F.col("headache") == "yes", F.lit(False)).cast("double"))
+    pm = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
+                          LogisticRegression(regParam=0.01, maxIter=50)]).fit(d)
+    lr = pm.stages[-1]
+    coefs = {"intercept": float(lr.intercept), **{f: float(b) for f, b in zip(feats, lr.coefficients.toArray())}}
+    col_sc, mod_sc = X.Scorer.of(coefs), X.ModelScorer(pm)
+    levels = [f"d_{lv}" for lv in views.DESIGN_LEVELS]
+    a = {r["level"]: r["pdp"] for r in X.pdp_onehot(d, col_sc, levels).collect()}
+    b = {r["level"]: r["pdp"] for r in X.pdp_onehot(d, mod_sc, levels).collect()}
+    assert a == pytest.approx(b, abs=1e-9)
+    ea = {r["bin"]: r["ale"] for r in X.ale(d, col_sc, "z_airq").collect()}
+    eb = {r["bin"]: r["ale"] for r in X.ale(d, mod_sc, "z_airq").collect()}
+    assert ea == pytest.approx(eb, abs=1e-9)
+    pa = {r["Variable"]: r["Importance"] for r in X.permutation_importance(d, col_sc, "label", "id", "rownames", feats).collect()}
+    pb = {r["Variable"]: r["Importance"] for r in X.permutation_importance(d, mod_sc, "label", "id", "rownames", feats).collect()}
+    assert pa == pytest.approx(pb, abs=1e-9)
