@@ -63,3 +63,17 @@ def test_quantiles_ungrouped_and_empty(spark, skewed):
     assert r["q0"] == pytest.approx(np.median(skewed.toPandas()["v"].dropna()))
     empty = spark.createDataFrame([], "v double")
     assert quantiles(empty, "v", [0.5]).count() <= 1
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-100, 100, allow_nan=False)), min_size=1, max_size=60),
+       st.lists(st.floats(0, 1), min_size=1, max_size=4))
+def test_quantiles_property(spark, values, probs):
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = quantiles(df, "v", probs).first()
+    expect = np.percentile(np.array(values), [p * 100 for p in probs])
+    assert [got[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(expect), rel=1e-9, abs=1e-9)
