@@ -88,7 +88,7 @@ def _fair_sql(where: str) -> str:
   lg AS ({long}),
   ent AS (SELECT variable, level, id, max(target_num) AS y_true,
                  CASE WHEN count(y_prob) = count(*) THEN avg(y_prob) END AS y_pred FROM lg GROUP BY variable, level, id),
-  cnt AS (SELECT variable, level, count(*) AS n, count_if(y_true = 1) AS n_pos, count_if(y_true = 0) AS n_neg,
+  fcnt AS (SELECT variable, level, count(*) AS n, count_if(y_true = 1) AS n_pos, count_if(y_true = 0) AS n_neg,
                  count(y_pred) AS n_scored, count_if(y_true = 1 AND y_pred IS NULL) AS pm,
                  count_if(y_true = 0 AND y_pred IS NULL) AS nm, count_if(y_true = 1 AND y_pred >= {t}) AS tp,
                  count_if(y_true = 0 AND y_pred < {t}) AS tn FROM ent GROUP BY variable, level),
@@ -104,7 +104,7 @@ def _fair_sql(where: str) -> str:
        CASE WHEN n_pos > 0 AND pm = 0 THEN tp / n_pos END AS Sensitivity,
        CASE WHEN n_neg > 0 AND nm = 0 THEN tn / n_neg END AS Specificity,
        n, n_pos, n_neg, n_scored, n_pos > 0 AND n_neg > 0 AS valid_auc, n_pos > 0 AS valid_sens, n_neg > 0 AS valid_spec
-     FROM cnt c LEFT JOIN auc a ON c.variable = a.variable AND c.level = a.level
+     FROM fcnt c LEFT JOIN auc a ON c.variable = a.variable AND c.level = a.level
      LEFT JOIN med m ON c.variable = m.variable AND c.level = m.level)
 """
 
@@ -144,3 +144,32 @@ def fairness_valid(spark, sf_dir):
 def fairness_long(spark, sf_dir):
     """Long metric table with CI = point and a display label."""
     return FA.fairness_long(FA.fairness_metrics(_fair_input(spark, sf_dir, True), FAIR_GROUPS, FAIR_THRESHOLD))
+
+
+def _entry_c_sql() -> str:
+    from cohortlens.plans.q_thresholds import GRID_SQL
+    grid_rest = GRID_SQL[len(S.with_(S.SCORE, S.SCORES_LONG)):]
+    fair = _fair_sql("AND y_prob IS NOT NULL")
+    fair_rest = fair[len(SCORED_SQL):]
+    fair_rest = fair_rest.replace(f"y_pred >= {FAIR_THRESHOLD}", "y_pred >= (SELECT threshold FROM bt)") \
+                         .replace(f"y_pred < {FAIR_THRESHOLD}", "y_pred < (SELECT threshold FROM bt)")
+    return (SCORED_SQL + """,
+  scores_long AS (SELECT 'valid' AS model, 'v' AS grp, CAST(target_num AS INTEGER) AS y_true, """ + S.LOGIT_EXPR + """ AS y_prob
+                  FROM design WHERE split = 'valid' AND target_num IS NOT NULL)""" + grid_rest + """,
+  bt AS (SELECT threshold FROM ranked WHERE rank = 1)""" + fair_rest + "\nSELECT fair.*, bt.threshold FROM fair, bt")
+
+
+@query("threshold_fairness", FAIR_COLS + " threshold:double", _entry_c_sql())
+def threshold_fairness(spark, sf_dir):
+    """Entry C: the decision threshold is optimised on the validation split (10 x 10 cost
+    grid, sensitivity >= 0.8, best pair) and subgroup fairness is reported on the test
+    split at that threshold. Only the chosen threshold (one number) reaches the driver."""
+    from cohortlens.operators import threshold as H
+    from cohortlens.operators.scorer import logit_score
+    from cohortlens.plans.common import feature_design
+    d = feature_design(spark, sf_dir).withColumn("__score", logit_score(views.DESIGN_COEFS))
+    val = d.where((F.col("split") == "valid") & F.col("target_num").isNotNull()) \
+           .select(F.col("target_num").alias("y_true"), F.col("__score").alias("y_prob"))
+    best = H.best_threshold(H.optimize_grid(H.threshold_curve(val))).first()["threshold"]
+    test = d.where((F.col("split") == "test") & F.col("target_num").isNotNull()).withColumn("y_prob", F.col("__score"))
+    return FA.fairness_metrics(test, FAIR_GROUPS, best).withColumn("threshold", F.lit(float(best)))

@@ -180,3 +180,28 @@ def events_history(spark, sf_dir):
     from cohortlens.spec import PanelSpec
     spec = PanelSpec(order=("ts", "rownames"), time="ts", dos="day")
     return features.history_features(views.events_panel(spark, sf_dir), spec, value="value")
+
+
+ENTRY_A_NUM = ["rownames", "id", "time", "dos", "age", "airq"]
+
+
+@query("feature_pipeline", "rownames:bigint id:bigint airq_is_outlier:boolean dos_is_outlier:boolean phase:string "
+       "study_season:string age_band:string target_num:bigint days_since_first_visit:bigint visit_number:bigint "
+       "airq_prev_mean:double prev_attacks:double",
+       S.with_(S.PANEL.replace("panel AS (", "raw AS ("), "panel AS (SELECT DISTINCT * FROM raw)", S.SCALAR, S.FEAT) + """,
+  b AS (SELECT quantile_cont(airq, 0.25) AS a1, quantile_cont(airq, 0.75) AS a3,
+               quantile_cont(CAST(dos AS DOUBLE), 0.25) AS d1, quantile_cont(CAST(dos AS DOUBLE), 0.75) AS d3 FROM panel)
+SELECT rownames, id,
+  coalesce(airq < a1 - 1.5 * (a3 - a1) OR airq > a3 + 1.5 * (a3 - a1), false) AS airq_is_outlier,
+  coalesce(dos < d1 - 1.5 * (d3 - d1) OR dos > d3 + 1.5 * (d3 - d1), false) AS dos_is_outlier,
+  phase, study_season, age_band, target_num, days_since_first_visit, visit_number, airq_prev_mean, prev_attacks
+FROM feat, b""")
+def feature_pipeline(spark, sf_dir):
+    """Entry A end to end: scan, basic cleaning (names, full-row de-duplication),
+    IQR outlier flags for every numeric column, then scalar and history features -
+    one Spark job with one shuffle for the de-duplication and one on entity."""
+    from cohortlens.operators import clean, profile
+    raw = views.panel(spark, sf_dir)
+    cleaned = clean.basic_cleaning(raw, target="target_num")   # no target column yet: nothing dropped
+    flagged = profile.flag_outliers(cleaned, ENTRY_A_NUM)
+    return features.build_feature_panel(flagged)
