@@ -17,9 +17,10 @@ FAIR_GROUPS = ["sex", "hatype", "study_season"]
 
 def feature_design(spark, sf_dir) -> DataFrame:
     """Feature panel + design columns + entity split."""
-    fp = features.build_feature_panel(views.panel(spark, sf_dir))
-    d = views.design_columns(fp)
-    return split.attach_split(d, split.entity_split(fp, "id", 0.4, SEED))
+    panel = views.panel(spark, sf_dir)
+    d = views.design_columns(features.build_feature_panel(panel))
+    # the split needs entity ids only: derive it from the raw panel, not the windowed frame
+    return split.attach_split(d, split.entity_split(panel, "id", 0.4, SEED))
 
 
 def scored_panel(spark, sf_dir) -> DataFrame:
