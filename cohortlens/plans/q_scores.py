@@ -208,3 +208,25 @@ def label_score_auc(spark, sf_dir):
     long = j.unpivot(["doc_id", "y_prob"], ["quality", "toxic"], "label", "y_true")
     h = M.score_histogram(long, ["label"])
     return M.auc_ap(M.curve_table(h, ["label"]), ["label"])
+
+
+
+def _stream_transform(df):
+    return df.select(
+        F.col("l_linestatus").alias("grp"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("int").alias("y_true"),
+        F.explode(F.array(
+            F.struct(F.lit("bucketed").alias("model"), (F.col("l_discount") * F.lit(10.0)).alias("p")),
+            F.struct(F.lit("continuous").alias("model"), (F.col("l_extendedprice") / F.lit(105000.0)).alias("p")),
+        )).alias("s")).select(F.col("s.model").alias("model"), "y_true", F.col("s.p").alias("y_prob"))
+
+
+@query("stream_metrics", "model:string roc_auc:double pr_auc:double brier:double ece:double tp:bigint tn:bigint "
+       "fp:bigint fn:bigint precision:double sensitivity:double", ALL_SQL)
+def stream_metrics(spark, sf_dir):
+    """E8 over a stream: the scored-item file read with Structured Streaming, the score
+    histogram kept as streaming state, metrics computed per micro-batch from it."""
+    from cohortlens.sources.readers import table
+    from cohortlens.streaming.metrics_stream import metrics_from_stream
+    schema = table(spark, sf_dir, "lineitem").schema
+    return metrics_from_stream(spark, sf_dir, schema, _stream_transform, ["model"], file_glob="lineitem.parquet")

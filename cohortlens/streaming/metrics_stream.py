@@ -49,3 +49,29 @@ def run_metrics_stream(spark: SparkSession, source_dir: str, schema: T.StructTyp
     w = hist.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(per_batch)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def metrics_from_stream(spark: SparkSession, directory: str, schema: T.StructType,
+                        transform: Callable[[DataFrame], DataFrame], keys: list[str],
+                        y: str = "y_true", p: str = "y_prob", threshold: float = 0.5,
+                        file_glob: str | None = None) -> DataFrame:
+    """Run the stream to completion (``availableNow``) over the Parquet files in
+    ``directory`` (optionally only those matching ``file_glob``) and return the metric
+    table of the final micro-batch (one row per key group)."""
+    reader = spark.readStream.schema(schema)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    stream = transform(reader.parquet(directory))
+    hist = streaming_histogram(stream, keys, y, p)
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    last: list = []
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = metric_table(batch, keys, threshold).collect()   # one row per key group
+        last[:] = [rows]
+
+    q = hist.writeStream.outputMode("complete").option("checkpointLocation", ckpt) \
+            .foreachBatch(per_batch).trigger(availableNow=True).start()
+    q.awaitTermination()
+    schema_out = metric_table(spark.createDataFrame([], hist.schema), keys, threshold).schema
+    return spark.createDataFrame(last[0] if last else [], schema_out)
