@@ -104,25 +104,41 @@ def history_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, strategy: st
     return out.withColumn("prev_attacks", F.coalesce(F.col("prev_attacks"), F.lit(0)).cast("double"))
 
 
-def prev_events_reference(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, events: str | None = None) -> DataFrame:
+def prev_events_reference(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, events: str | None = None,
+                          strategy: str = "auto", max_rows_per_task: int = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
     """W4 in the reference's leaky form (Q1): the cumulative sum is grouped by entity
     but shifted over the whole (id, time)-sorted table, so an entity's first row
     gets the previous entity's running total (0 if that entity's last event is
     missing); a row after a missing event gets 0.
 
     No global window: entity totals are ranked with a distributed prefix count,
-    joined to the next entity's rank, and attached to first rows.
-    """
+    joined to the next entity's rank, and attached to first rows. Within an
+    entity the ``window`` strategy uses lag/sum windows; ``split`` (chosen for a
+    hot entity) uses range-partitioned prefix sums and a join of each row to its
+    predecessor on (id, position)."""
     events = events or spec.target_num
+    if strategy == "auto":
+        strategy = "split" if max_entity_rows(df, spec.id) > max_rows_per_task else "window"
     order = [F.col(spec.time)] + [F.col(c) for c in spec.order]
-    by_id = Window.partitionBy(spec.id).orderBy(*order)
     e = F.col(events)
-    within = df.select(
-        "*",
-        F.row_number().over(by_id).alias("__rn"),
-        F.lag(e).over(by_id).alias("__lag_e"),
-        F.sum(e).over(by_id.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-    )
+    if strategy == "window":
+        by_id = Window.partitionBy(spec.id).orderBy(*order)
+        within = df.select(
+            "*",
+            F.row_number().over(by_id).alias("__rn"),
+            F.lag(e).over(by_id).isNull().alias("__prev_missing"),
+            F.sum(e).over(by_id.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        )
+    elif strategy == "split":
+        ranked_rows = running_sums(df, [spec.id], order, {
+            "__rn": F.lit(1).cast("bigint"), "__before": e}, inclusive=False)
+        ranked_rows = ranked_rows.withColumn("__rn", F.coalesce("__rn", F.lit(0)) + 1)
+        prev = ranked_rows.select(F.col(spec.id).alias("__pid_"), (F.col("__rn") + 1).alias("__prn"),
+                                  e.isNull().alias("__prev_missing"))
+        within = ranked_rows.join(prev, (ranked_rows[spec.id] == prev["__pid_"]) & (ranked_rows["__rn"] == prev["__prn"]),
+                                  "left").drop("__pid_", "__prn")
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
     last_struct = F.struct(*[F.col(spec.time)] + [F.col(c) for c in spec.order])
     totals = df.groupBy(spec.id).agg(
         F.max_by(e.isNull(), last_struct).alias("__last_null"),
@@ -138,9 +154,9 @@ def prev_events_reference(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, events:
         .select(spec.id, F.coalesce("__carry", F.lit(0.0)).alias("__carry"))
     out = within.join(first_carry, spec.id, "left")
     val = F.when(F.col("__rn") == 1, F.col("__carry")) \
-           .when(F.col("__lag_e").isNull(), F.lit(0.0)) \
+           .when(F.coalesce(F.col("__prev_missing"), F.lit(True)), F.lit(0.0)) \
            .otherwise(F.coalesce(F.col("__before").cast("double"), F.lit(0.0)))
-    return out.withColumn("prev_attacks_ref", val).drop("__rn", "__lag_e", "__before", "__carry")
+    return out.withColumn("prev_attacks_ref", val).drop("__rn", "__prev_missing", "__before", "__carry")
 
 
 def build_feature_panel(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, strategy: str = "auto") -> DataFrame:

@@ -28,6 +28,7 @@ class Query:
     out: list[tuple[str, str]]
     sql: str | None
     doc: str
+    sql_raw: str | None = None
 
 
 REGISTRY: dict[str, Query] = {}
@@ -78,7 +79,7 @@ def query(name: str, out: str, sql: str | None = None):
 
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
-        REGISTRY[name] = Query(name, run, cols, wrap_sql(sql, cols) if sql else None, fn.__doc__ or "")
+        REGISTRY[name] = Query(name, run, cols, wrap_sql(sql, cols) if sql else None, fn.__doc__ or "", sql)
         return fn
 
     return deco

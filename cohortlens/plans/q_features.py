@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import clean, features
 from cohortlens.plans import sql as S
-from cohortlens.plans.base import query
+from cohortlens.plans.base import REGISTRY, query
 from cohortlens.sources import views
 
 PANEL_COLS = "rownames:bigint id:bigint dos:bigint time:bigint hatype:string medication:string sex:string age:bigint airq:double headache:string"
@@ -205,3 +205,12 @@ def feature_pipeline(spark, sf_dir):
     cleaned = clean.basic_cleaning(raw, target="target_num")   # no target column yet: nothing dropped
     flagged = profile.flag_outliers(cleaned, ENTRY_A_NUM)
     return features.build_feature_panel(flagged)
+
+
+
+@query("prev_events_ref_split", "rownames:bigint id:bigint prev_attacks_ref:double", REGISTRY["prev_events_ref"].sql_raw)
+def prev_events_ref_split(spark, sf_dir):
+    """W4 reference mode (Q1) through the hot-entity strategy: prefix sums over range
+    partitions and a join of each row to its predecessor instead of lag windows."""
+    df = features.add_scalar_features(views.panel(spark, sf_dir))
+    return features.prev_events_reference(df, strategy="split")

@@ -66,3 +66,14 @@ def test_quartile_band_duplicate_breaks_raise(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (2.0,)], "x double")
     with pytest.raises(ValueError):
         profile.quartile_band(df, "x")
+
+
+def test_reference_prev_events_split_strategy(spark):
+    rows = [(1, 1, 0, "yes"), (2, 1, 1, "yes"), (3, 2, 0, "no"), (4, 2, 1, "yes"), (5, 3, 0, None), (6, 3, 1, "yes"),
+            (7, 3, 2, "no"), (8, 3, 3, None), (9, 4, 0, "yes")]
+    df = features.add_target_numeric(spark.createDataFrame(rows, "rownames long, id long, time long, headache string"))
+    a = {r["rownames"]: r["prev_attacks_ref"] for r in features.prev_events_reference(df, strategy="window").collect()}
+    b = {r["rownames"]: r["prev_attacks_ref"] for r in features.prev_events_reference(df, strategy="split").collect()}
+    assert a == b
+    assert a[9] == 0.0      # previous entity's last event is missing
+    assert a[8] == 1.0 and a[7] == 1.0
