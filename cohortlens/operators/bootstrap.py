@@ -94,32 +94,30 @@ def replicate_histogram(df: DataFrame, row_key: list[str], keys: list[str] | Non
                         y: str = "y_true", p: str = "y_prob", n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """(keys..., rep, score, pos, neg) with Poisson(1) replicate weights.
 
-    Key columns are replaced by a dense integer id before the expansion (the
-    id table has one row per key group), so the per-(row, replicate) aggregate
-    hashes only integers and a double; labels are summed as integer weights
-    per (id, rep, label, score) and turned into pos/neg on the reduced table."""
+    Each (keys, label, score) cell gets a dense integer id first (one row per cell,
+    ranked with distributed prefix sums); the per-(row, replicate) aggregate then
+    groups by the single bigint ``cell * n_boot + rep``, and cells are decoded on
+    the reduced table."""
     keys = list(keys or [])
     h = hash_int(F.lit(seed), *[F.col(c) for c in row_key])
     d = df.where(finite(p) & F.col(y).isNotNull()) \
           .select(*keys, F.col(y).cast("int").alias("__y"), F.col(p).cast("double").alias("score"), h.alias("__h"))
-    if keys:
-        kid = running_sums_auto(d.select(*keys).distinct(), [], [F.col(k) for k in keys],
-                                {"__kid": F.lit(1).cast("bigint")}, inclusive=True)
-        d = d.join(kid, keys, "inner").drop(*keys)
-    else:
-        d = d.withColumn("__kid", F.lit(1).cast("bigint"))
-    x = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    cell_cols = keys + ["__y", "score"]
+    cells = running_sums_auto(d.select(*cell_cols).distinct(), [], [F.col(c) for c in cell_cols],
+                              {"__cell": F.lit(1).cast("bigint")}, inclusive=True)
+    rows = d.join(cells, cell_cols, "inner").select("__cell", "__h")
+    x = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     x = replicate_uniform_columns(x, "__h", "rep")
     x = x.withColumn("__w", poisson_weight(F.col("__u")))
     # Zero weights are dropped after the aggregate, not before: a filter here
     # would be pushed below the hashing projections and inline them.
-    cells = x.groupBy("__kid", "rep", "__y", "score").agg(F.sum("__w").alias("__w"))
-    hist = cells.where(F.col("__w") > 0).groupBy("__kid", "rep", "score").agg(
+    agg = x.groupBy((F.col("__cell") * F.lit(n_boot) + F.col("rep")).alias("__k")).agg(F.sum("__w").alias("__w"))
+    agg = agg.where(F.col("__w") > 0).select(F.floor(F.col("__k") / F.lit(n_boot)).cast("bigint").alias("__cell"),
+                                             F.pmod(F.col("__k"), F.lit(n_boot)).cast("int").alias("rep"), "__w")
+    decoded = agg.join(cells, "__cell", "inner")
+    return decoded.groupBy(*keys, "rep", "score").agg(
         F.sum(F.when(F.col("__y") == 1, F.col("__w")).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(F.col("__y") == 0, F.col("__w")).otherwise(0)).cast("double").alias("neg"))
-    if keys:
-        return hist.join(kid.select(*keys, "__kid"), "__kid", "inner").drop("__kid")
-    return hist.drop("__kid")
 
 
 def bootstrap_metrics(df: DataFrame, row_key: list[str], keys: list[str] | None = None, y: str = "y_true",
