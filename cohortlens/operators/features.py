@@ -52,10 +52,18 @@ def add_scalar_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFr
     return add_target_numeric(df, spec.target, spec.target_num)
 
 
+_MAX_ROWS_CACHE: dict[tuple[int, str], int] = {}
+
+
 def max_entity_rows(df: DataFrame, id_col: str = "id") -> int:
-    """Largest entity size (partial aggregation; one number to the driver)."""
-    row = df.groupBy(id_col).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+    """Largest entity size (partial aggregation; one number to the driver).
+    Remembered per logical plan, so repeated feature builds on the same input
+    measure once per session."""
+    key = (df.select(id_col).semanticHash(), id_col)
+    if key not in _MAX_ROWS_CACHE:
+        row = df.groupBy(id_col).count().agg(F.max("count").alias("m")).first()
+        _MAX_ROWS_CACHE[key] = int(row["m"] or 0)
+    return _MAX_ROWS_CACHE[key]
 
 
 def history_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, strategy: str = "auto",
