@@ -86,7 +86,7 @@ def tune_logistic(train: DataFrame, n_train: int, fold_col: str = "fold", parall
     return model, pg.build()
 
 
-def pipeline(prep_stages: list, estimator) -> Pipeline:
+def staged_model(prep_stages: list, estimator) -> Pipeline:
     """Preprocessing + model as one Pipeline."""
     return Pipeline(stages=list(prep_stages) + [estimator])
 

@@ -185,7 +185,7 @@ def events_history(spark, sf_dir):
 ENTRY_A_NUM = ["rownames", "id", "time", "dos", "age", "airq"]
 
 
-@query("feature_pipeline", "rownames:bigint id:bigint airq_is_outlier:boolean dos_is_outlier:boolean phase:string "
+@query("entry_features", "rownames:bigint id:bigint airq_is_outlier:boolean dos_is_outlier:boolean phase:string "
        "study_season:string age_band:string target_num:bigint days_since_first_visit:bigint visit_number:bigint "
        "airq_prev_mean:double prev_attacks:double",
        S.with_(S.PANEL.replace("panel AS (", "raw AS ("), "panel AS (SELECT DISTINCT * FROM raw)", S.SCALAR, S.FEAT) + """,
@@ -196,7 +196,7 @@ SELECT rownames, id,
   coalesce(dos < d1 - 1.5 * (d3 - d1) OR dos > d3 + 1.5 * (d3 - d1), false) AS dos_is_outlier,
   phase, study_season, age_band, target_num, days_since_first_visit, visit_number, airq_prev_mean, prev_attacks
 FROM feat, b""")
-def feature_pipeline(spark, sf_dir):
+def entry_features(spark, sf_dir):
     """Entry A end to end: scan, basic cleaning (names, full-row de-duplication),
     IQR outlier flags for every numeric column, then scalar and history features -
     one Spark job with one shuffle for the de-duplication and one on entity."""

@@ -171,13 +171,13 @@ def fit_gbt_sub(spark, sf_dir):
     return _eval(ML.train_all(train, 0, ["gbt_sub"], seed=SEED), d)
 
 
-@query("pipeline_score", "rownames:bigint id:bigint y_prob:double")
-def pipeline_score(spark, sf_dir):
+@query("staged_model_score", "rownames:bigint id:bigint y_prob:double")
+def staged_model_score(spark, sf_dir):
     """Preprocessing stages + logistic model fitted as one Pipeline; scores of the test rows."""
     d, params = fitted_prep(spark, sf_dir)
     train = d.where(F.col("split") == "train").cache()
     n = train.count()
-    pipe = ML.pipeline(P.preprocessor_model(params).stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
+    pipe = ML.staged_model(P.preprocessor_model(params).stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
     fitted = pipe.fit(train)
     return ML.positive_probability(fitted.transform(d.where(F.col("split") == "test"))).select("rownames", "id", "y_prob")
 
@@ -284,15 +284,15 @@ def platt_fit(spark, sf_dir):
                                  "term string, estimate double")
 
 
-@query("pipeline_roundtrip", "rownames:bigint y_prob:double y_prob_loaded:double")
-def pipeline_roundtrip(spark, sf_dir):
+@query("model_roundtrip", "rownames:bigint y_prob:double y_prob_loaded:double")
+def model_roundtrip(spark, sf_dir):
     """Preprocess + logistic as one Pipeline, saved to the shared checkpoint
     folder, loaded back, and both copies score the test rows."""
     d, params = fitted_prep(spark, sf_dir)
     train = d.where(F.col("split") == "train").cache()
     n = train.count()
     prep = P.preprocessor_model(params)
-    pipe = ML.pipeline(prep.stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
+    pipe = ML.staged_model(prep.stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
     fitted = pipe.fit(train)
     path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
     loaded = ML.load_model(ML.save_model(fitted, path))
@@ -327,7 +327,7 @@ def _fitted_pipeline(spark, sf_dir):
     d, params = fitted_prep(spark, sf_dir)
     train = d.where(F.col("split") == "train").cache()
     n = train.count()
-    pipe = ML.pipeline(P.preprocessor_model(params).stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
+    pipe = ML.staged_model(P.preprocessor_model(params).stages, ML.logistic(n, LOGREG_C, LOGREG_L1))
     return d, pipe.fit(train)
 
 
