@@ -122,3 +122,12 @@ def test_box_stats_overall_and_semi_join(spark):
     assert r["whisker_hi"] == 4.0 and r["n_outliers"] == 1 and r["n"] == 5
     keys = spark.createDataFrame([(1,)], "g int")
     assert clean.semi_join(df, keys, ["g"]).count() == 2
+
+
+def test_one_row_and_null_target(spark):
+    one = spark.createDataFrame([(1, 0.7)], "y_true int, y_prob double")
+    r = M.metrics(one).first()
+    assert r["roc_auc"] is None and r["pr_auc"] == 1.0 and r["tp"] == 1
+    withnull = spark.createDataFrame([(1, 0.7), (None, 0.2), (0, 0.1)], "y_true int, y_prob double")
+    r2 = M.metrics(withnull).first()
+    assert r2["tp"] + r2["tn"] + r2["fp"] + r2["fn"] == 2 and r2["roc_auc"] == 1.0
