@@ -77,3 +77,21 @@ def test_reference_prev_events_split_strategy(spark):
     assert a == b
     assert a[9] == 0.0      # previous entity's last event is missing
     assert a[8] == 1.0 and a[7] == 1.0
+
+
+def test_auto_strategy_switches_for_hot_entity(spark):
+    # one entity holds most rows: with a small per-task budget, auto must take the split path
+    rows = [(i, 1 if i % 4 else 2, i, i, float(i % 7), "yes" if i % 3 else "no") for i in range(1, 201)]
+    df = features.add_target_numeric(spark.createDataFrame(
+        rows, "rownames long, id long, time long, dos long, airq double, headache string"))
+    assert features.max_entity_rows(df) == 150
+    cols = ["rownames", "visit_number", "airq_prev_mean", "prev_attacks", "days_since_first_visit"]
+    auto = {r["rownames"]: tuple(r[c] for c in cols[1:])
+            for r in features.history_features(df, strategy="auto", max_rows_per_task=20).select(*cols).collect()}
+    win = {r["rownames"]: tuple(r[c] for c in cols[1:])
+           for r in features.history_features(df, strategy="window").select(*cols).collect()}
+    assert auto.keys() == win.keys()
+    for k in auto:
+        a, b = auto[k], win[k]
+        assert a[0] == b[0] and a[2] == b[2] and a[3] == b[3]
+        assert (a[1] is None and b[1] is None) or a[1] == pytest.approx(b[1], abs=1e-12)
