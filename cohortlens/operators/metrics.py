@@ -158,6 +158,26 @@ def roc_points(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
                         _div(F.col("fp_ge"), F.col("N")).alias("fpr"), _div(F.col("tp_ge"), F.col("P")).alias("tpr"))
 
 
+def roc_points_thinned(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """E11 with collinear points dropped (the plotting library's default): a point is
+    kept when the second difference of FP or TP counts around it is non-zero; the
+    first and last points are always kept. Points are ranked by descending score with
+    a distributed prefix count and joined to their neighbours on (keys, rank)."""
+    keys = list(keys or [])
+    ranked = running_sums_auto(curve, keys, [F.col("score").desc()], {"__r": F.lit(1).cast("bigint")}, inclusive=True)
+    ranked = ranked.withColumn("__r", F.col("__r").cast("bigint"))
+    n = ranked.groupBy(*keys).agg(F.max("__r").alias("__n"))
+    nb = ranked.select(*keys, "__r", "fp_ge", "tp_ge")
+    prev = nb.select(*keys, (F.col("__r") + 1).alias("__r"), F.col("fp_ge").alias("__fp0"), F.col("tp_ge").alias("__tp0"))
+    nxt = nb.select(*keys, (F.col("__r") - 1).alias("__r"), F.col("fp_ge").alias("__fp2"), F.col("tp_ge").alias("__tp2"))
+    j = ranked.join(prev, keys + ["__r"], "left").join(nxt, keys + ["__r"], "left")
+    j = j.join(n, keys, "inner") if keys else j.crossJoin(F.broadcast(n))
+    bend = ((F.col("__fp2") - 2 * F.col("fp_ge") + F.col("__fp0")) != 0) | \
+           ((F.col("__tp2") - 2 * F.col("tp_ge") + F.col("__tp0")) != 0)
+    keep = (F.col("__r") == 1) | (F.col("__r") == F.col("__n")) | F.coalesce(bend, F.lit(False))
+    return roc_points(j.where(keep), keys)
+
+
 def pr_points(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(threshold, precision, recall) at every distinct score."""
     keys = list(keys or [])

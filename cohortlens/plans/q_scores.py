@@ -230,3 +230,15 @@ def stream_metrics(spark, sf_dir):
     from cohortlens.streaming.metrics_stream import metrics_from_stream
     schema = table(spark, sf_dir, "lineitem").schema
     return metrics_from_stream(spark, sf_dir, schema, _stream_transform, ["model"], file_glob="lineitem.parquet")
+
+
+
+@query("roc_curve_thinned", "model:string threshold:double fpr:double tpr:double", SL + HIST + """,
+  nb AS (SELECT *, lag(fp_ge) OVER w AS fp0, lag(tp_ge) OVER w AS tp0, lead(fp_ge) OVER w AS fp2, lead(tp_ge) OVER w AS tp2,
+                row_number() OVER w AS r, count(*) OVER (PARTITION BY model) AS n_pts
+         FROM cd WINDOW w AS (PARTITION BY model ORDER BY s DESC))
+  SELECT model, s AS threshold, fp_ge / N AS fpr, tp_ge / P AS tpr FROM nb
+  WHERE r = 1 OR r = n_pts OR coalesce(fp2 - 2 * fp_ge + fp0 <> 0 OR tp2 - 2 * tp_ge + tp0 <> 0, false)""")
+def roc_curve_thinned(spark, sf_dir):
+    """ROC points with collinear points dropped (neighbours found by rank joins, no global window)."""
+    return M.roc_points_thinned(_curve(spark, sf_dir), ["model"])

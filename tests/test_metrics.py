@@ -134,3 +134,17 @@ def test_equal_width_bins_match_numpy(spark):
     got = {r["bin"]: r["count"] for r in profile.equal_width_histogram(df, ["x"], 20).collect()}
     counts, _ = np.histogram(x, bins=20)
     assert [got.get(i, 0) for i in range(20)] == list(counts)
+
+
+def test_thinned_roc_matches_numpy_rule(spark):
+    rng = np.random.default_rng(12)
+    n = 400
+    y = rng.integers(0, 2, n)
+    p = np.round(rng.random(n), 2)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y_true int, y_prob double")
+    got = sorted(r["threshold"] for r in M.roc_points_thinned(M.curve_table(M.score_histogram(df))).collect())
+    thr = np.unique(p)[::-1]
+    fps = np.array([((p >= t) & (y == 0)).sum() for t in thr])
+    tps = np.array([((p >= t) & (y == 1)).sum() for t in thr])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    assert got == sorted(thr[keep].tolist())
