@@ -4,21 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import ngram_join
+from cohortlens.llm import byte_bpe, ngram_join, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of ``documents`` under word_bpe_49k."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded by byte_bpe_multi_50k and decoded again: counts and digests."""
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                     public_tokenizers.PATTERN, keep_ids=False, spaces_split=True)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under five-word shingle Jaccard of at least 0.8, one row per document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
+    "op5_byte_bpe": op5_byte_bpe,
     "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
