@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import byte_bpe, line_dedup, ngram_join, quality, token_counts
+from cohortlens.llm import byte_bpe, line_dedup, ngram_join, quality, secret_scan, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.PATTERN, keep_ids=False, spaces_split=True)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of ``documents``; the source owns a text, source and language stand for its repository."""
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    return secret_scan.digests(secret_scan.secret_spans(docs, repo_col="repository"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under five-word shingle Jaccard of at least 0.8, one row per document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_secret_scan": op6_secret_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 

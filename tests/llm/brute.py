@@ -51,3 +51,35 @@ def components(rows, percent=80):
     for i, s in enumerate(kinds):
         out |= {d: (len(s), least[find(i)]) for d in by_set[s]}
     return out
+
+
+def secret_base(text):
+    """[(start, kind number, end, name, value)] of the base patterns, sorted."""
+    import re
+    kinds = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
+             ("access", r"AKIA[A-Z0-9]+", 18, 0), ("hex", r"[0-9a-f]+", 16, 0)]
+    out = []
+    for k, (name, pattern, least, group) in enumerate(kinds):
+        out += [(m.start(), k, m.end(), name, m[group]) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return sorted(out)
+
+
+def secret_extra(text):
+    import re
+    base = secret_base(text)
+    found = [(m.start(), 3, m.end(), "owned", m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or "")
+             if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    return [x for x in found if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+
+
+def secrets(rows):
+    """{id: (base, spans, live, copied)} of (id, text, owner, repo) rows with distinct ids."""
+    per = {i: (secret_base(t), secret_extra(t), o or "", r or "") for i, t, o, r in rows}
+    owners, repos = defaultdict(set), defaultdict(set)
+    for base, extra, o, r in per.values():
+        for s in base + extra:
+            owners[s[4]].add(o)
+            repos[s[4]].add((o, r))
+    copied = {v for v in owners if len(owners[v]) >= 3 or len(repos[v]) >= 5}
+    return {i: (base, sorted(base + [s for s in extra if s[4] not in copied]),
+                sum(s[4] not in copied for s in base + extra), sum(s[4] in copied for s in base + extra)) for i, (base, extra, _, _) in per.items()}
