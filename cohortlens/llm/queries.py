@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import byte_bpe, line_dedup, ngram_join, quality, secret_scan, token_counts
+from cohortlens.llm import byte_bpe, line_dedup, ngram_join, quality, secret_scan, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,14 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every URL of ``pages``; the labels of the documents that pages show teach the association rules."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    shown = pages.withColumn("doc_id", F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)', 1) AS bigint)"))
+    labelled = shown.join(labels, "doc_id").select("url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
+    return url_rules.judge_urls(pages, labelled)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fertility_rules": op2_fertility_rules,
     "op3_token_counts": op3_token_counts,
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op10_url_rules": op10_url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
