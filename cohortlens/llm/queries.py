@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import byte_bpe, line_dedup, ngram_join, quality, secret_scan, token_counts, url_rules
+from cohortlens.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality, secret_scan, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secret_spans(docs, repo_col="repository"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of ``benchmark`` that every text of ``documents`` holds, within a fifth of their words in edits."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under five-word shingle Jaccard of at least 0.8, one row per document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_url_rules": op10_url_rules,
 }
