@@ -15,7 +15,9 @@ the threshold.
 4. Tokens are ordered from rare to frequent. Two sets that link share a token
    of their prefixes, so the matrix is kept for prefix tokens, and a token that
    meets only one group opens nothing: a large group of near copies costs its
-   own tokens, not its pairs.
+   own tokens, not its pairs. A set with s shared tokens links with none larger
+   than (100 + percent) / percent * s - n, which parts the near copies that
+   have drifted too far before any pair is made.
 5. For each (document, other group) that meets: the exact overlap with the
    group's token union bounds the similarity; what passes is opened, and its
    members are compared exactly.
@@ -66,7 +68,7 @@ def _needed(n, percent: int):
 
 
 def _per_block(percent: int):
-    def per_block(meta, where, items, code):
+    def per_block(block, meta, where, items, code):
         at = np.searchsorted(where, np.arange(len(meta) + 1))
         shared = []
         for i, n in enumerate(meta["n"].astype(np.int64)):
@@ -91,10 +93,10 @@ def _signatures(count: int):
     def run(batches):
         for pdf in batches:
             out = []
-            for k, blob in zip(pdf["k"], pdf["shared"], strict=True):
+            for k, n, most, blob in zip(pdf["k"], pdf["n"], pdf["most"], pdf["shared"], strict=True):
                 t = np.frombuffer(blob, np.uint64)
-                out += [(k, j, int(mix(t ^ np.uint64(0xA5A5_0001 * (j + 1))).min().astype(np.int64))) for j in range(count)]
-            yield pd.DataFrame(out, columns=["k", "band", "value"])
+                out += [(k, n, most, j, int(mix(t ^ np.uint64(0xA5A5_0001 * (j + 1))).min().astype(np.int64))) for j in range(count)]
+            yield pd.DataFrame(out, columns=["k", "n", "most", "band", "value"])
 
     return run
 
@@ -124,11 +126,11 @@ def _bound(percent: int):
     return qualifies
 
 
-def _prefix(percent: int):
+def _prefix(share: int, of: int):
+    """The shared tokens among the first n - ceil(share * n / of) + 1 of a set; tokens of one document only come first in the order and meet nothing."""
     @F.pandas_udf("array<long>")
     def prefix(blob: pd.Series, n: pd.Series) -> pd.Series:
-        """Shared tokens in the prefix: tokens of one document only come first in the order and meet nothing."""
-        return pd.Series([_tokens(b)[:len(b) // 8 - int(_needed(int(m), percent)) + 1] for b, m in zip(blob, n, strict=True)])
+        return pd.Series([_tokens(b)[:max(0, len(b) // 8 - -(-share * int(m) // of) + 1)] for b, m in zip(blob, n, strict=True)])
 
     return prefix
 
@@ -152,43 +154,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same result. Other columns of ``docs`` are not read. An empty table gives
     no rows. Sets are compared by 64-bit hashes.
     """
-    k = F.xxhash64("n", "h1", "h2")
     rows = saved(shared_items(keyed_text(docs, id_col, text_col), _extract(size), _META, _per_block(percent),
-                              "id long, n long, h1 long, h2 long, shared binary").withColumn("k", F.when(F.col("n") > 0, k)))
-    classes = saved(rows.where("shared is not null").dropDuplicates(["k"]).select("k", "n", "shared"))
+                              "id long, n long, h1 long, h2 long, shared binary").withColumn("k", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2"))))
+    # overlap >= percent / (100 + percent) * (n + m): with s shared tokens, no partner is larger than this
+    most = F.expr(f"({100 + percent}L * (octet_length(shared) div 8)) div {percent} - n")
+    classes = saved(rows.where("shared is not null").dropDuplicates(["k"]).select("k", "n", most.alias("most"), "shared"))
+    blob = classes.select("k", "shared")
     hub = classes.select(F.col("k").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"))
     linked = _linked(percent)
 
-    bands = saved(classes.select("k", "shared").mapInPandas(_signatures(MIN_HASHES), "k long, band int, value long"))
-    heads = bands.groupBy("band", "value").agg(F.min("k").alias("hub"), F.max("k").alias("last")).where("hub <> last").drop("last")
-    stars = bands.join(heads, ["band", "value"]).where("k <> hub").select("k", "hub").distinct()
-    stars = saved(stars.join(classes, "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n"))
+    bands = saved(classes.mapInPandas(_signatures(MIN_HASHES), "k long, n long, most long, band int, value long"))
+    heads = bands.groupBy("band", "value").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "k", "n", "most")).alias("head"))
+    stars = bands.join(heads, ["band", "value"]).where("k <> head.k and n <= head.most and head.n <= most").select("k", F.col("head.k").alias("hub")).distinct()
+    stars = saved(stars.join(classes.select("k", "n", "shared"), "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n"))
                   .select(F.col("k").alias("a"), F.col("hub").alias("b")))
-    roots = connected_components(stars)
-    sized = classes.select("k").join(roots.select(F.col("node").alias("k"), "root"), "k", "left") \
-        .select("k", F.coalesce("root", "k").alias("g"))
+    roots = connected_components(stars).select(F.col("node").alias("k"), "root")
+    sized = classes.select("k", "n", "most").join(roots, "k", "left").withColumn("g", F.coalesce("root", "k"))
     parts = sized.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PART).alias("parts"))
-    member = saved(classes.join(sized, "k").join(parts, "g")
-                   .select("k", "n", "shared", "g", F.expr("pmod(xxhash64(k), parts)").alias("part")))
-
-    prefix = saved(member.select("k", "n", "g", "part", F.explode(_prefix(percent)("shared", "n")).alias("token")))
-    meets = prefix.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("token")
-    prefix = prefix.join(meets, "token")
-    matrix = prefix.groupBy("token", F.col("g").alias("to_g"), F.col("part").alias("to_part")) \
-        .agg(F.min("n").alias("n1"), F.max("n").alias("n2"))
-    meeting = saved(prefix.join(matrix, "token")
-                    .where(f"g <> to_g and 100 * n2 >= {percent} * n and 100 * n >= {percent} * n1")
+    member = saved(sized.join(parts, "g").select("k", "n", "most", "g", F.expr("pmod(xxhash64(k), parts)").alias("part")))
+
+    # each pair is looked for from its larger set: the other one's prefix is then shorter
+    ordered = saved(member.join(blob, "k").select(member["*"], _prefix(percent, 100)("shared", "n").alias("probe"),
+                                                  _prefix(2 * percent, 100 + percent)("shared", "n").alias("index")))
+    matrix = ordered.select("g", "part", "n", "most", F.explode("index").alias("token")).groupBy("token", F.col("g").alias("to_g"), F.col("part").alias("to_part")) \
+        .agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.max("most").alias("to_most"))
+    matrix = saved(matrix)
+    several = matrix.groupBy("token").agg(F.min("to_g").alias("g1"), F.max("to_g").alias("g2"), F.min("n1").alias("least_n"), F.max("to_most").alias("best_most"))
+    probe = ordered.select("k", "n", "most", "g", F.explode("probe").alias("token")).join(several, "token") \
+        .where("(g <> g1 or g <> g2) and least_n <= least(n, most) and best_most >= n").select("token", "k", "n", "most", "g")
+    meeting = saved(probe.join(matrix, "token")
+                    .where(f"g <> to_g and n1 <= least(n, most) and 100 * n2 >= {percent} * n and to_most >= n")
                     .select("k", "to_g", "to_part").distinct())
     met = meeting.select("to_g", "to_part").distinct()
-    unions = member.join(met, (member["g"] == met["to_g"]) & (member["part"] == met["to_part"])) \
+    unions = member.join(met, (member["g"] == met["to_g"]) & (member["part"] == met["to_part"])).select("k", "g", "part").join(blob, "k") \
         .select("g", "part", "shared").groupBy("g", "part").applyInPandas(_union, "g long, part long, union binary")
     opened = saved(meeting.join(unions, (meeting["to_g"] == unions["g"]) & (meeting["to_part"] == unions["part"])).drop("g", "part")
-                   .join(classes, "k").where(_bound(percent)("shared", "n", "union")).select("k", "to_g", "to_part"))
-    inside = member.select(F.col("k").alias("hub"), F.col("n").alias("hub_n"), F.col("g").alias("to_g"), F.col("part").alias("to_part"))
-    pairs = opened.join(inside, ["to_g", "to_part"]).join(classes.select("k", "n"), "k") \
-        .where(f"100 * hub_n >= {percent} * n and 100 * n >= {percent} * hub_n") \
+                   .join(classes.select("k", "n", "shared"), "k").where(_bound(percent)("shared", "n", "union")).select("k", "to_g", "to_part"))
+    inside = member.select(F.col("k").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("g").alias("to_g"), F.col("part").alias("to_part"))
+    pairs = opened.join(inside, ["to_g", "to_part"]).join(member.select("k", "n", "most"), "k") \
+        .where(f"hub_n <= least(n, most) and n <= hub_most and 100 * hub_n >= {percent} * n") \
         .select(F.least("k", "hub").alias("k"), F.greatest("k", "hub").alias("hub")).distinct()
-    across = saved(pairs.join(classes, "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n"))
+    across = saved(pairs.join(classes.select("k", "n", "shared"), "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n"))
                    .select(F.col("k").alias("a"), F.col("hub").alias("b")))
 
     roots = connected_components(stars.union(across)).select(F.col("node").alias("k"), "root")

@@ -53,7 +53,7 @@ def shared_items(text: DataFrame, extract: Callable, meta_dtype, per_block: Call
     and, per item in rising order, a number below 2**32 that says where it
     stands, counted from 0 in this call. ``owner`` may be the text's index or
     a running position; ``extract`` returns its length as a fourth value.
-    ``per_block(meta, where, items, code)`` yields pandas frames of
+    ``per_block(block, meta, where, items, code)`` makes a pandas frame of
     ``schema``; ``where`` counts through the block, ``items`` are hashes of 48
     bits and the bucket, ``code`` says how often an item occurs.
     """
@@ -133,7 +133,7 @@ def shared_items(text: DataFrame, extract: Callable, meta_dtype, per_block: Call
         where = np.concatenate(wheres) if wheres else np.zeros(0, np.uint32)
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint8)
         order = np.argsort(where, kind="stable")
-        return per_block(meta, where[order], item[order], code[order])
+        return per_block(int(pdf["block"].iloc[0]), meta, where[order], item[order], code[order])
 
     packed = text.mapInArrow(pack, "bucket long, block long, a binary, b binary, c binary")
     found = packed.groupBy("bucket").applyInPandas(repeated, "block long, kind int, bucket long, a binary, b binary, c binary, d binary")
