@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality, secret_scan, token_counts, url_rules
+from cohortlens.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fertility_rules(table(spark, sf_dir, "documents"), *vocabularies())
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more of every text of ``documents`` that have a near duplicate elsewhere."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text of ``documents`` under word_bpe_49k."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -89,6 +94,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` without the bytes of 200-byte strings that start twice: counts and digest."""
+    out = suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every URL of ``pages``; the labels of the documents that pages show teach the association rules."""
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
@@ -98,6 +109,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_fertility_rules": op2_fertility_rules,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
@@ -105,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_rules": op10_url_rules,
 }
 

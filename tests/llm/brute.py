@@ -83,3 +83,68 @@ def secrets(rows):
     copied = {v for v in owners if len(owners[v]) >= 3 or len(repos[v]) >= 5}
     return {i: (base, sorted(base + [s for s in extra if s[4] not in copied]),
                 sum(s[4] not in copied for s in base + extra), sum(s[4] in copied for s in base + extra)) for i, (base, extra, _, _) in per.items()}
+
+
+def removed_bytes(rows, length=200):
+    """{id: (bytes, removed, spans, kept bytes)} of (id, text) rows with distinct ids."""
+    from collections import Counter
+    data = {i: (t or "").encode() for i, t in rows}
+    often = Counter(b[k:k + length] for b in data.values() for k in range(len(b) - length + 1))
+    out = {}
+    for i, b in data.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if often[b[k:k + length]] > 1:
+                gone[k:k + length] = b"\1" * length
+        spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[i] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
+def repeated_windows(rows, n=50):
+    """{id: set of word places in runs of ``n`` words that another text has too} of (id, text) rows with distinct ids."""
+    at = defaultdict(set)
+    data = {i: [w.lower() for w in words(t)] for i, t in rows}
+    for i, w in data.items():
+        for k in range(len(w) - n + 1):
+            at[tuple(w[k:k + n])].add(i)
+    return {i: {p for k in range(len(w) - n + 1) if len(at[tuple(w[k:k + n])]) > 1 for p in range(k, k + n)} for i, w in data.items()}
+
+
+def quality_base(text):
+    """(words, their code points, symbols, repeated lines, words in repeated 8-word windows)."""
+    import re
+    from collections import Counter
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
+    often = Counter(windows)
+    covered = {p for i, x in enumerate(windows) if often[x] > 1 for p in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def word_edit_distance(item, text):
+    """Least word edits between ``item`` and any part of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def url_verdict(url, rules):
+    """(host, path, rule, verdict) by the host rules; the verdict is None where none fits."""
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] + [len(rest)])
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[:min([path.find(c) for c in "?#" if c in path] + [len(path)])]
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, None, None))
+    return host, path, best[1], best[2]
