@@ -24,13 +24,20 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def score_histogram(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p: str = "y_prob",
-                    weight: str | None = None) -> DataFrame:
-    """(keys..., score, pos, neg, n) over rows with a finite score and a 0/1 label."""
+                    weight: str | None = None, event_level: str = "second") -> DataFrame:
+    """(keys..., score, pos, neg, n) over rows with a finite score and a 0/1 label.
+
+    ``event_level``: "second" takes label 1 as the event (the score is its
+    probability), "first" label 0 (with one minus the score)."""
+    if event_level not in ("first", "second"):
+        raise ValueError(f"unknown event level {event_level!r}")
     keys = list(keys or [])
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     d = df.where(finite(p) & F.col(y).isNotNull())
-    yy = F.col(y).cast("double")
-    return d.groupBy(*keys, F.col(p).cast("double").alias("score")).agg(
+    yy, score = F.col(y).cast("double"), F.col(p).cast("double")
+    if event_level == "first":
+        yy, score = F.lit(1.0) - yy, F.lit(1.0) - score
+    return d.groupBy(*keys, score.alias("score")).agg(
         F.sum(w * yy).alias("pos"), F.sum(w * (F.lit(1.0) - yy)).alias("neg"))
 
 
@@ -128,6 +135,16 @@ def metrics(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p:
     return metric_table(hist, keys, threshold, n_bins, closed_last, strict=strict)
 
 
+def evaluate_models(models: dict, data: DataFrame, metrics_fn) -> DataFrame:
+    """Rows of ``metrics_fn(model, data)`` for each named model, stacked, with the name first."""
+    out = None
+    for name, model in models.items():
+        part = metrics_fn(model, data)
+        part = part.select(F.lit(name).alias("model"), *part.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def confusion(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p: str = "y_prob",
               threshold: float = 0.5, strict: bool = False) -> DataFrame:
     """Four counts in one pass; a one-class input still yields all four."""

@@ -96,10 +96,16 @@ def transform(df: DataFrame, p: PrepParams) -> DataFrame:
     return SQLTransformer(statement=transform_sql(p)).transform(df)
 
 
+def attribute_names(df: DataFrame, features: str = "features") -> list[str]:
+    """Names of a vector's places, from the attributes that the assembler left in the column's metadata."""
+    attrs = df.schema[features].metadata["ml_attr"]["attrs"]
+    return [a["name"] for a in sorted((a for kind in attrs.values() for a in kind), key=lambda a: a["idx"])]
+
+
 def with_names(df: DataFrame, p: PrepParams, features: str = "features") -> DataFrame:
-    """A feature vector back to named columns using the fitted name list."""
+    """A feature vector back to named columns, by its attributes."""
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(F.col(features))
-    names = p.feature_names()
+    names = attribute_names(df, features)
     base = df.drop(*[n for n in names if n in df.columns])
     return base.select("*", *[arr[i].alias(n) for i, n in enumerate(names)])

@@ -259,7 +259,7 @@ def shap_sampled(spark, sf_dir):
 
 
 PERM_SQL = D + """, fl AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f}')" for f in FEATS) + """) t(feature)),
-  dl AS (SELECT *, CAST(coalesce(headache = 'yes', false) AS INTEGER) AS y FROM design),
+  dl AS (SELECT *, CAST(headache = 'yes' AS INTEGER) AS y FROM design WHERE headache IS NOT NULL),
   ids AS (SELECT DISTINCT id FROM dl),
   rp AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM ids),
   rh AS (SELECT feature, id AS src_id, row_number() OVER (PARTITION BY feature ORDER BY md5(concat_ws('|', '42', feature, CAST(id AS VARCHAR))), id) AS k
@@ -290,7 +290,7 @@ WHERE t.feature <> 'baseline'"""
 @query("perm_importance", "Variable:string Importance:double", PERM_SQL)
 def perm_importance(spark, sf_dir):
     """Entity-block permutation importance (PR-AUC drop), all features in one job."""
-    d = design(spark, sf_dir).withColumn("y", F.coalesce(F.col("headache") == "yes", F.lit(False)).cast("int"))
+    d = design(spark, sf_dir).where(F.col("headache").isNotNull()).withColumn("y", (F.col("headache") == "yes").cast("int"))
     return X.permutation_importance(d, SCORER, "y", "id", "rownames", FEATS, SEED)
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.operators import fairness as FA
-from cohortlens.operators import features, split
+from cohortlens.operators import features, scorer, split
+from cohortlens.operators.scorer import logit_score
 from cohortlens.plans import sql as S
 from cohortlens.plans.base import query
-from cohortlens.plans.common import FAIR_GROUPS, FAIR_THRESHOLD, SCORED_SQL, SEED, SPLIT_SQL, scored_panel
+from cohortlens.plans.common import FAIR_GROUPS, FAIR_THRESHOLD, SCORED_SQL, SEED, SPLIT_SQL, feature_design, scored_panel
 from cohortlens.sources import views
 
 
@@ -37,8 +38,10 @@ def group_folds(spark, sf_dir):
 @query("attach_scores", "rownames:bigint id:bigint split:string y_prob:double",
        SCORED_SQL + "SELECT rownames, id, split, y_prob FROM scored")
 def attach_scores(spark, sf_dir):
-    """Fixed-coefficient scores attached to test rows by key, null elsewhere."""
-    return scored_panel(spark, sf_dir)
+    """A table of fixed-coefficient scores of the test rows, attached to the panel by row key; null elsewhere."""
+    d = feature_design(spark, sf_dir)
+    scores = d.where(F.col("split") == "test").select("rownames", logit_score(views.DESIGN_COEFS).alias("y_prob"))
+    return scorer.attach_scores(d, scores)
 
 
 @query("entity_rate", "id:bigint medication:string mean_target:double",
@@ -59,15 +62,22 @@ def group_rate_summary(spark, sf_dir):
     return FA.group_rate_summary(r, "medication")
 
 
-@query("anova_oneway", "term:string df:bigint sum_sq:double mean_sq:double f_value:double",
+# Upper tail of F(d1, d2) as the integral of the beta density from 0 to d2 / (d2 + d1 f), by Simpson's rule.
+F_TAIL_SQL = """(SELECT sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * CASE WHEN i = 0 THEN 0 ELSE exp((d2 / 2.0 - 1) * ln(x * i / 20000.0) + (d1 / 2.0 - 1) * ln(1 - x * i / 20000.0)
+        - lgamma(d1 / 2.0) - lgamma(d2 / 2.0) + lgamma((d1 + d2) / 2.0)) END) * x / 60000.0 FROM range(20001) r(i))"""
+
+
+@query("anova_oneway", "term:string df:bigint sum_sq:double mean_sq:double f_value:double p_value:double",
        S.with_(S.PANEL, S.SCALAR) + """, r AS (SELECT id, medication, avg(target_num) AS m FROM scal
        WHERE target_num IS NOT NULL GROUP BY id, medication),
        g AS (SELECT medication, count(m) AS n, avg(m) AS mm, var_pop(m) * count(m) AS ss FROM r GROUP BY medication),
        t AS (SELECT sum(n) AS nn, count(*) AS k, sum(n * mm) / sum(n) AS grand FROM g),
        s AS (SELECT sum(g.n * (g.mm - t.grand) * (g.mm - t.grand)) AS ssb, sum(g.ss) AS ssw, max(t.nn) AS nn, max(t.k) AS k FROM g, t)
-       SELECT 'medication' AS term, k - 1 AS df, ssb AS sum_sq, ssb / (k - 1) AS mean_sq,
-              (ssb / (k - 1)) / (ssw / (nn - k)) AS f_value FROM s
-       UNION ALL SELECT 'Residuals', nn - k, ssw, ssw / (nn - k), NULL FROM s""")
+       , f AS (SELECT *, (ssb / (k - 1)) / (ssw / (nn - k)) AS f, CAST(k - 1 AS DOUBLE) AS d1, CAST(nn - k AS DOUBLE) AS d2 FROM s),
+       x AS (SELECT *, d2 / (d2 + d1 * f) AS x FROM f)
+       SELECT 'medication' AS term, k - 1 AS df, ssb AS sum_sq, ssb / (k - 1) AS mean_sq, f AS f_value, """ + F_TAIL_SQL + """ AS p_value FROM x
+       UNION ALL SELECT 'Residuals', nn - k, ssw, ssw / (nn - k), NULL, NULL FROM s""")
 def anova_oneway(spark, sf_dir):
     """one-way ANOVA of entity event rates across segments (p-value from the F tail)."""
     r = FA.entity_rates(features.add_target_numeric(views.panel(spark, sf_dir)), "medication")

@@ -30,6 +30,10 @@ def _fit(df, factors, numerics, y="target_num", firth=False, vcov="hc0", cluster
     return glm.coef_table(df.sparkSession, fit, V)
 
 
+# Two-sided normal tail beyond |estimate / se|, by Simpson's rule over twelve standard deviations.
+NORMAL_TAIL_SQL = """(SELECT 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * exp(-0.5 * power(abs(estimate / se) + i * 0.003, 2)) / sqrt(2 * pi())) * 0.003 / 3 FROM range(4001) r(i))"""
+
 SINGLE_SQL = S.with_(S.PANEL, S.SCALAR) + """,
   d AS (SELECT id, hatype, CAST(target_num AS DOUBLE) AS y FROM scal WHERE target_num IS NOT NULL AND hatype IS NOT NULL),
   g AS (SELECT hatype, avg(y) AS p, count(*) AS n FROM d GROUP BY hatype),
@@ -46,11 +50,11 @@ SINGLE_SQL = S.with_(S.PANEL, S.SCALAR) + """,
           UNION ALL
           SELECT 'hatype' || g.hatype, ln(g.p / (1 - g.p)) - ln(b.p0 / (1 - b.p0)), sqrt(v.vk * nc.nclus / (nc.nclus - 1))
           FROM g JOIN v ON g.hatype = v.lvl, b, nc WHERE g.hatype <> b.base)
-SELECT term, estimate, se, estimate / se AS z, exp(estimate) AS "OR", exp(estimate - 1.96 * se) AS CI_low,
+SELECT term, estimate, se, estimate / se AS z, """ + NORMAL_TAIL_SQL + """ AS p_value, exp(estimate) AS "OR", exp(estimate - 1.96 * se) AS CI_low,
        exp(estimate + 1.96 * se) AS CI_high FROM est"""
 
 
-@query("or_single_factor", "term:string estimate:double se:double z:double OR:double CI_low:double CI_high:double", SINGLE_SQL)
+@query("or_single_factor", "term:string estimate:double se:double z:double p_value:double OR:double CI_low:double CI_high:double", SINGLE_SQL)
 def or_single_factor(spark, sf_dir):
     """Logistic GLM (IRLS) of the event on subtype, cluster-robust HC0
     errors by entity; checked against the closed form of the saturated model."""
@@ -58,6 +62,14 @@ def or_single_factor(spark, sf_dir):
     return _fit(df, [("hatype", None)], [])
 
 
+@query("or_table", "term:string OR:double CI_low:double CI_high:double p_value:double",
+       "SELECT term, \"OR\", CI_low, CI_high, p_value FROM (" + SINGLE_SQL + ") WHERE term <> '(Intercept)'")
+def or_table(spark, sf_dir):
+    """Odds-ratio table of the subtype model, without the intercept."""
+    df = features.add_target_numeric(views.panel(spark, sf_dir))
+    return glm.or_table(_fit(df, [("hatype", None)], []))
+
+
 def _test_rows(spark, sf_dir):
     return scored_panel(spark, sf_dir).where(F.col("y_prob").isNotNull() & ~F.isnan("y_prob"))
 

@@ -34,9 +34,8 @@ ORACLE_LEVELS = {
 
 
 def model_frame(spark, sf_dir):
-    """Feature design with label (yes -> 1, else 0) and hash folds."""
-    d = feature_design(spark, sf_dir).withColumn(
-        "label", F.coalesce(F.col("headache") == "yes", F.lit(False)).cast("double"))
+    """Feature design of the rows with a known outcome (P5), with label (yes -> 1, no -> 0) and hash folds."""
+    d = feature_design(spark, sf_dir).where(F.col("headache").isNotNull()).withColumn("label", (F.col("headache") == "yes").cast("double"))
     return split.group_folds(d, "id", 5, SEED)
 
 
@@ -51,11 +50,11 @@ def prepared(spark, sf_dir):
     return P.preprocessor_model(params).transform(d), params
 
 
-PREP_NUM_SQL = SCORED_SQL + ", tr AS (SELECT * FROM design WHERE split = 'train'),\n  med AS (SELECT " + ", ".join(
+PREP_NUM_SQL = SCORED_SQL + ", known AS (SELECT * FROM design WHERE headache IS NOT NULL), tr AS (SELECT * FROM known WHERE split = 'train'),\n  med AS (SELECT " + ", ".join(
     f"quantile_cont({c}, 0.5) AS med_{c}" for c in NUM) + " FROM tr),\n  mom AS (SELECT " + ", ".join(
     f"avg(coalesce(CAST({c} AS DOUBLE), med_{c})) AS mu_{c}, stddev_pop(coalesce(CAST({c} AS DOUBLE), med_{c})) AS sd_{c}"
     for c in NUM) + " FROM tr, med)\nSELECT rownames, " + ", ".join(
-    f"(coalesce(CAST({c} AS DOUBLE), med_{c}) - mu_{c}) / sd_{c} AS num__{c}" for c in NUM) + " FROM design, med, mom"
+    f"(coalesce(CAST({c} AS DOUBLE), med_{c}) - mu_{c}) / sd_{c} AS num__{c}" for c in NUM) + " FROM known, med, mom"
 
 
 @query("prep_numeric", "rownames:bigint " + " ".join(f"num__{c}:double" for c in NUM), PREP_NUM_SQL)
@@ -66,11 +65,11 @@ def prep_numeric(spark, sf_dir):
 
 
 ONEHOT_COLS = [f"cat__{c}_{P.safe_name(lv)}" for c in CAT for lv in ORACLE_LEVELS[c]]
-PREP_CAT_SQL = SCORED_SQL + ", tr AS (SELECT * FROM design WHERE split = 'train'),\n" + ",\n".join(
+PREP_CAT_SQL = SCORED_SQL + ", known AS (SELECT * FROM design WHERE headache IS NOT NULL), tr AS (SELECT * FROM known WHERE split = 'train'),\n" + ",\n".join(
     f"  mode_{c} AS (SELECT CAST({c} AS VARCHAR) AS v FROM tr WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
     for c in CAT) + "\nSELECT rownames, " + ", ".join(
     f"CAST(coalesce(CAST({c} AS VARCHAR), (SELECT v FROM mode_{c})) = '{lv}' AS DOUBLE) AS cat__{c}_{P.safe_name(lv)}"
-    for c in CAT for lv in ORACLE_LEVELS[c]) + " FROM design"
+    for c in CAT for lv in ORACLE_LEVELS[c]) + " FROM known"
 
 
 @query("prep_onehot", "rownames:bigint " + " ".join(f"{c}:double" for c in ONEHOT_COLS), PREP_CAT_SQL)
@@ -86,16 +85,9 @@ FEATURE_NAMES_SQL = "SELECT * FROM (VALUES " + ", ".join(
 
 @query("feature_names", "position:bigint name:string", FEATURE_NAMES_SQL)
 def feature_names(spark, sf_dir):
-    """Fitted feature names in matrix order, recovered from the assembled vector."""
+    """Fitted feature names in matrix order, read from the vector column's ML attributes."""
     d, params = prepared(spark, sf_dir)
-    named = P.with_names(d.limit(1), params)
-    names = [c for c in named.columns if c.startswith("num__") or c.startswith("cat__")]
-    return spark.createDataFrame(list(enumerate(params.feature_names())), "position long, name string") \
-        .where(F.col("name").isin(names))
-
-
-def _n_train(d):
-    return d.where(F.col("split") == "train").count()
+    return spark.createDataFrame(list(enumerate(P.attribute_names(d))), "position long, name string")
 
 
 def _fit_logreg(spark, sf_dir):
@@ -121,15 +113,14 @@ def fit_logreg(spark, sf_dir):
 METRIC_COLS = " ".join(f"{m}:double" for m in M.METRIC_NAMES)
 
 
+def _scored_metrics(model, data):
+    """The metrics callback of the model queries: the full metric row per split."""
+    s = ML.positive_probability(model.transform(data))
+    return M.metrics(s.select("split", F.col("label").cast("int").alias("y_true"), "y_prob"), ["split"])
+
+
 def _eval(models: dict, d, splits=("valid", "test")):
-    parts = []
-    for name, m in models.items():
-        s = ML.positive_probability(m.transform(d.where(F.col("split").isin(*splits))))
-        parts.append(s.select(F.lit(name).alias("model"), "split", F.col("label").cast("int").alias("y_true"), "y_prob"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return M.metrics(u, ["model", "split"])
+    return M.evaluate_models(models, d.where(F.col("split").isin(*splits)), _scored_metrics)
 
 
 @query("score_rows", "rownames:bigint id:bigint y_prob:double")
@@ -141,15 +132,12 @@ def score_rows(spark, sf_dir):
 
 @query("train_all", "model:string split:string " + METRIC_COLS)
 def train_all(spark, sf_dir):
-    """M8: logistic regression and boosted trees fit on one cached training frame,
-    evaluated on validation and test in one histogram job. (The subsampled
-    1000-tree profile, M7, is ``ML.train_all(..., ["gbt_sub"])``; it is not run
-    here to keep this query's wall time bounded.)"""
+    """M8: logistic regression, boosted trees and the subsampled profile fitted on one
+    training frame, evaluated on validation and test in one histogram job."""
     d, params = prepared(spark, sf_dir)
     d = d.cache()
     train = d.where(F.col("split") == "train")
-    models = ML.train_all(train, train.count(), ["logreg", "gbt"], seed=SEED)
-    return _eval(models, d)
+    return _eval(ML.train_all(train, train.count(), seed=SEED), d)
 
 
 @query("fit_gbt", "model:string split:string " + METRIC_COLS)
@@ -163,7 +151,7 @@ def fit_gbt(spark, sf_dir):
 
 @query("fit_gbt_sub", "model:string split:string " + METRIC_COLS)
 def fit_gbt_sub(spark, sf_dir):
-    """M7 (re-aimed): subsampled boosted-tree profile (1000 x depth 4, step 0.05,
+    """M7 (re-aimed): subsampled boosted-tree profile (1000 x depth 4, step 0.03,
     row and feature subsampling 0.8) standing in for the external boosted-tree library."""
     d, params = prepared(spark, sf_dir)
     d = d.cache()
@@ -184,58 +172,67 @@ def staged_model_score(spark, sf_dir):
 
 @query("tune_logreg", "C:double l1_ratio:double mean_auc:double best:boolean")
 def tune_logreg(spark, sf_dir):
-    """4 x 3 grid, 5 entity-grouped folds, exact AUC, best refit."""
+    """4 x 3 grid, 5 entity-grouped folds, exact AUC."""
     d, params = prepared(spark, sf_dir)
-    train = d.where(F.col("split") == "train").cache()
-    n = train.count()
-    cv, maps = ML.tune_logistic(train, n)
-    best_i = max(range(len(cv.avgMetrics)), key=lambda i: cv.avgMetrics[i])
-    rows = []
-    for i, pm in enumerate(maps):
-        vals = {p.name: v for p, v in pm.items()}
-        rows.append((1.0 / (vals["regParam"] * n), float(vals["elasticNetParam"]), float(cv.avgMetrics[i]), i == best_i))
-    return spark.createDataFrame(rows, "C double, l1_ratio double, mean_auc double, best boolean")
+    train = d.where(F.col("split") == "train")
+    return spark.createDataFrame([tuple(r.values()) for r in ML.tune_logistic(train)], "C double, l1_ratio double, mean_auc double, best boolean")
+
+
+@query("tune_gbt", "max_iter:bigint step_size:double max_depth:bigint mean_auc:double best:boolean")
+def tune_gbt(spark, sf_dir):
+    """M10 for boosted trees: 2 x 2 x 2 grid, 5 entity-grouped folds, exact AUC."""
+    d, params = prepared(spark, sf_dir)
+    train = d.where(F.col("split") == "train")
+    return spark.createDataFrame([tuple(r.values()) for r in ML.tune_gbt(train, seed=SEED)],
+                                 "max_iter bigint, step_size double, max_depth bigint, mean_auc double, best boolean")
 
 
 @query("train_flags", "model:string split:string " + METRIC_COLS)
 def train_flags(spark, sf_dir):
-    """Refit with clinical flags (raw units) added to the matrix; L2 logistic, C = 1."""
+    """Every model of M8 refitted with the clinical flags (raw units) added to the matrix, beside the fit without them."""
     from pyspark.ml.feature import VectorAssembler
     d, params = prepared(spark, sf_dir)
     flags = clinical_flags()
     d = d.select("*", *[c.cast("double").alias(n) for n, c in flags.items()])
     va = VectorAssembler(inputCols=params.feature_names() + list(flags), outputCol="features_flags")
     d = va.transform(d).cache()
-    train = d.where(F.col("split") == "train")
+    train = ML.balanced(d.where(F.col("split") == "train"))
     n = train.count()
-    base = ML.logistic(n, 1.0, 0.0).fit(train)
-    lr = ML.logistic(n, 1.0, 0.0, features="features_flags").fit(train)
-    return _eval({"logreg_base": base, "logreg_flags": lr}, d)
+    names = [(m, f) for m in ML.MODELS for f in ("features", "features_flags")]
+    fitted = ML.fit_together([lambda m=m, f=f: ML.estimator(m, n, SEED, f).fit(train) for m, f in names])
+    return _eval({m + ("_flags" if f == "features_flags" else "_base"): x for (m, f), x in zip(names, fitted)}, d)
+
+
+def _logreg(n):
+    return ML.estimator("logreg", n)
 
 
 @query("oof_scores", "rownames:bigint fold:bigint label:double y_raw:double")
 def oof_scores(spark, sf_dir):
     """K1: out-of-fold logistic scores over 5 entity-grouped folds of the training split."""
     d, params = prepared(spark, sf_dir)
-    train = d.where(F.col("split") == "train").cache()
-    n = train.count()
-    return K.oof_scores(train, lambda: ML.logistic(int(n * 0.8), LOGREG_C, LOGREG_L1), 5, keep=["rownames"])
+    return K.oof_scores(d.where(F.col("split") == "train"), _logreg, 5, keep=["rownames"])
 
 
 @query("calib_metrics", "model:string split:string " + METRIC_COLS)
 def calib_metrics(spark, sf_dir):
-    """K2-K6: uncalibrated vs isotonic vs sigmoid calibration on the test split
-    (calibrators fit on out-of-fold training scores)."""
-    d, params, model = _fit_logreg(spark, sf_dir)
-    train = d.where(F.col("split") == "train")
+    """K2-K6: each model of M8 uncalibrated, with isotonic and with sigmoid calibration, on the
+    test split (calibrators fit on out-of-fold training scores)."""
+    d, params = prepared(spark, sf_dir)
+    d = d.cache()
+    train = ML.balanced(d.where(F.col("split") == "train"))
+    test = d.where(F.col("split") == "test")
     n = train.count()
-    oof = K.oof_scores(train, lambda: ML.logistic(int(n * 0.8), LOGREG_C, LOGREG_L1), 5).cache()
-    test = ML.positive_probability(model.transform(d.where(F.col("split") == "test")), "y_raw") \
-        .select("split", F.col("label").cast("int").alias("y_true"), "y_raw")
-    parts = [test.select(F.lit("uncalibrated").alias("model"), "split", "y_true", F.col("y_raw").alias("y_prob"))]
-    for method in K.METHODS:
-        cal = K.calibrate(oof, method)(test)
-        parts.append(cal.select(F.lit(method).alias("model"), "split", "y_true", F.col("y_cal").alias("y_prob")))
+    jobs = [(m, lambda m=m: ML.estimator(m, n, SEED).fit(train)) for m in ML.MODELS]
+    out_of_fold = ML.fit_together([lambda m=m: K.oof_scores(train, lambda size: ML.estimator(m, size, SEED), 5) for m in ML.MODELS])
+    parts = []
+    for (name, _), model, oof in zip(jobs, ML.fit_together([j for _, j in jobs]), out_of_fold):
+        raw = ML.positive_probability(model.transform(test), "y_raw").select("split", F.col("label").cast("int").alias("y_true"), "y_raw")
+        parts.append(raw.select(F.lit(f"{name}_uncalibrated").alias("model"), "split", "y_true", F.col("y_raw").alias("y_prob")))
+        oof = oof.cache()
+        for method in K.METHODS:
+            cal = K.calibrate(oof, method)(raw)
+            parts.append(cal.select(F.lit(f"{name}_{method}").alias("model"), "split", "y_true", F.col("y_cal").alias("y_prob")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -302,7 +299,7 @@ def model_roundtrip(spark, sf_dir):
     return a.join(b, "rownames")
 
 
-PREP_MATRIX_SQL = SCORED_SQL + """, tr AS (SELECT * FROM design WHERE split = 'train'),
+PREP_MATRIX_SQL = SCORED_SQL + """, known AS (SELECT * FROM design WHERE headache IS NOT NULL), tr AS (SELECT * FROM known WHERE split = 'train'),
   med AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.5) AS med_{c}" for c in NUM) + """ FROM tr),
   mom AS (SELECT """ + ", ".join(
     f"avg(coalesce(CAST({c} AS DOUBLE), med_{c})) AS mu_{c}, stddev_pop(coalesce(CAST({c} AS DOUBLE), med_{c})) AS sd_{c}"
@@ -312,7 +309,7 @@ PREP_MATRIX_SQL = SCORED_SQL + """, tr AS (SELECT * FROM design WHERE split = 't
     for c in CAT) + "\nSELECT rownames, " + ", ".join(
     f"(coalesce(CAST({c} AS DOUBLE), med_{c}) - mu_{c}) / sd_{c} AS num__{c}" for c in NUM) + ", " + ", ".join(
     f"CAST(coalesce(CAST({c} AS VARCHAR), (SELECT v FROM mode_{c})) = '{lv}' AS DOUBLE) AS cat__{c}_{P.safe_name(lv)}"
-    for c in CAT for lv in ORACLE_LEVELS[c]) + " FROM design, med, mom"
+    for c in CAT for lv in ORACLE_LEVELS[c]) + " FROM known, med, mom"
 
 
 @query("prep_matrix", "rownames:bigint " + " ".join(f"num__{c}:double" for c in NUM) + " "
@@ -364,7 +361,7 @@ def calibrated_bootstrap(spark, sf_dir):
     d, params, model = _fit_logreg(spark, sf_dir)
     train = d.where(F.col("split") == "train")
     n = train.count()
-    oof = K.oof_scores(train, lambda: ML.logistic(int(n * 0.8), LOGREG_C, LOGREG_L1), 5).cache()
+    oof = K.oof_scores(train, _logreg, 5).cache()
     cal = K.calibrate(oof, "isotonic")
     test = ML.positive_probability(model.transform(d.where(F.col("split") == "test")), "y_raw") \
         .select(F.col("label").cast("int").alias("y_true"), "y_raw")

@@ -69,6 +69,17 @@ def pr_auc_trapz(spark, sf_dir):
     return M.auc_ap(_curve(spark, sf_dir), ["model"])
 
 
+FIRST_SQL = ALL_SQL.replace("scores_long AS (", "scores_both AS (", 1).replace(
+    HIST, ",\n  scores_long AS (SELECT * REPLACE (1 - y_true AS y_true, 1.0::DOUBLE - y_prob AS y_prob) FROM scores_both)" + HIST, 1)
+
+
+@query("pr_auc_trapz_first", "model:string pr_auc_trapz:double", FIRST_SQL)
+def pr_auc_trapz_first(spark, sf_dir):
+    """E3 with the first level (label 0) as the event."""
+    h = M.score_histogram(views.scores_long(spark, sf_dir), ["model"], event_level="first")
+    return M.auc_ap(M.curve_table(h, ["model"]), ["model"])
+
+
 @query("brier", "model:string brier:double", ALL_SQL)
 def brier(spark, sf_dir):
     """Brier score."""
