@@ -1,12 +1,12 @@
 """Bootstrap confidence intervals for every metric (B1, B2).
 
 Poisson bootstrap: replicate ``r`` gives row ``i`` the weight
-``Poisson(1)^{-1}(u(i, r))`` where ``u`` is a hash of (seed, row key, r). Each
-row expands to its replicate weights inside one task and is immediately
-folded into a (keys, rep, score) histogram with map-side combine, so the
-shuffle carries reps x distinct scores, never reps x rows. Draws depend only on
-the row key, not on partitioning or retries. The metrics of every replicate
-then come from the same histogram code as the point estimate (keys + rep).
+``Poisson(1)^{-1}(u(i, r))`` where ``u`` is a hash of (seed, row key, r). Tasks
+draw the weights of a batch of rows in arrays and fold them into (cell, replicate)
+sums at once, so the shuffle carries reps x distinct scores, never reps x rows.
+Draws depend only on the row key, not on partitioning or retries. The metrics
+of every replicate then come from the same histogram code as the point estimate
+(keys + rep).
 """
 
 from __future__ import annotations
@@ -48,34 +48,14 @@ MIX_STEPS = [
 
 def mix31(x: Column) -> Column:
     """Integer hash on 31 bits (xor-shift / multiply rounds, no overflow: every
-    product stays below 2^62). DuckDB repeats it with xor(), >> and &.
-    Nested use duplicates sub-expressions; ``replicate_uniform_columns`` applies
-    the steps as separate projections instead."""
+    product stays below 2^62). DuckDB repeats it with xor(), >> and &."""
     for step in MIX_STEPS:
         x = step(x)
     return x
 
 
-def replicate_uniform_columns(df: DataFrame, row_hash: str, rep: str, out: str = "__u") -> DataFrame:
-    """U[0,1) for (row, replicate) from a per-row md5 hash and the replicate number,
-    one projection per mixing step: each step reads the previous column, so the
-    generated code stays linear in the number of steps (Catalyst does not
-    collapse projections that would duplicate non-trivial expressions)."""
-    cols = [c for c in df.columns]
-    cur = "__mx0"
-    d = df.select(*cols, F.col(row_hash).bitwiseXOR(
-        (F.col(rep).cast("bigint") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(MASK31))).alias(cur))
-    i = 0
-    for _round in range(2):
-        for step in MIX_STEPS:
-            i += 1
-            d = d.select(*cols, step(F.col(cur)).alias(f"__mx{i}"))
-            cur = f"__mx{i}"
-    return d.select(*cols, (F.col(cur).cast("double") / F.lit(2147483648.0)).alias(out))
-
-
 def replicate_uniform(row_hash: Column, rep: Column) -> Column:
-    """Single-expression form of ``replicate_uniform_columns`` (small inputs only)."""
+    """U[0,1) for a row hash and a replicate number, as one expression."""
     x = row_hash.bitwiseXOR((rep.cast("bigint") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(MASK31)))
     return mix31(mix31(x)).cast("double") / F.lit(2147483648.0)
 
@@ -90,14 +70,48 @@ def poisson_weight(u: Column, kmax: int = POISSON_KMAX) -> Column:
     return expr.otherwise(F.lit(len(cdf)))
 
 
+#: Replicates drawn at a time, which bounds a task's memory at (rows of a batch) x this.
+REPLICATES_AT_ONCE = 50
+
+
+def _mix31(x: np.ndarray) -> np.ndarray:
+    """``mix31`` on int64 arrays."""
+    x = x ^ (x >> 15)
+    x = (x * 0x2C1B3C6D) & MASK31
+    x = x ^ (x >> 12)
+    x = (x * 0x297A2D39) & MASK31
+    return x ^ (x >> 15)
+
+
+def _replicate_sums(batches, n_boot: int):
+    """(cell * n_boot + replicate, summed weight) of each batch of (cell, row hash):
+    weights are drawn once per distinct hash, so a unit with many rows costs one draw."""
+    cdf = np.array(poisson1_cdf()[:-1])
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        order = np.argsort(pdf["__cell"].to_numpy(), kind="stable")
+        cell = pdf["__cell"].to_numpy()[order]
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        units, of = np.unique(pdf["__h"].to_numpy()[order], return_inverse=True)
+        for first in range(0, n_boot, REPLICATES_AT_ONCE):
+            rep = np.arange(first, min(n_boot, first + REPLICATES_AT_ONCE), dtype=np.int64)
+            u = _mix31(_mix31(units[:, None] ^ ((rep * 0x9E3779B1) & MASK31)[None, :])) / 2147483648.0
+            weight = np.searchsorted(cdf, u.ravel(), side="right").reshape(u.shape)
+            sums = np.add.reduceat(weight[of], starts, axis=0)
+            i, j = np.nonzero(sums)
+            yield pd.DataFrame({"__k": cell[starts][i] * n_boot + rep[j], "__w": sums[i, j]})
+
+
 def replicate_histogram(df: DataFrame, row_key: list[str], keys: list[str] | None = None,
                         y: str = "y_true", p: str = "y_prob", n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """(keys..., rep, score, pos, neg) with Poisson(1) replicate weights.
 
     Each (keys, label, score) cell gets a dense integer id first (one row per cell,
-    ranked with distributed prefix sums); the per-(row, replicate) aggregate then
-    groups by the single bigint ``cell * n_boot + rep``, and cells are decoded on
-    the reduced table."""
+    ranked with distributed prefix sums); tasks draw and sum the weights of their
+    rows in arrays, the sums are grouped by the single bigint ``cell * n_boot +
+    rep``, and cells are decoded on the reduced table. With a continuous score a
+    cell is nearly a row, and the shuffle carries nearly rows x replicates."""
     keys = list(keys or [])
     h = hash_int(F.lit(seed), *[F.col(c) for c in row_key])
     d = df.where(finite(p) & F.col(y).isNotNull()) \
@@ -106,14 +120,9 @@ def replicate_histogram(df: DataFrame, row_key: list[str], keys: list[str] | Non
     cells = running_sums_auto(d.select(*cell_cols).distinct(), [], [F.col(c) for c in cell_cols],
                               {"__cell": F.lit(1).cast("bigint")}, inclusive=True)
     rows = d.join(cells, cell_cols, "inner").select("__cell", "__h")
-    x = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    x = replicate_uniform_columns(x, "__h", "rep")
-    x = x.withColumn("__w", poisson_weight(F.col("__u")))
-    # Zero weights are dropped after the aggregate, not before: a filter here
-    # would be pushed below the hashing projections and inline them.
-    agg = x.groupBy((F.col("__cell") * F.lit(n_boot) + F.col("rep")).alias("__k")).agg(F.sum("__w").alias("__w"))
-    agg = agg.where(F.col("__w") > 0).select(F.floor(F.col("__k") / F.lit(n_boot)).cast("bigint").alias("__cell"),
-                                             F.pmod(F.col("__k"), F.lit(n_boot)).cast("int").alias("rep"), "__w")
+    parts = rows.mapInPandas(lambda batches: _replicate_sums(batches, n_boot), "__k long, __w long")
+    agg = parts.groupBy("__k").agg(F.sum("__w").alias("__w")).select(
+        F.floor(F.col("__k") / F.lit(n_boot)).cast("bigint").alias("__cell"), F.pmod(F.col("__k"), F.lit(n_boot)).cast("int").alias("rep"), "__w")
     decoded = agg.join(cells, "__cell", "inner")
     return decoded.groupBy(*keys, "rep", "score").agg(
         F.sum(F.when(F.col("__y") == 1, F.col("__w")).otherwise(0)).cast("double").alias("pos"),
