@@ -228,6 +228,36 @@ def ale(df: DataFrame, scorer: Scorer, feature: str, bins: int = 20, strata: lis
     return full.select("stratum", "bin", ((F.col("lo") + F.col("hi")) / 2.0).alias("mid"), "ale")
 
 
+def ale_many(df: DataFrame, scorer: Scorer, features: list[str], stratifications: dict[str, list[str] | None],
+             bins: int = 20, min_rows: int = 10) -> DataFrame:
+    """ALE of every (feature, stratification) in one job keyed by (feature,
+    strat, stratum), with the conventions of ``ale`` (reference divisor). A
+    stratification is a list of one-hot columns, or None for all rows."""
+    strata = [(name, c) for name, cols in stratifications.items() for c in (cols or ["all"])]
+    probs = [i / bins for i in range(bins + 1)]
+    names = [f"e{i}" for i in range(bins + 1)]
+    member = F.array(*[F.struct(F.lit(n).alias("strat"), F.lit(c).alias("stratum"),
+                                (F.lit(True) if c == "all" else F.col(c) == 1).alias("in")) for n, c in strata])
+    keyed = df.withColumn("__s", F.explode(F.filter(member, lambda m: m["in"]))) \
+        .withColumn("__f", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))) \
+        .select(*df.columns, "__s.strat", "__s.stratum", "__f.feature", F.col("__f.x").alias("__x"))
+    by = ["feature", "strat", "stratum"]
+    ok = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__ns")).where(F.col("__ns") >= min_rows).select(*by)
+    edges = quantiles(keyed.select(*by, "__x"), "__x", probs, by, names).join(ok, by)
+    table = edges.select(*by, F.explode(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(names[b]).alias("lo"), F.col(names[b + 1]).alias("hi"))
+                                                  for b in range(bins)])).alias("__b")).select(*by, "__b.*")
+    # features x strata x bins rows: fixed by the arguments
+    j = keyed.join(F.broadcast(table), by).where((F.col("__x") >= F.col("lo")) & (F.col("__x") < F.col("hi")))
+    at = lambda edge: {f: F.when(F.col("feature") == f, F.col(edge)).otherwise(F.col(f).cast("double")) for f in features}
+    sums = j.groupBy(*by, "bin").agg(F.sum(scorer.score(at("hi")) - scorer.score(at("lo"))).alias("__sum"))
+    n_all = df.agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    full = table.join(sums, [*by, "bin"], "left").crossJoin(F.broadcast(n_all))   # one row
+    w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # <= bins rows
+    full = full.withColumn("__cum", F.sum(F.coalesce(F.col("__sum") / F.col("__n"), F.lit(0.0))).over(w))
+    return full.select(*by, "bin", ((F.col("lo") + F.col("hi")) / 2.0).alias("mid"),
+                       (F.col("__cum") - F.avg("__cum").over(Window.partitionBy(*by))).alias("ale"))
+
+
 def linear_shap(df: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
     """Exact SHAP of a linear model on the log-odds scale with the full data
     as background: phi_j = b_j (x_j - mean x_j). One aggregate + one projection."""

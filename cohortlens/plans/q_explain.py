@@ -16,11 +16,32 @@ FEATS = SCORER.features
 SEED = 42
 
 
-def logit_sql(over: dict[str, str] | None = None) -> str:
+# The scorer over every one-hot group and both exposures, with given coefficients.
+FULL = X.Scorer.of(views.DESIGN_COEFS | {"z_prev": 0.35, "p_under": -0.25, "h_2": 0.2, "h_3": -0.1, "h_4": 0.15, "h_5": -0.3,
+                                         "s_spring": 0.1, "s_summer": -0.2, "s_winter": 0.05})
+GROUPS = {"medication": LEVELS, "phase": ["p_none", "p_under"], "hatype": [f"h_{i}" for i in range(1, 6)],
+          "season": ["s_autumn", "s_spring", "s_summer", "s_winter"]}
+_DUMMIES = {"p_none": "phase = 'No treatment'", "p_under": "phase = 'Under treatment'",
+            **{f"h_{i}": f"substr(hatype, 1, 1) = '{i}'" for i in range(1, 6)}, **{c: f"study_season = '{c[2:]}'" for c in GROUPS["season"]}}
+
+
+def full_design(spark, sf_dir):
+    """Feature panel with the design columns, the previous mean (no earlier visit: the centre) and a dummy per phase, subtype and season."""
+    d = views.design_columns(features.build_feature_panel(views.panel(spark, sf_dir)))
+    return d.select("*", ((F.coalesce("airq_prev_mean", F.lit(250000.0)) - F.lit(250000.0)) / F.lit(150000.0)).alias("z_prev"),
+                    *[F.expr(f"cast(coalesce({e}, false) as double)").alias(c) for c, e in _DUMMIES.items()])
+
+
+DF = S.with_(S.PANEL, S.SCALAR, S.FEAT, S.DESIGN.replace("FROM panel)", "FROM feat)").replace("design AS (\n  SELECT *,", "design0 AS (\n  SELECT *,", 1)) + """,
+  design AS (SELECT *, (coalesce(airq_prev_mean, 250000.0) - 250000.0) / 150000.0 AS z_prev, """ + ", ".join(
+    f"CAST(coalesce({e}, false) AS DOUBLE) AS {c}" for c, e in _DUMMIES.items()) + " FROM design0)"
+
+
+def logit_sql(over: dict[str, str] | None = None, scorer=SCORER) -> str:
     over = over or {}
-    terms = [repr(float(SCORER.beta("intercept")))]
-    for f in FEATS:
-        terms.append(f"{float(SCORER.beta(f))!r} * CAST({over.get(f, f)} AS DOUBLE)")
+    terms = [repr(float(scorer.beta("intercept")))]
+    for f in scorer.features:
+        terms.append(f"{float(scorer.beta(f))!r} * CAST({over.get(f, f)} AS DOUBLE)")
     return "(1.0 / (1.0 + exp(-(" + " + ".join(terms) + "))))"
 
 
@@ -51,11 +72,20 @@ def pdp_onehot(spark, sf_dir):
     return X.pdp_onehot(design(spark, sf_dir), SCORER, LEVELS)
 
 
+def _group_levels_sql(levels):
+    return "(VALUES " + ", ".join(f"('{lv}')" for lv in levels) + ") lv(level)"
+
+
+def _group_over(levels):
+    return {lv: f"CAST(level = '{lv}' AS DOUBLE)" for lv in levels}
+
+
 @query("pdp_all", "variable:string level:string pdp:double",
-       D + ", " + LEVELS_SQL + f"\nSELECT 'medication' AS variable, level, avg({logit_sql(onehot_sql())}) AS pdp FROM design, lv GROUP BY level")
+       DF + "\n" + "\nUNION ALL ".join(f"SELECT '{g}' AS variable, level, avg({logit_sql(_group_over(lvs), FULL)}) AS pdp FROM design, {_group_levels_sql(lvs)} GROUP BY level"
+                                       for g, lvs in GROUPS.items()))
 def pdp_all(spark, sf_dir):
-    """Partial dependence for every one-hot group in one pass."""
-    return X.pdp_all(design(spark, sf_dir), SCORER, {"medication": LEVELS})
+    """Partial dependence for medication, phase, subtype and season in one pass."""
+    return X.pdp_all(full_design(spark, sf_dir), FULL, GROUPS)
 
 
 @query("ice_numeric", "rownames:bigint id:bigint point:bigint x:double ice:double",
@@ -83,9 +113,9 @@ SENS_NUM_SQL = """, {name} AS (SELECT id, max(m) - min(m) AS sensitivity FROM (
    SELECT id, point, avg({score}) AS m FROM design, ({grid}) g GROUP BY id, point) t GROUP BY id)"""
 
 
-def _sens_num_sql(name, f):
+def _sens_num_sql(name, f, scorer=None):
     grid = f"SELECT point, lo + point * ((hi - lo) / 24.0) AS x FROM (SELECT min({f}) AS lo, max({f}) AS hi FROM design) m, range(25) r(point)"
-    return SENS_NUM_SQL.format(name=name, score=logit_sql({f: "g.x"}), grid=grid)
+    return SENS_NUM_SQL.format(name=name, score=logit_sql({f: "g.x"}, scorer or SCORER), grid=grid)
 
 
 SENS_CAT_SQL = ", " + LEVELS_SQL + f""", s_med AS (SELECT id, max(m) - min(m) AS sensitivity FROM (
@@ -112,32 +142,38 @@ def max_prev(spark, sf_dir):
     return fp.groupBy("id").agg(F.max("prev_attacks").alias("max_prev_attacks"))
 
 
+def _sens_group_sql(name, levels):
+    return f""", {name} AS (SELECT id, max(m) - min(m) AS sensitivity FROM (
+   SELECT id, level, avg({logit_sql(_group_over(levels), FULL)}) AS m FROM design, {_group_levels_sql(levels)} GROUP BY id, level) t GROUP BY id)"""
+
+
 def _sens_table(spark, sf_dir):
-    d = design(spark, sf_dir)
-    fp = features.build_feature_panel(views.panel(spark, sf_dir))
-    extra = fp.groupBy("id").agg(F.max("prev_attacks").alias("max_prev_attacks"))
+    d = full_design(spark, sf_dir)
+    extra = d.groupBy("id").agg(F.max("prev_attacks").alias("max_prev_attacks"))
     return X.sensitivity_table({
-        "sens_medication": X.sensitivity(d, SCORER, "id", levels=LEVELS),
-        "sens_airq": X.sensitivity(d, SCORER, "id", feature="z_airq"),
-        "sens_dos": X.sensitivity(d, SCORER, "id", feature="z_dos"),
+        "sens_medication": X.sensitivity(d, FULL, "id", levels=GROUPS["medication"]),
+        "sens_phase": X.sensitivity(d, FULL, "id", levels=GROUPS["phase"]),
+        "sens_airq": X.sensitivity(d, FULL, "id", feature="z_airq"),
+        "sens_airq_prev_mean": X.sensitivity(d, FULL, "id", feature="z_prev"),
     }, extra)
 
 
-SENS_TABLE_SQL = (S.with_(S.PANEL, S.SCALAR, S.FEAT, S.DESIGN.replace("FROM panel)", "FROM panel)"))
-                  + SENS_CAT_SQL + _sens_num_sql("s_airq", "z_airq") + _sens_num_sql("s_dos", "z_dos") + """,
+SENS_TABLE_SQL = (DF + _sens_group_sql("s_med", GROUPS["medication"]) + _sens_group_sql("s_phase", GROUPS["phase"])
+                  + _sens_num_sql("s_airq", "z_airq", FULL) + _sens_num_sql("s_prev", "z_prev", FULL) + """,
   mp AS (SELECT id, max(prev_attacks) AS max_prev_attacks FROM feat GROUP BY id),
-  st AS (SELECT m.id, m.sensitivity AS sens_medication, a.sensitivity AS sens_airq, d.sensitivity AS sens_dos, mp.max_prev_attacks
-         FROM s_med m JOIN s_airq a ON m.id = a.id JOIN s_dos d ON m.id = d.id LEFT JOIN mp ON m.id = mp.id)""")
+  st AS (SELECT m.id, m.sensitivity AS sens_medication, f.sensitivity AS sens_phase, a.sensitivity AS sens_airq,
+                d.sensitivity AS sens_airq_prev_mean, mp.max_prev_attacks
+         FROM s_med m JOIN s_phase f ON m.id = f.id JOIN s_airq a ON m.id = a.id JOIN s_prev d ON m.id = d.id LEFT JOIN mp ON m.id = mp.id)""")
 
 
-@query("sensitivity_table", "id:bigint sens_medication:double sens_airq:double sens_dos:double max_prev_attacks:double",
+@query("sensitivity_table", "id:bigint sens_medication:double sens_phase:double sens_airq:double sens_airq_prev_mean:double max_prev_attacks:double",
        SENS_TABLE_SQL + "\nSELECT * FROM st")
 def sensitivity_table(spark, sf_dir):
-    """Per-entity sensitivities as columns plus prior events (one pivot + one join)."""
+    """Per-entity sensitivities to segment, phase, exposure and previous mean as columns, plus prior events."""
     return _sens_table(spark, sf_dir)
 
 
-SENS_COLS = ["sens_medication", "sens_airq", "sens_dos", "max_prev_attacks"]
+SENS_COLS = ["sens_medication", "sens_phase", "sens_airq", "sens_airq_prev_mean"]
 
 
 def _corr_sql(cols, src):
@@ -294,24 +330,27 @@ def perm_importance(spark, sf_dir):
     return X.permutation_importance(d, SCORER, "y", "id", "rownames", FEATS, SEED)
 
 
+ALE_FEATURES = ["z_airq", "z_prev"]
+ALE_STRATA = {"none": None, "season": GROUPS["season"], "hatype": GROUPS["hatype"], "phase": GROUPS["phase"]}
+
+
 def _ale_all_sql():
-    parts = []
-    for f in ["z_airq", "z_dos"]:
-        for strata in (False, True):
-            parts.append((f, strata, _ale_sql(f, strata)))
-    # each part is a full WITH query; stack them as subqueries
-    return "\nUNION ALL\n".join(
-        f"SELECT '{f}' AS feature, '{'medication' if st else 'none'}' AS strat, * FROM ({b}) t{i}"
-        for i, (f, st, b) in enumerate(parts))
+    probs = ", ".join(repr(i / 20) for i in range(21))
+    keyed = " UNION ALL ".join(f"SELECT '{n}' AS strat, '{c}' AS stratum, * FROM design WHERE {'true' if c == 'all' else c + ' = 1'}"
+                               for n, cols in ALE_STRATA.items() for c in (cols or ["all"]))
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, k.* FROM k" for f in ALE_FEATURES)
+    at = lambda edge: logit_sql({f: f"CASE WHEN feature = '{f}' THEN bins.{edge} ELSE {f} END" for f in ALE_FEATURES}, FULL)
+    return DF + f""", k AS ({keyed}), r AS ({rows}),
+  e AS (SELECT feature, strat, stratum, quantile_cont(x, [{probs}]) AS q FROM r GROUP BY ALL HAVING count(*) >= 10),
+  bins AS (SELECT feature AS bf, strat AS bs, stratum AS bt, b, q[b + 1] AS lo, q[b + 2] AS hi FROM e, range(20) t(b)),
+  j AS (SELECT bf, bs, bt, b, sum({at('hi')} - {at('lo')}) AS s
+        FROM r JOIN bins ON r.feature = bf AND r.strat = bs AND r.stratum = bt AND r.x >= bins.lo AND r.x < bins.hi GROUP BY bf, bs, bt, b),
+  a AS (SELECT bins.*, coalesce(j.s / (SELECT count(*) FROM design), 0.0) AS delta FROM bins LEFT JOIN j USING (bf, bs, bt, b)),
+  c AS (SELECT *, sum(delta) OVER (PARTITION BY bf, bs, bt ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM a)
+SELECT bf AS feature, bs AS strat, bt AS stratum, b AS bin, (lo + hi) / 2 AS mid, cum - avg(cum) OVER (PARTITION BY bf, bs, bt) AS ale FROM c"""
 
 
 @query("ale_all", "feature:string strat:string " + ALE_COLS, _ale_all_sql())
 def ale_all(spark, sf_dir):
-    """ALE for two features, unstratified and stratified by segment, stacked."""
-    d = design(spark, sf_dir)
-    out = None
-    for f in ["z_airq", "z_dos"]:
-        for strat, strata in (("none", None), ("medication", LEVELS)):
-            part = X.ale(d, SCORER, f, strata=strata).select(F.lit(f).alias("feature"), F.lit(strat).alias("strat"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """ALE of both exposures, over all rows and by season, subtype and phase, in one job."""
+    return X.ale_many(full_design(spark, sf_dir), FULL, ALE_FEATURES, ALE_STRATA)
