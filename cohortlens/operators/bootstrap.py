@@ -74,7 +74,7 @@ def poisson_weight(u: Column, kmax: int = POISSON_KMAX) -> Column:
 REPLICATES_AT_ONCE = 50
 
 
-def _mix31(x: np.ndarray) -> np.ndarray:
+def mix31_array(x: np.ndarray) -> np.ndarray:
     """``mix31`` on int64 arrays."""
     x = x ^ (x >> 15)
     x = (x * 0x2C1B3C6D) & MASK31
@@ -96,7 +96,7 @@ def _replicate_sums(batches, n_boot: int):
         units, of = np.unique(pdf["__h"].to_numpy()[order], return_inverse=True)
         for first in range(0, n_boot, REPLICATES_AT_ONCE):
             rep = np.arange(first, min(n_boot, first + REPLICATES_AT_ONCE), dtype=np.int64)
-            u = _mix31(_mix31(units[:, None] ^ ((rep * 0x9E3779B1) & MASK31)[None, :])) / 2147483648.0
+            u = mix31_array(mix31_array(units[:, None] ^ ((rep * 0x9E3779B1) & MASK31)[None, :])) / 2147483648.0
             weight = np.searchsorted(cdf, u.ravel(), side="right").reshape(u.shape)
             sums = np.add.reduceat(weight[of], starts, axis=0)
             i, j = np.nonzero(sums)

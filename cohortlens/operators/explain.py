@@ -14,8 +14,6 @@ other expressions.
 
 from __future__ import annotations
 
-import itertools
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.scalar import hash_int
+from cohortlens.operators.bootstrap import MASK31, mix31_array
 from cohortlens.operators.metrics import auc_ap, curve_table, score_histogram
 from cohortlens.operators.prefix import running_sums_auto
 from cohortlens.operators.quantile import quantiles
@@ -279,64 +278,91 @@ def shap_importance(shap_long: DataFrame, top_n: int = 20) -> DataFrame:
                     .orderBy(F.col("mean_abs_shap").desc(), F.col("feature")).limit(top_n)
 
 
+def _background(df: DataFrame, feats: list[str], keep: list[str], n: int, seed: int) -> DataFrame:
+    """The ``n`` rows with the smallest seeded hash of their key: a sampling operator."""
+    return df.select(*feats, hash_int(F.lit(seed), *[F.col(k) for k in keep]).alias("__h")).orderBy("__h", *feats).limit(n).drop("__h")
+
+
+def feature_orders(row_hash: np.ndarray, p: int, n_permutations: int) -> np.ndarray:
+    """(rows, permutations, p): the features of each row's permutations, ordered by a
+    hash of (row, permutation, feature); the same in any engine with integers."""
+    number = np.arange(1, n_permutations * p + 1, dtype=np.int64) * 0x9E3779B1 & MASK31
+    key = mix31_array(mix31_array(row_hash[:, None] ^ number[None, :])).reshape(len(row_hash), n_permutations, p)
+    return np.argsort(key, axis=2, kind="stable")
+
+
 def shapley_sampled(df: DataFrame, scorer: Scorer, keep: list[str], n_background: int = 200, seed: int = 42,
-                    max_exact_features: int = 10) -> DataFrame:
+                    n_permutations: int = 10) -> DataFrame:
     """Shapley values on the probability scale against a background sample
-    (interventional expectation). The background (``n_background`` rows with the
-    smallest seeded hash: a sampling operator) is broadcast to every task;
-    each partition evaluates all 2^p coalitions for its rows in numpy
-    (``mapInPandas``), so sum(phi) = f(x) - mean f(background) holds exactly.
-    Beyond ``max_exact_features`` features this would need permutation sampling."""
+    (interventional expectation), by permutation sampling: along each of a row's
+    seeded feature orders the features go from the background's values to the
+    row's, and each step's change of the mean score is that feature's share. The
+    work is linear in the number of features, and sum(phi) = f(x) - mean
+    f(background) holds exactly, as each order's steps add up to it. The
+    background (``n_background`` rows: the sample that the method fixes) is
+    broadcast; rows are worked on in numpy blocks (``mapInPandas``)."""
     feats = scorer.features
     p = len(feats)
-    if p > max_exact_features:
-        raise ValueError("too many features for exact coalition enumeration")
-    key = hash_int(F.lit(seed), *[F.col(k) for k in keep])
-    bg = df.select(*feats, key.alias("__h")).orderBy("__h", *feats).limit(n_background).collect()  # bounded sample
-    B = np.array([[float(r[f]) for f in feats] for r in bg])
-    bc = df.sparkSession.sparkContext.broadcast(B)
-    coalitions = list(itertools.product([0, 1], repeat=p))
-    weights = {}
-    for s in range(p):
-        weights[s] = math.factorial(s) * math.factorial(p - s - 1) / math.factorial(p)
-    sc = scorer
+    bg = _background(df, feats, keep, n_background, seed).collect()
+    bc = df.sparkSession.sparkContext.broadcast(np.array([[float(r[f]) for f in feats] for r in bg]).reshape(-1, p))
     coef = np.array([scorer.beta(f) for f in feats])
     b0 = float(scorer.beta("intercept"))
     out_schema = T.StructType([*[df.schema[k] for k in keep],
                                T.StructField("feature", T.StringType()), T.StructField("phi", T.DoubleType()),
                                T.StructField("base", T.DoubleType())])
 
-    def block(pdf, bgm, base):
-        X = pdf[feats].to_numpy(dtype=float)
-        n = X.shape[0]
-        xb, zb = X * coef[None, :], bgm * coef[None, :]
-        val = {}
-        for c in coalitions:
-            mask = np.array(c, dtype=bool)
-            # linear predictor splits into a row part (coalition) and a background part (the rest)
-            a = b0 + xb[:, mask].sum(axis=1)
-            z = zb[:, ~mask].sum(axis=1)
-            val[c] = (1.0 / (1.0 + np.exp(-(a[:, None] + z[None, :])))).mean(axis=1)
+    def block(pdf, background):
+        x, z = pdf[feats].to_numpy(dtype=float) * coef, background * coef
+        n = len(x)
+        order = feature_orders(pdf["__h"].to_numpy(), p, n_permutations)
         phi = np.zeros((n, p))
-        for c in coalitions:
-            for j in range(p):
-                if c[j] == 0:
-                    with_j = tuple(1 if i == j else c[i] for i in range(p))
-                    phi[:, j] += weights[sum(c)] * (val[with_j] - val[c])
-        rows = {k: np.repeat(pdf[k].to_numpy(), p) for k in keep}
-        rows["feature"] = np.tile(np.array(feats, dtype=object), n)
-        rows["phi"] = phi.reshape(-1)
-        rows["base"] = np.full(n * p, base)
-        return pd.DataFrame(rows)
+        start = b0 + z.sum(axis=1)
+        base = float((1.0 / (1.0 + np.exp(-start))).mean())
+        rows = np.arange(n)
+        for k in range(n_permutations):
+            eta = np.repeat(start[None, :], n, axis=0)
+            before = np.full(n, base)
+            for step in range(p):
+                j = order[:, k, step]
+                eta += x[rows, j][:, None] - z[:, j].T
+                now = (1.0 / (1.0 + np.exp(-eta))).mean(axis=1)
+                phi[rows, j] += now - before
+                before = now
+        out = {c: np.repeat(pdf[c].to_numpy(), p) for c in keep}
+        return pd.DataFrame(out | {"feature": np.tile(np.array(feats, dtype=object), n), "phi": (phi / n_permutations).reshape(-1),
+                                   "base": np.full(n * p, base)})
 
     def run(batches):
-        bgm = bc.value
-        base = float(sc.numpy_score(bgm).mean())
         for big in batches:
             for start in range(0, len(big), 512):   # bound the rows x background block
-                yield block(big.iloc[start:start + 512], bgm, base)
+                yield block(big.iloc[start:start + 512], bc.value)
 
-    return df.select(*keep, *feats).mapInPandas(run, out_schema)
+    rows = df.select(*keep, *feats, hash_int(F.lit(seed), *[F.col(k) for k in keep]).alias("__h"))
+    return rows.mapInPandas(run, out_schema)
+
+
+def shapley_model(df: DataFrame, scorer: ModelScorer, feats: list[str], keep: list[str], n_background: int = 20, seed: int = 42,
+                  n_permutations: int = 3) -> DataFrame:
+    """I10 for any fitted model on its raw inputs ``feats``: the steps of
+    ``shapley_sampled`` as rows (row x permutation x step x background), scored
+    by the model's own ``transform`` and averaged over the background.
+    ``keep`` is the row key."""
+    p = len(feats)
+    others = [c for c in df.columns if c not in feats and c not in keep]
+    orders = F.pandas_udf(lambda h: pd.Series(list(feature_orders(h.to_numpy(), p, n_permutations).reshape(len(h), -1))), "array<long>")
+    rows = df.withColumn("__o", orders(hash_int(F.lit(seed), *[F.col(k) for k in keep])))
+    steps = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1)))) \
+        .withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(p)))) \
+        .withColumn("__in", F.slice("__o", F.col("__k") * p + 1, F.col("__t")))
+    bg = _background(df, feats, keep, n_background, seed).select(*[F.col(f).alias(f"__bg_{f}") for f in feats])
+    # n_background rows: the sample that the method fixes
+    mixed = steps.crossJoin(F.broadcast(bg)).select(*keep, *others, "__o", "__k", "__t", *[
+        F.when(F.array_contains("__in", F.lit(j).cast("bigint")), F.col(f)).otherwise(F.col(f"__bg_{f}")).alias(f) for j, f in enumerate(feats)])
+    value = scorer.frame(mixed).groupBy(*keep, "__k", "__t").agg(F.avg("__p").alias("__v"), F.first("__o").alias("__o"))
+    w = Window.partitionBy(*keep, "__k").orderBy("__t")   # p + 1 rows
+    change = value.withColumn("__d", F.col("__v") - F.lag("__v").over(w)).withColumn("__base", F.first("__v").over(w))
+    name = F.element_at(F.array(*[F.lit(f) for f in feats]), (F.get("__o", F.col("__k") * p + F.col("__t") - 1) + 1).cast("int"))
+    return change.where("__t > 0").groupBy(*keep, name.alias("feature")).agg(F.avg("__d").alias("phi"), F.avg("__base").alias("base"))
 
 
 def permutation_importance(df: DataFrame, scorer: Scorer, y: str, id_col: str, row_key: str,

@@ -259,39 +259,35 @@ def shap_row(spark, sf_dir):
     return X.linear_shap(d, SCORER, ["rownames"]).join(F.broadcast(first), "rownames")
 
 
-def _shap_exact_sql(n_background: int = 200) -> str:
-    import itertools
-    import math
+N_PERMUTATIONS = 10
+
+
+def _shap_sampled_sql(n_background: int = 200) -> str:
+    """The same hashed feature orders: the scores along each order, and the change where a feature comes in."""
     p = len(FEATS)
-    b0 = float(SCORER.beta("intercept"))
-    coal = list(itertools.product([0, 1], repeat=p))
     h = "CAST('0x' || substr(md5(concat_ws('|', '42', CAST(rownames AS VARCHAR))), 1, 7) AS BIGINT)"
-
-    def eta(c):
-        terms = [repr(b0)] + [f"{float(SCORER.beta(f))!r} * {'d' if c[j] else 'bg'}.{f}" for j, f in enumerate(FEATS)]
-        return " + ".join(terms)
-    vcols = ", ".join(f"avg(1.0 / (1.0 + exp(-({eta(c)})))) AS v_{''.join(map(str, c))}" for c in coal)
-    w = {k: math.factorial(k) * math.factorial(p - k - 1) / math.factorial(p) for k in range(p)}
-    parts = []
-    for j, f in enumerate(FEATS):
-        terms = []
-        for c in coal:
-            if c[j] == 0:
-                cj = tuple(1 if i == j else c[i] for i in range(p))
-                terms.append(f"{w[sum(c)]!r} * (v_{''.join(map(str, cj))} - v_{''.join(map(str, c))})")
-        parts.append(f"SELECT rownames, '{f}' AS feature, {' + '.join(terms)} AS phi FROM v")
-    base_eta = " + ".join([repr(b0)] + [f"{float(SCORER.beta(f))!r} * {f}" for f in FEATS])
+    eta = " + ".join([repr(float(SCORER.beta("intercept")))] + [
+        f"{float(SCORER.beta(f))!r} * CASE WHEN p{j} <= t THEN d.{f} ELSE bg.{f} END" for j, f in enumerate(FEATS)])
+    base_eta = " + ".join([repr(float(SCORER.beta("intercept")))] + [f"{float(SCORER.beta(f))!r} * {f}" for f in FEATS])
+    parts = " UNION ALL ".join(f"SELECT a.rownames, '{f}' AS feature, avg(a.v - b.v) AS phi FROM v a JOIN v b ON a.rownames = b.rownames AND a.k = b.k "
+                               f"AND a.t = a.p{j} AND b.t = a.p{j} - 1 GROUP BY a.rownames" for j, f in enumerate(FEATS))
     return D + f""", bg AS (SELECT {', '.join(FEATS)} FROM design ORDER BY {h}, {', '.join(FEATS)} LIMIT {n_background}),
   base AS (SELECT avg(1.0 / (1.0 + exp(-({base_eta})))) AS base FROM bg),
-  v AS (SELECT d.rownames, {vcols} FROM design d, bg GROUP BY d.rownames)
-SELECT s.rownames, s.feature, s.phi, base.base FROM ({' UNION ALL '.join(parts)}) s, base"""
+  x0 AS (SELECT rownames, k, j, xor({h}, ((k * {p} + j + 1) * 2654435761) & 2147483647) AS x FROM design, range({N_PERMUTATIONS}) a(k), range({p}) b(j)),
+  x1 AS (SELECT rownames, k, j, {S.mix31_sql('x')} AS x FROM x0),
+  x2 AS (SELECT rownames, k, j, {S.mix31_sql('x')} AS x FROM x1),
+  o AS (SELECT rownames, k, j, row_number() OVER (PARTITION BY rownames, k ORDER BY x, j) AS pos FROM x2),
+  w AS (SELECT rownames, k, {', '.join(f'max(CASE WHEN j = {j} THEN pos END) AS p{j}' for j in range(p))} FROM o GROUP BY rownames, k),
+  v AS (SELECT w.rownames, w.k, t, {', '.join(f'max(p{j}) AS p{j}' for j in range(p))}, avg(1.0 / (1.0 + exp(-({eta})))) AS v
+        FROM w JOIN design d ON w.rownames = d.rownames, range({p + 1}) s(t), bg GROUP BY w.rownames, w.k, t)
+SELECT s.rownames, s.feature, s.phi, base.base FROM ({parts}) s, base"""
 
 
-@query("shap_sampled", "rownames:bigint feature:string phi:double base:double", _shap_exact_sql(200))
+@query("shap_sampled", "rownames:bigint feature:string phi:double base:double", _shap_sampled_sql(200))
 def shap_sampled(spark, sf_dir):
     """Probability-scale Shapley values against a 200-row hashed background
-    sample, all coalitions evaluated per partition in numpy (mapInPandas)."""
-    return X.shapley_sampled(design(spark, sf_dir), SCORER, ["rownames"], 200, SEED)
+    sample, by ten seeded permutations of the features per row (mapInPandas)."""
+    return X.shapley_sampled(design(spark, sf_dir), SCORER, ["rownames"], 200, SEED, N_PERMUTATIONS)
 
 
 PERM_SQL = D + """, fl AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f}')" for f in FEATS) + """) t(feature)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import features, glm, profile
+from cohortlens.operators import clean, features, glm, profile
 from cohortlens.plans import sql as S
 from cohortlens.plans.base import query
 from cohortlens.plans.common import scored_panel
@@ -18,7 +18,8 @@ COEF_COLS = "term:string estimate:double se:double z:double p_value:double OR:do
 
 def _fit(df, factors, numerics, y="target_num", firth=False, vcov="hc0", cluster="id"):
     keep = [c for c, _ in factors] + list(numerics) + [y, cluster]
-    d = df.select(*keep).dropna()          # P7: complete cases of the model columns
+    # Complete cases of the model columns, kept for the level lookups, every IRLS pass and the errors
+    d = clean.drop_na(df.select(*keep), keep).persist()
     dm, xnames, terms = glm.treatment_design(d, factors, numerics)
     fit = glm.fit_logistic(dm, xnames, terms, y, firth=firth)
     if vcov == "hc0":
@@ -27,6 +28,7 @@ def _fit(df, factors, numerics, y="target_num", firth=False, vcov="hc0", cluster
         V = glm.vcov_cluster_cr2(dm, fit, xnames, y, cluster)
     else:
         V = None
+    d.unpersist()
     return glm.coef_table(df.sparkSession, fit, V)
 
 

@@ -40,7 +40,7 @@ def model_frame(spark, sf_dir):
 
 
 def fitted_prep(spark, sf_dir):
-    d = model_frame(spark, sf_dir)
+    d = model_frame(spark, sf_dir).cache()   # before the preprocessor's own passes
     params = P.fit_preprocessor(d.where(F.col("split") == "train"), NUM, CAT)
     return d, params
 
@@ -352,6 +352,15 @@ def ale_fitted(spark, sf_dir):
     return X.ale(d.where(F.col("split") == "test"), X.ModelScorer(model), "airq")
 
 
+@query("shap_fitted", "rownames:bigint feature:string phi:double base:double")
+def shap_fitted(spark, sf_dir):
+    """I10 with the fitted pipeline as the predictor: Shapley values of the test rows over its raw inputs (three orders, twenty background rows)."""
+    from cohortlens.operators import explain as X
+    d, model = _fitted_pipeline(spark, sf_dir)
+    test = d.where(F.col("split") == "test").select("rownames", *NUM, *CAT)
+    return X.shapley_model(test, X.ModelScorer(model), NUM + CAT, ["rownames"], seed=SEED)
+
+
 @query("calibrated_bootstrap", "model:string metric:string mean:double std:double ci95_low:double ci95_high:double point:double")
 def calibrated_bootstrap(spark, sf_dir):
     """Entry B: logistic fit on the training split, isotonic calibrator fit on out-of-fold
