@@ -272,7 +272,21 @@ def isotonic_apply(spark, sf_dir):
     return K.apply_isotonic(m, rows)
 
 
-@query("platt_fit", "term:string estimate:double")
+def _platt_sql(steps: int = 15) -> str:
+    """Newton steps on the score's cells: log-loss plus half the squared slope (C = 1), the intercept free."""
+    out = S.with_(S.SCORE) + """,
+  cell AS (SELECT y_prob AS x, CAST(sum(y_true) AS DOUBLE) AS sy, CAST(count(*) AS DOUBLE) AS n FROM score GROUP BY y_prob),
+  b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"""
+    for k in range(steps):
+        out += f""",
+  g{k} AS (SELECT max(a) AS a, max(b) AS b, sum(sy - n * p) AS ga, sum(x * (sy - n * p)) - max(b) AS gb, sum(n * p * (1 - p)) AS haa,
+           sum(x * n * p * (1 - p)) AS hab, sum(x * x * n * p * (1 - p)) + 1 AS hbb
+           FROM (SELECT cell.*, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM cell, b{k}) t),
+  b{k + 1} AS (SELECT a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{k})"""
+    return out + f"\nSELECT '(Intercept)' AS term, a AS estimate FROM b{steps} UNION ALL SELECT 'y_raw', b FROM b{steps}"
+
+
+@query("platt_fit", "term:string estimate:double", _platt_sql())
 def platt_fit(spark, sf_dir):
     """K4: logistic (Platt) calibration of the bucketed score: intercept and slope."""
     s = views.score(spark, sf_dir).select(F.col("y_prob").alias("y_raw"), F.col("y_true").cast("double").alias("label"))
@@ -281,6 +295,23 @@ def platt_fit(spark, sf_dir):
                                  "term string, estimate double")
 
 
+TEST_ROWS_SQL = SCORED_SQL + "SELECT rownames, true AS same FROM design WHERE split = 'test' AND headache IS NOT NULL"
+
+
+@query("model_roundtrip_same", "rownames:bigint same:boolean", TEST_ROWS_SQL)
+def model_roundtrip_same(spark, sf_dir):
+    """Every test row gets the same score from the saved and loaded pipeline."""
+    return model_roundtrip(spark, sf_dir).select("rownames", F.col("y_prob").eqNullSafe(F.col("y_prob_loaded")).alias("same"))
+
+
+@query("oof_coverage", "rownames:bigint fold:bigint scored:boolean", SCORED_SQL + """SELECT rownames,
+       CAST('0x' || substr(md5(concat_ws('|', '42', CAST(id AS VARCHAR))), 1, 7) AS BIGINT) % 5 AS fold, true AS scored
+       FROM design WHERE split = 'train' AND headache IS NOT NULL""")
+def oof_coverage(spark, sf_dir):
+    """K1: every training row with a known outcome is scored once, by the fit that left its fold out."""
+    return oof_scores(spark, sf_dir).select("rownames", "fold", F.col("y_raw").between(0, 1).alias("scored"))
+
+
 @query("model_roundtrip", "rownames:bigint y_prob:double y_prob_loaded:double")
 def model_roundtrip(spark, sf_dir):
     """Preprocess + logistic as one Pipeline, saved to the shared checkpoint
