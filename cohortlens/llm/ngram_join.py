@@ -16,8 +16,9 @@ the threshold.
    of their prefixes, so the matrix is kept for prefix tokens, and a token that
    meets only one group opens nothing: a large group of near copies costs its
    own tokens, not its pairs. A set with s shared tokens links with none larger
-   than (100 + percent) / percent * s - n, which parts the near copies that
-   have drifted too far before any pair is made.
+   than (100 + percent) / percent * s - n, and where the first token that both
+   have comes after i others, with none larger than that for s - i. This parts
+   near copies that have drifted too far before any pair is made.
 5. For each (document, other group) that meets: the exact overlap with the
    group's token union bounds the similarity; what passes is opened, and its
    members are compared exactly.
@@ -173,17 +174,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = sized.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PART).alias("parts"))
     member = saved(sized.join(parts, "g").select("k", "n", "most", "g", F.expr("pmod(xxhash64(k), parts)").alias("part")))
 
-    # each pair is looked for from its larger set: the other one's prefix is then shorter
-    ordered = saved(member.join(blob, "k").select(member["*"], _prefix(percent, 100)("shared", "n").alias("probe"),
+    # each pair is looked for from its larger set, at the first token that both have: after i earlier ones no partner is larger than ``room``
+    ordered = saved(member.join(blob, "k").select("k", "n", "g", "part", F.expr("octet_length(shared) div 8").alias("s"), _prefix(percent, 100)("shared", "n").alias("probe"),
                                                   _prefix(2 * percent, 100 + percent)("shared", "n").alias("index")))
-    matrix = ordered.select("g", "part", "n", "most", F.explode("index").alias("token")).groupBy("token", F.col("g").alias("to_g"), F.col("part").alias("to_part")) \
-        .agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.max("most").alias("to_most"))
-    matrix = saved(matrix)
-    several = matrix.groupBy("token").agg(F.min("to_g").alias("g1"), F.max("to_g").alias("g2"), F.min("n1").alias("least_n"), F.max("to_most").alias("best_most"))
-    probe = ordered.select("k", "n", "most", "g", F.explode("probe").alias("token")).join(several, "token") \
-        .where("(g <> g1 or g <> g2) and least_n <= least(n, most) and best_most >= n").select("token", "k", "n", "most", "g")
+    room = F.expr(f"({100 + percent}L * (s - i)) div {percent} - n").alias("room")
+    index = ordered.select("g", "part", "n", "s", F.posexplode("index").alias("i", "token")).select("token", "g", "part", "n", room)
+    matrix = saved(index.groupBy("token", F.col("g").alias("to_g"), F.col("part").alias("to_part"))
+                   .agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.max("room").alias("to_room")))
+    several = matrix.groupBy("token").agg(F.min("to_g").alias("g1"), F.max("to_g").alias("g2"), F.min("n1").alias("least_n"), F.max("to_room").alias("best_room"))
+    probe = ordered.select("k", "n", "s", "g", F.posexplode("probe").alias("i", "token")).select("token", "k", "n", "g", room).join(several, "token") \
+        .where("(g <> g1 or g <> g2) and least_n <= least(n, room) and best_room >= n").select("token", "k", "n", "room", "g")
     meeting = saved(probe.join(matrix, "token")
-                    .where(f"g <> to_g and n1 <= least(n, most) and 100 * n2 >= {percent} * n and to_most >= n")
+                    .where(f"g <> to_g and n1 <= least(n, room) and 100 * n2 >= {percent} * n and to_room >= n")
                     .select("k", "to_g", "to_part").distinct())
     met = meeting.select("to_g", "to_part").distinct()
     unions = member.join(met, (member["g"] == met["to_g"]) & (member["part"] == met["to_part"])).select("k", "g", "part").join(blob, "k") \
