@@ -3,27 +3,33 @@
 A pre-token here is a run of bytes between ASCII white space: tokenizers that
 drop white space (or whose pre-tokenizer ends at it) give a text as many
 tokens as its pre-tokens have together. So the tokenizer sees each distinct
-pre-token of the corpus once; documents keep (pre-token, frequency) pairs,
-packed per block of documents; a join brings the counts to the blocks, and
-each document's count is a sum of products. No ids are made for documents.
-
-Frequent pre-tokens stand once per block, not once per document, in the join;
-Spark splits what is still uneven.
+pre-token of the corpus once, in the bucket that its hash names; a block of
+documents holds their (pre-token, frequency) pairs and gets the counts of its
+distinct pre-tokens back; each document's count is a sum of products. No ids
+are made for documents.
+
+A pre-token stands once per block in the shuffles, however frequent it is, and
+both shuffles deal out by a hash (bucket, block), so none makes a hot key. A
+block's number comes from the task's partition, so a task that runs again
+after an executor was lost packs the same block.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm.common import keyed_text, saved, slices
+from cohortlens.llm.common import keyed_text, slices, width
+from cohortlens.llm.shared_items import BUCKETS_PER_PARTITION, from_planes, planes
 
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 16 << 20
 OVER = 2048
@@ -36,72 +42,98 @@ class _Numbers(dict):
         return n
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block: its distinct pre-tokens, its documents, and their (number, frequency) pairs."""
-    part, chunk = TaskContext.get().partitionId(), 0
-    numbers, meta, which, often = _Numbers(), [], [], []
-    rows = size = 0
+def _pack(buckets: int):
+    """Per block: a row for its documents with their (number, frequency) pairs, and a row per bucket of its distinct pre-tokens; numbers follow the buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunk = TaskContext.get().partitionId(), 0
+        numbers, meta, which, often = _Numbers(), [], [], []
+        rows = size = 0
+
+        def block():
+            at = (part << 24) + chunk
+            pieces = list(numbers)
+            bucket = np.fromiter((xxhash.xxh32_intdigest(p) % buckets for p in pieces), np.uint16, len(pieces))
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            pairs = []
+            for w, c in zip(which, often, strict=True):
+                w = rank[w]
+                by = np.argsort(w)
+                pairs.append((np.diff(w[by], prepend=np.uint32(0)).astype(np.uint32), c[by].astype(np.uint32)))
+            out = [(-1 - at, at, np.array(meta, _META).tobytes(), *(planes(np.concatenate(x)) for x in zip(*pairs, strict=True)))]
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            start = 0
+            for k, end in enumerate(ends.tolist()):
+                if end > start:
+                    out.append((k, at, b" ".join(map(pieces.__getitem__, order[start:end].tolist())), b"", b""))
+                start = end
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "a", "b", "c"])
+
+        for keys, texts in slices(batches):
+            n_bytes = sum(map(len, texts))
+            if rows and (rows + len(keys) > BLOCK_ROWS or size + n_bytes > BLOCK_BYTES):
+                yield block()
+                numbers, meta, which, often = _Numbers(), [], [], []
+                rows, size, chunk = 0, 0, chunk + 1
+            for key, t in zip(keys, texts, strict=True):
+                words = t.split()
+                w, c = np.unique(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)), return_counts=True)
+                meta.append((key or 0, key is None, len(t), len(w)))
+                which.append(w)
+                often.append(c)
+            rows, size = rows + len(keys), size + n_bytes
+        if rows:
+            yield block()
+
+    return run
 
-    def block():
-        m = np.array(meta, _META)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 24) + chunk], pa.int64()), pa.array([list(numbers)], pa.list_(pa.binary())), pa.array([m.tobytes()], pa.binary()),
-             pa.array([np.concatenate(which).astype(np.uint32).tobytes()], pa.binary()), pa.array([np.concatenate(often).astype(np.uint32).tobytes()], pa.binary())],
-            names=["block", "pieces", "meta", "which", "often"])
 
-    for keys, texts in slices(batches):
-        n_bytes = sum(map(len, texts))
-        if rows and (rows + len(keys) > BLOCK_ROWS or size + n_bytes > BLOCK_BYTES):
-            yield block()
-            numbers, meta, which, often = _Numbers(), [], [], []
-            rows, size, chunk = 0, 0, chunk + 1
-        for key, t in zip(keys, texts, strict=True):
-            words = t.split()
-            w, c = np.unique(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)), return_counts=True)
-            meta.append((key or 0, key is None, len(t), len(w)))
-            which.append(np.diff(w, prepend=np.uint32(0)).astype(np.uint32))
-            often.append(c)
-        rows, size = rows + len(keys), size + n_bytes
-    if rows:
-        yield block()
-
-
-def _counter(shared):
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        for pdf in frames:
-            pieces = [bytes(p).decode() for p in pdf["piece"]]
-            n: list[int] = []
-            for i in range(0, len(pieces), 2000):
-                n += [len(e.ids) for e in tokenizer.encode_batch(pieces[i:i + 2000], add_special_tokens=False)]
-            yield pd.DataFrame({"piece": pdf["piece"], "n": np.array(n, np.int64)})
+#: The tokenizer that this Python worker last used.
+_LOADED: dict[str, Tokenizer] = {}
+
+
+def _loaded(key: str, shared) -> Tokenizer:
+    if key not in _LOADED:
+        _LOADED.clear()
+        t = _LOADED[key] = Tokenizer.from_str(shared.value)
+        t.no_truncation()
+        t.no_padding()
+    return _LOADED[key]
+
+
+def _counter(key: str, shared):
+    """Tokens of each distinct pre-token of a bucket, handed to every block that has it."""
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        if bucket < 0:
+            return pdf[["block", "bucket", "a", "b", "c"]]
+        pieces = [bytes(x).split(b" ") for x in pdf["a"]]
+        distinct = list(dict.fromkeys(p for x in pieces for p in x))
+        tokenizer = _loaded(key, shared)
+        n: dict[bytes, int] = {}
+        for i in range(0, len(distinct), 2000):
+            some = distinct[i:i + 2000]
+            n.update(zip(some, (len(e.ids) for e in tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False)), strict=True))
+        counts = [planes(np.fromiter(map(n.__getitem__, x), np.uint32, len(x))) for x in pieces]
+        return pd.DataFrame({"block": pdf["block"], "bucket": bucket, "a": counts, "b": b"", "c": b""})
 
     return count
 
 
 def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each block's documents with their sums; the block's counts come as (number, count) pairs."""
-    out = []
-    for r in pdf.itertuples(index=False):
-        meta = np.frombuffer(r.meta, _META)
-        n = np.zeros(int(r.n_pieces), np.int64)
-        if r.numbers is not None and len(r.numbers):
-            n[np.asarray(r.numbers, np.int64)] = np.asarray(r.counts, np.int64)
-        ends = np.cumsum(meta["distinct"])
-        which, often = np.frombuffer(r.which, np.uint32).astype(np.int64), np.frombuffer(r.often, np.uint32).astype(np.int64)
-        if len(which):
-            total = np.cumsum(which)
-            starts = ends - meta["distinct"]
-            before = np.where(starts > 0, total[np.maximum(starts, 1) - 1], 0)
-            which = total - np.repeat(before, meta["distinct"])
-            run = np.r_[0, np.cumsum(n[which] * often)]
-            sums = run[ends] - run[starts]
-        else:
-            sums = np.zeros(len(meta), np.int64)
-        out.append(pd.DataFrame({"id": pd.Series(meta["id"]).astype("Int64").mask(pd.Series(meta["null"] == 1)), "n_bytes": meta["n_bytes"], "n_tokens": sums}))
-    return pd.concat(out)
+    """Sums of count times frequency over the documents of a block."""
+    pdf = pdf.sort_values("bucket")
+    docs = pdf.iloc[0]
+    meta = np.frombuffer(docs["a"], _META)
+    n = np.concatenate([np.zeros(0, np.uint32), *(from_planes(x, np.uint32) for x in pdf["a"].iloc[1:])]).astype(np.int64)
+    which, often = from_planes(docs["b"], np.uint32).astype(np.int64), from_planes(docs["c"], np.uint32).astype(np.int64)
+    ends = np.cumsum(meta["distinct"])
+    starts = ends - meta["distinct"]
+    total = np.r_[0, np.cumsum(which)]
+    run = np.r_[0, np.cumsum(n[total[1:] - np.repeat(total[starts], meta["distinct"])] * often)]
+    return pd.DataFrame({"id": pd.Series(meta["id"]).astype("Int64").mask(pd.Series(meta["null"] == 1)), "n_bytes": meta["n_bytes"], "n_tokens": run[ends] - run[starts]})
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", over: int = OVER) -> DataFrame:
@@ -117,13 +149,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-    blocks = saved(keyed_text(docs, id_col, text_col).mapInArrow(
-        _pack, "block long, pieces array<binary>, meta binary, which binary, often binary"))
-    pieces = blocks.select("block", F.posexplode("pieces").alias("number", "piece"))
-    counts = pieces.select("piece").distinct().mapInPandas(_counter(shared), "piece binary, n long")
-    of_block = pieces.join(counts, "piece").groupBy("block").agg(F.collect_list(F.struct("number", "n")).alias("found"))
-    joined = blocks.select("block", F.size("pieces").alias("n_pieces"), "meta", "which", "often") \
-        .join(of_block.select("block", F.col("found.number").alias("numbers"), F.col("found.n").alias("counts")), "block", "left")
-    return joined.drop("block").mapInPandas(lambda frames: (_sums(f) for f in frames if len(f)), "id long, n_bytes long, n_tokens long") \
+        vocabulary = f.read()
+    shared, key = spark.sparkContext.broadcast(vocabulary), hashlib.sha256(vocabulary.encode()).hexdigest()
+    buckets = min(65_536, BUCKETS_PER_PARTITION * width(spark))
+    packed = keyed_text(docs, id_col, text_col).mapInArrow(_pack(buckets), "bucket long, block long, a binary, b binary, c binary")
+    counted = packed.groupBy("bucket").applyInPandas(_counter(key, shared), "block long, bucket long, a binary, b binary, c binary")
+    return counted.groupBy("block").applyInPandas(_sums, "id long, n_bytes long, n_tokens long") \
         .select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
