@@ -52,7 +52,7 @@ def test_compact_windows_hold_every_subsequence_once(seed):
     windows = substring_dedup.compact_windows(h, 7)
     for i in range(40):
         for j in range(i + 6, 40):
-            of = [(a, c, b) for a, c, b in windows if a <= i <= c <= j <= b]
+            of = [(a, c, b) for a, c, b in windows.tolist() if a <= i <= c <= j <= b]
             assert len(of) == 1 and h[of[0][1]] == h[i:j + 1].min()
 
 
