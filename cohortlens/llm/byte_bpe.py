@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import keyed_text, slices
+from cohortlens.llm.common import held, keyed_text, slices
 
 #: Kept answers: pre-tokens and token pairs; each table is emptied when it has grown to this.
-MEMO = 1_000_000
+MEMO = 400_000
 MEMO_BYTES = 64
 
 
@@ -148,18 +148,6 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-#: The encoder that this Python worker last used, with its memos, for the tasks that follow.
-_LOADED: dict[str, tuple] = {}
-
-
-def _loaded(key: str, shared, spaces_split: bool) -> tuple[ByteBpe, _Spaced]:
-    if key not in _LOADED:
-        _LOADED.clear()
-        bpe = ByteBpe(*shared.value)
-        _LOADED[key] = bpe, _Spaced(_Joined(bpe), spaces_split)
-    return _LOADED[key]
-
-
 class _Joined(dict):
     """Pre-token to its ids as joined decimals; long pre-tokens are not kept."""
 
@@ -229,7 +217,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern, spaces_split)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, spaced = _loaded(key, shared, spaces_split)
+        spaced = held(("byte_bpe", key), lambda: _Spaced(_Joined(ByteBpe(*shared.value)), spaces_split))
+        bpe = spaced.joined.bpe
         bytes_of = {str(i): t for i, t in bpe.bytes_of.items()}.__getitem__
         for keys, texts in slices(batches):
             n_tokens, ids, hashes, decoded, equal = [], [], [], [], []

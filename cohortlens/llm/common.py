@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,23 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(docs[text_col].cast("string").cast("binary"), F.lit(b"")).alias("__bytes"))
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make`` makes for ``key``, kept in this Python worker for the tasks that follow.
+
+    A worker keeps one such object: the one it had for another key, with its
+    memos, is let go first, so a worker that serves several operators in turn
+    needs no more memory than one of them.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(batches):
     """(ids, texts) of at most SLICE_BYTES of text, or of one longer text; ``batches`` come from mapInArrow with (__id, __bytes)."""
     for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import keyed_text, saved, slices
+from cohortlens.llm.common import held, keyed_text, saved, slices
 from cohortlens.llm.words import mix
 
 MAX_EDITS, MIN_ITEM_WORDS, GRAM = 0.2, 6, 3
@@ -216,20 +216,15 @@ class Items:
         return [sorted(x) for x in out]
 
 
-_LOADED: dict[str, Items] = {}
-
-
 def _searched(text: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
     key = hashlib.sha256(repr(block).encode()).hexdigest()
     shared = text.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Items(shared.value)
+        items = held(("items", key), lambda: Items(shared.value))
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
         for ids, texts in slices(batches):
-            hits = [[dict(zip(("item_id", "start", "end", "edits"), h, strict=True)) for h in x] for x in _LOADED[key].search(texts)]
+            hits = [[dict(zip(("item_id", "start", "end", "edits"), h, strict=True)) for h in x] for x in items.search(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, kind)], names=["__id", "matches"])
 
     return text.mapInArrow(run, f"__id long, matches {_MATCHES}")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.byte_bpe import read_ranks
-from cohortlens.llm.common import saved, slices
+from cohortlens.llm.common import held, saved, slices
 from cohortlens.llm.words import shingles
 from cohortlens.session import ship_package
 
@@ -49,7 +49,7 @@ _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 class _Vocabularies:
     """Tokens of single words under a SentencePiece model with byte fallback and a byte-level rank file; kept per worker, emptied when large."""
 
-    limit = 1_000_000
+    limit = 400_000
 
     def __init__(self, model: bytes, ranks: dict[bytes, int], pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -96,9 +96,6 @@ class _Numbers(dict):
         return n
 
 
-_LOADED: dict[str, _Vocabularies] = {}
-
-
 def _repeated_words(words: list[bytes], hashes: np.ndarray) -> int:
     """Words inside windows that occur at least twice; ``hashes`` are the windows'. Equal hashes are checked by the words."""
     s = np.sort(hashes)
@@ -127,10 +124,7 @@ def _script(text: bytes) -> str:
 
 def _measure(key: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = _Vocabularies(*shared.value)
-        vocabulary = _LOADED[key]
+        vocabulary = held(("quality", key), lambda: _Vocabularies(*shared.value))
         for ids, texts in slices(batches):
             split = [t.split() for t in texts]
             n_words = np.fromiter(map(len, split), np.int64, len(split))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm.common import keyed_text, slices, width
+from cohortlens.llm.common import held, keyed_text, slices, width
 from cohortlens.llm.shared_items import BUCKETS_PER_PARTITION, from_planes, planes
 
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 16 << 20
@@ -90,17 +90,11 @@ def _pack(buckets: int):
     return run
 
 
-#: The tokenizer that this Python worker last used.
-_LOADED: dict[str, Tokenizer] = {}
-
-
-def _loaded(key: str, shared) -> Tokenizer:
-    if key not in _LOADED:
-        _LOADED.clear()
-        t = _LOADED[key] = Tokenizer.from_str(shared.value)
-        t.no_truncation()
-        t.no_padding()
-    return _LOADED[key]
+def _tokenizer(vocabulary: str) -> Tokenizer:
+    t = Tokenizer.from_str(vocabulary)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def _counter(key: str, shared):
@@ -111,7 +105,7 @@ def _counter(key: str, shared):
             return pdf[["block", "bucket", "a", "b", "c"]]
         pieces = [bytes(x).split(b" ") for x in pdf["a"]]
         distinct = list(dict.fromkeys(p for x in pieces for p in x))
-        tokenizer = _loaded(key, shared)
+        tokenizer = held(("tokenizer", key), lambda: _tokenizer(shared.value))
         n: dict[bytes, int] = {}
         for i in range(0, len(distinct), 2000):
             some = distinct[i:i + 2000]

@@ -17,7 +17,7 @@ _S31, _S29 = np.uint64(31), np.uint64(29)
 class WordHashes(dict):
     """64-bit hash of each word, kept for repeated words; emptied when it has grown large."""
 
-    limit = 1_000_000
+    limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
