@@ -15,7 +15,8 @@ Windows are not taken at every word: within MAX_EDITS of an item, a window
 shares an n-gram with it at a known place (n - q + 1 - q * edits of them are
 left whole for q-grams, and q is chosen per item so that this is positive).
 So only windows that start where a shared q-gram says are embedded, and none
-that could verify is left out by it.
+that could verify is left out by it. A window may start before its text, where
+an item's first words are missing: their places count as words of no item.
 
 The benchmark goes to the tasks as a broadcast of at most BLOCK_BYTES; a larger
 one is searched block by block, each against all documents.
@@ -157,7 +158,7 @@ class Items:
         return key
 
     def windows(self, symbols: np.ndarray) -> dict[int, np.ndarray]:
-        """Window starts by item size, from the q-grams that the text shares with items of that size."""
+        """Window starts by item size, from the q-grams that the text shares with items of that size; less than an item's size before a text's first word at least."""
         found = defaultdict(set)
         known = symbols > 0
         for q, (keys, places) in self.grams.items():
@@ -179,18 +180,19 @@ class Items:
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text, (item_id, first word, end, edits) of the verified windows, the best of those that overlap."""
-        number, parts, base, size = self.numbers.get, [], [], 0
-        gap = max(map(len, self.words), default=0) * 2
+        number, most = self.numbers.get, max(map(len, self.words), default=0)
+        gap = 2 * most  # windows that start up to ``most`` words before a text, or end as many after it, hold no words of another one
+        parts, base, size = [np.zeros(gap, np.uint64)], [], gap
         for t in texts:
             w = np.fromiter((number(x, 0) for x in item_words(t)), np.uint64)
             base.append(size)
             parts += [w, np.zeros(gap, np.uint64)]
             size += len(w) + gap
-        symbols = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        first, length = np.array(base, np.int64), np.array([len(p) for p in parts[::2]], np.int64)
+        symbols = np.concatenate(parts)
+        first, length = np.array(base, np.int64) - most, np.array([len(p) for p in parts[1::2]], np.int64)
         found: dict[tuple[int, int], dict] = defaultdict(dict)
         pairs = set()
-        if windows := {n: s for n, x in self.windows(symbols).items() if len(s := x[x >= 0])}:
+        if windows := self.windows(symbols):
             for n, sample, key in keys_of(symbols, windows):
                 table = self.samples[n, sample]
                 starts = windows[n]

@@ -216,6 +216,25 @@ def test_decontamination_recall(benchmark):
     assert sum(i in {m[0] for m in x} for i, x in zip(wanted, got, strict=True)) >= 0.95 * len(wanted)
 
 
+def test_decontamination_of_texts_that_begin_inside_an_item(benchmark):
+    items = [(i, t.encode()) for i, t in benchmark.collect() if t and i is not None]
+    search = decontaminate.Items(items)
+    rng = random.Random(2)
+    other = [f"q{k}".encode() for k in range(500)]
+    texts, wanted = [], []
+    for i, t in items:
+        w = decontaminate.item_words(t)
+        if len(w) < decontaminate.MIN_ITEM_WORDS:
+            continue
+        for cut in range(1, decontaminate.edits(len(w)) + 1):
+            texts.append(b" ".join(w[cut:] + rng.choices(other, k=rng.randrange(40))))
+            wanted.append((i, cut))
+    for got in (search.search(texts), [search.search([t])[0] for t in texts]):  # after other texts, and as a slice's first
+        best = [min((m for m in x if m[0] == i), key=lambda m: m[3], default=None) for (i, _), x in zip(wanted, got, strict=True)]
+        assert sum(m is not None for m in best) >= 0.95 * len(wanted)
+        assert all(m[1] == 0 and m[3] <= cut for m, (_, cut) in zip(best, wanted, strict=True) if m)
+
+
 def test_ngram_join(documents, rows, distinct):
     got = ngram_join.jaccard_components(documents).collect()
     assert len(got) == len(rows)
