@@ -8,22 +8,25 @@ tables of joined fragments, repeated words and wrong scripts do not.
 Bands come from the corpus itself: per language (or script, where a row names
 no language) and size class, the quartiles of every document that passes the
 base rules, widened by BAND_WIDTH interquartile ranges. Both passes cover all
-rows; a class with fewer than BAND_DOCS documents uses the size class's band
-over all languages, and has no band if that is small too.
+rows. A size class with fewer than BAND_DOCS documents joins the next lower
+one, and the lowest the next higher one; so that a long text is not measured
+by shorter ones, bands run along the measure's trend over 1 / log2(n_tokens):
+the entropy of long texts stays, its share falls as that does. A language with fewer than BAND_DOCS documents takes the bands of all languages,
+which are there as soon as one document passes the base rules.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.byte_bpe import read_ranks
@@ -33,6 +36,8 @@ from cohortlens.session import ship_package
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 BAND_WIDTH, BAND_DOCS = 2.5, 30
+#: The largest size class that a count of tokens can have.
+MAX_CLASS = 62
 #: Least half-width of a band, for classes of documents that are all alike.
 LEAST_HALF = {"chars_per_token": 0.25, "chars_per_byte_token": 0.25, "byte_share": 0.05, "entropy_share": 0.05}
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -171,7 +176,7 @@ def _singles(chars: bytes) -> list[bytes]:
 
 
 def measures(docs: DataFrame, model_path: str, ranks_path: str, pattern: str, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    """(__id, base counts, measures, band_key, size_class) of every row; the vocabularies are read by the driver (a few MB) and broadcast."""
+    """(__id, base counts, measures, band_key, size_class, shortness) of every row; the vocabularies are read by the driver (a few MB) and broadcast."""
     spark = docs.sparkSession
     ship_package(spark)
     with open(model_path, "rb") as f:
@@ -179,7 +184,8 @@ def measures(docs: DataFrame, model_path: str, ranks_path: str, pattern: str, id
     text = docs.select(docs[id_col].cast("long").alias("__id"), F.coalesce(docs[text_col].cast("string").cast("binary"), F.lit(b"")).alias("__bytes"),
                        (docs[lang_col].cast("string") if lang_col else F.lit(None).cast("string")).alias("__lang"))
     rows = text.mapInArrow(_with_lang(_measure(f"{model_path}|{ranks_path}|{pattern}", shared)), SCHEMA + ", band_key string")
-    return rows.withColumn("size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    log_size = F.log2(F.greatest("n_tokens", F.lit(1)))
+    return rows.withColumn("size_class", F.floor(log_size).cast("int")).withColumn("shortness", 1 / F.greatest(log_size, F.lit(1.0)))
 
 
 def _with_lang(run):
@@ -200,11 +206,54 @@ def _with_lang(run):
     return carried
 
 
-def _bands(rows: DataFrame, *keys: str) -> DataFrame:
-    q = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 2000).alias(m) for m in MEASURES]
-    found = rows.groupBy(*keys).agg(F.count("*").alias("docs"), *q).where(F.col("docs") >= BAND_DOCS)
+def merged_classes(docs: dict[int, int]) -> dict[int, int]:
+    """The group, named by its lowest size class, of every size class there can be, from the documents of each."""
+    groups: list[list[int]] = []
+    total = BAND_DOCS
+    for c in sorted(docs, reverse=True):
+        if total >= BAND_DOCS:
+            groups.append([])
+            total = 0
+        groups[-1].append(c)
+        total += docs[c]
+    if len(groups) > 1 and total < BAND_DOCS:
+        few = groups.pop()
+        groups[-1] += few
+    lowest = [g[-1] for g in groups]
+    return {c: next((x for x in lowest if x <= c), lowest[-1]) for c in range(MAX_CLASS + 1)} if lowest else {}
+
+
+def trend(points: list[tuple[int, float, float]]) -> float:
+    """Slope of points (weight, x, y): the weighted median of the slopes between two of them, which a few points far off do not turn."""
+    pairs = sorted(((y - v) / (x - u), n * m) for (n, x, y), (m, u, v) in combinations(points, 2) if x != u)
+    half, total = sum(w for _, w in pairs) / 2, 0
+    for slope, w in pairs:
+        total += w
+        if total >= half:
+            return slope
+    return 0.0
+
+
+def _fitted(classes) -> tuple[tuple[float, ...], dict[int, int]]:
+    """The measures' slopes over ``shortness``, and the groups, from the size classes' documents and medians (one row per class)."""
+    classes = sorted(classes, key=lambda r: r["size_class"])
+    return tuple(trend([(r["docs"], r["shortness"], r[m]) for r in classes]) for m in MEASURES), merged_classes({r["size_class"]: r["docs"] for r in classes})
+
+
+def _bands(rows: DataFrame, key: Column, least: int) -> DataFrame:
+    """(__key, size_class, band) of the keys with ``least`` documents: per measure its slope over ``shortness``, and the band of what the slope leaves."""
+    rows = rows.withColumn("__key", key)
+    medians = [F.percentile_approx(m, 0.5, 2000).alias(m) for m in ("shortness", *MEASURES)]
+    sizes = rows.groupBy("__key", "size_class").agg(F.count("*").alias("docs"), *medians).groupBy("__key") \
+        .agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("size_class", "docs", "shortness", *MEASURES)).alias("of")).where(F.col("docs") >= least)
+    fit = F.udf(lambda of: _fitted(of), f"slope struct<{','.join(f'{m}:double' for m in MEASURES)}>, groups map<int,int>")
+    fits = sizes.select("__key", fit("of").alias("fit"))
+    placed = saved(fits.select("__key", F.col("fit.slope").alias("slope"), F.explode("fit.groups").alias("size_class", "group")))
+    q = [F.percentile_approx(F.col(m) - F.col(f"slope.{m}") * F.col("shortness"), F.array(F.lit(0.25), F.lit(0.75)), 2000).alias(m) for m in MEASURES]
+    found = rows.join(placed, ["__key", "size_class"]).groupBy("__key", "group").agg(*q)
     half = {m: F.greatest(F.lit(BAND_WIDTH) * (F.col(m)[1] - F.col(m)[0]), F.lit(LEAST_HALF[m])) for m in MEASURES}
-    return found.select(*keys, F.struct(*[F.struct((F.col(m)[0] - half[m]).alias("low"), (F.col(m)[1] + half[m]).alias("high")).alias(m) for m in MEASURES]).alias("band"))
+    return saved(placed.join(found, ["__key", "group"]).select("__key", "size_class", F.struct(*[F.struct(
+        F.col(f"slope.{m}").alias("slope"), (F.col(m)[0] - half[m]).alias("low"), (F.col(m)[1] + half[m]).alias("high")).alias(m) for m in MEASURES]).alias("band")))
 
 
 def fertility_rules(docs: DataFrame, model_path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -224,10 +273,11 @@ def fertility_rules(docs: DataFrame, model_path: str, ranks_path: str, pattern:
     rows = saved(measures(docs, model_path, ranks_path, pattern, id_col, text_col, lang_col).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
     good = rows.where("not base_failed")
-    by_key = _bands(good, "band_key", "size_class").withColumnRenamed("band", "own")
-    by_size = _bands(good, "size_class").withColumnRenamed("band", "general")
+    by_key = _bands(good, F.col("band_key"), BAND_DOCS).select(F.col("__key").alias("band_key"), "size_class", F.col("band").alias("own"))
+    by_size = _bands(good, F.lit("all"), 1).select("size_class", F.col("band").alias("general"))
     judged = rows.join(by_key, ["band_key", "size_class"], "left").join(by_size, "size_class", "left").withColumn("band", F.coalesce("own", "general"))
-    outside = [F.when((F.col(m) < F.col(f"band.{m}.low")) | (F.col(m) > F.col(f"band.{m}.high")), F.lit(m)) for m in MEASURES]
+    rest = {m: F.col(m) - F.col(f"band.{m}.slope") * F.col("shortness") for m in MEASURES}
+    outside = [F.when((rest[m] < F.col(f"band.{m}.low")) | (rest[m] > F.col(f"band.{m}.high")), F.lit(m)) for m in MEASURES]
     base = [F.when(F.col("n_words") < MIN_WORDS, F.lit("few_words")), F.when(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"), F.lit("repeats"))]
     judged = judged.withColumn("reasons", F.array_compact(F.array(*base, *outside)))
     return judged.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -88,6 +88,32 @@ def test_quality_verdicts_follow_labels(spark):
     assert kept[1] > 0.98 and kept[0] < 0.8
 
 
+def test_quality_of_sizes_that_few_texts_have(spark):
+    from pyspark.sql.types import LongType, StringType, StructType
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars between 800 and 3000").orderBy("doc_id").select("text").limit(120).collect()]
+    rng = random.Random(4)
+    soup = " ".join("".join(chr(rng.randrange(0xE000, 0xF000)) for _ in range(4)) for _ in range(3000))
+    rows = [*enumerate(texts), (1000, " ".join(texts[:60])), (1001, soup)]
+    schema = StructType().add("doc_id", LongType()).add("text", StringType()).add("lang", StringType())
+
+    def judged(rows):
+        return by_id(quality.fertility_rules(spark.createDataFrame([(*r, "en") for r in rows], schema), *vocabularies()))
+
+    got = judged(rows)
+    assert not got[1001]["base_failed"] and not got[1001]["kept"] and "byte_share" in got[1001]["reasons"]
+    assert got[1000]["n_tokens"] > 8 * max(got[i]["n_tokens"] for i in range(120)) and not {"chars_per_token", "byte_share", "entropy_share"} & set(got[1000]["reasons"])
+    few = judged([*rows[:10], rows[-1]])
+    assert not few[1001]["kept"], "fewer documents than a band needs are one band"
+
+
+def test_merged_size_classes():
+    few = quality.merged_classes({6: 2, 7: 9, 8: 41, 9: 31, 10: 20, 11: 10, 12: 4})
+    assert [few[c] for c in (0, 6, 7, 8, 9, 10, 11, 12, 62)] == [6, 6, 6, 6, 9, 10, 10, 10, 10]
+    assert set(quality.merged_classes({9: 1}).values()) == {9} and quality.merged_classes({}) == {}
+    assert len(quality.merged_classes({4: 30, 40: 30})) == quality.MAX_CLASS + 1
+    assert quality.trend([(10, 8, 0.7), (10, 9, 0.65), (10, 10, 0.6), (1, 14, 9.0)]) == pytest.approx(-0.05) and quality.trend([(5, 8, 0.7)]) == 0
+
+
 def test_token_counts(documents, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
