@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, url_rules
+from cohortlens.llm import (
+    byte_bpe, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, url_rules, whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +110,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, labelled)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of ``embeddings`` on the 16 leading components of the distinct ones, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, each with its end id, concatenated and cut into sequences of 2048 tokens: the pieces."""
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_fertility_rules": op2_fertility_rules,
@@ -119,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_rules": op10_url_rules,
+    "op11_whitening": op11_whitening,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
