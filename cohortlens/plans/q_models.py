@@ -137,7 +137,7 @@ def train_all(spark, sf_dir):
     d, params = prepared(spark, sf_dir)
     d = d.cache()
     train = d.where(F.col("split") == "train")
-    return _eval(ML.train_all(train, train.count(), seed=SEED), d)
+    return _eval(ML.train_all(train, train.count(), seed=SEED, key_col="rownames"), d)
 
 
 @query("fit_gbt", "model:string split:string " + METRIC_COLS)
@@ -146,17 +146,17 @@ def fit_gbt(spark, sf_dir):
     d, params = prepared(spark, sf_dir)
     d = d.cache()
     train = d.where(F.col("split") == "train")
-    return _eval(ML.train_all(train, 0, ["gbt"], seed=SEED), d)
+    return _eval(ML.train_all(train, 0, ["gbt"], seed=SEED, key_col="rownames"), d)
 
 
 @query("fit_gbt_sub", "model:string split:string " + METRIC_COLS)
 def fit_gbt_sub(spark, sf_dir):
-    """M7 (re-aimed): subsampled boosted-tree profile (1000 x depth 4, step 0.03,
-    row and feature subsampling 0.8) standing in for the external boosted-tree library."""
+    """M7: second-order boosted trees (1000 x depth 4, step 0.03, rows and features sampled at 0.8,
+    L2 penalty 1 on leaves), standing in for the external boosted-tree library."""
     d, params = prepared(spark, sf_dir)
     d = d.cache()
     train = d.where(F.col("split") == "train")
-    return _eval(ML.train_all(train, 0, ["gbt_sub"], seed=SEED), d)
+    return _eval(ML.train_all(train, 0, ["gbt_sub"], seed=SEED, key_col="rownames"), d)
 
 
 @query("staged_model_score", "rownames:bigint id:bigint y_prob:double")
@@ -178,29 +178,67 @@ def tune_logreg(spark, sf_dir):
     return spark.createDataFrame([tuple(r.values()) for r in ML.tune_logistic(train)], "C double, l1_ratio double, mean_auc double, best boolean")
 
 
-@query("tune_gbt", "max_iter:bigint step_size:double max_depth:bigint mean_auc:double best:boolean")
+SEARCH_GBT = "trees:bigint step:double depth:bigint mean_auc:double best:boolean"
+SEARCH_SUB = "trees:bigint step:double depth:bigint subsample:double colsample:double l2:double l1:double mean_auc:double best:boolean"
+
+
+def _search_rows(spark, search, out: str):
+    return spark.createDataFrame([tuple(r.values()) for r in search.table], ", ".join(c.replace(":", " ") for c in out.split()))
+
+
+def _search(spark, sf_dir, name):
+    d, params = prepared(spark, sf_dir)
+    return ML.search_boosted(d.where(F.col("split") == "train"), name, seed=SEED, key_col="rownames")
+
+
+@query("tune_gbt", SEARCH_GBT)
 def tune_gbt(spark, sf_dir):
-    """M10 for boosted trees: 2 x 2 x 2 grid, 5 entity-grouped folds, exact AUC."""
+    """M10 for boosted trees: 2 x 2 x 2 grid, 5 entity-grouped folds and the refit in lock-step, exact AUC."""
+    return _search_rows(spark, _search(spark, sf_dir, "gbt"), SEARCH_GBT)
+
+
+@query("tune_gbt_sub", SEARCH_SUB)
+def tune_gbt_sub(spark, sf_dir):
+    """M10, the third grid: trees, step, depth, both sampling shares and both penalties (128 settings), as ``tune_gbt``."""
+    return _search_rows(spark, _search(spark, sf_dir, "gbt_sub"), SEARCH_SUB)
+
+
+@query("tuned_calibrated", "model:string split:string " + METRIC_COLS)
+def tuned_calibrated(spark, sf_dir):
+    """The tuned logistic and boosted models, refitted on the training split, uncalibrated and with each
+    calibration fitted on the search's own out-of-fold scores: metrics on the test split."""
     d, params = prepared(spark, sf_dir)
-    train = d.where(F.col("split") == "train")
-    return spark.createDataFrame([tuple(r.values()) for r in ML.tune_gbt(train, seed=SEED)],
-                                 "max_iter bigint, step_size double, max_depth bigint, mean_auc double, best boolean")
+    d = d.cache()
+    train = ML.balanced(d.where(F.col("split") == "train"))
+    test = d.where(F.col("split") == "test")
+    best = next(r for r in ML.tune_logistic(train) if r["best"])
+    train = ML.balanced(d.where(F.col("split") == "train"))
+    n = train.count()
+    search = ML.search_boosted(train, "gbt", seed=SEED, key_col="rownames")
+    train = ML.balanced(d.where(F.col("split") == "train"))
+    models = {"logreg_tuned": ML.logistic(n, best["C"], best["l1_ratio"], ML.LOGREG["max_iter"]).fit(train), "gbt_tuned": ML.BoostedTreesModel(search.model)}
+    oof = {"logreg_tuned": K.oof_scores(train, lambda size: ML.logistic(size, best["C"], best["l1_ratio"], ML.LOGREG["max_iter"]), 5),
+           "gbt_tuned": ML.oof_boosted(train, {"gbt_tuned": search.folds})}
+    return M.metrics(_calibrated(models, oof, test), ["model", "split"])
 
 
 @query("train_flags", "model:string split:string " + METRIC_COLS)
 def train_flags(spark, sf_dir):
-    """Every model of M8 refitted with the clinical flags (raw units) added to the matrix, beside the fit without them."""
+    """Every model of M8 refitted with the clinical flags (raw units) added to the matrix, beside the fit
+    without them; with the flags the logistic model has the plain L2 penalty. Boosted fits share one binned frame."""
     from pyspark.ml.feature import VectorAssembler
     d, params = prepared(spark, sf_dir)
     flags = clinical_flags()
     d = d.select("*", *[c.cast("double").alias(n) for n, c in flags.items()])
-    va = VectorAssembler(inputCols=params.feature_names() + list(flags), outputCol="features_flags")
+    va = VectorAssembler(inputCols=params.feature_names() + list(flags), outputCol="features_flags", handleInvalid="keep")
     d = va.transform(d).cache()
     train = ML.balanced(d.where(F.col("split") == "train"))
     n = train.count()
-    names = [(m, f) for m in ML.MODELS for f in ("features", "features_flags")]
-    fitted = ML.fit_together([lambda m=m, f=f: ML.estimator(m, n, SEED, f).fit(train) for m, f in names])
-    return _eval({m + ("_flags" if f == "features_flags" else "_base"): x for (m, f), x in zip(names, fitted)}, d)
+    base, plain = ML.fit_together([lambda: ML.estimator("logreg", n).fit(train), lambda: ML.logistic(n, LOGREG_C, 0.0, ML.LOGREG["max_iter"], "features_flags").fit(train)])
+    own = tuple(range(len(params.feature_names())))
+    trees = ML.fit_boosted(train, {f"{m}_{kind}": ML.boosting(m, SEED, columns=cols) for m in ML.BOOSTED for kind, cols in (("base", own), ("flags", None))},
+                           "features_flags", key_col="rownames")
+    return _eval({"logreg_base": base, "logreg_flags": plain} | {name: ML.BoostedTreesModel(t, "features_flags") for name, t in trees.items()}, d)
 
 
 def _logreg(n):
@@ -214,29 +252,34 @@ def oof_scores(spark, sf_dir):
     return K.oof_scores(d.where(F.col("split") == "train"), _logreg, 5, keep=["rownames"])
 
 
-@query("calib_metrics", "model:string split:string " + METRIC_COLS)
-def calib_metrics(spark, sf_dir):
-    """K2-K6: each model of M8 uncalibrated, with isotonic and with sigmoid calibration, on the
-    test split (calibrators fit on out-of-fold training scores)."""
-    d, params = prepared(spark, sf_dir)
-    d = d.cache()
-    train = ML.balanced(d.where(F.col("split") == "train"))
-    test = d.where(F.col("split") == "test")
-    n = train.count()
-    jobs = [(m, lambda m=m: ML.estimator(m, n, SEED).fit(train)) for m in ML.MODELS]
-    out_of_fold = ML.fit_together([lambda m=m: K.oof_scores(train, lambda size: ML.estimator(m, size, SEED), 5) for m in ML.MODELS])
+def _calibrated(models: dict, oof: dict, test):
+    """Test scores of each model, uncalibrated and under each calibration fitted on its out-of-fold scores."""
     parts = []
-    for (name, _), model, oof in zip(jobs, ML.fit_together([j for _, j in jobs]), out_of_fold):
-        raw = ML.positive_probability(model.transform(test), "y_raw").select("split", F.col("label").cast("int").alias("y_true"), "y_raw")
+    for name, model in models.items():
+        raw = ML.positive_probability(model.transform(test), "y_raw").select("split", F.col("label").cast("int").alias("y_true"), "y_raw").cache()
         parts.append(raw.select(F.lit(f"{name}_uncalibrated").alias("model"), "split", "y_true", F.col("y_raw").alias("y_prob")))
-        oof = oof.cache()
+        scores = oof[name].select("label", "y_raw").cache()
         for method in K.METHODS:
-            cal = K.calibrate(oof, method)(raw)
+            cal = K.calibrate(scores, method)(raw)
             parts.append(cal.select(F.lit(f"{name}_{method}").alias("model"), "split", "y_true", F.col("y_cal").alias("y_prob")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return M.metrics(u, ["model", "split"])
+    return u
+
+
+@query("calib_metrics", "model:string split:string " + METRIC_COLS)
+def calib_metrics(spark, sf_dir):
+    """K2-K6: each model of M8 uncalibrated, with isotonic and with sigmoid calibration, on the
+    test split (calibrators fit on out-of-fold training scores); full and out-of-fold boosted fits in lock-step."""
+    d, params = prepared(spark, sf_dir)
+    d = d.cache()
+    train = ML.balanced(d.where(F.col("split") == "train"))
+    n = train.count()
+    trees = ML.fit_boosted(train, {(m, i): ML.boosting(m, SEED, leave_out=i) for m in ML.BOOSTED for i in (None, *range(5))}, fold_col="fold", key_col="rownames")
+    models = {"logreg": ML.estimator("logreg", n).fit(train)} | {m: ML.BoostedTreesModel(trees[m, None]) for m in ML.BOOSTED}
+    oof = {"logreg": K.oof_scores(train, _logreg, 5)} | {m: ML.oof_boosted(train, {m: {i: trees[m, i] for i in range(5)}}) for m in ML.BOOSTED}
+    return M.metrics(_calibrated(models, oof, d.where(F.col("split") == "test")), ["model", "split"])
 
 
 ISO_SQL = S.with_(S.SCORE) + """,
@@ -304,6 +347,31 @@ def model_roundtrip_same(spark, sf_dir):
     return model_roundtrip(spark, sf_dir).select("rownames", F.col("y_prob").eqNullSafe(F.col("y_prob_loaded")).alias("same"))
 
 
+def _bundle(spark, sf_dir):
+    """Test rows scored by the fitted bundle (preprocess, logistic model, isotonic calibrator) and by its saved and loaded copy."""
+    d, params = fitted_prep(spark, sf_dir)
+    prep = P.preprocessor_model(params)
+    train = prep.transform(d.where(F.col("split") == "train")).cache()
+    model = ML.estimator("logreg", train.count()).fit(train)
+    whole = K.bundle(prep.stages, model, K.oof_scores(train, _logreg, 5), "isotonic")
+    loaded = ML.load_model(ML.save_model(whole, os.path.join(ensure_checkpoint_dir(spark), f"bundle-{uuid.uuid4().hex}")))
+    test = d.where(F.col("split") == "test")
+    return whole.transform(test).select("rownames", "id", "y_raw", "y_cal"), loaded.transform(test).select("rownames", F.col("y_cal").alias("y_cal_loaded"))
+
+
+@query("score_calibrated", "rownames:bigint id:bigint y_raw:double y_cal:double")
+def score_calibrated(spark, sf_dir):
+    """Raw and calibrated P(event) of the test rows from one fitted bundle."""
+    return _bundle(spark, sf_dir)[0]
+
+
+@query("bundle_roundtrip", "rownames:bigint same:boolean", TEST_ROWS_SQL)
+def bundle_roundtrip(spark, sf_dir):
+    """Every test row gets the same calibrated score from the saved and loaded bundle."""
+    a, b = _bundle(spark, sf_dir)
+    return a.join(b, "rownames").select("rownames", F.col("y_cal").eqNullSafe(F.col("y_cal_loaded")).alias("same"))
+
+
 @query("oof_coverage", "rownames:bigint fold:bigint scored:boolean", SCORED_SQL + """SELECT rownames,
        CAST('0x' || substr(md5(concat_ws('|', '42', CAST(id AS VARCHAR))), 1, 7) AS BIGINT) % 5 AS fold, true AS scored
        FROM design WHERE split = 'train' AND headache IS NOT NULL""")

@@ -20,17 +20,10 @@ def train(spark):
     return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(d).repartition(7).cache()
 
 
-def test_first_trees_equal_a_shorter_fit(train):
+def test_searches_rank_every_setting(train):
     even = ML.balanced(train)
     assert even.rdd.getNumPartitions() == 1
-    whole, short = ML.gbt(6, 0.1, 3).fit(even), ML.gbt(3, 0.1, 3).fit(even)
-    rows = lambda m: sorted((r[0], tuple(r[1])) for r in m.transform(even).select("rownames", "rawPrediction").collect())
-    assert rows(ML.first_trees(whole, 3)) == rows(short)
-    assert ML.first_trees(whole, 6) is whole
-
-
-def test_searches_rank_every_setting(train):
-    trees = ML.tune_gbt(train, grid={"max_iter": [2, 4], "step_size": [0.1], "max_depth": [2, 3]})
+    trees = ML.search_boosted(train, "gbt", {"trees": [2, 4], "step": [0.1], "depth": [2, 3]}).table
     assert len(trees) == 4 and sum(r["best"] for r in trees) == 1
     logistic = ML.tune_logistic(train, grid={"C": [0.1, 1], "l1_ratio": [0, 1]})
     assert len(logistic) == 4 and max(r["mean_auc"] for r in logistic) == next(r["mean_auc"] for r in logistic if r["best"])
