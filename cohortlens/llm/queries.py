@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import (
-    byte_bpe, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, url_rules, whitening,
+    byte_bpe, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, suffix_dedup, token_counts, url_rules, variants, whitening,
 )
 
 
@@ -115,6 +115,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents``, one run in 199 misspelt, with their more frequent form at one error and the root of their chain."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), misspell=199)
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``, each with its end id, concatenated and cut into sequences of 2048 tokens: the pieces."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_rules": op10_url_rules,
     "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_packing": op13_packing,
 }
 
