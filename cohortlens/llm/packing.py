@@ -33,12 +33,14 @@ LENGTH = 2048
 END_ID = 1
 #: Words that a worker remembers, and their length in bytes; both bound its memory, not what is encoded.
 MEMO_WORDS, MEMO_BYTES = 300_000, 64
+#: Words in one call of the tokenizer.
+JOINED = 500
 #: Partitions whose totals are summed together before the groups' totals are.
 GROUP = 1024
 
 
 class _Encoder:
-    """Ids of words as little-endian 32-bit integers."""
+    """Ids of words as little-endian 32-bit integers. Many words go through the tokenizer as one text; its offsets say which word an id belongs to."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -46,23 +48,32 @@ class _Encoder:
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
 
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        text = [w.decode("utf-8", "replace") for w in words]
+        start = np.cumsum(np.fromiter(map(len, text), np.int64, len(text)) + 1)
+        found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        end = 4 * np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids)), start)
+        return [ids[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         split = [t.split() for t in texts]
         words = set().union(*split)
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        known = {}
-        for i in range(0, len(new), 2000):
-            some = new[i:i + 2000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, ids in known.items():
-            if len(w) <= MEMO_BYTES:
-                self.memo[w] = ids
-        known.update((w, self.memo[w]) for w in words if w in self.memo)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        memo = self.memo
+        new = [w for w in words if w not in memo]
+        long = {}
+        for i in range(0, len(new), JOINED):
+            some = new[i:i + JOINED]
+            memo.update(zip(some, self._ids(some), strict=True))
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                long[w] = memo.pop(w)
+        if not long:
+            return [b"".join(map(memo.__getitem__, s)) for s in split]
+        return [b"".join([long[w] if w in long else memo[w] for w in s]) for s in split]
 
 
 def _tokenise(key: str, vocabulary, end: bytes):
