@@ -18,10 +18,13 @@ worker, because a word's ids don't depend on its neighbours (see
 from __future__ import annotations
 
 import hashlib
+import json
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ from cohortlens.llm.common import held, keyed_text, saved, slices
 LENGTH = 2048
 END_ID = 1
 #: Words that a worker remembers, and their length in bytes; both bound its memory, not what is encoded.
-MEMO_WORDS, MEMO_BYTES = 300_000, 64
+MEMO_WORDS, MEMO_BYTES = 400_000, 64
 #: Words in one call of the tokenizer.
 JOINED = 500
 #: Partitions whose totals are summed together before the groups' totals are.
@@ -40,40 +43,108 @@ GROUP = 1024
 
 
 class _Encoder:
-    """Ids of words as little-endian 32-bit integers. Many words go through the tokenizer as one text; its offsets say which word an id belongs to."""
+    """Ids of words as little-endian 32-bit integers.
+
+    New words go through the tokenizer many at a time. What the tokenizer is seen to do anyway is done before: lower-casing
+    A-Z, and splitting marks off a word's end, so fewer words are new. Words of letters only make
+    one piece each, whose last id ends a word in vocabularies that mark that; for others, offsets say which word an id belongs to.
+    """
 
     def __init__(self, vocabulary: str):
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = t = Tokenizer.from_str(vocabulary)
+        t.no_truncation()
+        t.no_padding()
         self.memo: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        text = [w.decode("utf-8", "replace") for w in words]
+        special = json.loads(vocabulary).get("added_tokens") or []
+        self.special = [a["content"].encode() for a in special]
+        self.specials = True    # whether the texts at hand may hold any
+        self.lowers = t.normalizer is not None and t.normalizer.normalize_str(string.ascii_uppercase) == string.ascii_lowercase
+        self.marks = "".join(c for c in string.punctuation if self._splits(c)).encode()
+        end = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        vocab = t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = bool(end) and token.endswith(end)
+        self.one_piece = bool(end) and self._pieces("abcé") == 1
+
+    def _pieces(self, text: str) -> int:
+        return len(self.tokenizer.pre_tokenizer.pre_tokenize_str(text)) if self.tokenizer.pre_tokenizer is not None else 1
+
+    def _splits(self, c: str) -> bool:
+        """Whether marks ``c`` behind a letter or digit are a piece of their own."""
+        return all(self._pieces(x + c) == self._pieces(x + c * 3) == self._pieces(x + c + ".,") == self._pieces(x) + 1 for x in ("a", "1", "é"))
+
+    def _by_offsets(self, text: list[str]) -> list[bytes]:
         start = np.cumsum(np.fromiter(map(len, text), np.int64, len(text)) + 1)
         found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
         end = 4 * np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids)), start)
         return [ids[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
 
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        text = b" ".join(words).decode("utf-8", "replace").split(" ") if words else []
+        letters = [self.one_piece and t.isalpha() for t in text]
+        for alone in (True, False):
+            names, kind = ([x for x, y in zip(xs, letters, strict=True) if y is alone] for xs in (words, text))
+            for i in range(0, len(kind), JOINED):
+                some, known = kind[i:i + JOINED], names[i:i + JOINED]
+                if alone:
+                    ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                    end = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+                    if len(end) == len(some) and end[-1] == 4 * len(ids):
+                        end, ids = end.tolist(), ids.tobytes()
+                        out.update(zip(known, [ids[a:b] for a, b in zip([0, *end], end, strict=False)], strict=True))
+                        continue
+                out.update(zip(known, self._by_offsets(some), strict=True))
+        return out
+
+    def _cut(self, word: bytes, core: bytes) -> bool:
+        """Whether the tokenizer splits ``word`` behind ``core``, of which it is the part before the last marks."""
+        if not core or (self.specials and any(s in word for s in self.special)):
+            return False
+        last = core[-1:]
+        return last.isalnum() or (last > b"\x7f" and core.decode("utf-8", "replace")[-1].lower().isalpha())
+
+    def _learn(self, new: list[bytes]) -> None:
+        memo, marks = self.memo, self.marks
+        whole, cut = [], []
+        for w in new:
+            core = w.rstrip(marks)
+            if core is w or not self._cut(w, core):
+                whole.append(w)
+            else:
+                cut.append((w, core, w[len(core):]))
+        parts = set(whole)
+        for _, core, tail in cut:
+            parts.add(core)
+            parts.add(tail)
+        memo.update(self._ids([p for p in parts if p not in memo]))
+        for w, core, tail in cut:
+            memo[w] = memo[core] + memo[tail]
+
     def of(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        """The ids of each text: its words are numbered, looked up once per slice, and written back in their order by Arrow."""
+        if self.lowers:
+            lower = [t.lower() for t in texts]
+            texts = [t if any(s.lower() in x for s in self.special) else x for t, x in zip(texts, lower, strict=True)]
+        self.specials = any(s in t for t in texts for s in self.special)
+        raw = pa.array(texts, pa.large_binary())
+        lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(raw), *raw.buffers()[1:]))    # bytes, whether or not they are UTF-8
+        codes = lists.flatten().dictionary_encode()
+        words = codes.dictionary.cast(pa.large_binary()).to_pylist()
         memo = self.memo
-        new = [w for w in words if w not in memo]
-        long = {}
-        for i in range(0, len(new), JOINED):
-            some = new[i:i + JOINED]
-            memo.update(zip(some, self._ids(some), strict=True))
-        for w in new:
-            if len(w) > MEMO_BYTES:
-                long[w] = memo.pop(w)
-        if not long:
-            return [b"".join(map(memo.__getitem__, s)) for s in split]
-        return [b"".join([long[w] if w in long else memo[w] for w in s]) for s in split]
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        self._learn([w for w in words if w and w not in memo])
+        memo[b""] = b""
+        ids = pa.array([memo[w] for w in words], pa.large_binary()).take(codes.indices)
+        for w in [w for w in words if len(w) > MEMO_BYTES]:
+            del memo[w]
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        at = at[lists.offsets.to_numpy()]
+        flat = ids.buffers()[2].to_pybytes() if len(ids) and at[-1] else b""
+        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _tokenise(key: str, vocabulary, end: bytes):
