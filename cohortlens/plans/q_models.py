@@ -179,7 +179,6 @@ def tune_logreg(spark, sf_dir):
 
 
 SEARCH_GBT = "trees:bigint step:double depth:bigint mean_auc:double best:boolean"
-SEARCH_SUB = "trees:bigint step:double depth:bigint subsample:double colsample:double l2:double l1:double mean_auc:double best:boolean"
 
 
 def _search_rows(spark, search, out: str):
@@ -197,12 +196,6 @@ def tune_gbt(spark, sf_dir):
     return _search_rows(spark, _search(spark, sf_dir, "gbt"), SEARCH_GBT)
 
 
-@query("tune_gbt_sub", SEARCH_SUB)
-def tune_gbt_sub(spark, sf_dir):
-    """M10, the third grid: trees, step, depth, both sampling shares and both penalties (128 settings), as ``tune_gbt``."""
-    return _search_rows(spark, _search(spark, sf_dir, "gbt_sub"), SEARCH_SUB)
-
-
 @query("tuned_calibrated", "model:string split:string " + METRIC_COLS)
 def tuned_calibrated(spark, sf_dir):
     """The tuned logistic and boosted models, refitted on the training split, uncalibrated and with each
@@ -373,7 +366,7 @@ def bundle_roundtrip(spark, sf_dir):
 
 
 @query("oof_coverage", "rownames:bigint fold:bigint scored:boolean", SCORED_SQL + """SELECT rownames,
-       CAST('0x' || substr(md5(concat_ws('|', '42', CAST(id AS VARCHAR))), 1, 7) AS BIGINT) % 5 AS fold, true AS scored
+       CAST('0x' || substr(md5(concat_ws('|', '42', CAST(id AS VARCHAR))), 1, 15) AS BIGINT) % 5 AS fold, true AS scored
        FROM design WHERE split = 'train' AND headache IS NOT NULL""")
 def oof_coverage(spark, sf_dir):
     """K1: every training row with a known outcome is scored once, by the fit that left its fold out."""
