@@ -71,11 +71,6 @@ def clinical_flags() -> dict[str, Column]:
             for name, (src, k) in CLINICAL_FLAGS.items()}
 
 
-def binarize(p="y_prob", thr: float = 0.5, strict: bool = False) -> Column:
-    """Score >= thr (or > thr for the bootstrap's reference rule)."""
-    return ((_c(p) > F.lit(float(thr))) if strict else (_c(p) >= F.lit(float(thr)))).cast("int")
-
-
 def finite(p) -> Column:
     """Not null, not NaN, not infinite."""
     x = _c(p)
@@ -83,24 +78,20 @@ def finite(p) -> Column:
 
 
 def hash_uniform(*parts) -> Column:
-    """Deterministic U[0,1) draw from md5 of the key parts (28 bits).
+    """Deterministic U[0,1) draw from md5 of the key parts (60 bits).
 
     Portable: DuckDB computes the same value with
-    ``cast('0x' || substr(md5(k), 1, 7) as bigint) / 268435456.0``.
+    ``cast('0x' || substr(md5(k), 1, 15) as bigint) / 1152921504606846976.0``.
     Independent of partitioning, so re-runs after executor loss give the same draw.
     """
     key = F.concat_ws("|", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint").cast("double") / F.lit(268435456.0)
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint").cast("double") / F.lit(1152921504606846976.0)
 
 
 def hash_int(*parts) -> Column:
-    """Deterministic 28-bit integer from md5 of the key parts."""
+    """Deterministic 60-bit integer from md5 of the key parts: rows share it by chance only beyond 10^9 of them."""
     key = F.concat_ws("|", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint")
-
-
-def round6(c) -> Column:
-    return F.round(_c(c), 6)
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
 
 
 def equal_width_bin(x, vmin, vmax, bins: int) -> Column:

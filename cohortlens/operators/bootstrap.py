@@ -16,13 +16,12 @@ import math
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlens.functions.scalar import finite, hash_int
 from cohortlens.operators.metrics import METRIC_NAMES, metric_table, metrics_long
-from cohortlens.operators.prefix import running_sums_auto
+from cohortlens.operators.prefix import running_sums
 
 MASK31 = 2147483647
 POISSON_KMAX = 15
@@ -56,8 +55,8 @@ def mix31(x: Column) -> Column:
 
 def replicate_uniform(row_hash: Column, rep: Column) -> Column:
     """U[0,1) for a row hash and a replicate number, as one expression."""
-    x = row_hash.bitwiseXOR((rep.cast("bigint") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(MASK31)))
-    return mix31(mix31(x)).cast("double") / F.lit(2147483648.0)
+    x = row_hash.bitwiseAND(F.lit(MASK31)).bitwiseXOR((rep.cast("bigint") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(MASK31)))
+    return mix31(mix31(x).bitwiseXOR(F.shiftright(row_hash, 31))).cast("double") / F.lit(2147483648.0)
 
 
 def poisson_weight(u: Column, kmax: int = POISSON_KMAX) -> Column:
@@ -83,6 +82,11 @@ def mix31_array(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 15)
 
 
+def hash_array(row_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """31-bit hashes (rows, numbers): the low 31 bits of a row's 60-bit hash are mixed with the number, the high ones with the result."""
+    return mix31_array(mix31_array((row_hash & MASK31)[:, None] ^ ((number * 0x9E3779B1) & MASK31)[None, :]) ^ (row_hash >> 31)[:, None])
+
+
 def _replicate_sums(batches, n_boot: int):
     """(cell * n_boot + replicate, summed weight) of each batch of (cell, row hash):
     weights are drawn once per distinct hash, so a unit with many rows costs one draw."""
@@ -96,7 +100,7 @@ def _replicate_sums(batches, n_boot: int):
         units, of = np.unique(pdf["__h"].to_numpy()[order], return_inverse=True)
         for first in range(0, n_boot, REPLICATES_AT_ONCE):
             rep = np.arange(first, min(n_boot, first + REPLICATES_AT_ONCE), dtype=np.int64)
-            u = mix31_array(mix31_array(units[:, None] ^ ((rep * 0x9E3779B1) & MASK31)[None, :])) / 2147483648.0
+            u = hash_array(units, rep) / 2147483648.0
             weight = np.searchsorted(cdf, u.ravel(), side="right").reshape(u.shape)
             sums = np.add.reduceat(weight[of], starts, axis=0)
             i, j = np.nonzero(sums)
@@ -117,8 +121,8 @@ def replicate_histogram(df: DataFrame, row_key: list[str], keys: list[str] | Non
     d = df.where(finite(p) & F.col(y).isNotNull()) \
           .select(*keys, F.col(y).cast("int").alias("__y"), F.col(p).cast("double").alias("score"), h.alias("__h"))
     cell_cols = keys + ["__y", "score"]
-    cells = running_sums_auto(d.select(*cell_cols).distinct(), [], [F.col(c) for c in cell_cols],
-                              {"__cell": F.lit(1).cast("bigint")}, inclusive=True)
+    cells = running_sums(d.select(*cell_cols).distinct(), [], [F.col(c) for c in cell_cols],
+                              {"__cell": F.lit(1).cast("bigint")}, inclusive=True, persist=True)
     rows = d.join(cells, cell_cols, "inner").select("__cell", "__h")
     parts = rows.mapInPandas(lambda batches: _replicate_sums(batches, n_boot), "__k long, __w long")
     agg = parts.groupBy("__k").agg(F.sum("__w").alias("__w")).select(
@@ -154,64 +158,166 @@ def bootstrap_summary(reps: DataFrame, point: DataFrame, keys: list[str] | None
     return s.join(pt, keys + ["metric"], "left")
 
 
-MAX_CELLS = 1_000_000
+#: Distinct scores in a leaf of the multinomial tree on average, and cells of the grid that leaves are made of.
+LEAF_SCORES, GRID_CELLS = 4096, 1 << 16
+#: Entries of a block of draws, (replicates x scores), which bounds a task's memory.
+DRAWS_AT_ONCE = 1 << 21
+_GROUP = "__group"
+
+
+def _node_rng(seed: int, group: int, *node: int) -> np.random.Generator:
+    """The generator of one node: whoever needs the node's draws gets the same ones."""
+    return np.random.default_rng([seed, int(group) & 0xFFFFFFFFFFFFFFFF, *map(int, node)])
+
+
+def _split(rng: np.random.Generator, n: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """How many of ``n`` draws (one number per replicate) fall into ``part`` of ``whole``."""
+    return rng.binomial(n, part / whole) if whole else np.zeros_like(n)
+
+
+def _leaf_of_grid(leaf_scores: int):
+    """Leaves over one group's grid (at most GRID_CELLS rows): runs of cells of about ``leaf_scores`` scores, with the
+    weights met on the way from the root of a binary tree over the leaves."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__g")
+        k, w = pdf["k"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)
+        leaf = (np.cumsum(k) - k) // leaf_scores
+        leaf = np.unique(leaf, return_inverse=True)[1]
+        sums = np.r_[0, np.cumsum(np.bincount(leaf, w).astype(np.int64))]
+        count = len(sums) - 1
+        out = []
+        for i in range(count):
+            lo, hi, path = 0, count, []
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                path += [lo, hi, int(sums[mid] - sums[lo]), int(sums[hi] - sums[lo]), int(i < mid)]
+                lo, hi = (lo, mid) if i < mid else (mid, hi)
+            out.append(path)
+        return pd.DataFrame({_GROUP: pdf[_GROUP].iloc[0], "__g": pdf["__g"].to_numpy(), "leaf": leaf.astype(np.int64), "n": int(sums[-1]), "path": [out[i] for i in leaf]})
+
+    return run
+
+
+def _leaf_labels(seed: int, n_boot: int):
+    """(group, leaf, rep, pos, neg): every leaf's draws by label, from the binomials on its path."""
+    def run(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                n = np.full(n_boot, r.n, np.int64)
+                for lo, hi, left, whole, went_left in np.array(r.path, np.int64).reshape(-1, 5).tolist():
+                    drawn = _split(_node_rng(seed, r.group, 0, lo, hi), n, left, whole)
+                    n = drawn if went_left else n - drawn
+                pos = _split(_node_rng(seed, r.group, 1, r.leaf), n, r.pos, r.pos + r.neg)
+                yield pd.DataFrame({_GROUP: r.group, "leaf": r.leaf, "rep": np.arange(n_boot), "pos": pos, "neg": n - pos})
+
+    return run
+
+
+def _multinomial_leaves(df: DataFrame, keys: list[str], y: str, p: str, n_boot: int, seed: int, leaf_scores: int):
+    """(scores, labels, groups): distinct scores with their counts and leaf; each leaf's draws per replicate, with those in higher leaves; group ids of the keys."""
+    group = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+    hist = df.where(finite(p) & F.col(y).isNotNull()).groupBy(*keys, F.col(p).cast("double").alias("score")).agg(
+        F.count_if(F.col(y).cast("int") == 1).alias("pos"), F.count_if(F.col(y).cast("int") == 0).alias("neg")).withColumn(_GROUP, group)
+    hist = hist.where("pos + neg > 0").persist()
+    groups = hist.select(_GROUP, *keys).distinct()
+    span = hist.groupBy(_GROUP).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
+    at = F.floor((F.col("score") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (GRID_CELLS - 1))
+    hist = hist.join(span, _GROUP).withColumn("__g", F.when(F.col("__hi") > F.col("__lo"), at).otherwise(0).cast("bigint"))
+    grid = hist.groupBy(_GROUP, "__g").agg(F.count("*").alias("k"), F.sum(F.col("pos") + F.col("neg")).alias("w"))
+    leaves = grid.groupBy(_GROUP).applyInPandas(_leaf_of_grid(leaf_scores), f"{_GROUP} long, __g long, leaf long, n long, path array<long>")
+    scores = hist.join(leaves.select(_GROUP, "__g", "leaf"), [_GROUP, "__g"]).select(_GROUP, "leaf", "score", "pos", "neg")
+    tops = leaves.groupBy(_GROUP, "leaf").agg(F.first("n").alias("n"), F.first("path").alias("path"))
+    sums = scores.groupBy(_GROUP, "leaf").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    drawn = tops.join(sums, [_GROUP, "leaf"]).select(F.col(_GROUP).alias("group"), "leaf", "n", "path", "pos", "neg") \
+        .mapInPandas(_leaf_labels(seed, n_boot), f"{_GROUP} long, leaf long, rep long, pos long, neg long")
+    above = Window.partitionBy(_GROUP, "rep").orderBy(F.col("leaf").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(_GROUP, "rep")
+    labels = drawn.select("*", F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp_above"), F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp_above"),
+                          F.sum("pos").over(every).alias("P"), F.sum("neg").over(every).alias("N"))
+    return scores, labels, groups
+
+
+def _leaf_draws(seed: int, group: int, leaf: int, scores: pd.DataFrame, labels: pd.DataFrame):
+    """Blocks (rows of ``labels``, draws of label 1, draws of label 0), each (replicates x scores) over the leaf's scores in rising order."""
+    pos, neg = scores["pos"].to_numpy(float), scores["neg"].to_numpy(float)
+    rows = max(1, DRAWS_AT_ONCE // len(scores))
+    for block, start in enumerate(range(0, len(labels), rows)):
+        some = labels.iloc[start:start + rows]
+        rng = _node_rng(seed, group, 2, leaf, block)
+        draws = [rng.multinomial(some[name].to_numpy(np.int64), c / c.sum()) if c.sum() else np.zeros((len(some), len(c)), np.int64) for name, c in (("pos", pos), ("neg", neg))]
+        yield some, *draws
+
+
+def _sorted_leaf(scores: pd.DataFrame, labels: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return scores.sort_values("score").reset_index(drop=True), labels.sort_values("rep").reset_index(drop=True)
+
+
+def _metric_sums(seed: int, threshold: float, n_bins: int, strict: bool):
+    """One leaf's part of every sum behind the metrics, per replicate."""
+    def run(key, scores: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        scores, labels = _sorted_leaf(scores, labels)
+        s = scores["score"].to_numpy(float)
+        pred = s > threshold if strict else s >= threshold
+        step = 1.0 / n_bins
+        bins = sum((s >= j * step).astype(int) for j in range(1, n_bins))
+        inside = (s >= 0.0) & (s < 1.0)
+        out = []
+        for some, pos, neg in _leaf_draws(seed, key[0], key[1], scores, labels):
+            tp = pos[:, ::-1].cumsum(axis=1)[:, ::-1] + some["tp_above"].to_numpy()[:, None]
+            fp = neg[:, ::-1].cumsum(axis=1)[:, ::-1] + some["fp_above"].to_numpy()[:, None]
+            below = some["N"].to_numpy()[:, None] - fp
+            both = pos + neg
+            part = {_GROUP: key[0], "rep": some["rep"].to_numpy(), "pairs": (pos * (below + 0.5 * neg)).sum(axis=1), "steps": (pos * (tp / np.maximum(tp + fp, 1))).sum(axis=1),
+                    "squares": pos @ ((1.0 - s) ** 2) + neg @ (s ** 2), "tp": pos[:, pred].sum(axis=1), "fp": neg[:, pred].sum(axis=1),
+                    "P": some["pos"].to_numpy(), "N": some["neg"].to_numpy()}
+            for b in range(n_bins):
+                at = inside & (bins == b)
+                part |= {f"w{b}": both[:, at].sum(axis=1), f"s{b}": both[:, at] @ s[at], f"y{b}": pos[:, at].sum(axis=1)}
+            out.append(pd.DataFrame(part))
+        return pd.concat(out)
+
+    return run
 
 
 def multinomial_histogram(df: DataFrame, keys: list[str] | None = None, y: str = "y_true", p: str = "y_prob",
-                          n_boot: int = 1000, seed: int = 42, reps_per_task: int = 25,
-                          max_cells: int = MAX_CELLS) -> DataFrame:
-    """B1(a): exact iid resampling of n rows with replacement, per key group, as
-    multinomial counts over the (label, score) cells. Rows are first reduced to
-    cells (map-side combine); the cell table is broadcast only after its size
-    is checked against ``max_cells`` (ValueError above it: use the Poisson
-    method). Replicates are spread over tasks, each seeded by (seed, rep), so
-    the draws do not depend on partitioning."""
+                          n_boot: int = 1000, seed: int = 42, leaf_scores: int = LEAF_SCORES) -> DataFrame:
+    """B1(a): exact iid resampling of the n rows of each key group, with replacement, as (keys..., rep, score, pos, neg).
+
+    A replicate is one multinomial draw over (score, label). It comes down a binary tree over runs of neighbouring scores:
+    at each node a binomial, from a generator keyed by (seed, group, node), says how many draws go left,
+    so every leaf finds its own share without the others, and its cells are drawn by the task that holds them. Totals are n in every replicate. Draws
+    depend on the data and the seed, not on partitions; no task or driver holds a group's scores, at any number of them."""
     keys = list(keys or [])
-    spark = df.sparkSession
-    cells = df.where(finite(p) & F.col(y).isNotNull()).groupBy(*keys, F.col(y).cast("int").alias("__y"),
-                                                              F.col(p).cast("double").alias("score")) \
-              .agg(F.count(F.lit(1)).alias("__c"))
-    n_cells = cells.count()
-    if n_cells > max_cells:
-        raise ValueError(f"{n_cells} cells exceed {max_cells}; use the Poisson bootstrap")
-    pdf = cells.toPandas().sort_values(keys + ["__y", "score"]).reset_index(drop=True)   # <= max_cells rows
-    groups = [(k, g) for k, g in (pdf.groupby(keys, sort=True) if keys else [((), pdf)])]
-    bc = spark.sparkContext.broadcast(groups)
-    key_fields = [df.schema[k] for k in keys]
-    schema = T.StructType([*key_fields, T.StructField("rep", T.LongType()), T.StructField("score", T.DoubleType()),
-                           T.StructField("pos", T.DoubleType()), T.StructField("neg", T.DoubleType())])
-
-    def run(batches):
-        grp = bc.value
-        for b in batches:
-            out = []
-            for rep in b["id"].tolist():
-                rng = np.random.default_rng([seed, int(rep)])
-                for k, g in grp:
-                    c = g["__c"].to_numpy()
-                    draw = rng.multinomial(int(c.sum()), c / c.sum())
-                    t = pd.DataFrame({"score": g["score"].to_numpy(), "__y": g["__y"].to_numpy(), "w": draw})
-                    t = t[t["w"] > 0]
-                    t["pos"] = np.where(t["__y"] == 1, t["w"], 0).astype(float)
-                    t["neg"] = np.where(t["__y"] == 0, t["w"], 0).astype(float)
-                    h = t.groupby("score", as_index=False)[["pos", "neg"]].sum()
-                    kt = k if isinstance(k, tuple) else (k,)
-                    for name, val in zip(keys, kt):
-                        h[name] = val
-                    h["rep"] = int(rep)
-                    out.append(h)
-            if out:
-                yield pd.concat(out)[[*keys, "rep", "score", "pos", "neg"]]
-
-    n_tasks = max(1, math.ceil(n_boot / reps_per_task))
-    reps = spark.range(0, n_boot, 1, n_tasks)
-    return reps.mapInPandas(run, schema)
+    scores, labels, groups = _multinomial_leaves(df, keys, y, p, n_boot, seed, leaf_scores)
+
+    def run(key, scores: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        scores, labels = _sorted_leaf(scores, labels)
+        out = []
+        for some, pos, neg in _leaf_draws(seed, key[0], key[1], scores, labels):
+            i, j = np.nonzero(pos + neg)
+            out.append(pd.DataFrame({_GROUP: key[0], "rep": some["rep"].to_numpy()[i], "score": scores["score"].to_numpy()[j], "pos": pos[i, j].astype(float), "neg": neg[i, j].astype(float)}))
+        return pd.concat(out)
+
+    drawn = scores.groupBy(_GROUP, "leaf").cogroup(labels.groupBy(_GROUP, "leaf")).applyInPandas(run, f"{_GROUP} long, rep long, score double, pos double, neg double")
+    return drawn.join(groups, _GROUP).select(*keys, "rep", "score", "pos", "neg")
 
 
 def bootstrap_metrics_multinomial(df: DataFrame, keys: list[str] | None = None, y: str = "y_true",
                                   p: str = "y_prob", n_boot: int = 1000, seed: int = 42, threshold: float = 0.5,
-                                  n_bins: int = 10) -> DataFrame:
-    """B1(a) metrics: one row per (keys, rep)."""
+                                  n_bins: int = 10, strict: bool = False, leaf_scores: int = LEAF_SCORES) -> DataFrame:
+    """B1(a) metrics: one row per (keys, rep), for scores of any number of distinct values.
+
+    The draws are those of ``multinomial_histogram``, but they are summed where they are made: leaves are in score
+    order and know from the tree what each replicate drew above them, so a leaf's part of every
+    metric is a sum per replicate, and only (leaves x replicates) rows are shuffled."""
     keys = list(keys or [])
-    hist = multinomial_histogram(df, keys, y, p, n_boot, seed).persist()
-    return metric_table(hist, keys + ["rep"], threshold, n_bins)
+    scores, labels, groups = _multinomial_leaves(df, keys, y, p, n_boot, seed, leaf_scores)
+    names = ["pairs", "steps", "squares", "tp", "fp", "P", "N", *[f"{c}{b}" for b in range(n_bins) for c in "wsy"]]
+    parts = scores.groupBy(_GROUP, "leaf").cogroup(labels.groupBy(_GROUP, "leaf")).applyInPandas(
+        _metric_sums(seed, threshold, n_bins, strict), f"{_GROUP} long, rep long, " + ", ".join(f"{c} double" for c in names))
+    t = parts.groupBy(_GROUP, "rep").agg(*[F.sum(c).alias(c) for c in names]).join(groups, _GROUP)
+    n, c = F.col("P") + F.col("N"), F.col
+    ece = sum(F.when(c(f"w{b}") > 0, F.abs(c(f"y{b}") - c(f"s{b}")) / n).otherwise(0.0) for b in range(n_bins))
+    return t.select(*keys, "rep", F.try_divide(c("pairs"), c("P") * c("N")).alias("roc_auc"), F.try_divide(c("steps"), c("P")).alias("pr_auc"), (c("squares") / n).alias("brier"), ece.alias("ece"),
+                    "tp", (c("N") - c("fp")).alias("tn"), "fp", (c("P") - c("tp")).alias("fn"),
+                    F.coalesce(F.try_divide(c("tp"), c("tp") + c("fp")), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide(c("tp"), c("P")), F.lit(0.0)).alias("sensitivity"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalar import finite
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -34,11 +33,6 @@ def drop_na(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
-def finite_scores(df: DataFrame, col: str = "y_prob") -> DataFrame:
-    """Keep rows with a finite score."""
-    return df.where(finite(col))
-
-
 def semi_join(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Membership in a key table (left semi join; no collect of the key set)."""
     return df.join(keys.select(*on).distinct(), on=on, how="left_semi")

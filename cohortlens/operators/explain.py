@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.scalar import hash_int
-from cohortlens.operators.bootstrap import MASK31, mix31_array
+from cohortlens.operators.bootstrap import hash_array
 from cohortlens.operators.metrics import auc_ap, curve_table, score_histogram
-from cohortlens.operators.prefix import running_sums_auto
+from cohortlens.operators.prefix import running_sums
 from cohortlens.operators.quantile import quantiles
 
 
@@ -286,8 +286,7 @@ def _background(df: DataFrame, feats: list[str], keep: list[str], n: int, seed:
 def feature_orders(row_hash: np.ndarray, p: int, n_permutations: int) -> np.ndarray:
     """(rows, permutations, p): the features of each row's permutations, ordered by a
     hash of (row, permutation, feature); the same in any engine with integers."""
-    number = np.arange(1, n_permutations * p + 1, dtype=np.int64) * 0x9E3779B1 & MASK31
-    key = mix31_array(mix31_array(row_hash[:, None] ^ number[None, :])).reshape(len(row_hash), n_permutations, p)
+    key = hash_array(row_hash, np.arange(1, n_permutations * p + 1, dtype=np.int64)).reshape(len(row_hash), n_permutations, p)
     return np.argsort(key, axis=2, kind="stable")
 
 
@@ -380,17 +379,17 @@ def permutation_importance(df: DataFrame, scorer: Scorer, y: str, id_col: str, r
     fl = spark.createDataFrame([(f,) for f in feats], "feature string")
     ids = df.select(id_col).distinct()
     # plain order of entities and a hash order per feature, both ranked without a global window
-    ranked_plain = running_sums_auto(ids, [], [F.col(id_col)], {"__k": F.lit(1).cast("bigint")}, inclusive=True)
+    ranked_plain = running_sums(ids, [], [F.col(id_col)], {"__k": F.lit(1).cast("bigint")}, inclusive=True, persist=True)
     hashed = ids.crossJoin(F.broadcast(fl)).withColumn(
         "__hx", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col(id_col).cast("string"))))
-    ranked_hash = running_sums_auto(hashed, ["feature"], [F.col("__hx"), F.col(id_col)], {"__k": F.lit(1).cast("bigint")},
-                               inclusive=True)
+    ranked_hash = running_sums(hashed, ["feature"], [F.col("__hx"), F.col(id_col)], {"__k": F.lit(1).cast("bigint")},
+                               inclusive=True, persist=True)
     mapping = ranked_plain.crossJoin(F.broadcast(fl)).join(
         ranked_hash.select("feature", F.col(id_col).alias("src_id"), "__k"), ["feature", "__k"]).select(
         "feature", id_col, "src_id")
     # donor index within each entity (row order) and entity sizes
-    idx = running_sums_auto(df.select(id_col, row_key, *feats), [id_col], [F.col(row_key)],
-                       {"__idx": F.lit(1).cast("bigint")}, inclusive=False)
+    idx = running_sums(df.select(id_col, row_key, *feats), [id_col], [F.col(row_key)],
+                       {"__idx": F.lit(1).cast("bigint")}, inclusive=False, persist=True)
     idx = idx.withColumn("__idx", F.coalesce("__idx", F.lit(0)))
     sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n_src"))
     donors = idx.unpivot([id_col, row_key, "__idx"], feats, "feature", "donor_value") \

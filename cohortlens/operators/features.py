@@ -1,29 +1,20 @@
 """Per-entity longitudinal features (T1-T6 scalars, W1-W4 history windows).
 
-Two physical strategies give identical values:
-
-* ``window`` - ``Window.partitionBy(id)``: one shuffle on id, all history
-  windows share it (Spark groups window expressions with the same partition
-  spec). One entity's history lands in one task.
-* ``split`` - range-partitioned segmented prefix sums (``prefix.running_sums``)
-  plus a grouped ``min`` joined back. A hot entity spreads over many tasks.
-
-``history_features(..., strategy="auto")`` measures the largest entity with a
-cheap grouped count (one number reaches the driver) and picks ``split`` when it
-exceeds ``max_rows_per_task``.
+History is summed by ``prefix.running_sums``: windows over the entity, which
+share one shuffle on its id. An entity with more rows than one task should hold is
+cut into cells that carry sums, the minimum and the last row from one to the
+next, so it spreads over many tasks and the other entities stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar
-from cohortlens.operators.prefix import running_sums, running_sums_auto
+from cohortlens.operators.prefix import hot_keys, running_sums
 from cohortlens.spec import DEFAULT_SPEC, PanelSpec
 
-DEFAULT_MAX_ROWS_PER_TASK = 20_000_000
-
 
 def add_phase(df: DataFrame, time: str = "time") -> DataFrame:
     return df.withColumn("phase", scalar.phase(time))
@@ -52,107 +43,56 @@ def add_scalar_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFr
     return add_target_numeric(df, spec.target, spec.target_num)
 
 
-_MAX_ROWS_CACHE: dict[tuple[int, str], int] = {}
-
-
-def max_entity_rows(df: DataFrame, id_col: str = "id") -> int:
-    """Largest entity size (partial aggregation; one number to the driver).
-    Remembered per logical plan, so repeated feature builds on the same input
-    measure once per session."""
-    key = (df.select(id_col).semanticHash(), id_col)
-    if key not in _MAX_ROWS_CACHE:
-        row = df.groupBy(id_col).count().agg(F.max("count").alias("m")).first()
-        _MAX_ROWS_CACHE[key] = int(row["m"] or 0)
-    return _MAX_ROWS_CACHE[key]
-
-
-def history_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, strategy: str = "auto",
-                     value: str = "airq", events: str | None = None,
-                     max_rows_per_task: int = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
+def history_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, value: str = "airq", events: str | None = None,
+                     rows_per_task: int | None = None) -> DataFrame:
     """W1-W4 (O1: W4 orders by the multi-key (time, row key)).
 
     days_since_first_visit = dos - min(dos) per entity (W1)
     visit_number           = running count in row order (W2)
     <value>_prev_mean      = mean of earlier non-null values, null on the first row (W3)
     prev_attacks           = earlier events ordered by (time, row key), 0 when none (W4; O1 multi-key order)
+
+    An entity of more than ``rows_per_task`` rows spreads over several tasks.
     """
     events = events or spec.target_num
-    if strategy == "auto":
-        strategy = "split" if max_entity_rows(df, spec.id) > max_rows_per_task else "window"
     row_order = [F.col(c) for c in spec.order]
-    time_order = [F.col(spec.time)] + row_order
     v = F.col(value)
-    prev_mean = f"{value}_prev_mean"
-    if strategy == "window":
-        by_id = Window.partitionBy(spec.id)
-        w_row = by_id.orderBy(*row_order)
-        w_prev = w_row.rowsBetween(Window.unboundedPreceding, -1)
-        w_time_prev = by_id.orderBy(*time_order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            "*",
-            (F.col(spec.dos) - F.min(spec.dos).over(by_id)).alias("days_since_first_visit"),
-            F.row_number().over(w_row).cast("bigint").alias("visit_number"),
-            F.avg(v).over(w_prev).alias(prev_mean),
-            F.coalesce(F.sum(F.col(events)).over(w_time_prev), F.lit(0)).cast("double").alias("prev_attacks"),
-        )
-    if strategy != "split":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    first = df.groupBy(spec.id).agg(F.min(spec.dos).alias("__first_dos"))
-    out = df.join(first, spec.id, "left") \
-            .withColumn("days_since_first_visit", F.col(spec.dos) - F.col("__first_dos")).drop("__first_dos")
-    out = running_sums(out, [spec.id], row_order, {
+    hot = hot_keys(df, [spec.id], rows_per_task)
+    out = running_sums(df, [spec.id], row_order, {
         "visit_number": F.lit(1).cast("bigint"),
         "__prev_sum": v,
         "__prev_n": F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-    }, inclusive=False)
-    out = out.withColumn("visit_number", F.coalesce(F.col("visit_number"), F.lit(0)) + 1) \
-             .withColumn(prev_mean, F.when(F.col("__prev_n") > 0, F.col("__prev_sum") / F.col("__prev_n"))) \
-             .drop("__prev_sum", "__prev_n")
-    out = running_sums(out, [spec.id], time_order, {"prev_attacks": F.col(events)}, inclusive=False)
-    return out.withColumn("prev_attacks", F.coalesce(F.col("prev_attacks"), F.lit(0)).cast("double"))
+    }, least={"__first": F.col(spec.dos)}, hot=hot, rows_per_task=rows_per_task)
+    out = running_sums(out, [spec.id], [F.col(spec.time)] + row_order, {"__before": F.col(events)}, hot=hot, rows_per_task=rows_per_task)
+    return out.select(
+        *df.columns, (F.col(spec.dos) - F.col("__first")).alias("days_since_first_visit"),
+        (F.coalesce(F.col("visit_number"), F.lit(0)) + 1).alias("visit_number"),
+        F.when(F.col("__prev_n") > 0, F.col("__prev_sum") / F.col("__prev_n")).alias(f"{value}_prev_mean"),
+        F.coalesce(F.col("__before"), F.lit(0)).cast("double").alias("prev_attacks"))
 
 
 def prev_events_reference(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, events: str | None = None,
-                          strategy: str = "auto", max_rows_per_task: int = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
+                          rows_per_task: int | None = None) -> DataFrame:
     """W4 in the reference's leaky form (Q1): the cumulative sum is grouped by entity
     but shifted over the whole (id, time)-sorted table, so an entity's first row
     gets the previous entity's running total (0 if that entity's last event is
     missing); a row after a missing event gets 0.
 
     No global window: entity totals are ranked with a distributed prefix count,
-    joined to the next entity's rank, and attached to first rows. Within an
-    entity the ``window`` strategy uses lag/sum windows; ``split`` (chosen for a
-    hot entity) uses range-partitioned prefix sums and a join of each row to its
-    predecessor on (id, position)."""
+    joined to the next entity's rank, and attached to first rows. Positions, earlier events and the row
+    before come from ``running_sums``, which spreads hot entities."""
     events = events or spec.target_num
-    if strategy == "auto":
-        strategy = "split" if max_entity_rows(df, spec.id) > max_rows_per_task else "window"
     order = [F.col(spec.time)] + [F.col(c) for c in spec.order]
     e = F.col(events)
-    if strategy == "window":
-        by_id = Window.partitionBy(spec.id).orderBy(*order)
-        within = df.select(
-            "*",
-            F.row_number().over(by_id).alias("__rn"),
-            F.lag(e).over(by_id).isNull().alias("__prev_missing"),
-            F.sum(e).over(by_id.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        )
-    elif strategy == "split":
-        ranked_rows = running_sums(df, [spec.id], order, {
-            "__rn": F.lit(1).cast("bigint"), "__before": e}, inclusive=False)
-        ranked_rows = ranked_rows.withColumn("__rn", F.coalesce("__rn", F.lit(0)) + 1)
-        prev = ranked_rows.select(F.col(spec.id).alias("__pid_"), (F.col("__rn") + 1).alias("__prn"),
-                                  e.isNull().alias("__prev_missing"))
-        within = ranked_rows.join(prev, (ranked_rows[spec.id] == prev["__pid_"]) & (ranked_rows["__rn"] == prev["__prn"]),
-                                  "left").drop("__pid_", "__prn")
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+    within = running_sums(df, [spec.id], order, {"__rn": F.lit(1).cast("bigint"), "__before": e},
+                          previous={"__prev_missing": e.isNull()}, rows_per_task=rows_per_task) \
+        .withColumn("__rn", F.coalesce("__rn", F.lit(0)) + 1)
     last_struct = F.struct(*[F.col(spec.time)] + [F.col(c) for c in spec.order])
     totals = df.groupBy(spec.id).agg(
         F.max_by(e.isNull(), last_struct).alias("__last_null"),
         F.sum(e).alias("__total"),
     )
-    ranked = running_sums_auto(totals, [], [F.col(spec.id)], {"__rank": F.lit(1).cast("bigint")}, inclusive=True)
+    ranked = running_sums(totals, [], [F.col(spec.id)], {"__rank": F.lit(1).cast("bigint")}, inclusive=True, persist=True)
     carry = ranked.select(
         (F.col("__rank") + 1).alias("__next_rank"),
         F.when(F.col("__last_null"), F.lit(0.0)).otherwise(F.coalesce(F.col("__total").cast("double"), F.lit(0.0)))
@@ -167,6 +107,6 @@ def prev_events_reference(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, events:
     return out.withColumn("prev_attacks_ref", val).drop("__rn", "__prev_missing", "__before", "__carry")
 
 
-def build_feature_panel(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, strategy: str = "auto") -> DataFrame:
+def build_feature_panel(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, rows_per_task: int | None = None) -> DataFrame:
     """nb03 order: scalar features, then history features (one shuffle on id)."""
-    return history_features(add_scalar_features(df, spec), spec, strategy=strategy)
+    return history_features(add_scalar_features(df, spec), spec, rows_per_task=rows_per_task)

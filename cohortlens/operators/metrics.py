@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import equal_width_bin, finite
-from cohortlens.operators.prefix import running_sums_auto
+from cohortlens.operators.prefix import running_sums
 
 METRIC_NAMES = ["roc_auc", "pr_auc", "brier", "ece", "tp", "tn", "fp", "fn", "precision", "sensitivity"]
 
@@ -45,8 +45,8 @@ def curve_table(hist: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Add ``pos_below``/``neg_below`` (weights at strictly lower scores) and the
     group totals ``P``/``N``; the basis for AUC, AP, ROC and PR points."""
     keys = list(keys or [])
-    c = running_sums_auto(hist, keys, [F.col("score")],
-                          {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, inclusive=False)
+    c = running_sums(hist, keys, [F.col("score")],
+                          {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, inclusive=False, persist=True)
     tot = hist.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = c.withColumn("pos_below", F.coalesce("pos_below", F.lit(0.0))) \
          .withColumn("neg_below", F.coalesce("neg_below", F.lit(0.0)))
@@ -181,7 +181,7 @@ def roc_points_thinned(curve: DataFrame, keys: list[str] | None = None) -> DataF
     first and last points are always kept. Points are ranked by descending score with
     a distributed prefix count and joined to their neighbours on (keys, rank)."""
     keys = list(keys or [])
-    ranked = running_sums_auto(curve, keys, [F.col("score").desc()], {"__r": F.lit(1).cast("bigint")}, inclusive=True)
+    ranked = running_sums(curve, keys, [-F.col("score")], {"__r": F.lit(1).cast("bigint")}, inclusive=True, persist=True)
     ranked = ranked.withColumn("__r", F.col("__r").cast("bigint"))
     n = ranked.groupBy(*keys).agg(F.max("__r").alias("__n"))
     nb = ranked.select(*keys, "__r", "fp_ge", "tp_ge")

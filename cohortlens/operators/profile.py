@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import equal_width_bin
 from cohortlens.operators.quantile import long_quantiles, quantiles
+from cohortlens.session import ship_package
 
 
 def categorical_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -185,38 +188,58 @@ def box_stats(df: DataFrame, value: str, by: list[str], quantile_method: str = "
     return q.drop("__lo", "__hi").join(s, by) if by else q.drop("__lo", "__hi").crossJoin(s)
 
 
+#: Groups that a task holds kernel sums of before it hands them on.
+KDE_GROUPS = 10_000
+
+
+def _kernel_sums(gridsize: int):
+    """Sums of the Gaussian kernel over a task's values (__g, x, lo, hi, bw), per group and grid point."""
+    def run(frames):
+        sums: dict[int, np.ndarray] = {}
+
+        def out():
+            return pd.DataFrame({"__g": np.repeat(np.array(list(sums), np.int64), gridsize), "point": np.tile(np.arange(gridsize), len(sums)), "__k": np.concatenate(list(sums.values()))})
+
+        for pdf in frames:
+            for g, rows in pdf.groupby("__g"):
+                lo, hi, bw = (float(rows[c].iloc[0]) for c in ("lo", "hi", "bw"))
+                grid = lo + (hi - lo) * np.arange(gridsize) / float(gridsize - 1)
+                z = (grid[:, None] - rows["x"].to_numpy()[None, :]) / bw
+                sums[g] = sums.get(g, 0.0) + np.exp(-0.5 * z * z).sum(axis=1)
+            if len(sums) > KDE_GROUPS:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    return run
+
+
 def kde_by_group(df: DataFrame, value: str, group: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian KDE per group on its own grid (Scott's factor n^(-1/5) times the
     sample sd, grid min - cut*bw .. max + cut*bw), densities scaled by group share.
 
-    Rows are reduced to (group, distinct value, count) first; the grid is
-    broadcast (groups x gridsize rows) and the kernel sums are partial aggregates.
+    Each task sums the kernels of its own rows on the grids of the groups it meets, so a
+    row never becomes a row per grid point and only groups x gridsize sums are shuffled.
     """
-    spark = df.sparkSession
+    ship_package(df.sparkSession)
     x = F.col(value).cast("double")
-    d = df.select(F.col(group), x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    hist = d.groupBy(group, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    stats = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("__x").alias("sd"),
-                                 F.min("__x").alias("vmin"), F.max("__x").alias("vmax"))
+    d = df.select(F.col(group), x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & F.col(group).isNotNull())
+    stats = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
+                                 F.min("x").alias("vmin"), F.max("x").alias("vmax"))
     total = stats.agg(F.sum("n").alias("__total"))   # one row
     stats = stats.crossJoin(F.broadcast(total)) \
                  .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))) \
-                 .withColumn("share", F.col("n") / F.col("__total")).drop("__total")
-    idx = spark.range(gridsize).select(F.col("id").alias("point"))
-    lo = F.col("vmin") - F.lit(cut) * F.col("bw")
-    hi = F.col("vmax") + F.lit(cut) * F.col("bw")
-    grid = stats.crossJoin(idx).select(
-        group, "point", "n", "bw", "share",
-        (lo + (hi - lo) * F.col("point") / F.lit(float(gridsize - 1))).alias("x"))
-    z = F.try_divide(F.col("x") - F.col("__x"), F.col("bw"))   # constant group: bw = 0 -> null density
-    contrib = F.col("__c") * F.exp(F.lit(-0.5) * z * z)
-    # the grid has groups x gridsize rows: broadcast only under a checked bound
-    n_groups = stats.count()
-    grid_side = F.broadcast(grid) if n_groups * gridsize <= MAX_BROADCAST_GRID_ROWS else grid
-    dens = hist.join(grid_side, group).groupBy(group, "point", "x", "n", "bw", "share") \
-               .agg(F.sum(contrib).alias("__k"))
-    norm = F.try_divide(F.lit(1.0 / math.sqrt(2 * math.pi)), F.col("n") * F.col("bw"))
-    return dens.select(group, "point", "x", (F.col("__k") * norm * F.col("share")).alias("density"))
+                 .withColumn("share", F.col("n") / F.col("__total")) \
+                 .select(group, F.xxhash64(group).alias("__g"), "n", "bw", "share", (F.col("vmin") - F.lit(cut) * F.col("bw")).alias("lo"),
+                         (F.col("vmax") + F.lit(cut) * F.col("bw")).alias("hi"))
+    sums = d.join(stats.where("bw > 0").select(group, "__g", "lo", "hi", "bw"), group).select("__g", "x", "lo", "hi", "bw") \
+        .mapInPandas(_kernel_sums(gridsize), "__g long, point long, __k double").groupBy("__g", "point").agg(F.sum("__k").alias("__k"))
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).cast("long").alias("point"))
+    norm = F.try_divide(F.lit(1.0 / math.sqrt(2 * math.pi)), F.col("n") * F.col("bw"))   # constant group: bw = 0 -> null density
+    return grid.join(sums, ["__g", "point"], "left").select(
+        group, "point", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(float(gridsize - 1))).alias("x"),
+        (F.col("__k") * norm * F.col("share")).alias("density"))
 
 
 def top_decile(df: DataFrame, value: str, method: str = "rank") -> DataFrame:
@@ -225,8 +248,6 @@ def top_decile(df: DataFrame, value: str, method: str = "rank") -> DataFrame:
     return df.crossJoin(q).where(F.col(value) > F.col("__p90")).drop("__p90")
 
 
-MAX_BROADCAST_GRID_ROWS = 1_000_000
-
 QUARTILE_LABELS = ["Q1_low", "Q2", "Q3", "Q4_high"]
 
 

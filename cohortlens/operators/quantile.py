@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.prefix import running_sums_auto
+from cohortlens.operators.prefix import running_sums
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
@@ -40,7 +40,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     if method != "rank":
         raise ValueError(f"unknown method {method!r}")
     counts = clean.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_sums_auto(counts, by, [F.col("__x")], {"__before": F.col("__c")}, inclusive=False)
+    cum = running_sums(counts, by, [F.col("__x")], {"__before": F.col("__c")}, inclusive=False, persist=True)
     cum = cum.withColumn("__before", F.coalesce("__before", F.lit(0)))
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
     j = cum.join(sizes, on=by, how="inner") if by else cum.crossJoin(F.broadcast(sizes))

@@ -265,7 +265,7 @@ N_PERMUTATIONS = 10
 def _shap_sampled_sql(n_background: int = 200) -> str:
     """The same hashed feature orders: the scores along each order, and the change where a feature comes in."""
     p = len(FEATS)
-    h = "CAST('0x' || substr(md5(concat_ws('|', '42', CAST(rownames AS VARCHAR))), 1, 7) AS BIGINT)"
+    h = "CAST('0x' || substr(md5(concat_ws('|', '42', CAST(rownames AS VARCHAR))), 1, 15) AS BIGINT)"
     eta = " + ".join([repr(float(SCORER.beta("intercept")))] + [
         f"{float(SCORER.beta(f))!r} * CASE WHEN p{j} <= t THEN d.{f} ELSE bg.{f} END" for j, f in enumerate(FEATS)])
     base_eta = " + ".join([repr(float(SCORER.beta("intercept")))] + [f"{float(SCORER.beta(f))!r} * {f}" for f in FEATS])
@@ -273,8 +273,8 @@ def _shap_sampled_sql(n_background: int = 200) -> str:
                                f"AND a.t = a.p{j} AND b.t = a.p{j} - 1 GROUP BY a.rownames" for j, f in enumerate(FEATS))
     return D + f""", bg AS (SELECT {', '.join(FEATS)} FROM design ORDER BY {h}, {', '.join(FEATS)} LIMIT {n_background}),
   base AS (SELECT avg(1.0 / (1.0 + exp(-({base_eta})))) AS base FROM bg),
-  x0 AS (SELECT rownames, k, j, xor({h}, ((k * {p} + j + 1) * 2654435761) & 2147483647) AS x FROM design, range({N_PERMUTATIONS}) a(k), range({p}) b(j)),
-  x1 AS (SELECT rownames, k, j, {S.mix31_sql('x')} AS x FROM x0),
+  x0 AS (SELECT rownames, k, j, {h} AS h, xor({h} & 2147483647, ((k * {p} + j + 1) * 2654435761) & 2147483647) AS x FROM design, range({N_PERMUTATIONS}) a(k), range({p}) b(j)),
+  x1 AS (SELECT rownames, k, j, xor({S.mix31_sql('x')}, h >> 31) AS x FROM x0),
   x2 AS (SELECT rownames, k, j, {S.mix31_sql('x')} AS x FROM x1),
   o AS (SELECT rownames, k, j, row_number() OVER (PARTITION BY rownames, k ORDER BY x, j) AS pos FROM x2),
   w AS (SELECT rownames, k, {', '.join(f'max(CASE WHEN j = {j} THEN pos END) AS p{j}' for j in range(p))} FROM o GROUP BY rownames, k),
@@ -302,7 +302,7 @@ PERM_SQL = D + """, fl AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f}')" for
     f"CAST({f} AS DOUBLE) AS {f}" for f in FEATS) + """ FROM ix) ON """ + ", ".join(FEATS) + """ INTO NAME feature VALUE donor_value)),
   sizes AS (SELECT id, count(*) AS n_src FROM dl GROUP BY id),
   dst AS (SELECT d.*, m.feature, m.src_id,
-            CAST('0x' || substr(md5(concat_ws('|', '42', m.feature, CAST(d.rownames AS VARCHAR))), 1, 7) AS BIGINT) % s.n_src AS ixn_d
+            CAST('0x' || substr(md5(concat_ws('|', '42', m.feature, CAST(d.rownames AS VARCHAR))), 1, 15) AS BIGINT) % s.n_src AS ixn_d
           FROM dl d JOIN mp m ON d.id = m.id JOIN sizes s ON s.id = m.src_id),
   perm AS (SELECT dst.feature, dst.y, CASE dst.feature """ + " ".join(
     f"WHEN '{f}' THEN {logit_sql({f: 'dn.donor_value'})}" for f in FEATS) + """ END AS p

@@ -29,12 +29,28 @@ def split_rows(spark, sf_dir):
 
 @query("group_folds", "rownames:bigint id:bigint fold:bigint",
        S.with_(S.PANEL) + """SELECT rownames, id,
-         CAST('0x' || substr(md5(concat_ws('|', '42', CAST(id AS VARCHAR))), 1, 7) AS BIGINT) % 5 AS fold FROM panel""")
+         CAST('0x' || substr(md5(concat_ws('|', '42', CAST(id AS VARCHAR))), 1, 15) AS BIGINT) % 5 AS fold FROM panel""")
 def group_folds(spark, sf_dir):
     """5 entity-grouped folds by hash."""
     return split.group_folds(views.panel(spark, sf_dir), "id", 5, SEED)
 
 
+_LIGHTEST = "CASE " + " ".join(f"WHEN l{i} = least(l0, l1, l2, l3, l4) THEN {i}" for i in range(5)) + " END"
+
+
+@query("balanced_folds", "id:bigint n:bigint fold:bigint",
+       S.with_(S.PANEL).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+  groups AS (SELECT id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, id) AS r FROM panel WHERE id IS NOT NULL GROUP BY id),
+  walk AS (SELECT 0::BIGINT AS r, {", ".join(f"0::BIGINT AS l{i}" for i in range(5))}, NULL::BIGINT AS id, 0::BIGINT AS n, 0 AS fold
+           UNION ALL
+           SELECT r, {", ".join(f"l{i} + CASE WHEN fold = {i} THEN n ELSE 0 END" for i in range(5))}, id, n, fold
+           FROM (SELECT g.r, {", ".join(f"w.l{i}" for i in range(5))}, g.id, g.n, {_LIGHTEST} AS fold FROM walk w JOIN groups g ON g.r = w.r + 1) t)
+SELECT id, n, fold FROM walk WHERE r > 0""")
+def balanced_folds(spark, sf_dir):
+    """5 entity-grouped folds by the greedy rule, largest entities first into the lightest fold."""
+    return split.balanced_folds(views.panel(spark, sf_dir), "id", 5)
+
+
 @query("attach_scores", "rownames:bigint id:bigint split:string y_prob:double",
        SCORED_SQL + "SELECT rownames, id, split, y_prob FROM scored")
 def attach_scores(spark, sf_dir):

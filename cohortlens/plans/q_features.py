@@ -12,8 +12,8 @@ from cohortlens.sources import views
 PANEL_COLS = "rownames:bigint id:bigint dos:bigint time:bigint hatype:string medication:string sex:string age:bigint airq:double headache:string"
 
 
-def feature_panel(spark, sf_dir, strategy="auto"):
-    return features.build_feature_panel(views.panel(spark, sf_dir), strategy=strategy)
+def feature_panel(spark, sf_dir, rows_per_task=None):
+    return features.build_feature_panel(views.panel(spark, sf_dir), rows_per_task=rows_per_task)
 
 
 @query("scan_panel", PANEL_COLS, S.with_(S.PANEL) + "SELECT * FROM panel")
@@ -103,7 +103,7 @@ def prev_events(spark, sf_dir):
        S.with_(S.PANEL, S.SCALAR, S.FEAT) + "SELECT rownames, id, visit_number, airq_prev_mean, prev_attacks, days_since_first_visit FROM feat")
 def prev_events_split(spark, sf_dir):
     """W1-W4 through the hot-entity strategy (range-partitioned prefix sums)."""
-    return feature_panel(spark, sf_dir, strategy="split")
+    return feature_panel(spark, sf_dir, rows_per_task=20)
 
 
 @query("prev_events_ref", "rownames:bigint id:bigint prev_attacks_ref:double",
@@ -213,4 +213,4 @@ def prev_events_ref_split(spark, sf_dir):
     """W4 reference mode (Q1) through the hot-entity strategy: prefix sums over range
     partitions and a join of each row to its predecessor instead of lag windows."""
     df = features.add_scalar_features(views.panel(spark, sf_dir))
-    return features.prev_events_reference(df, strategy="split")
+    return features.prev_events_reference(df, rows_per_task=20)

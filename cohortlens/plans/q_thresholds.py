@@ -77,10 +77,10 @@ def _boot_input(spark, sf_dir):
 BOOT_SQL = S.with_(S.SCORE) + f""",
   b0 AS (SELECT 'bucketed' AS model, y_true, y_prob,
            CAST('0x' || substr(md5(concat_ws('|', '{SEED}', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
-                CAST(l_partkey AS VARCHAR), CAST(id AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))), 1, 7) AS BIGINT) AS h
+                CAST(l_partkey AS VARCHAR), CAST(id AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT) AS h
          FROM score),
-  b1 AS (SELECT model, y_true, y_prob, r.rep, xor(h, (r.rep * 2654435761) & 2147483647) AS x0 FROM b0, range({N_BOOT}) r(rep)),
-  b2 AS (SELECT model, y_true, y_prob, rep, {S.mix31_sql('x0')} AS x1 FROM b1),
+  b1 AS (SELECT model, y_true, y_prob, r.rep, h, xor(h & 2147483647, (r.rep * 2654435761) & 2147483647) AS x0 FROM b0, range({N_BOOT}) r(rep)),
+  b2 AS (SELECT model, y_true, y_prob, rep, xor({S.mix31_sql('x0')}, h >> 31) AS x1 FROM b1),
   b3 AS (SELECT model, y_true, y_prob, rep, {S.mix31_sql('x1')} / 2147483648.0 AS u FROM b2),
   b4 AS (SELECT model, y_true, y_prob, rep, """ + " + ".join(
     f"CAST(u >= {c!r} AS INTEGER)" for c in B.poisson1_cdf()[:-1]) + """ AS wt FROM b3),
@@ -124,6 +124,23 @@ def bootstrap_multinomial(spark, sf_dir):
     return B.bootstrap_metrics_multinomial(_boot_input(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=SEED)
 
 
+def _cont_input(spark, sf_dir):
+    return views.score(spark, sf_dir).select(F.lit("continuous").alias("model"), "y_true", F.col("y_cont").alias("y_prob"))
+
+
+@query("bootstrap_continuous", BOOT_COLS)
+def bootstrap_continuous(spark, sf_dir):
+    """B1(a) on the continuous score: 1000 exact row resamples over nearly as many scores as rows, all ten metrics."""
+    return B.bootstrap_metrics_multinomial(_cont_input(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=SEED)
+
+
+@query("bootstrap_rows_kept", "model:string rep:bigint n:bigint", S.with_(S.SCORE) + f"""
+SELECT 'bucketed' AS model, r.rep, (SELECT count(*) FROM score) AS n FROM range({N_BOOT}) r(rep)""")
+def bootstrap_rows_kept(spark, sf_dir):
+    """B1(a): every replicate draws as many rows as there are."""
+    h = B.multinomial_histogram(_boot_input(spark, sf_dir), ["model"], n_boot=N_BOOT, seed=SEED)
+    return h.groupBy("model", "rep").agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
+
 
 BOOT_ENTITY_SQL = BOOT_SQL.replace(
     """concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),

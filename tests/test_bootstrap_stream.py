@@ -62,5 +62,30 @@ def test_multinomial_bootstrap(spark, golden_rows):
     aucs = np.array([r["roc_auc"] for r in reps])
     assert aucs.mean() == pytest.approx(0.7156, abs=0.02)
     assert 0.005 < aucs.std() < 0.04
-    with pytest.raises(ValueError):
-        B.multinomial_histogram(golden_rows, [], n_boot=2, max_cells=5)
+
+
+def test_multinomial_tree_over_many_scores(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, int(rng.random() < s), float(s)) for g in ("a", "b") for s in np.round(rng.random(700), 3)] + [("a", 1, 0.5)] * 500 + [("c", 1, 0.2), ("d", None, 0.1), ("d", 1, float("nan"))]
+    d = spark.createDataFrame(rows, "model string, y_true int, y_prob double")
+    sizes = {"a": 1200, "b": 700, "c": 1}
+    for leaf_scores in (7, 10_000):
+        h = B.multinomial_histogram(d, ["model"], n_boot=50, seed=3, leaf_scores=leaf_scores).cache()
+        n = {(r["model"], r["rep"]): r["n"] for r in h.groupBy("model", "rep").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()}
+        assert n == {(m, r): sizes[m] for m in sizes for r in range(50)}
+        again = B.multinomial_histogram(d.repartition(5), ["model"], n_boot=50, seed=3, leaf_scores=leaf_scores)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, h.collect()))
+        # the summed form has the metrics of its own draws
+        expected = {(r["model"], r["rep"]): r for r in M.metric_table(h, ["model", "rep"]).collect()}
+        got = B.bootstrap_metrics_multinomial(d, ["model"], n_boot=50, seed=3, leaf_scores=leaf_scores).collect()
+        assert len(got) == len(expected) == 150
+        for r in got:
+            e = expected[r["model"], r["rep"]]
+            for m in M.METRIC_NAMES:
+                assert r[m] == (None if e[m] is None else pytest.approx(e[m], abs=1e-9)), m
+        # every row is drawn once on average, in each part of the score's range
+        mean = {(r["model"], r["low"]): r["n"] / 50 for r in h.groupBy("model", (F.col("score") < 0.3).alias("low")).agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()}
+        rows_in = {(m, low): sum(1 for r in rows if r[0] == m and r[1] is not None and (r[2] < 0.3) == low) for m in ("a", "b") for low in (True, False)}
+        for k, n in rows_in.items():
+            assert abs(mean[k] - n) < 4 * (n / 50) ** 0.5
+    assert B.bootstrap_metrics_multinomial(d.limit(0), ["model"], n_boot=3).count() == 0

@@ -2,18 +2,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import features, profile
+from cohortlens.operators.prefix import hot_keys
 from cohortlens.sources import views
 from cohortlens.spec import PanelSpec
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_strategies_agree_on_events(spark):
+def test_hot_entities_agree_on_events(spark):
     ev = views.events_panel(spark, SF).withColumnRenamed("value", "airq").withColumn("dos", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))) \
         .withColumn("time", F.col("dos"))
     spec = PanelSpec(order=("rownames",))
-    a = features.history_features(ev, spec, strategy="window").select("rownames", "visit_number", "airq_prev_mean", "prev_attacks", "days_since_first_visit")
-    b = features.history_features(ev, spec, strategy="split").select("rownames", "visit_number", "airq_prev_mean", "prev_attacks", "days_since_first_visit")
+    a = features.history_features(ev, spec).select("rownames", "visit_number", "airq_prev_mean", "prev_attacks", "days_since_first_visit")
+    b = features.history_features(ev, spec, rows_per_task=3).select("rownames", "visit_number", "airq_prev_mean", "prev_attacks", "days_since_first_visit")
     ra = {r["rownames"]: r for r in a.collect()}
     rb = {r["rownames"]: r for r in b.collect()}
     assert ra.keys() == rb.keys()
@@ -30,7 +31,7 @@ def test_history_never_sees_current_row(spark):
     rows = [(1, 1, 0, 0, 10.0, "yes"), (2, 1, 1, 1, 20.0, "yes"), (3, 1, 2, 2, None, "no"), (4, 2, 0, 0, 5.0, "no")]
     df = spark.createDataFrame(rows, "rownames long, id long, time long, dos long, airq double, headache string")
     df = features.add_target_numeric(df)
-    out = {r["rownames"]: r for r in features.history_features(df, strategy="window").collect()}
+    out = {r["rownames"]: r for r in features.history_features(df).collect()}
     assert out[1]["airq_prev_mean"] is None and out[1]["prev_attacks"] == 0
     assert out[2]["airq_prev_mean"] == 10.0 and out[2]["prev_attacks"] == 1
     assert out[3]["airq_prev_mean"] == 15.0 and out[3]["prev_attacks"] == 2
@@ -68,28 +69,29 @@ def test_quartile_band_duplicate_breaks_raise(spark):
         profile.quartile_band(df, "x")
 
 
-def test_reference_prev_events_split_strategy(spark):
+def test_reference_prev_events_of_hot_entities(spark):
     rows = [(1, 1, 0, "yes"), (2, 1, 1, "yes"), (3, 2, 0, "no"), (4, 2, 1, "yes"), (5, 3, 0, None), (6, 3, 1, "yes"),
             (7, 3, 2, "no"), (8, 3, 3, None), (9, 4, 0, "yes")]
     df = features.add_target_numeric(spark.createDataFrame(rows, "rownames long, id long, time long, headache string"))
-    a = {r["rownames"]: r["prev_attacks_ref"] for r in features.prev_events_reference(df, strategy="window").collect()}
-    b = {r["rownames"]: r["prev_attacks_ref"] for r in features.prev_events_reference(df, strategy="split").collect()}
+    a = {r["rownames"]: r["prev_attacks_ref"] for r in features.prev_events_reference(df).collect()}
+    b = {r["rownames"]: r["prev_attacks_ref"] for r in features.prev_events_reference(df, rows_per_task=1).collect()}
     assert a == b
     assert a[9] == 0.0      # previous entity's last event is missing
     assert a[8] == 1.0 and a[7] == 1.0
 
 
-def test_auto_strategy_switches_for_hot_entity(spark):
-    # one entity holds most rows: with a small per-task budget, auto must take the split path
+def test_hot_entity_spreads(spark):
+    # one entity holds most rows: with a small number of rows per task it is cut into cells
     rows = [(i, 1 if i % 4 else 2, i, i, float(i % 7), "yes" if i % 3 else "no") for i in range(1, 201)]
     df = features.add_target_numeric(spark.createDataFrame(
         rows, "rownames long, id long, time long, dos long, airq double, headache string"))
-    assert features.max_entity_rows(df) == 150
+    hot, most = hot_keys(df, ["id"], 20)
+    assert most == 150 and {r["id"] for r in hot.collect()} == {1, 2} and hot_keys(df, ["id"], 150) is None
     cols = ["rownames", "visit_number", "airq_prev_mean", "prev_attacks", "days_since_first_visit"]
     auto = {r["rownames"]: tuple(r[c] for c in cols[1:])
-            for r in features.history_features(df, strategy="auto", max_rows_per_task=20).select(*cols).collect()}
+            for r in features.history_features(df, rows_per_task=20).select(*cols).collect()}
     win = {r["rownames"]: tuple(r[c] for c in cols[1:])
-           for r in features.history_features(df, strategy="window").select(*cols).collect()}
+           for r in features.history_features(df).select(*cols).collect()}
     assert auto.keys() == win.keys()
     for k in auto:
         a, b = auto[k], win[k]

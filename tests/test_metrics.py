@@ -80,8 +80,8 @@ def test_one_class_and_empty(spark):
     assert (c["tp"], c["fp"], c["fn"], c["tn"]) == (1, 0, 1, 0)
 
 
-def test_continuous_curve_split_path(spark):
-    """Large distinct-score tables take the range-partitioned prefix path; same answer."""
+def test_continuous_curve_split_path(spark, monkeypatch):
+    """Large distinct-score tables are summed in cells; same answer."""
     from cohortlens.operators import prefix
     rng = np.random.default_rng(5)
     n = 3000
@@ -90,12 +90,8 @@ def test_continuous_curve_split_path(spark):
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y_true int, y_prob double")
     h = M.score_histogram(df)
     small = M.auc_ap(M.curve_table(h)).first()["roc_auc"]
-    old = prefix.running_sums_auto.__defaults__
-    prefix.running_sums_auto.__defaults__ = (False, 10)
-    try:
-        big = M.auc_ap(M.curve_table(h)).first()["roc_auc"]
-    finally:
-        prefix.running_sums_auto.__defaults__ = old
+    monkeypatch.setattr(prefix, "ROWS_PER_TASK", 10)
+    big = M.auc_ap(M.curve_table(h)).first()["roc_auc"]
     assert big == pytest.approx(small, abs=1e-12)
     assert small == pytest.approx(_brute_auc(y, p), abs=1e-12)
 

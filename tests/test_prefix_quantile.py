@@ -1,11 +1,18 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.prefix import running_sums, running_sums_window
+from cohortlens.operators import prefix
+from cohortlens.operators.prefix import running_sums
 from cohortlens.operators.quantile import quantiles
 
 
+def running_sums_window(df, keys, order, values, inclusive):
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in values.items()])
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = np.random.default_rng(7)
@@ -21,7 +28,7 @@ def skewed(spark):
 def test_running_sums_match_window(skewed):
     vals = {"s": F.col("v"), "c": F.when(F.col("v").isNotNull(), 1).otherwise(0)}
     for inclusive in (False, True):
-        a = running_sums(skewed, ["k"], [F.col("rid")], vals, inclusive, num_partitions=7)
+        a = running_sums(skewed, ["k"], [F.col("rid")], vals, inclusive, rows_per_task=60)
         b = running_sums_window(skewed, ["k"], [F.col("rid")], vals, inclusive)
         ra = {r["rid"]: (r["s"], r["c"]) for r in a.collect()}
         rb = {r["rid"]: (r["s"], r["c"]) for r in b.collect()}
@@ -34,19 +41,42 @@ def test_running_sums_match_window(skewed):
 
 
 def test_running_sums_global(skewed):
-    a = running_sums(skewed, [], [F.col("rid")], {"r": F.lit(1)}, inclusive=True, num_partitions=5)
+    a = running_sums(skewed, [], [F.col("rid")], {"r": F.lit(1)}, inclusive=True, rows_per_task=300)
     assert sorted(r["r"] for r in a.collect()) == list(range(1, skewed.count() + 1))
 
 
 def test_partition_count_invariance(skewed):
-    one = running_sums(skewed, ["k"], [F.col("rid")], {"s": F.col("v")}, num_partitions=1)
-    many = running_sums(skewed, ["k"], [F.col("rid")], {"s": F.col("v")}, num_partitions=9)
+    one = running_sums(skewed, ["k"], [F.col("rid")], {"s": F.col("v")})
+    many = running_sums(skewed, ["k"], [F.col("rid")], {"s": F.col("v")}, rows_per_task=20)
     a = {r["rid"]: r["s"] for r in one.collect()}
     b = {r["rid"]: r["s"] for r in many.collect()}
     for key in a:
         assert (a[key] is None and b[key] is None) or a[key] == pytest.approx(b[key], abs=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "string", "date", "timestamp", "boolean"])
+def test_cells_follow_any_order_type(spark, kind):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if rng.random() < 0.1 else int(rng.integers(0, 3)), None if rng.random() < 0.1 else int(rng.integers(-40, 40)), int(rng.integers(0, 9))) for i in range(600)]
+    made = {"long": F.col("o"), "double": F.when(F.col("o") == 7, F.lit(float("nan"))).otherwise(F.col("o") / 3), "string": F.concat(F.lit("é"), F.col("o").cast("string"), F.col("rid").cast("string")),
+            "date": F.date_add(F.lit("2000-01-01"), F.col("o").cast("int")), "timestamp": F.timestamp_micros(F.col("o") * 1_000_003), "boolean": F.col("o") > 0}[kind]
+    d = spark.createDataFrame(rows, "rid long, k long, o long, v long").withColumn("t", made).repartition(5)
+    order, w = [F.col("t"), F.col("rid")], Window.partitionBy("k")
+    ran = w.orderBy(*order)
+    expected = d.select("rid", F.sum("v").over(ran.rowsBetween(Window.unboundedPreceding, -1)).alias("s"), F.min("v").over(w).alias("m"), F.lag("v").over(ran).alias("p"))
+    for size in (1, 30, 10_000):
+        got = running_sums(d, ["k"], order, {"s": F.col("v")}, least={"m": F.col("v")}, previous={"p": F.col("v")}, rows_per_task=size).select("rid", "s", "m", "p")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())), size
+
+
+def test_a_hot_key_spreads_in_one_shuffle(skewed):
+    spread = running_sums(skewed, ["k"], [F.col("rid")], {"s": F.col("v")}, rows_per_task=200)
+    cells = prefix._cells(skewed, ["k"], [F.col("rid")], prefix.hot_keys(skewed, ["k"], 200)[0], 8)
+    per = {(r["k"], r["__cell"]): r["count"] for r in cells.groupBy("k", "__cell").count().collect()}
+    assert max(n for (k, _), n in per.items()) <= 400 and sum(1 for k, _ in per if k == 0) >= 7 and all(c == 0 for k, c in per if k)
+    assert spread.count() == skewed.count()
+
+
 @pytest.mark.parametrize("method", ["rank", "builtin"])
 def test_quantiles_match_numpy(skewed, method):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]

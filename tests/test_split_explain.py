@@ -25,6 +25,39 @@ def test_group_folds_keep_entities_together(spark):
     assert {r["fold"] for r in f.select("fold").distinct().collect()} <= set(range(5))
 
 
+def greedy(sizes, k):
+    loads, out = [0] * k, {}
+    for n, i in sorted((-n, i) for i, n in sizes.items()):
+        out[i] = min(range(k), key=lambda f: (loads[f], f))
+        loads[out[i]] -= n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fold_cycles_are_the_greedy_rule(seed):
+    rng = np.random.default_rng(seed)
+    k = int(rng.integers(1, 7))
+    table = sorted({int(n): int(rng.integers(1, 40)) for n in rng.integers(1, 60 if seed else 4, 12)}.items(), reverse=True)
+    loads, plain = [0] * k, [0] * k
+    for n, m in table:
+        cycles = split.fold_cycles(n, m, loads)
+        for r in range(m):
+            start, turn = [c for c in cycles if c[0] <= r][-1]
+            fold = min(range(k), key=lambda f: (plain[f], f))
+            assert turn[(r - start) % len(turn)] == fold
+            plain[fold] += n
+        assert loads == plain
+
+
+def test_balanced_folds(spark):
+    rng = np.random.default_rng(4)
+    sizes = {i: int(rng.integers(1, 9)) for i in range(300)} | {1000: 900}
+    rows = [(i,) for i, n in sizes.items() for _ in range(n)] + [(None,)] * 5
+    got = split.balanced_folds(spark.createDataFrame(rows, "id long"), "id", 5).collect()
+    assert {r["id"]: r["n"] for r in got} == sizes and {r["id"]: r["fold"] for r in got} == greedy(sizes, 5)
+    assert split.balanced_folds(spark.createDataFrame([], "id long")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def design(spark):
     return views.design(spark, SF)
