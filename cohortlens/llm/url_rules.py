@@ -22,6 +22,8 @@ from cohortlens.llm.common import saved
 #: Verdict, host, path. A rule fits its host and the hosts below it where the URL's path starts with the rule's; the longest wins.
 HOST_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.8, 1.5
+#: Labelled rows that a rule stands on at least, and what its confidence is at least with 95 % certainty (lower Wilson bound).
+MIN_ROWS, MIN_BOUND, Z = 5, 0.6, 1.645
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = "label=block"
 
@@ -62,19 +64,24 @@ def host_rule(host: Column, path: Column, rules=HOST_RULES) -> Column:
 
 
 def mine(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked", min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+         min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS, min_bound: float = MIN_BOUND) -> DataFrame:
     """(anchor, tokens, confidence, lift, support) of the kept rules; no rows where nothing is labelled or nothing holds.
 
+    A rule holds for at least ``min_support`` of the labelled rows and for ``min_rows`` of them, so that few labels teach
+    nothing by chance; its confidence is at least ``min_confidence``, and the lower Wilson bound of it ``min_bound``.
     Rows with a null label or without tokens teach nothing.
     """
     spark = labelled.sparkSession
     items = labelled.where(labelled[blocked_col].isNotNull()).select(tokens_of(labelled[url_col]).alias("t"), labelled[blocked_col].cast("boolean").alias("b")) \
         .where(F.size("t") > 0).select(F.when(F.col("b"), F.array_append("t", F.lit(_BLOCK))).otherwise(F.col("t")).alias("items"))
     schema = "anchor string, tokens array<string>, confidence double, lift double, support double"
-    if items.isEmpty():
+    total = items.count()
+    if not total:
         return spark.range(0).select(*[F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in schema.split(", ")])
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = saved(model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("lift") >= min_lift))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / total)), minConfidence=min_confidence).fit(items)
+    seen, share = F.col("support") * total / F.col("confidence"), F.col("confidence")
+    bound = (share + Z * Z / (2 * seen) - Z * F.sqrt((share * (1 - share) + Z * Z / (4 * seen)) / seen)) / (1 + Z * Z / seen)
+    rules = saved(model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("lift") >= min_lift) & (bound >= min_bound))
                   .select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"))
     often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     anchored = rules.withColumn("token", F.explode("tokens")).join(often, "token").groupBy("tokens", "confidence", "lift", "support") \
