@@ -235,7 +235,7 @@ def kde_by_group(df: DataFrame, value: str, group: str, gridsize: int = 200, cut
                          (F.col("vmax") + F.lit(cut) * F.col("bw")).alias("hi"))
     sums = d.join(stats.where("bw > 0").select(group, "__g", "lo", "hi", "bw"), group).select("__g", "x", "lo", "hi", "bw") \
         .mapInPandas(_kernel_sums(gridsize), "__g long, point long, __k double").groupBy("__g", "point").agg(F.sum("__k").alias("__k"))
-    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).cast("long").alias("point"))
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(gridsize - 1).cast("long"))).alias("point"))
     norm = F.try_divide(F.lit(1.0 / math.sqrt(2 * math.pi)), F.col("n") * F.col("bw"))   # constant group: bw = 0 -> null density
     return grid.join(sums, ["__g", "point"], "left").select(
         group, "point", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(float(gridsize - 1))).alias("x"),
