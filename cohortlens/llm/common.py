@@ -31,6 +31,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote and nothing will read again."""
+    for t in tables:
+        files = t.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if folder.rsplit("/", 1)[-1].startswith("saved-"):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__id`` (long, may be null) and ``__bytes`` (UTF-8, null text as empty) of every row; other columns are not read."""
     ship_package(docs.sparkSession)

@@ -21,26 +21,34 @@ the threshold.
    near copies that have drifted too far before any pair is made.
 5. For each (document, other group) that meets: the exact overlap with the
    group's token union bounds the similarity; what passes is opened, and its
-   members are compared exactly.
+   members are compared exactly. Rounds take each component's best candidate
+   first and drop what lies within a component after merging, so links stay
+   as few as groups, also where near copies came apart into many groups.
 6. Links of 3 and 5 give the components. No link between different components
    can be missed, because every class met every group that shares a prefix
-   token with it, and links within a provisional component change nothing.
+   token with it, and links within a component change nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import connected_components, keyed_text, saved
+from cohortlens.llm.common import connected_components, dropped, keyed_text, saved
 from cohortlens.llm.shared_items import shared_items
 from cohortlens.llm.words import WordHashes, mix, shingles
 
 SHINGLE, PERCENT = 5, 80
 MIN_HASHES = 2
 GROUP_PART = 64
+#: Bytes of text in a block, which bounds a task's memory.
+BLOCK_BYTES = 10 << 20
+#: Rounds of merging go on while more than this share of the candidates they take are links.
+MERGING = 0.1
 _META = np.dtype([("id", "i8"), ("null", "u1"), ("n", "u4"), ("h1", "u8"), ("h2", "u8")])
 
 
@@ -114,17 +122,19 @@ def _linked(percent: int):
     return linked
 
 
-def _bound(percent: int):
-    @F.pandas_udf("boolean")
-    def qualifies(a: pd.Series, n: pd.Series, union: pd.Series) -> pd.Series:
+def _overlap(percent: int):
+    """How many tokens a document shares with a group's union; null where that is too few for any link."""
+    @F.pandas_udf("long")
+    def overlap(a: pd.Series, n: pd.Series, union: pd.Series) -> pd.Series:
         out = []
         for x, size, u in zip(a, n, union, strict=True):
             t, u = _tokens(x), _tokens(u)
             i = np.minimum(np.searchsorted(u, t), len(u) - 1)
-            out.append(100 * int((u[i] == t).sum()) >= percent * size)
-        return pd.Series(out, dtype=bool)
+            both = int((u[i] == t).sum())
+            out.append(both if 100 * both >= percent * size else None)
+        return pd.Series(out, dtype="Int64")
 
-    return qualifies
+    return overlap
 
 
 def _prefix(share: int, of: int):
@@ -141,6 +151,38 @@ def _union(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": pdf["g"].iloc[:1], "part": pdf["part"].iloc[:1], "union": [u.tobytes()]})
 
 
+def _links_across(opened: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between groups that join all that ``opened`` (k, g, to_g, to_part, overlap) can join.
+
+    A group is connected, so one link per pair of groups says all, and none is
+    needed within a component. Each round takes from every component its
+    candidate of the largest overlap, verifies these, merges the components
+    they link and drops what then lies inside one. Near copies that came apart
+    into many groups so melt together by links as many as the groups. Once
+    rounds merge little, all that is left is verified at once.
+    """
+    links, tops = None, None
+    while True:
+        left = opened if tops is None else opened.join(tops.select(F.col("node").alias("g"), F.col("root").alias("r1")), "g", "left") \
+            .join(tops.select(F.col("node").alias("to_g"), F.col("root").alias("r2")), "to_g", "left")
+        r1, r2 = (F.col("g"), F.col("to_g")) if tops is None else (F.coalesce("r1", "g"), F.coalesce("r2", "to_g"))
+        opened = saved(left.select("k", "g", "to_g", "to_part", "overlap", r1.alias("r1"), r2.alias("r2")).where("r1 <> r2"))
+        best = saved(opened.select(F.explode(F.array("r1", "r2")).alias("r"), F.struct("overlap", "k", "to_g", "to_part", "r1", "r2").alias("c"))
+                     .groupBy("r").agg(F.max("c").alias("c")).select("c.*").distinct())
+        tried = best.count()
+        found = saved(verified(best))
+        merged = found.count()
+        few = merged <= MERGING * tried
+        if few:
+            rest = opened.join(best.select("k", "to_g", "to_part"), ["k", "to_g", "to_part"], "left_anti")
+            found = saved(found.union(verified(rest)).distinct())
+        links = found if links is None else saved(links.union(found))
+        if few:
+            return links
+        opened = opened.join(best.select("k", "to_g", "to_part"), ["k", "to_g", "to_part"], "left_anti").select("k", "g", "to_g", "to_part", "overlap")
+        tops = connected_components(links)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``class_id``, ``component_id``.
@@ -155,11 +197,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same result. Other columns of ``docs`` are not read. An empty table gives
     no rows. Sets are compared by 64-bit hashes.
     """
-    rows = saved(shared_items(keyed_text(docs, id_col, text_col), _extract(size), _META, _per_block(percent),
-                              "id long, n long, h1 long, h2 long, shared binary").withColumn("k", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2"))))
+    found = saved(shared_items(keyed_text(docs, id_col, text_col), _extract(size), _META, _per_block(percent),
+                               "id long, n long, h1 long, h2 long, shared binary", BLOCK_BYTES).withColumn("k", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2"))))
     # overlap >= percent / (100 + percent) * (n + m): with s shared tokens, no partner is larger than this
     most = F.expr(f"({100 + percent}L * (octet_length(shared) div 8)) div {percent} - n")
-    classes = saved(rows.where("shared is not null").dropDuplicates(["k"]).select("k", "n", most.alias("most"), "shared"))
+    classes = saved(found.where("shared is not null").dropDuplicates(["k"]).select("k", "n", most.alias("most"), "shared"))
+    rows = saved(found.select("id", "n", "k"))
+    dropped(found)
     blob = classes.select("k", "shared")
     hub = classes.select(F.col("k").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"))
     linked = _linked(percent)
@@ -169,6 +213,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = bands.join(heads, ["band", "value"]).where("k <> head.k and n <= head.most and head.n <= most").select("k", F.col("head.k").alias("hub")).distinct()
     stars = saved(stars.join(classes.select("k", "n", "shared"), "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n"))
                   .select(F.col("k").alias("a"), F.col("hub").alias("b")))
+    dropped(bands)
     roots = connected_components(stars).select(F.col("node").alias("k"), "root")
     sized = classes.select("k", "n", "most").join(roots, "k", "left").withColumn("g", F.coalesce("root", "k"))
     parts = sized.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PART).alias("parts"))
@@ -190,17 +235,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = meeting.select("to_g", "to_part").distinct()
     unions = member.join(met, (member["g"] == met["to_g"]) & (member["part"] == met["to_part"])).select("k", "g", "part").join(blob, "k") \
         .select("g", "part", "shared").groupBy("g", "part").applyInPandas(_union, "g long, part long, union binary")
-    opened = saved(meeting.join(unions, (meeting["to_g"] == unions["g"]) & (meeting["to_part"] == unions["part"])).drop("g", "part")
-                   .join(classes.select("k", "n", "shared"), "k").where(_bound(percent)("shared", "n", "union")).select("k", "to_g", "to_part"))
+    dropped(matrix, ordered)
+    opened = meeting.join(unions, (meeting["to_g"] == unions["g"]) & (meeting["to_part"] == unions["part"])).drop("g", "part") \
+        .join(classes.select("k", "n", "shared"), "k").select("k", "to_g", "to_part", _overlap(percent)("shared", "n", "union").alias("overlap")).where("overlap is not null")
     inside = member.select(F.col("k").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("g").alias("to_g"), F.col("part").alias("to_part"))
-    pairs = opened.join(inside, ["to_g", "to_part"]).join(member.select("k", "n", "most"), "k") \
-        .where(f"hub_n <= least(n, most) and n <= hub_most and 100 * hub_n >= {percent} * n") \
-        .select(F.least("k", "hub").alias("k"), F.greatest("k", "hub").alias("hub")).distinct()
-    across = saved(pairs.join(classes.select("k", "n", "shared"), "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n"))
-                   .select(F.col("k").alias("a"), F.col("hub").alias("b")))
-
-    roots = connected_components(stars.union(across)).select(F.col("node").alias("k"), "root")
-    named = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least")).join(roots, "k", "left") \
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        """The (r1, r2) of ``candidates`` whose document links with a member of their group."""
+        pairs = candidates.join(inside, ["to_g", "to_part"]).join(member.select("k", "n", "most"), "k") \
+            .where(f"hub_n <= least(n, most) and n <= hub_most and 100 * hub_n >= {percent} * n").select("k", "hub", "r1", "r2")
+        return pairs.join(classes.select("k", "n", "shared"), "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n")) \
+            .select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
+
+    opened = saved(opened.join(member.select("k", "g"), "k"))
+    dropped(meeting)
+    across = _links_across(opened, verified)
+    top = connected_components(across).select(F.col("node").alias("g"), F.col("root").alias("top"))
+    grouped = sized.select("k", "g").join(top, "g", "left").select("k", F.coalesce("top", "g").alias("root"))
+    named = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least")).join(grouped, "k", "left") \
         .select("k", "least", F.coalesce("root", "k").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     by_class = named.select("k", "root").join(least, "root").select(F.col("k").alias("ck"), "component")

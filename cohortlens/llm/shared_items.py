@@ -45,7 +45,7 @@ def df_code(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.log2(counts) * 6).astype(np.uint8)
 
 
-def shared_items(text: DataFrame, extract: Callable, meta_dtype, per_block: Callable, schema: str) -> DataFrame:
+def shared_items(text: DataFrame, extract: Callable, meta_dtype, per_block: Callable, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows that ``per_block`` makes of each block's texts and of its items that occur at least twice in the corpus.
 
     ``text``: (__id, __bytes). ``extract(ids, texts)`` returns (meta, items,
@@ -90,7 +90,7 @@ def shared_items(text: DataFrame, extract: Callable, meta_dtype, per_block: Call
 
         for ids, texts in slices(batches):
             n_bytes = sum(map(len, texts))
-            if rows and (rows + len(ids) > BLOCK_ROWS or size + n_bytes > BLOCK_BYTES):
+            if rows and (rows + len(ids) > BLOCK_ROWS or size + n_bytes > block_bytes):
                 yield flush()
             meta, items, where, span = extract(ids, texts)
             held.append((meta, items, (where + np.uint64(base)).astype(np.uint32)))

@@ -291,6 +291,27 @@ def test_ngram_join_of_a_large_near_group(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ngram_join_links_are_as_many_as_groups(spark, monkeypatch):
+    """Near copies that come apart into many groups melt together by few links, and no link between others is lost."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    made = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(2, 6)):
+            w[rng.randrange(150)] = f"x{rng.randrange(30)}"
+        made.append((i, " ".join(w)))
+    seen = []
+    plain = ngram_join._links_across
+    monkeypatch.setattr(ngram_join, "_links_across", lambda *a: seen.append(plain(*a)) or seen[-1])
+    monkeypatch.setattr(ngram_join, "MIN_HASHES", 1)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute.components(made).items()}
+    links = seen[0].collect()
+    groups = {x for r in links for x in r}
+    assert len(links) == len({tuple(r) for r in links}) and len(links) <= 3 * max(1, len(groups))
+
+
 def test_suffix_dedup(documents, rows):
     short = documents.where("doc_id is null or doc_id not in (10005, 10006)")
     got = suffix_dedup.repeated_substrings(short).collect()
@@ -339,3 +360,14 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), labelled).count() == 0
     alone = url_rules.judge_urls(pages, labelled.limit(0)).where("rule is null").select("verdict").distinct().collect()
     assert [r[0] for r in alone] == ["allow"]
+
+
+def test_url_rules_need_more_than_a_few_labels(spark):
+    once = [(f"http://h{i}.org/p{i}/odd{i}", i < 2) for i in range(40)]
+    assert url_rules.mine(spark.createDataFrame(once, "url string, blocked boolean")).count() == 0
+    often = once + [("http://bad.org/x", True)] * 6 + [(f"http://good.org/{i}", False) for i in range(30)]
+    rules = url_rules.mine(spark.createDataFrame(often, "url string, blocked boolean")).collect()
+    assert rules and all(set(r["tokens"]) <= {"h:bad.org", "p:x", "h:org"} for r in rules)
+    long = "http://h.org/" + "/".join("s" * 50 for _ in range(2000)) + "?" + "&".join(f"k{i}=1" for i in range(500))
+    got = url_rules.judge_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), spark.createDataFrame(often, "url string, blocked boolean")).first()
+    assert got["verdict"] == "allow" and got["host"] == "h.org" and len(got["path"]) > 100_000
