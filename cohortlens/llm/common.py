@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +62,22 @@ def held(key, make):
     needs no more memory than one of them.
     """
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _give_back() -> None:
+    """Free what nothing holds, and hand the allocators' free memory back to the system, which they keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches):
     """(ids, texts) of at most SLICE_BYTES of text, or of one longer text; ``batches`` come from mapInArrow with (__id, __bytes)."""
     for batch in batches:

@@ -45,8 +45,8 @@ from cohortlens.llm.words import WordHashes, mix, shingles
 SHINGLE, PERCENT = 5, 80
 MIN_HASHES = 2
 GROUP_PART = 64
-#: Bytes of text in a block, which bounds a task's memory.
-BLOCK_BYTES = 10 << 20
+#: Bytes of text in a block and words whose hash a task keeps, which bound its memory.
+BLOCK_BYTES, MEMO_WORDS = 10 << 20, 100_000
 #: Rounds of merging go on while more than this share of the candidates they take are links.
 MERGING = 0.1
 _META = np.dtype([("id", "i8"), ("null", "u1"), ("n", "u4"), ("h1", "u8"), ("h2", "u8")])
@@ -54,6 +54,7 @@ _META = np.dtype([("id", "i8"), ("null", "u1"), ("n", "u4"), ("h1", "u8"), ("h2"
 
 def _extract(size: int):
     hashes = WordHashes()
+    hashes.limit = MEMO_WORDS
 
     def extract(ids, texts):
         meta = np.zeros(len(ids), _META)
@@ -233,8 +234,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     .where(f"g <> to_g and n1 <= least(n, room) and 100 * n2 >= {percent} * n and to_room >= n")
                     .select("k", "to_g", "to_part").distinct())
     met = meeting.select("to_g", "to_part").distinct()
-    unions = member.join(met, (member["g"] == met["to_g"]) & (member["part"] == met["to_part"])).select("k", "g", "part").join(blob, "k") \
-        .select("g", "part", "shared").groupBy("g", "part").applyInPandas(_union, "g long, part long, union binary")
+    # written, so that no task runs the unions' and the overlaps' Python workers at once
+    unions = saved(member.join(met, (member["g"] == met["to_g"]) & (member["part"] == met["to_part"])).select("k", "g", "part").join(blob, "k")
+                   .select("g", "part", "shared").groupBy("g", "part").applyInPandas(_union, "g long, part long, union binary"))
     dropped(matrix, ordered)
     opened = meeting.join(unions, (meeting["to_g"] == unions["g"]) & (meeting["to_part"] == unions["part"])).drop("g", "part") \
         .join(classes.select("k", "n", "shared"), "k").select("k", "to_g", "to_part", _overlap(percent)("shared", "n", "union").alias("overlap")).where("overlap is not null")
@@ -248,7 +250,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
 
     opened = saved(opened.join(member.select("k", "g"), "k"))
-    dropped(meeting)
+    dropped(meeting, unions)
     across = _links_across(opened, verified)
     top = connected_components(across).select(F.col("node").alias("g"), F.col("root").alias("top"))
     grouped = sized.select("k", "g").join(top, "g", "left").select("k", F.coalesce("top", "g").alias("root"))

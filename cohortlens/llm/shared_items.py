@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.common import slices, width
+from cohortlens.llm.common import held, slices, width
 
 #: Texts and bytes of text in a block.
 BLOCK_ROWS, BLOCK_BYTES = 50_000, 24 << 20
@@ -60,17 +60,18 @@ def shared_items(text: DataFrame, extract: Callable, meta_dtype, per_block: Call
     buckets = min(65_536, BUCKETS_PER_PARTITION * width(text.sparkSession))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("shared items", dict)      # lets go of the tables that another operator left in this worker
         part, chunk = TaskContext.get().partitionId(), 0
-        held: list = []
+        parts: list = []
         rows = size = base = 0
 
         def flush():
-            nonlocal held, rows, size, base, chunk
+            nonlocal parts, rows, size, base, chunk
             block = (part << 24) + chunk
-            meta = np.concatenate([h[0] for h in held])
-            items = np.concatenate([h[1] for h in held])
-            where = np.concatenate([h[2] for h in held])
-            held, rows, size, base = [], 0, 0, 0
+            meta = np.concatenate([h[0] for h in parts])
+            items = np.concatenate([h[1] for h in parts])
+            where = np.concatenate([h[2] for h in parts])
+            parts, rows, size, base = [], 0, 0, 0
             chunk += 1
             bucket = ((items >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
@@ -93,9 +94,9 @@ def shared_items(text: DataFrame, extract: Callable, meta_dtype, per_block: Call
             if rows and (rows + len(ids) > BLOCK_ROWS or size + n_bytes > block_bytes):
                 yield flush()
             meta, items, where, span = extract(ids, texts)
-            held.append((meta, items, (where + np.uint64(base)).astype(np.uint32)))
+            parts.append((meta, items, (where + np.uint64(base)).astype(np.uint32)))
             rows, size, base = rows + len(ids), size + n_bytes, base + span
-        if held:
+        if parts:
             yield flush()
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
