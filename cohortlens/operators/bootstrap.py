@@ -87,22 +87,52 @@ def hash_array(row_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix31_array(mix31_array((row_hash & MASK31)[:, None] ^ ((number * 0x9E3779B1) & MASK31)[None, :]) ^ (row_hash >> 31)[:, None])
 
 
+def _mix32(x: np.ndarray) -> None:
+    """``mix31`` on uint32 arrays, in place: products are kept modulo 2**32, whose low 31 bits are the ones that count."""
+    mask = np.uint32(MASK31)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    x &= mask
+    x ^= x >> np.uint32(12)
+    x *= np.uint32(0x297A2D39)
+    x &= mask
+    x ^= x >> np.uint32(15)
+
+
+#: ``POISSON_STEPS[k]``: the least 31-bit hash with a weight above k.
+POISSON_STEPS = np.ceil(np.array(poisson1_cdf()[:-1]) * 2147483648.0).astype(np.uint32)
+#: Weights by the high 16 of the 31 bits; 255 where the low ones decide.
+_WEIGHTS = np.searchsorted(POISSON_STEPS, np.arange(1 << 16, dtype=np.uint32) << np.uint32(15), side="right").astype(np.uint8)
+_WEIGHTS[POISSON_STEPS[(POISSON_STEPS & np.uint32(0x7FFF)) > 0] >> np.uint32(15)] = 255
+
+
+def poisson_weights(row_hash: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """(rows, replicates): the weights of ``poisson_weight(replicate_uniform(...))``, as small integers."""
+    x = (row_hash & MASK31).astype(np.uint32)[:, None] ^ ((rep * 0x9E3779B1) & MASK31).astype(np.uint32)[None, :]
+    _mix32(x)
+    x ^= (row_hash >> 31).astype(np.uint32)[:, None]
+    _mix32(x)
+    weight = _WEIGHTS[x >> np.uint32(15)]
+    near = weight == 255
+    weight[near] = np.searchsorted(POISSON_STEPS, x[near], side="right")
+    return weight
+
+
 def _replicate_sums(batches, n_boot: int):
     """(cell * n_boot + replicate, summed weight) of each batch of (cell, row hash):
-    weights are drawn once per distinct hash, so a unit with many rows costs one draw."""
-    cdf = np.array(poisson1_cdf()[:-1])
+    weights are drawn once per distinct hash where a unit has many rows."""
     for pdf in batches:
         if not len(pdf):
             continue
         order = np.argsort(pdf["__cell"].to_numpy(), kind="stable")
-        cell = pdf["__cell"].to_numpy()[order]
+        cell, h = pdf["__cell"].to_numpy()[order], pdf["__h"].to_numpy()[order]
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        units, of = np.unique(pdf["__h"].to_numpy()[order], return_inverse=True)
+        units, of = np.unique(h, return_inverse=True)
+        shared = 2 * len(units) < len(h)
         for first in range(0, n_boot, REPLICATES_AT_ONCE):
             rep = np.arange(first, min(n_boot, first + REPLICATES_AT_ONCE), dtype=np.int64)
-            u = hash_array(units, rep) / 2147483648.0
-            weight = np.searchsorted(cdf, u.ravel(), side="right").reshape(u.shape)
-            sums = np.add.reduceat(weight[of], starts, axis=0)
+            weight = poisson_weights(units, rep)[of] if shared else poisson_weights(h, rep)
+            sums = np.add.reduceat(weight, starts, axis=0, dtype=np.int64)
             i, j = np.nonzero(sums)
             yield pd.DataFrame({"__k": cell[starts][i] * n_boot + rep[j], "__w": sums[i, j]})
 

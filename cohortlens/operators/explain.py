@@ -163,12 +163,15 @@ def ice_mean(ice: DataFrame, by: list[str]) -> DataFrame:
 
 def sensitivity(df: DataFrame, scorer: Scorer, id_col: str, feature: str | None = None,
                 levels: list[str] | None = None, n: int = 25) -> DataFrame:
-    """Per entity, max - min over the grid of the entity's mean prediction."""
+    """Per entity, max - min over the grid of the entity's mean prediction. Rows are dealt by entity
+    before they meet the grid, so what is shuffled is rows, not rows x grid."""
+    grid = None if levels else F.broadcast(grid_points(df, feature, n))
+    df = df.select(id_col, *[c for c in scorer.features if c != id_col]).repartition(F.col(id_col)) if isinstance(scorer, Scorer) else df.repartition(F.col(id_col))
     if levels:
         x = df.crossJoin(F.broadcast(_levels_df(df.sparkSession, levels))).withColumnRenamed("level_pos", "point")
         x = predict(x, scorer, _onehot_overrides(levels))
     else:
-        x = predict(df.crossJoin(F.broadcast(grid_points(df, feature, n))), scorer, {feature: F.col("x")})
+        x = predict(df.crossJoin(grid), scorer, {feature: F.col("x")})
     curve = x.groupBy(id_col, "point").agg(F.avg("__p").alias("__m"))
     return curve.groupBy(id_col).agg((F.max("__m") - F.min("__m")).alias("sensitivity"))
 
@@ -345,22 +348,24 @@ def shapley_model(df: DataFrame, scorer: ModelScorer, feats: list[str], keep: li
     """I10 for any fitted model on its raw inputs ``feats``: the steps of
     ``shapley_sampled`` as rows (row x permutation x step x background), scored
     by the model's own ``transform`` and averaged over the background.
-    ``keep`` is the row key."""
+    ``keep`` is the row key, by which rows are dealt first: a row's steps stay in its task."""
     p = len(feats)
+    whole, df = df, df.repartition(*[F.col(k) for k in keep])
     others = [c for c in df.columns if c not in feats and c not in keep]
     orders = F.pandas_udf(lambda h: pd.Series(list(feature_orders(h.to_numpy(), p, n_permutations).reshape(len(h), -1))), "array<long>")
     rows = df.withColumn("__o", orders(hash_int(F.lit(seed), *[F.col(k) for k in keep])))
     steps = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1)))) \
         .withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(p)))) \
-        .withColumn("__in", F.slice("__o", F.col("__k") * p + 1, F.col("__t")))
-    bg = _background(df, feats, keep, n_background, seed).select(*[F.col(f).alias(f"__bg_{f}") for f in feats])
+        .withColumn("__in", F.slice("__o", F.col("__k") * p + 1, F.col("__t"))) \
+        .withColumn("__j", F.when(F.col("__t") > 0, F.get("__o", F.col("__k") * p + F.col("__t") - 1)))
+    bg = _background(whole, feats, keep, n_background, seed).select(*[F.col(f).alias(f"__bg_{f}") for f in feats])
     # n_background rows: the sample that the method fixes
-    mixed = steps.crossJoin(F.broadcast(bg)).select(*keep, *others, "__o", "__k", "__t", *[
+    mixed = steps.crossJoin(F.broadcast(bg)).select(*keep, *others, "__j", "__k", "__t", *[
         F.when(F.array_contains("__in", F.lit(j).cast("bigint")), F.col(f)).otherwise(F.col(f"__bg_{f}")).alias(f) for j, f in enumerate(feats)])
-    value = scorer.frame(mixed).groupBy(*keep, "__k", "__t").agg(F.avg("__p").alias("__v"), F.first("__o").alias("__o"))
+    value = scorer.frame(mixed).groupBy(*keep, "__k", "__t", "__j").agg(F.avg("__p").alias("__v"))     # a step moves one feature
     w = Window.partitionBy(*keep, "__k").orderBy("__t")   # p + 1 rows
     change = value.withColumn("__d", F.col("__v") - F.lag("__v").over(w)).withColumn("__base", F.first("__v").over(w))
-    name = F.element_at(F.array(*[F.lit(f) for f in feats]), (F.get("__o", F.col("__k") * p + F.col("__t") - 1) + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(f) for f in feats]), (F.col("__j") + 1).cast("int"))
     return change.where("__t > 0").groupBy(*keep, name.alias("feature")).agg(F.avg("__d").alias("phi"), F.avg("__base").alias("base"))
 
 
