@@ -148,7 +148,7 @@ def _sens_group_sql(name, levels):
 
 
 def _sens_table(spark, sf_dir):
-    d = full_design(spark, sf_dir)
+    d = full_design(spark, sf_dir).select("id", "prev_attacks", *FULL.features).cache()   # one pass over the panel for five measures
     extra = d.groupBy("id").agg(F.max("prev_attacks").alias("max_prev_attacks"))
     return X.sensitivity_table({
         "sens_medication": X.sensitivity(d, FULL, "id", levels=GROUPS["medication"]),
