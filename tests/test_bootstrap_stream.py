@@ -89,3 +89,15 @@ def test_multinomial_tree_over_many_scores(spark):
         for k, n in rows_in.items():
             assert abs(mean[k] - n) < 4 * (n / 50) ** 0.5
     assert B.bootstrap_metrics_multinomial(d.limit(0), ["model"], n_boot=3).count() == 0
+
+
+def test_small_integer_weights_equal_the_distribution_function():
+    import numpy as np
+    from cohortlens.operators import bootstrap as B
+    x = np.concatenate([B.POISSON_STEPS.astype(np.int64) + d for d in (-1, 0, 1)] + [np.arange(0, 2**31, 1_000_003)])
+    expected = np.searchsorted(np.array(B.poisson1_cdf()[:-1]), x / 2147483648.0, side="right")
+    assert (np.searchsorted(B.POISSON_STEPS, x.astype(np.uint32), side="right") == expected).all()
+    rows, rep = np.random.default_rng(3).integers(0, 2**60, 300), np.arange(70)
+    u = B.hash_array(rows, rep) / 2147483648.0
+    got = B.poisson_weights(rows, rep)
+    assert got.dtype == np.uint8 and (got == np.searchsorted(np.array(B.poisson1_cdf()[:-1]), u, side="right")).all()

@@ -145,3 +145,14 @@ def test_model_scorer_matches_column_scorer(spark, design):
     pa = {r["Variable"]: r["Importance"] for r in X.permutation_importance(d, col_sc, "label", "id", "rownames", feats).collect()}
     pb = {r["Variable"]: r["Importance"] for r in X.permutation_importance(d, mod_sc, "label", "id", "rownames", feats).collect()}
     assert pa == pytest.approx(pb, abs=1e-9)
+
+
+def test_sensitivity_shuffles_rows_before_they_meet_the_grid(spark):
+    from pyspark.sql import functions as F
+    from cohortlens.operators import explain as X
+    rows = spark.createDataFrame([(i % 7 if i % 11 else None, float(i)) for i in range(60)], "id long, z double")
+    found = X.sensitivity(rows, X.Scorer.of({"intercept": -1.0, "z": 0.02}), "id", feature="z")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    grid, dealt = plan.index("BroadcastNestedLoopJoin"), plan.index("Exchange hashpartitioning(id")
+    assert grid < dealt and plan.count("Exchange hashpartitioning") == 1
+    assert found.count() == 8 and found.where(F.col("sensitivity").isNull()).count() == 0
