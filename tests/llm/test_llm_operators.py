@@ -56,6 +56,33 @@ def test_compact_windows_hold_every_subsequence_once(seed):
             assert len(of) == 1 and h[of[0][1]] == h[i:j + 1].min()
 
 
+def test_near_duplicate_places_of_frequent_tokens():
+    """A passage that stands three times in a text of one token over and over is found at all three places."""
+    import numpy as np
+    passage = np.arange(100, 200, dtype=np.uint64)
+    over, between = np.full(2000, 7, np.uint64), np.arange(1000, 4000, dtype=np.uint64)
+    a = np.concatenate([over, np.arange(5000, 5100, dtype=np.uint64), passage])
+    b = np.concatenate([over, between, passage, between[:500] + np.uint64(9000), passage, between[500:] + np.uint64(9000), passage])
+    in_a, in_b = substring_dedup.near_duplicate_places(a, b, 46, 80)
+    assert in_a[-100:].all() and in_a[:2000].all() and in_b[:2000].all()
+    for start in (5000, 5600, 8200):
+        assert (b[start:start + 100] == passage).all() and in_b[start:start + 100].all()
+    assert not in_b[2030:4970].any()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_unlisted_matches_make_the_same_bands(seed):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    a, b = (rng.integers(0, 3 + 15 * seed, rng.integers(50, 300)).astype(np.uint64) for _ in range(2))
+    b[20:45] = a[5:30]
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    args = a, np.flatnonzero(high > low), low, high, order, seed
+    one, other = (list(f(*args)) for f in (substring_dedup._listed_bands, substring_dedup._unlisted_bands))
+    assert len(one) == len(other) and all((x == y).all() for x, y in zip(one, other, strict=True))
+
+
 def test_quality(documents, rows):
     got = quality.fertility_rules(documents, *vocabularies()).collect()
     assert len(got) == len(rows)
