@@ -236,28 +236,33 @@ def ale_many(df: DataFrame, scorer: Scorer, features: list[str], stratifications
     strat, stratum), with the conventions of ``ale`` (reference divisor). A
     stratification is a list of one-hot columns, or None for all rows."""
     strata = [(name, c) for name, cols in stratifications.items() for c in (cols or ["all"])]
+    groups = [(f, n, c) for f in features for n, c in strata]
     probs = [i / bins for i in range(bins + 1)]
     names = [f"e{i}" for i in range(bins + 1)]
-    member = F.array(*[F.struct(F.lit(n).alias("strat"), F.lit(c).alias("stratum"),
-                                (F.lit(True) if c == "all" else F.col(c) == 1).alias("in")) for n, c in strata])
-    keyed = df.withColumn("__s", F.explode(F.filter(member, lambda m: m["in"]))) \
-        .withColumn("__f", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))) \
-        .select(*df.columns, "__s.strat", "__s.stratum", "__f.feature", F.col("__f.x").alias("__x"))
     by = ["feature", "strat", "stratum"]
-    ok = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__ns")).where(F.col("__ns") >= min_rows).select(*by)
-    edges = quantiles(keyed.select(*by, "__x"), "__x", probs, by, names).join(ok, by)
-    table = edges.select(*by, F.explode(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(names[b]).alias("lo"), F.col(names[b + 1]).alias("hi"))
-                                                  for b in range(bins)])).alias("__b")).select(*by, "__b.*")
+    # the rows are made once; beside a value goes the number of its (feature, strat, stratum), not their names
+    used = dict.fromkeys([*scorer.features, *features, *[c for _, c in strata if c != "all"]])
+    df = df.select(*used).persist()
+    member = F.array(*[F.struct(F.lit(i).alias("group"), F.col(f).cast("double").alias("x"), (F.lit(True) if c == "all" else F.col(c) == 1).alias("in"))
+                       for i, (f, _, c) in enumerate(groups)])
+    keyed = df.withColumn("__s", F.explode(F.filter(member, lambda m: m["in"]))) \
+        .select(*df.columns, F.col("__s.group").alias("__group"), F.col("__s.x").alias("__x"))
+    ok = keyed.groupBy("__group").agg(F.count(F.lit(1)).alias("__ns")).where(F.col("__ns") >= min_rows).select("__group")
+    edges = quantiles(keyed.select("__group", "__x"), "__x", probs, ["__group"], names).join(ok, "__group")
+    name = [F.element_at(F.array(*[F.lit(g[k]) for g in groups]), F.col("__group") + 1).alias(c) for k, c in enumerate(by)]
     # features x strata x bins rows: fixed by the arguments
-    j = keyed.join(F.broadcast(table), by).where((F.col("__x") >= F.col("lo")) & (F.col("__x") < F.col("hi")))
-    at = lambda edge: {f: F.when(F.col("feature") == f, F.col(edge)).otherwise(F.col(f).cast("double")) for f in features}
-    sums = j.groupBy(*by, "bin").agg(F.sum(scorer.score(at("hi")) - scorer.score(at("lo"))).alias("__sum"))
+    table = edges.select("__group", F.explode(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(names[b]).alias("lo"), F.col(names[b + 1]).alias("hi"))
+                                                        for b in range(bins)])).alias("__b")).select("__group", "__b.*").persist()
+    j = keyed.join(F.broadcast(table), "__group").where((F.col("__x") >= F.col("lo")) & (F.col("__x") < F.col("hi")))
+    of = lambda f: F.col("__group").isin([i for i, g in enumerate(groups) if g[0] == f])
+    at = lambda edge: {f: F.when(of(f), F.col(edge)).otherwise(F.col(f).cast("double")) for f in features}
+    sums = j.groupBy("__group", "bin").agg(F.sum(scorer.score(at("hi")) - scorer.score(at("lo"))).alias("__sum"))
     n_all = df.agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    full = table.join(sums, [*by, "bin"], "left").crossJoin(F.broadcast(n_all))   # one row
-    w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # <= bins rows
+    full = table.join(sums, ["__group", "bin"], "left").crossJoin(F.broadcast(n_all))   # one row
+    of_group = Window.partitionBy("__group")
+    w = of_group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # <= bins rows
     full = full.withColumn("__cum", F.sum(F.coalesce(F.col("__sum") / F.col("__n"), F.lit(0.0))).over(w))
-    return full.select(*by, "bin", ((F.col("lo") + F.col("hi")) / 2.0).alias("mid"),
-                       (F.col("__cum") - F.avg("__cum").over(Window.partitionBy(*by))).alias("ale"))
+    return full.select(*name, "bin", ((F.col("lo") + F.col("hi")) / 2.0).alias("mid"), (F.col("__cum") - F.avg("__cum").over(of_group)).alias("ale"))
 
 
 def linear_shap(df: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
@@ -376,11 +381,14 @@ def permutation_importance(df: DataFrame, scorer: Scorer, y: str, id_col: str, r
     permuted (destination rank k takes the entity with hash rank k) and each
     destination row draws a donor row of its source entity with replacement
     (hash of feature and row key modulo the source size). Donors are found by an
-    equi-join on (feature, source entity, index); all features run in one job."""
+    equi-join on (source entity, index); all features run in one job. Rows meet
+    what their entity draws from once for all features, and donors are sent once."""
     if features is None and not isinstance(scorer, Scorer):
         raise ValueError("features must be given for a model scorer")
     feats = features or scorer.features
     spark = df.sparkSession
+    cols = [row_key, id_col, y, *feats] if isinstance(scorer, Scorer) else df.columns   # a model needs all its inputs
+    df = df.select(*dict.fromkeys(cols)).persist()
     fl = spark.createDataFrame([(f,) for f in feats], "feature string")
     ids = df.select(id_col).distinct()
     # plain order of entities and a hash order per feature, both ranked without a global window
@@ -389,24 +397,24 @@ def permutation_importance(df: DataFrame, scorer: Scorer, y: str, id_col: str, r
         "__hx", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col(id_col).cast("string"))))
     ranked_hash = running_sums(hashed, ["feature"], [F.col("__hx"), F.col(id_col)], {"__k": F.lit(1).cast("bigint")},
                                inclusive=True, persist=True)
-    mapping = ranked_plain.crossJoin(F.broadcast(fl)).join(
-        ranked_hash.select("feature", F.col(id_col).alias("src_id"), "__k"), ["feature", "__k"]).select(
-        "feature", id_col, "src_id")
-    # donor index within each entity (row order) and entity sizes
-    idx = running_sums(df.select(id_col, row_key, *feats), [id_col], [F.col(row_key)],
-                       {"__idx": F.lit(1).cast("bigint")}, inclusive=False, persist=True)
-    idx = idx.withColumn("__idx", F.coalesce("__idx", F.lit(0)))
-    sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n_src"))
-    donors = idx.unpivot([id_col, row_key, "__idx"], feats, "feature", "donor_value") \
-                .select(F.col(id_col).alias("src_id"), "__idx", "feature", "donor_value")
-    cols = [row_key, id_col, y, *feats] if isinstance(scorer, Scorer) else df.columns   # a model needs all its inputs
-    dst = df.select(*cols).crossJoin(F.broadcast(fl)).join(mapping, ["feature", id_col])
-    dst = dst.join(sizes.withColumnRenamed(id_col, "src_id"), "src_id")
-    dst = dst.withColumn("__idx", F.pmod(hash_int(F.lit(seed), F.col("feature"), F.col(row_key)), F.col("__n_src")))
-    j = dst.join(donors, ["src_id", "__idx", "feature"], "left")
-    over = {f: F.when(F.col("feature") == f, F.col("donor_value")).otherwise(F.col(f)) for f in feats}
+    # per entity: what each feature is drawn from, and how many rows that has
+    sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n_src")).withColumnRenamed(id_col, "src_id")
+    source = ranked_hash.select("feature", F.col(id_col).alias("src_id"), "__k").join(sizes, "src_id")
+    mapping = ranked_plain.join(source, "__k").groupBy(id_col).agg(*[
+        F.max(F.when(F.col("feature") == f, F.struct("src_id", "__n_src"))).alias(f"__s{i}") for i, f in enumerate(feats)])
+    # donor index within each entity (row order)
+    idx = running_sums(df.select(id_col, row_key, *feats), [id_col], [F.col(row_key)], {"__idx": F.lit(1).cast("bigint")}, inclusive=False)
+    donors = idx.select(F.col(id_col).alias("src_id"), F.coalesce("__idx", F.lit(0)).alias("__idx"), *[F.col(f).alias(f"__d{i}") for i, f in enumerate(feats)])
+    draw = [F.struct(F.lit(i).alias("feature"), F.col(f"__s{i}.src_id").alias("src_id"),
+                     F.pmod(hash_int(F.lit(seed), F.lit(f), F.col(row_key)), F.col(f"__s{i}.__n_src")).alias("__idx")) for i, f in enumerate(feats)]
+    kept = [c for c in df.columns if not isinstance(scorer, Scorer) or c not in (row_key, id_col)]
+    dst = df.join(mapping, id_col).select(*kept, F.explode(F.array(*draw)).alias("__draw")) \
+        .select(*kept, F.col("__draw.feature").alias("__f"), F.col("__draw.src_id").alias("__src"), F.col("__draw.__idx").alias("__i")).where("__src is not null")
+    j = dst.join(donors, (F.col("__src") == F.col("src_id")) & (F.col("__i") == F.col("__idx")), "left")
+    over = {f: F.when(F.col("__f") == i, F.col(f"__d{i}")).otherwise(F.col(f)) for i, f in enumerate(feats)}
     perm = predict(j, scorer, over)
-    pa = auc_ap(curve_table(score_histogram(perm, ["feature"], y, "__p"), ["feature"]), ["feature"])
+    hist = score_histogram(perm, ["__f"], y, "__p").persist()   # read for the sums and for the totals
+    pa = auc_ap(curve_table(hist, ["__f"]), ["__f"])
     base = auc_ap(curve_table(score_histogram(predict(df, scorer), [], y, "__p")))
     return pa.crossJoin(F.broadcast(base.select(F.col("pr_auc_trapz").alias("baseline")))).select(
-        F.col("feature").alias("Variable"), (F.col("baseline") - F.col("pr_auc_trapz")).alias("Importance"))
+        F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("__f") + 1).alias("Variable"), (F.col("baseline") - F.col("pr_auc_trapz")).alias("Importance"))

@@ -39,8 +39,8 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
         return g.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
     if method != "rank":
         raise ValueError(f"unknown method {method!r}")
-    counts = clean.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_sums(counts, by, [F.col("__x")], {"__before": F.col("__c")}, inclusive=False, persist=True)
+    counts = clean.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c")).persist()   # read for the sums and for the sizes
+    cum = running_sums(counts, by, [F.col("__x")], {"__before": F.col("__c")}, inclusive=False)
     cum = cum.withColumn("__before", F.coalesce("__before", F.lit(0)))
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
     j = cum.join(sizes, on=by, how="inner") if by else cum.crossJoin(F.broadcast(sizes))
