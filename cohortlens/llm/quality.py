@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.byte_bpe import read_ranks
-from cohortlens.llm.common import held, saved, slices
+from cohortlens.llm.common import give_back, held, saved, slices
 from cohortlens.llm.words import shingles
 from cohortlens.session import ship_package
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 BAND_WIDTH, BAND_DOCS = 2.5, 30
+#: Bytes of text that are measured at a time; a word, its token ids and their counts take some 20 times as much.
+MEASURED_BYTES = 1 << 20
 #: The largest size class that a count of tokens can have.
 MAX_CLASS = 62
 #: Least half-width of a band, for classes of documents that are all alike.
@@ -54,7 +56,7 @@ _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 class _Vocabularies:
     """Tokens of single words under a SentencePiece model with byte fallback and a byte-level rank file; kept per worker, emptied when large."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __init__(self, model: bytes, ranks: dict[bytes, int], pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -130,7 +132,7 @@ def _script(text: bytes) -> str:
 def _measure(key: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held(("quality", key), lambda: _Vocabularies(*shared.value))
-        for ids, texts in slices(batches):
+        for ids, texts in slices(batches, MEASURED_BYTES):
             split = [t.split() for t in texts]
             n_words = np.fromiter(map(len, split), np.int64, len(split))
             ends = np.cumsum(n_words)
@@ -167,6 +169,7 @@ def _measure(key: str, shared):
             some = n_tokens > 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.float64(), mask=~some) for c in columns[7:]], names=_NAMES)
+        give_back()     # the worker then waits beside the joins that follow, which need the executor's memory
 
     return run
 
