@@ -56,6 +56,32 @@ def test_compact_windows_hold_every_subsequence_once(seed):
             assert len(of) == 1 and h[of[0][1]] == h[i:j + 1].min()
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_compact_starts_are_what_compact_windows_hold(seed):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    h = rng.integers(0, 3 + 20 * seed, 200).astype(np.uint64)
+    held = np.full(200 - 45, 99, np.uint64)
+    for left, c, right in substring_dedup.compact_windows(h, 46).tolist():
+        held[max(left, c - 45):min(c, right - 45) + 1] = h[c]
+    least, many = substring_dedup.compact_starts(h, 46)
+    assert (np.repeat(least, many) == held).all()
+
+
+def test_verified_spans_of_a_hub_come_once():
+    """A hub that many regions meet has one row of spans, not one per region."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    hub = rng.integers(0, 1 << 62, 2000).astype(np.uint64)
+    parts = [hub[i:i + 300] for i in range(0, 1700, 10)]
+    pairs = pd.DataFrame({"rid": range(len(parts)), "hub": -1, "seq": [x.tobytes() for x in parts], "hub_seq": hub.tobytes()})
+    out = pd.concat(list(substring_dedup._verify(46, 80, 8, 4)(iter([pairs[:90], pairs[90:]]))))
+    assert sorted(out.loc[out["a"] != out["b"], "a"]) == list(range(len(parts)))
+    spans = [s for row in out["in_b"] for s in row]
+    assert spans == [{"start": 0, "end": 1990}]
+
+
 def test_near_duplicate_places_of_frequent_tokens():
     """A passage that stands three times in a text of one token over and over is found at all three places."""
     import numpy as np
@@ -107,6 +133,21 @@ def test_quality(documents, rows):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in got if r["kept"]}
 
 
+def test_quality_measures_little_text_at_a_time_and_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+    seen, back = [], []
+
+    class Shared:
+        value = (open(vocabularies()[0], "rb").read(), byte_bpe.read_ranks(vocabularies()[1]), vocabularies()[2])
+
+    numbers = quality._Vocabularies.numbers
+    monkeypatch.setattr(quality._Vocabularies, "numbers", lambda self, words: seen.append(sum(map(len, words))) or numbers(self, words))
+    monkeypatch.setattr(quality, "give_back", lambda: back.append(1), raising=False)
+    texts = [f"{i} plain words ".encode() * 10_000 for i in range(40)]
+    out = list(quality._measure("a test", Shared)(iter([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["__id", "__bytes"])])))
+    assert sum(b.num_rows for b in out) == 40 and max(seen) <= 1 << 20 and back == [1]
+
+
 def test_quality_verdicts_follow_labels(spark):
     d = "/root/testdata/sf0.01"
     out = quality.fertility_rules(spark.read.parquet(f"{d}/documents.parquet"), *vocabularies()).where("not base_failed")
