@@ -460,3 +460,30 @@ def test_slices_hold_one_slice_of_a_batch_at_a_time():
     tracemalloc.stop()
     assert found == [(i or None, len(t), t[:1]) for i, t in enumerate(texts)]
     assert max(sizes) <= 1_000_000 and peak < 10_000_000
+
+
+@pytest.mark.parametrize("n", [10, 46, 47, 300, 20_000])
+def test_hash_functions_of_a_region_go_together(n, monkeypatch):
+    """The least hashes of all functions come from two passes over a region, not two per function; long regions take few functions at a time."""
+    import numpy as np
+    rng = np.random.default_rng(n)
+    tokens = rng.integers(0, 3 * n, n).astype(np.uint64)
+    tokens[rng.random(n) < 0.1] |= substring_dedup._ONCE
+    sliding, passes = substring_dedup.sliding, []
+    monkeypatch.setattr(substring_dedup, "sliding", lambda x, *a: passes.append(len(x)) or sliding(x, *a))
+    got = substring_dedup.signature_values(tokens, 46, 8)
+    assert len(passes) <= (2 if n <= 300 else 6) and max(passes, default=0) <= 1 << 17
+    values, ranges = set(), np.zeros((8, max(0, n - 45)), np.int64)
+    for j in range(8):
+        h = substring_dedup.mix(tokens ^ np.uint64(0xC3C3_0001 * (j + 1)))
+        for start in range(max(0, n - 45)):
+            c = start + int(h[start:start + 46].argmin())
+            ranges[j, start] = int((int(h[c]) >> 8 << 4 | j) & (2**64 - 1)) - (2**64 if (int(h[c]) >> 8 << 4) >> 63 & 1 else 0)
+            if not tokens[c] & substring_dedup._ONCE:
+                values.add(int(ranges[j, start]))
+    assert got.tolist() == sorted(values)
+    for share in (0.2, 0.5, 0.8):
+        some = np.sort(got[rng.random(len(got)) < share])
+        if len(some):
+            most = np.isin(ranges, some).sum(axis=0).max()
+            assert [substring_dedup.meet_at_one(tokens, some, 46, 8, e) for e in range(1, 9)] == [bool(most >= e) for e in range(1, 9)]
