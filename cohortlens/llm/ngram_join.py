@@ -10,22 +10,27 @@ the threshold.
    union: a document with fewer than 80 % shared shingles links with nothing.
 2. Equal sets collapse to one class.
 3. Groups: classes with an equal min-hash are compared with the bucket's first
-   class; verified links give provisional components, which are the groups
-   (cut by a hash into parts of about GROUP_PART classes).
+   class; verified links give provisional components, which are the groups.
+   Groups are held in blocks of about BLOCK_SETS classes: a large group in
+   blocks of its own, small groups beside those with an equal min-hash, whether
+   they link or not.
 4. Tokens are ordered from rare to frequent. Two sets that link share a token
-   of their prefixes, so the matrix is kept for prefix tokens, and a token that
-   meets only one group opens nothing: a large group of near copies costs its
-   own tokens, not its pairs. A set with s shared tokens links with none larger
-   than (100 + percent) / percent * s - n, and where the first token that both
-   have comes after i others, with none larger than that for s - i. This parts
-   near copies that have drifted too far before any pair is made.
-5. For each (document, other group) that meets: the exact overlap with the
-   group's token union bounds the similarity; what passes is opened, and its
-   members are compared exactly. Rounds take each component's best candidate
-   first and drop what lies within a component after merging, so links stay
-   as few as groups, also where near copies came apart into many groups.
+   of their prefixes, so the matrix is kept for prefix tokens by block, and a
+   token that meets only one group opens nothing: a large group of near copies
+   costs its own tokens, not its pairs. A set with s shared tokens links with
+   none larger than (100 + percent) / percent * s - n, and where the first token
+   that both have comes after i others, with none larger than that for s - i.
+   This parts near copies that have drifted too far before any pair is made.
+5. Blocks that meet make one row per pair of blocks, not of sets, and a task
+   holds two blocks at a time. There the exact overlap with the other block's
+   token union bounds each set's similarity; what passes is opened and compared
+   with the block's members exactly. Near copies of one text that do not link
+   cost rows as the square of their blocks. Rounds take each block with itself
+   and with one partner first and drop what lies within a component after
+   merging, so links stay as few as groups, also where near copies came apart
+   into many groups.
 6. Links of 3 and 5 give the components. No link between different components
-   can be missed, because every class met every group that shares a prefix
+   can be missed, because every block met every block that shares a prefix
    token with it, and links within a component change nothing.
 """
 
@@ -44,10 +49,11 @@ from cohortlens.llm.words import WordHashes, mix, shingles
 
 SHINGLE, PERCENT = 5, 80
 MIN_HASHES = 2
-GROUP_PART = 64
+#: Classes in a block, and shared tokens beyond which it has fewer.
+BLOCK_SETS, BLOCK_TOKENS = 64, 1 << 16
 #: Bytes of text in a block and words whose hash a task keeps, which bound its memory.
 BLOCK_BYTES, MEMO_WORDS = 10 << 20, 100_000
-#: Rounds of merging go on while more than this share of the candidates they take are links.
+#: Rounds of merging go on while they find more links than this share of the components.
 MERGING = 0.1
 _META = np.dtype([("id", "i8"), ("null", "u1"), ("n", "u4"), ("h1", "u8"), ("h2", "u8")])
 
@@ -123,21 +129,6 @@ def _linked(percent: int):
     return linked
 
 
-def _overlap(percent: int):
-    """How many tokens a document shares with a group's union; null where that is too few for any link."""
-    @F.pandas_udf("long")
-    def overlap(a: pd.Series, n: pd.Series, union: pd.Series) -> pd.Series:
-        out = []
-        for x, size, u in zip(a, n, union, strict=True):
-            t, u = _tokens(x), _tokens(u)
-            i = np.minimum(np.searchsorted(u, t), len(u) - 1)
-            both = int((u[i] == t).sum())
-            out.append(both if 100 * both >= percent * size else None)
-        return pd.Series(out, dtype="Int64")
-
-    return overlap
-
-
 def _prefix(share: int, of: int):
     """The shared tokens among the first n - ceil(share * n / of) + 1 of a set; tokens of one document only come first in the order and meet nothing."""
     @F.pandas_udf("array<long>")
@@ -147,40 +138,82 @@ def _prefix(share: int, of: int):
     return prefix
 
 
-def _union(pdf: pd.DataFrame) -> pd.DataFrame:
-    u = np.unique(np.concatenate([_tokens(b) for b in pdf["shared"]]))
-    return pd.DataFrame({"g": pdf["g"].iloc[:1], "part": pdf["part"].iloc[:1], "union": [u.tobytes()]})
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block as one row: its sets' sizes, shared sizes and tokens, by rising ``k``."""
+    pdf = pdf.sort_values("k")
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "n": [pdf["n"].to_numpy(np.int64).tobytes()],
+                         "s": [np.array([len(b) // 8 for b in pdf["shared"]], np.int64).tobytes()], "tokens": [b"".join(pdf["shared"])]})
+
+
+def _compared(percent: int):
+    """Links (a, b) between the roots of a pair of blocks; none that the others already say."""
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, others = pdf.iloc[0], pdf.iloc[-1]
+        root = {int(r): int(r) for roots in pdf["roots"] for r in roots}
+
+        def top(r: int) -> int:
+            while root[r] != r:
+                root[r] = root[root[r]]
+                r = root[r]
+            return r
+
+        n, size, token = (_tokens(others[c]) for c in ("n", "s", "tokens"))
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], np.repeat(np.arange(len(size)), size)[order]
+        theirs = np.array(others["roots"], np.int64)
+        kinds = np.unique(theirs).tolist()
+        links, ends = [], np.cumsum(_tokens(mine["s"]))
+        for own, m, t in zip(mine["roots"], _tokens(mine["n"]), np.split(_tokens(mine["tokens"]), ends[:-1]), strict=True):
+            if all(top(r) == top(int(own)) for r in kinds):
+                continue
+            first, last = np.searchsorted(token, t, "left"), np.searchsorted(token, t, "right")
+            held = np.flatnonzero(last > first)
+            if 100 * len(held) < percent * m:       # its overlap with the block's union
+                continue
+            count = (last - first)[held]
+            at = np.arange(count.sum()) + np.repeat(first[held] - np.cumsum(count) + count, count)
+            both = np.bincount(owner[at], minlength=len(n))
+            for r in np.unique(theirs[100 * both >= percent * (n + m - both)]):
+                x, y = top(int(own)), top(int(r))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((min(int(own), int(r)), max(int(own), int(r))))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return compared
 
 
-def _links_across(opened: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) between groups that join all that ``opened`` (k, g, to_g, to_part, overlap) can join.
+def _links_across(pairs: DataFrame, member: DataFrame, compared: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between groups that join all that ``pairs`` (b1, b2) of blocks can join; ``member``: (k, g, block).
 
     A group is connected, so one link per pair of groups says all, and none is
-    needed within a component. Each round takes from every component its
-    candidate of the largest overlap, verifies these, merges the components
-    they link and drops what then lies inside one. Near copies that came apart
-    into many groups so melt together by links as many as the groups. Once
-    rounds merge little, all that is left is verified at once.
+    needed within a component. Each round takes every block with itself and
+    with the same partner that its other neighbours take, compares these, merges
+    the components they link and drops pairs of blocks that lie inside one.
+    Near copies that came apart into many groups so melt together by links as
+    many as the groups. Once rounds merge little, all that is left is compared
+    at once.
     """
     links, tops = None, None
     while True:
-        left = opened if tops is None else opened.join(tops.select(F.col("node").alias("g"), F.col("root").alias("r1")), "g", "left") \
-            .join(tops.select(F.col("node").alias("to_g"), F.col("root").alias("r2")), "to_g", "left")
-        r1, r2 = (F.col("g"), F.col("to_g")) if tops is None else (F.coalesce("r1", "g"), F.coalesce("r2", "to_g"))
-        opened = saved(left.select("k", "g", "to_g", "to_part", "overlap", r1.alias("r1"), r2.alias("r2")).where("r1 <> r2"))
-        best = saved(opened.select(F.explode(F.array("r1", "r2")).alias("r"), F.struct("overlap", "k", "to_g", "to_part", "r1", "r2").alias("c"))
-                     .groupBy("r").agg(F.max("c").alias("c")).select("c.*").distinct())
-        tried = best.count()
-        found = saved(verified(best))
-        merged = found.count()
-        few = merged <= MERGING * tried
+        now = member.select("block", "k", F.col("g").alias("root")) if tops is None else \
+            member.join(tops.select(F.col("node").alias("g"), F.col("root").alias("top")), "g", "left").select("block", "k", F.coalesce("top", "g").alias("root"))
+        roots = saved(now.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "root"))).alias("m")).select("block", F.col("m.root").alias("roots")))
+        span = roots.select("block", F.array_min("roots").alias("r1"), F.array_max("roots").alias("r2"))
+        pairs = saved(pairs.join(span.select(F.col("block").alias("b1"), F.col("r1").alias("x1"), F.col("r2").alias("x2")), "b1")
+                      .join(span.select(F.col("block").alias("b2"), F.col("r1").alias("y1"), F.col("r2").alias("y2")), "b2")
+                      .where("least(x1, y1) <> greatest(x2, y2)").select("b1", "b2"))
+        partner = pairs.where("b1 <> b2").select(F.explode(F.array(F.struct("b1", "b2"), F.struct(F.col("b2").alias("b1"), F.col("b1").alias("b2")))).alias("p")) \
+            .groupBy("p.b1").agg(F.min("p.b2").alias("b2")).select(F.least("b1", "b2").alias("b1"), F.greatest("b1", "b2").alias("b2"))
+        best = saved(pairs.where("b1 = b2").union(partner).distinct())
+        found = saved(compared(best, roots).distinct())
+        few = found.count() <= MERGING * roots.select(F.explode("roots")).distinct().count()
+        pairs = pairs.join(best, ["b1", "b2"], "left_anti")
         if few:
-            rest = opened.join(best.select("k", "to_g", "to_part"), ["k", "to_g", "to_part"], "left_anti")
-            found = saved(found.union(verified(rest)).distinct())
+            found = saved(found.union(compared(pairs, roots)).distinct())
         links = found if links is None else saved(links.union(found))
         if few:
             return links
-        opened = opened.join(best.select("k", "to_g", "to_part"), ["k", "to_g", "to_part"], "left_anti").select("k", "g", "to_g", "to_part", "overlap")
         tops = connected_components(links)
 
 
@@ -214,44 +247,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = bands.join(heads, ["band", "value"]).where("k <> head.k and n <= head.most and head.n <= most").select("k", F.col("head.k").alias("hub")).distinct()
     stars = saved(stars.join(classes.select("k", "n", "shared"), "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n"))
                   .select(F.col("k").alias("a"), F.col("hub").alias("b")))
-    dropped(bands)
     roots = connected_components(stars).select(F.col("node").alias("k"), "root")
-    sized = classes.select("k", "n", "most").join(roots, "k", "left").withColumn("g", F.coalesce("root", "k"))
-    parts = sized.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PART).alias("parts"))
-    member = saved(sized.join(parts, "g").select("k", "n", "most", "g", F.expr("pmod(xxhash64(k), parts)").alias("part")))
+    sized = classes.select("k", "n", "most", F.expr("octet_length(shared) div 8").alias("s")).join(roots, "k", "left").withColumn("g", F.coalesce("root", "k"))
+    # a large group has blocks of its own, a small one is in a block of those whose first classes have an equal min-hash
+    units = sized.groupBy("g").agg(F.count("*").alias("sets")).join(bands.where("band = 0").select(F.col("k").alias("g"), "value"), "g") \
+        .select("g", (F.col("sets") > BLOCK_SETS).alias("large"), F.when(F.col("sets") > BLOCK_SETS, F.col("g")).otherwise(F.col("value")).alias("unit"))
+    placed = saved(sized.select("k", "n", "s", "g").join(units, "g"))
+    parts = placed.groupBy("large", "unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("s") / BLOCK_TOKENS)).alias("parts"))
+    member = saved(placed.join(parts, ["large", "unit"])
+                   .select("k", "n", "g", F.expr("xxhash64(large, unit, pmod(xxhash64(if(large, k, g)), parts))").alias("block")))
+    dropped(bands, placed)
 
     # each pair is looked for from its larger set, at the first token that both have: after i earlier ones no partner is larger than ``room``
-    ordered = saved(member.join(blob, "k").select("k", "n", "g", "part", F.expr("octet_length(shared) div 8").alias("s"), _prefix(percent, 100)("shared", "n").alias("probe"),
+    ordered = saved(member.join(blob, "k").select("n", "g", "block", F.expr("octet_length(shared) div 8").alias("s"), _prefix(percent, 100)("shared", "n").alias("probe"),
                                                   _prefix(2 * percent, 100 + percent)("shared", "n").alias("index")))
     room = F.expr(f"({100 + percent}L * (s - i)) div {percent} - n").alias("room")
-    index = ordered.select("g", "part", "n", "s", F.posexplode("index").alias("i", "token")).select("token", "g", "part", "n", room)
-    matrix = saved(index.groupBy("token", F.col("g").alias("to_g"), F.col("part").alias("to_part"))
-                   .agg(F.min("n").alias("n1"), F.max("n").alias("n2"), F.max("room").alias("to_room")))
-    several = matrix.groupBy("token").agg(F.min("to_g").alias("g1"), F.max("to_g").alias("g2"), F.min("n1").alias("least_n"), F.max("to_room").alias("best_room"))
-    probe = ordered.select("k", "n", "s", "g", F.posexplode("probe").alias("i", "token")).select("token", "k", "n", "g", room).join(several, "token") \
-        .where("(g <> g1 or g <> g2) and least_n <= least(n, room) and best_room >= n").select("token", "k", "n", "room", "g")
-    meeting = saved(probe.join(matrix, "token")
-                    .where(f"g <> to_g and n1 <= least(n, room) and 100 * n2 >= {percent} * n and to_room >= n")
-                    .select("k", "to_g", "to_part").distinct())
-    met = meeting.select("to_g", "to_part").distinct()
-    # written, so that no task runs the unions' and the overlaps' Python workers at once
-    unions = saved(member.join(met, (member["g"] == met["to_g"]) & (member["part"] == met["to_part"])).select("k", "g", "part").join(blob, "k")
-                   .select("g", "part", "shared").groupBy("g", "part").applyInPandas(_union, "g long, part long, union binary"))
+    index = ordered.select("g", "block", "n", "s", F.posexplode("index").alias("i", "token")).select("token", "g", "block", "n", room)
+    matrix = saved(index.groupBy("token", F.col("block").alias("to_block"))
+                   .agg(F.min("g").alias("to_g1"), F.max("g").alias("to_g2"), F.min("n").alias("n1"), F.max("n").alias("n2"), F.max("room").alias("to_room")))
+    several = matrix.groupBy("token").agg(F.min("to_g1").alias("g1"), F.max("to_g2").alias("g2"), F.min("n1").alias("least_n"), F.max("to_room").alias("best_room"))
+    probe = ordered.select("n", "s", "g", "block", F.posexplode("probe").alias("i", "token")).select("token", "n", "g", "block", room).join(several, "token") \
+        .where("(g <> g1 or g <> g2) and least_n <= least(n, room) and best_room >= n") \
+        .groupBy("token", "block").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.min("n").alias("least_n"), F.max(F.least("n", "room")).alias("most"))
+    pairs = saved(probe.join(matrix, "token")
+                  .where(f"least(g1, to_g1) <> greatest(g2, to_g2) and n1 <= most and 100 * n2 >= {percent} * least_n and to_room >= least_n")
+                  .select(F.least("block", "to_block").alias("b1"), F.greatest("block", "to_block").alias("b2")).distinct())
     dropped(matrix, ordered)
-    opened = meeting.join(unions, (meeting["to_g"] == unions["g"]) & (meeting["to_part"] == unions["part"])).drop("g", "part") \
-        .join(classes.select("k", "n", "shared"), "k").select("k", "to_g", "to_part", _overlap(percent)("shared", "n", "union").alias("overlap")).where("overlap is not null")
-    inside = member.select(F.col("k").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("g").alias("to_g"), F.col("part").alias("to_part"))
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        """The (r1, r2) of ``candidates`` whose document links with a member of their group."""
-        pairs = candidates.join(inside, ["to_g", "to_part"]).join(member.select("k", "n", "most"), "k") \
-            .where(f"hub_n <= least(n, most) and n <= hub_most and 100 * hub_n >= {percent} * n").select("k", "hub", "r1", "r2")
-        return pairs.join(classes.select("k", "n", "shared"), "k").join(hub, "hub").where(linked("shared", "n", "hub_shared", "hub_n")) \
-            .select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
-
-    opened = saved(opened.join(member.select("k", "g"), "k"))
-    dropped(meeting, unions)
-    across = _links_across(opened, verified)
+    met = pairs.select(F.explode(F.array("b1", "b2")).alias("block")).distinct()
+    meeting = saved(member.join(met, "block").select("k", "n", "g", "block"))
+    # written, so that no task runs two Python workers at once
+    packed = saved(meeting.select("k", "n", "block").join(blob, "k").groupBy("block").applyInPandas(_packed, "block long, n binary, s binary, tokens binary"))
+
+    def compared(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between the ``roots`` of the blocks of each pair; a task holds one pair's two blocks."""
+        sides = candidates.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+        return sides.join(packed, "block").join(roots, "block").groupBy("b1", "b2").applyInPandas(_compared(percent), "a long, b long")
+
+    across = _links_across(pairs, meeting, compared)
+    dropped(packed)
     top = connected_components(across).select(F.col("node").alias("g"), F.col("root").alias("top"))
     grouped = sized.select("k", "g").join(top, "g", "left").select("k", F.coalesce("top", "g").alias("root"))
     named = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least")).join(grouped, "k", "left") \

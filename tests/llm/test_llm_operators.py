@@ -380,6 +380,25 @@ def test_ngram_join_links_are_as_many_as_groups(spark, monkeypatch):
     assert len(links) == len({tuple(r) for r in links}) and len(links) <= 3 * max(1, len(groups))
 
 
+def test_ngram_join_of_near_copies_that_do_not_link(spark, monkeypatch):
+    """Near copies that link with each other beside others that share their words and link with nothing: rows of blocks, not of pairs."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    made = []
+    for i in range(360):
+        w = list(base)
+        for j in rng.sample(*((range(6, 72, 6), 1) if i < 300 else (range(78, 150, 6), 3))):
+            w[j] = f"x{i}_{j}"
+        made.append((i, " ".join(w)))
+    seen = []
+    plain = ngram_join._links_across
+    monkeypatch.setattr(ngram_join, "_links_across", lambda *a: seen.append(a[0].count()) or plain(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute.components(made).items()}
+    assert len(set(got.values())) > 40
+    assert seen[0] <= len(made)
+
+
 def test_suffix_dedup(documents, rows):
     short = documents.where("doc_id is null or doc_id not in (10005, 10006)")
     got = suffix_dedup.repeated_substrings(short).collect()
