@@ -44,6 +44,58 @@ def test_substring_dedup_empty(documents):
     assert substring_dedup.repeated_passages(documents.limit(0)).count() == 0
 
 
+def test_substring_dedup_finds_what_no_hub_explains(spark):
+    """Passages of one template, each with its own choice of words at four places: a hub is no near duplicate of most of them."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        w = [f"t{k}" for k in range(60)]
+        for at in (8, 22, 36, 50):
+            w[at] = f"c{at}x{rng.randrange(5)}"
+        rows.append((i, " ".join([f"own{i}a{k}" for k in range(20)] + w + [f"own{i}b{k}" for k in range(20)])))
+    got = {r["doc_id"]: {p for s in r["spans"] for p in range(s["start"], s["end"])} for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: [brute.shingle_set(" ".join(t.split()[k:k + 50])) for k in range(20, 31)] for i, t in rows}
+    by_window = [{} for _ in range(11)]
+    for i, s in sets.items():
+        for k in range(11):
+            by_window[k].setdefault(s[k], []).append(i)
+    for k, kinds in enumerate(by_window):
+        for a, ids in kinds.items():
+            if len(ids) > 1 or any(b is not a and 100 * len(a & b) >= 80 * len(a | b) for b in kinds):
+                for i in ids:
+                    assert set(range(20 + k, 70 + k)) <= got[i], (i, k)
+
+
+def test_substring_dedup_of_a_text_that_repeats_itself(spark):
+    once, part = [f"o{k}" for k in range(90)], [f"p{k}" for k in range(70)]
+    near = ["changed" if k == 35 else w for k, w in enumerate(part)]
+    rows = [(1, " ".join(part + part)), (2, " ".join(once + [f"q{k}" for k in range(60)] * 3)), (3, " ".join(f"s{k}" for k in range(140))), (4, " ".join([f"r{k}" for k in range(40)] * 2))]
+    rows += [(5, " ".join([f"{w}x" for w in part] + [f"{w}x" for w in near])), (6, "a b " * 3000)]
+    out = {r["doc_id"]: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i]["n_repeated"] for i in range(1, 7)] == [140, 185, 0, 0, 140, 6000]     # five words before a passage make a near duplicate still
+    assert all(r["n_dropped"] == 0 and r["class_ids"] == ([r["doc_id"]] if r["n_repeated"] else []) for r in out.values())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_what_is_asked_for_is_in_every_near_duplicate(seed):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    a = rng.permutation(np.arange(1, 120, dtype=np.uint64))
+    b = np.insert(np.delete(a, rng.choice(119, 4, False)), rng.choice(115, 4), np.arange(500, 504, dtype=np.uint64))
+    often = {int(t): int(rng.integers(1, 200)) for t in {*a.tolist(), *b.tolist()}}
+    codes = lambda x: np.array([often[int(t)] for t in x], np.uint8)
+    tokens, kind = substring_dedup.asked_tokens(b, codes(b), np.zeros(len(b), bool), 46, 80)
+    reply = set(tokens.tolist())
+    met = 0
+    for k in range(len(a) - 45):
+        w = a[k:k + 46]
+        if substring_dedup.near_duplicate_places(w, b, 46, 80)[0].any():
+            asks, kind = substring_dedup.asked_tokens(w, codes(w), np.zeros(46, bool), 46, 80)
+            assert (kind == 2).sum() == 6 and reply & set(asks[kind == 2].tolist())
+            met += 1
+    assert met > 10 and substring_dedup.answers(46, 80) == 12
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_compact_windows_hold_every_subsequence_once(seed):
     import numpy as np
